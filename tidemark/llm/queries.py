@@ -6,13 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import decontaminate, simhash, token_files
+from tidemark.llm.sql import SQL
+
+#: Where the vocabulary files of public tokenizers lie; None: the installed package of them.
+TOKENIZERS: str | None = None
+END_ID = 2
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in all documents."""
+    return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in Arrow files, read back."""
+    return token_files.token_table(_read(spark, sf_dir, "documents"), tokenizer_file(), END_ID).drop("shard")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
@@ -20,9 +43,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontamination": op4_decontamination,
+        "op6_token_files": op6_token_files,
         "op8_simhash": op8_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in queries()}
