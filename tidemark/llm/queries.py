@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, simhash, token_files
+from tidemark.llm import decontaminate, quality_rules, simhash, token_files, url_filter
 from tidemark.llm.sql import SQL
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package of them.
@@ -26,11 +26,21 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the url of every page."""
+    return url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in all documents."""
     return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    return quality_rules.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in Arrow files, read back."""
     return token_files.token_table(_read(spark, sf_dir, "documents"), tokenizer_file(), END_ID).drop("shard")
@@ -43,7 +53,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_filter": op2_url_filter,
         "op4_decontamination": op4_decontamination,
+        "op5_quality": op5_quality,
         "op6_token_files": op6_token_files,
         "op8_simhash": op8_simhash,
     }

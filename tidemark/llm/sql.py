@@ -28,4 +28,44 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM words LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
-SQL: dict[str, str] = {"op4_decontamination": DECONTAMINATION}
+_BLOCK = [
+    "ads", "adserver", "doubleclick", "banner", "casino", "poker", "betting", "porn", "xxx", "escort", "viagra", "torrent", "warez", "login", "signin", "logout",
+    "register", "checkout", "cart", "password", r"wp-login\.php", "wp-admin", "cgi-bin", "phpmyadmin", r"xmlrpc\.php", r"sitemap\.xml", r"robots\.txt",
+]
+_ANY = "(^|[^a-z0-9])({})([^a-z0-9]|$)".format("|".join(_BLOCK))
+
+URL_FILTER = rf"""
+WITH parts AS (
+  SELECT page_id, url,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+named AS (
+  SELECT page_id, url,
+         coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM parts),
+fits AS (
+  SELECT *, '.' || host AS dotted FROM named),
+ruled AS (
+  SELECT *, CASE
+    WHEN ends_with(dotted, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ends_with(dotted, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ends_with(dotted, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ends_with(dotted, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ends_with(dotted, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM fits),
+matched AS (
+  SELECT *, CASE
+    WHEN rule IS NOT NULL THEN NULL
+    WHEN regexp_matches(lower(url), '(^|[^a-z0-9])login([^a-z0-9]|$).*([^a-z0-9]|$)help([^a-z0-9]|$)') THEN 'allow'
+    WHEN regexp_matches(lower(url), '{_ANY}') OR regexp_matches(lower(url), '(^|[^a-z0-9])tracking([^a-z0-9]|$).*([^a-z0-9]|$)pixel([^a-z0-9]|$)') THEN 'block' END AS by_pattern
+  FROM ruled)
+SELECT page_id, url, host, path, rule, CAST(NULL AS VARCHAR) AS pattern,
+       CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(by_pattern, 'allow') END AS verdict
+FROM matched
+"""
+
+SQL: dict[str, str] = {
+    "op2_url_filter": URL_FILTER,
+    "op4_decontamination": DECONTAMINATION,
+}
