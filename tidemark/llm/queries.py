@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, langid, quality_rules, simhash, token_files, url_filter
+from tidemark.llm import ann, decontaminate, langid, quality_rules, simhash, token_files, url_filter
 from tidemark.llm.sql import SQL
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package of them.
@@ -31,6 +31,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors to each vector whose id is divisible by 20."""
+    return ann.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in all documents."""
     return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -59,6 +64,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
+        "op3_nearest": op3_nearest,
         "op4_decontamination": op4_decontamination,
         "op5_quality": op5_quality,
         "op6_token_files": op6_token_files,
