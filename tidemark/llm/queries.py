@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, decontaminate, langid, quality_rules, simhash, token_files, url_filter
+from tidemark.llm import ann, decontaminate, langid, mixing, quality_rules, simhash, token_files, url_filter
 from tidemark.llm.sql import SQL
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package of them.
@@ -61,6 +61,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates for all documents that bring the labelled domains to their target shares of tokens."""
+    rates = mixing.mix(_read(spark, sf_dir, "documents"), mixing.domain_of(_read(spark, sf_dir, "labels")))
+    return rates.withColumn("copies", mixing.copies_of(rates["rate"], rates["doc_id"])).drop("h")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_files": op6_token_files,
         "op8_simhash": op8_simhash,
         "op9_language_id": op9_language_id,
+        "op10_mixing": op10_mixing,
     }
 
 
