@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, decontaminate, langid, mixing, quality_rules, simhash, token_files, url_filter
+from tidemark.llm import ann, decontaminate, langid, licenses, lm_scoring, mixing, quality_rules, simhash, token_files, url_filter
 from tidemark.llm.sql import SQL
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package of them.
@@ -26,6 +26,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document: documents labelled good against all."""
+    docs = lm_scoring.mark_target(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"), "is_target")
+    return lm_scoring.lm_score(docs, "is_target")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on the url of every page."""
     return url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"))
@@ -51,6 +57,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(_read(spark, sf_dir, "documents"), tokenizer_file(), END_ID).drop("shard")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence statements in all documents."""
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
@@ -69,11 +80,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_url_filter": op2_url_filter,
         "op3_nearest": op3_nearest,
         "op4_decontamination": op4_decontamination,
         "op5_quality": op5_quality,
         "op6_token_files": op6_token_files,
+        "op7_licenses": op7_licenses,
         "op8_simhash": op8_simhash,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
