@@ -78,6 +78,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("copies", mixing.copies_of(rates["rate"], rates["doc_id"])).drop("h")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline, from documents to token files."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -90,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
+        "pipeline": pipeline,
     }
 
 
