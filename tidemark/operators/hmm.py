@@ -34,13 +34,6 @@ def log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarra
     return out
 
 
-def log_sum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    top = np.where(np.isfinite(top), top, 0.0)
-    with np.errstate(divide="ignore"):
-        return np.log(np.exp(a - top).sum(axis=axis)) + top.squeeze(axis)
-
-
 class GaussianHmm:
     """Full covariances; fitted by expectation-maximisation from a seeded start."""
 
@@ -76,31 +69,37 @@ class GaussianHmm:
     def _logs(self) -> tuple[np.ndarray, np.ndarray]:
         return np.log(np.clip(self.start, 1e-300, None)), np.log(np.clip(self.move, 1e-300, None))
 
+    @staticmethod
+    def _forward(start: np.ndarray, move: np.ndarray, dens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward pass: probabilities given the rows so far, the scale of each row, the densities over their largest, and the largest."""
+        top = dens.max(1, keepdims=True)
+        like = np.exp(dens - np.where(np.isfinite(top), top, 0.0))
+        alpha, scale = np.empty_like(like), np.empty(len(like))
+        last = start
+        for t, row in enumerate(like):
+            last = row * (last if t == 0 else last @ move)
+            total = last.sum()
+            if not total > 0:  # no state can have made the row: stay with the prediction
+                last, total = (start if t == 0 else alpha[t - 1] @ move), 1e-300
+                last = last / last.sum()
+            else:
+                last = last / total
+            alpha[t], scale[t] = last, total
+        return alpha, scale, like, top[:, 0]
+
     def _posterior(self, dens: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        start, move = self._logs()
-        n, k = dens.shape
-        alpha, beta = np.empty((n, k)), np.zeros((n, k))
-        alpha[0] = start + dens[0]
-        for t in range(1, n):
-            alpha[t] = dens[t] + log_sum(alpha[t - 1][:, None] + move, 0)
-        for t in range(n - 2, -1, -1):
-            beta[t] = log_sum(move + (dens[t + 1] + beta[t + 1])[None, :], 1)
-        total = float(log_sum(alpha[-1][None], 1)[0])
-        xi = np.exp(alpha[:-1, :, None] + move[None] + (dens[1:] + beta[1:])[:, None, :] - total).sum(0)
-        return np.exp(alpha + beta - total), xi, total
+        alpha, scale, like, top = self._forward(self.start, self.move, dens)
+        beta = np.ones_like(alpha)
+        for t in range(len(alpha) - 2, -1, -1):
+            beta[t] = self.move @ (like[t + 1] * beta[t + 1]) / scale[t + 1]
+        gamma = alpha * beta
+        gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-300)
+        xi = self.move * (alpha[:-1].T @ (like[1:] * beta[1:] / scale[1:, None]))
+        return gamma, xi, float((np.log(scale) + top).sum())
 
     def filtered(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of the states given the rows up to each: no backward pass."""
-        start, move = self._logs()
-        dens = log_density(x, self.means, self.covs)
-        out = np.empty_like(dens)
-        last = start + dens[0]
-        for t in range(len(x)):
-            if t:
-                last = dens[t] + log_sum(last[:, None] + move, 0)
-            last = last - log_sum(last[None], 1)[0]
-            out[t] = last
-        return np.exp(out)
+        return self._forward(self.start, self.move, log_density(x, self.means, self.covs))[0]
 
     def viterbi(self, x: np.ndarray) -> np.ndarray:
         start, move = self._logs()

