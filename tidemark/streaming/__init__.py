@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Event-time operators on streams."""
