@@ -99,6 +99,18 @@ def test_blind_match_finds_topics_and_not_boilerplate(spark):
     assert [(r["rank"], r.predicted, r.n_candidates) for r in extra] == [(1, "a", 5)]
 
 
+def test_nearest_pools_match_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, B + dt.timedelta(days=rng.choice([0, 0, 0, 1, 3, 9, 30]))) for i in range(40)]
+    df = spark.createDataFrame(rows, "window_id int, d date")
+    for k in (1, 3, 5):
+        got = {(r.pool, r.window_id) for r in bm25.nearest_pools(df, k).collect()}
+        want = {(i, j) for i, d in rows for _, j in sorted((abs((e - d).days), j) for j, e in rows)[:k]}
+        assert got == want
+
+
 def test_scrubbing(spark):
     df = spark.createDataFrame([("On 2020-03-03 and 3/3/2020 in March, Q1 of 2019: x",)], "t string")
     r = df.select(text.strip_identifying(F.col("t")).alias("a"), text.strip_dates(F.lit("On 3 March 2020, May 5th; may rise last year, in June 2019-01-02")).alias("b")).first()

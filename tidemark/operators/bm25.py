@@ -91,12 +91,12 @@ def permutation_p(ranks: DataFrame, draws: int = 1000, seed: int = 7, query: str
 
 
 def nearest_pools(dates: DataFrame, k: int, window: str = "window_id", day: str = "d") -> DataFrame:
-    """(pool, window): for each window the k windows nearest in time, itself among them; of equal distances the least id. The dates' 2k neighbours in order hold them, so that
-    windows aren't paired with all others."""
-    order = Window.orderBy(day, window)
-    near = dates.select(window, day, F.collect_list(F.struct(day, window)).over(order.rowsBetween(-k, k)).alias("_near"))
-    # Beyond k rows on either side none can be among the k nearest but by a tie in the day: those of equal days come in order of their ids.
-    each = near.select(F.col(window).alias("pool"), F.col(day).alias("_d"), F.explode("_near").alias("x")).select("pool", F.abs(F.datediff(F.col(f"x.{day}"), "_d")).alias("_far"), F.col(f"x.{window}").alias(window))
+    """(pool, window): for each window the k windows nearest in time, itself among them; of equal distances the least id. Of a day only its k least ids can be chosen, and only
+    days among the k before and after: so windows meet a bounded number of others, and not all."""
+    kept = dates.select(F.col(window), F.col(day).alias("_near")).withColumn("_r", F.row_number().over(Window.partitionBy("_near").orderBy(window))).filter(F.col("_r") <= k).drop("_r")
+    days = dates.select(day).distinct()
+    near = days.select(day, F.explode(F.collect_list(day).over(Window.orderBy(day).rowsBetween(-k, k))).alias("_near"))
+    each = dates.select(F.col(window).alias("pool"), day).join(near, day).join(kept, "_near").withColumn("_far", F.abs(F.datediff("_near", day)))
     rank = F.row_number().over(Window.partitionBy("pool").orderBy("_far", window))
     return each.withColumn("_r", rank).filter(F.col("_r") <= k).select("pool", window)
 
