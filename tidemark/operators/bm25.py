@@ -95,7 +95,7 @@ def nearest_pools(dates: DataFrame, k: int, window: str = "window_id", day: str
     days among the k before and after: so windows meet a bounded number of others, and not all."""
     kept = dates.select(F.col(window), F.col(day).alias("_near")).withColumn("_r", F.row_number().over(Window.partitionBy("_near").orderBy(window))).filter(F.col("_r") <= k).drop("_r")
     days = dates.select(day).distinct()
-    near = days.select(day, F.explode(F.collect_list(day).over(Window.orderBy(day).rowsBetween(-k, k))).alias("_near"))
+    near = days.withColumn("_all", F.collect_list(day).over(Window.orderBy(day).rowsBetween(-k, k))).select(day, F.explode("_all").alias("_near"))
     each = dates.select(F.col(window).alias("pool"), day).join(near, day).join(kept, "_near").withColumn("_far", F.abs(F.datediff("_near", day)))
     rank = F.row_number().over(Window.partitionBy("pool").orderBy("_far", window))
     return each.withColumn("_r", rank).filter(F.col("_r") <= k).select("pool", window)
