@@ -14,6 +14,7 @@ document between iterations. Starting at 1, documents that need no change stay n
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,8 @@ from tidemark.llm.textstats import STOP_WORDS
 
 #: Share of all tokens for each domain of domain_of in the production query.
 TARGETS = {"good": 0.93, "low": 0.05, "toxic": 0.02}
-_SYMBOLS = "!$%&*#|"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SYMBOLS = r"[!$%&*#|]"
+_CAPITALS = "[A-Z]"
 #: Upper bounds of the bands of each statistic.
 BANDS = {"symbols": [0.0, 0.005, 0.02, 0.06], "capitals": [0.005, 0.03, 0.1, 0.3], "words": [5, 20, 100, 500], "distinct": [0.3, 0.45, 0.55, 0.65, 0.8], "stops": [0.02, 0.05, 0.08, 0.12, 0.2]}
 
@@ -38,18 +39,21 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("k"), domain.alias("domain")).filter("k IS NOT NULL AND domain IS NOT NULL").distinct()
 
 
-def _features(df: DataFrame, text_col: str, p: str) -> DataFrame:
-    """df with p+words (words of ASCII letters, digits and characters beyond, lower-cased), p+tokens (how many) and p+bands (a number for each statistic)."""
+def _features(df: DataFrame, text_col: str, p: str, telling: Sequence[str] = ()) -> DataFrame:
+    """df with p+set (distinct words of ASCII letters, digits and characters beyond, lower-cased), p+hits (those of them that are function words or in
+    `telling`), p+tokens (how many words) and p+bands (a number for each statistic)."""
     text = p + "text"
+    known = F.array(*[F.lit(w) for w in dict.fromkeys([*STOP_WORDS, *telling])])
     df = df.withColumn(text, text_of(text_col))
-    df = df.withColumn(p + "words", F.filter(F.split(F.lower(text), r"[\s!-/:-@\[-`{-~]+"), lambda w: w != "")).withColumn(p + "tokens", F.size(p + "words").cast("long"))
+    df = df.withColumn(p + "words", F.array_remove(F.split(F.lower(text), r"[\s!-/:-@\[-`{-~]+"), ""))
+    df = df.withColumns({p + "tokens": F.size(p + "words").cast("long"), p + "set": F.array_distinct(p + "words")}).withColumn(p + "hits", F.array_intersect(p + "set", known))
     t, n = F.col(text), F.greatest(F.length(text), F.lit(1))
     value = {
-        "symbols": (F.length(t) - F.length(F.translate(t, _SYMBOLS, ""))) / n,
-        "capitals": (F.length(t) - F.length(F.translate(t, _CAPITALS, ""))) / n,
+        "symbols": F.regexp_count(t, F.lit(_SYMBOLS)) / n,
+        "capitals": F.regexp_count(t, F.lit(_CAPITALS)) / n,
         "words": F.col(p + "tokens"),
-        "distinct": F.size(F.array_distinct(p + "words")) / F.greatest(p + "tokens", F.lit(1)),
-        "stops": F.size(F.array_intersect(p + "words", F.array(*[F.lit(w) for w in STOP_WORDS]))) / F.greatest(F.least(p + "tokens", F.lit(len(STOP_WORDS))), F.lit(1)),
+        "distinct": F.size(p + "set") / F.greatest(p + "tokens", F.lit(1)),
+        "stops": F.size(F.array_intersect(p + "hits", F.array(*[F.lit(w) for w in STOP_WORDS]))) / F.greatest(F.least(p + "tokens", F.lit(len(STOP_WORDS))), F.lit(1)),
     }
     df = df.withColumns({p + "of_" + name: c for name, c in value.items()})
     bands = []
@@ -80,7 +84,7 @@ class DomainModel:
         if self.words:
             known = F.array(*[F.lit(w) for w in self.words])
             table = F.create_map(*[x for w, v in self.words.items() for x in (F.lit(w), row(v))])
-            total = F.aggregate(F.array_intersect(F.col(p + "words"), known), total, lambda a, w: add(a, table[w]))
+            total = F.aggregate(F.array_intersect(F.col(p + "hits"), known), total, lambda a, w: add(a, table[w]))
         table = F.create_map(*[x for b, v in self.bands.items() for x in (F.lit(b), row(v))])
         total = F.aggregate(F.filter(F.col(p + "bands"), lambda b: F.map_contains_key(table, b)), total, lambda a, b: add(a, table[b]))
         most = F.array_max(total)
@@ -95,7 +99,7 @@ def train(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col:
     `lift` times as frequent in a domain as in the rest that tell most of it (documents times the log of that ratio), `words` at most."""
     chosen = marked.orderBy(F.xxhash64("k"), "k", "domain").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k")
-    rows = materialise(_features(rows, "text", "f_").select("domain", F.array_distinct("f_words").alias("f_set"), "f_bands"), "labelled")
+    rows = materialise(_features(rows, "text", "f_").select("domain", "f_set", "f_bands"), "labelled")
     sizes = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = tuple(sorted(sizes))
     if not domains:
@@ -172,7 +176,7 @@ def mix(docs: DataFrame, marked: DataFrame, targets: dict[str, float] = TARGETS,
     model = train(docs, marked, id_col, text_col, sample)
     p = "f_"
     names = [f"p_{d}" for d in model.domains]
-    rows = _features(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")), "text", p)
+    rows = _features(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")), "text", p, list(model.words))
     rows = rows.select(id_col, F.xxhash64(text_of("text")).alias("h"), F.col(p + "tokens").alias("n_tokens"), *[c.alias(n) for c, n in zip(model.posteriors(p), names)])
     rows = materialise(rows, "posteriors")
     if not names:
