@@ -145,12 +145,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
+#: A fingerprint of more than this share of all rows is joined by broadcast: there are at most 1 / HOT of them.
+HOT = 1e-3
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:
-    """(id, h, fp, root): the fingerprints of all rows with the least fingerprint of their component."""
+    """(id, h, fp, root, component_id) for each row: the least fingerprint and the least id of its component.
+
+    Fingerprints are counted before rows are joined with what is known of them. The few that hold a large share of the rows (a
+    bounded number of them) are joined by broadcast, so that no task gets a group of copies as a whole."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = materialise(prints.select("fp").distinct(), "distinct")
-    roots = components(links(distinct, distance)).withColumnRenamed("node", "fp")
-    return prints.join(roots, "fp", "left").select("id", "h", "fp", F.coalesce("root", "fp").alias("root"))
+    distinct = materialise(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")), "distinct")
+    roots = components(links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
+    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = materialise(named.select("fp", "n", "root").join(best, "root"), "known")
+    hot = F.col("n") > HOT * (distinct.agg(F.sum("n")).first()[0] or 0)
+    few = known.filter(hot).select("fp", "root", "component_id")
+    rest = known.filter(~hot).select("fp", "root", "component_id")
+    common = prints.join(F.broadcast(few), "fp")
+    other = prints.join(F.broadcast(few.select("fp")), "fp", "left_anti").join(rest, "fp")
+    return common.unionByName(other).select("id", "h", "fp", "root", "component_id")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
@@ -160,9 +175,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of such rows alone has a null component_id. Repeated rows are kept. An empty table gives an empty result. Other
     columns of docs are not looked at, whatever their names."""
     rows = _classes(docs, id_col, text_col, shingle, distance)
-    best = rows.groupBy("root").agg(F.min("id").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(best, "root").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
