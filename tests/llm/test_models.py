@@ -19,24 +19,26 @@ def test_lm_score_matches_brute_force(spark):
     got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.lm_score(docs, "is_target", **size).collect()}
     rows = [(r.doc_id, (r.text or "").lower().replace("\n", " ").split(), bool(r.is_target)) for r in docs.collect()]
     counts = Counter(w for _, t, _ in rows for w in t)
-    top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:40]]
-    number = {w: i for i, w in enumerate(top)}
+    least = next(n for n in range(1, 10**6) if sum(c >= n for c in counts.values()) <= 40)
+    top = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n >= least]
+    number, unknown = {w: i for i, w in enumerate(top)}, len(top)
+    assert 10 < unknown <= 40
     kind = lambda i: i if i < 10 else 10 + (i * 2654435761 % (1 << 32) >> 7) % 5
     n_classes = 16
 
     def model(part):
         words, pairs = Counter(), Counter()
         for _, t, _ in part:
-            x = [number.get(w, 40) for w in t]
+            x = [number.get(w, unknown) for w in t]
             words.update(x)
             pairs.update(zip([n_classes - 1] + [kind(i) for i in x], [kind(i) for i in x]))
         return words, pairs
 
     def loss(x, words, pairs):
         per = Counter()
-        for i in range(41):
+        for i in range(unknown + 1):
             per[kind(i)] += words[i] + 0.1
-        single = [sum(words[i] for i in range(41) if kind(i) == c) + 0.1 for c in range(n_classes)]
+        single = [sum(words[i] for i in range(unknown + 1) if kind(i) == c) + 0.1 for c in range(n_classes)]
         total, before = 0.0, n_classes - 1
         for i in x:
             c = kind(i)
@@ -53,7 +55,7 @@ def test_lm_score_matches_brute_force(spark):
         if not t:
             assert r.score is None and r.loss_target is None
             continue
-        x = [number.get(w, 40) for w in t]
+        x = [number.get(w, unknown) for w in t]
         assert r.loss_background == pytest.approx(loss(x, *background), abs=1e-4)
         assert r.loss_target == pytest.approx(loss(x, *target), abs=1e-4)
         assert r.score == pytest.approx(r.loss_target - r.loss_background, abs=1e-9)
