@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Marks of texts that are mostly decoration.
-SYMBOLS = "!$%&*#|=<>{}[]~^_\\+@"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜ"
-DIGITS = "0123456789"
+#: Marks of texts that are mostly decoration, capitals, and digits, as classes of characters.
+SYMBOLS = r"[!$%&*#|=<>{}\[\]~^_\\+@]"
+CAPITALS = "[A-ZÀÁÂÃÄÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜ]"
+DIGITS = "[0-9]"
 #: Function words of the four languages that are most common on the web in Latin script here: fixed values.
 STOP_WORDS = [
     "the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "on", "are", "with", "as", "be", "at", "this", "from", "or", "by",
@@ -21,7 +21,7 @@ NAMES = ["n_chars", "n_words", "mean_word", "symbol_rate", "capital_rate", "digi
 
 
 def _count(text: Column, letters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, letters, ""))
+    return F.regexp_count(text, F.lit(letters))
 
 
 def with_stats(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
@@ -29,7 +29,7 @@ def with_stats(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
     text, words, lines = prefix + "text", prefix + "words", prefix + "lines"
     d = lambda c: c.cast("double")
     df = df.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = df.withColumns({words: F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""), lines: F.filter(F.split(F.col(text), "\n"), lambda x: x != "")})
+    df = df.withColumns({words: F.array_remove(F.split(F.col(text), r"\s+"), ""), lines: F.array_remove(F.split(F.col(text), "\n"), "")})
     t, w, x = F.col(text), F.col(words), F.col(lines)
     chars, n = F.greatest(F.length(t), F.lit(1)), F.greatest(F.size(w), F.lit(1))
     known = F.array(*[F.lit(s) for s in STOP_WORDS])
@@ -44,6 +44,6 @@ def with_stats(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
         prefix + "stop_rate": d(F.size(F.array_intersect(w, known))) / F.least(n, F.lit(len(STOP_WORDS))),
         prefix + "line_rate": d(F.size(x)) / n,
         prefix + "distinct_lines": d(F.size(F.array_distinct(x))) / F.greatest(F.size(x), F.lit(1)),
-        prefix + "stop_marks": d(_count(t, ".")) / n,
+        prefix + "stop_marks": d(_count(t, r"\.")) / n,
         prefix + "last_mark": d(F.rlike(t, F.lit(r"[.!?]\s*\z"))),
     }).drop(text, words, lines)
