@@ -12,7 +12,7 @@ point are linked to the least of them. That is linear in the group, and loses an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,14 +149,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 HOT = 1e-3
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:
-    """(id, h, fp, root, component_id) for each row: the least fingerprint and the least id of its component.
+def classes(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, h, fp, root, component_id) for each row of prints (id, h, fp): the least fingerprint and the least id of its component. linked gives the
+    links between the distinct fingerprints.
 
     Fingerprints are counted before rows are joined with what is known of them. The few that hold a large share of the rows (a
     bounded number of them) are joined by broadcast, so that no task gets a group of copies as a whole."""
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
+    roots = components(linked(distinct.select("fp"))).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     known = materialise(named.select("fp", "n", "root").join(best, "root"), "known")
@@ -168,6 +168,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance
     return common.unionByName(other).select("id", "h", "fp", "root", "component_id")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return classes(prints, lambda distinct: links(distinct, distance))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """One row per row of docs: the id, fingerprint (16 hex digits) and component_id (least id reachable over links).
 
@@ -181,7 +186,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """Of each group of near-duplicates the row with the least id, with all its columns. Rows without an id stay only where no row of
     their group has one; of rows that repeat that id within the group one stays, chosen by a hash of its text."""
-    rows = _classes(docs, id_col, text_col, shingle, distance)
+    return first_of_each(docs, _classes(docs, id_col, text_col, shingle, distance), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that keep_one keeps, of the groups in rows (id, h, root)."""
     head = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("e"))
     rank, key, mark = (fresh(docs, x) for x in ("rank", "key", "mark"))
     head = head.select(F.col("e.id").alias(key), F.col("e.h").alias(mark)).distinct()
