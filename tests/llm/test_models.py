@@ -216,6 +216,14 @@ def test_fit_rates_matches_brute_force(spark):
     assert np.allclose((p * (n * rate)[:, None]).sum(0), goal, rtol=1e-5) and np.allclose(reached, 1, atol=1e-5)
 
 
+def test_copies_keep_the_totals_of_the_rates(spark):
+    rates = [0.0, 0.02, 0.07, 0.13, 0.93, 0.97, 1.0, 1.06, 1.5, 2.08]
+    rows = spark.range(200_000).select("id", F.array(*map(F.lit, rates))[F.col("id").cast("int") % len(rates)].alias("rate"))
+    got = {r.rate: (r.n, r.least, r.most) for r in rows.withColumn("n", mixing.copies_of(F.col("rate"), F.col("id"))).groupBy("rate").agg(F.avg("n").alias("n"), F.min("n").alias("least"), F.max("n").alias("most")).collect()}
+    for rate, (n, least, most) in got.items():
+        assert n == pytest.approx(rate, abs=0.015) and (least, most) == (math.floor(rate), math.ceil(rate))
+
+
 def test_mixing_of_odd_rows(spark):
     docs = cases.documents(spark)
     marked = mixing.domain_of(cases.labels(spark))

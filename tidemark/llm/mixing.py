@@ -192,10 +192,10 @@ def mix(docs: DataFrame, marked: DataFrame, targets: dict[str, float] = TARGETS,
     return rows.withColumn("rate", _rate(parts, steps))
 
 
-def copies_of(rate: Column, key: Column, snap: float = 0.1) -> Column:
-    """How often a document is used: the rate rounded up or down by a hash of the key in proportion, or to the next whole number where that is within snap."""
+def copies_of(rate: Column, key: Column) -> Column:
+    """How often a document is used: the rate rounded up or down by a hash of the key in proportion, so that the expected totals stay those of the rates."""
     share = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return F.when(F.abs(rate - F.round(rate)) <= snap, F.round(rate)).otherwise(F.floor(rate + share)).cast("int")
+    return F.floor(rate + share).cast("int")
 
 
 def apply_mix(docs: DataFrame, marked: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
