@@ -6,11 +6,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import materialise, new_path, shared_dir  # noqa: F401  for the operators of this package
+from tidemark.sources.tables import Scratch, materialise, new_path  # noqa: F401  for the operators of this package
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -67,6 +68,32 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h ^ (h >> np.uint64(29))
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, the same for spans of equal bytes, and the first span of each number.
+
+    Spans are put together by their hashes, and then compared byte by byte with the first of their number; where any
+    differs (hashes collide), the piece is numbered by the bytes themselves."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, _ = pd.factorize(span_hashes(data, starts, ends))
+    first = np.empty(codes.max() + 1, dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    length = ends - starts
+    same = length == length[first[codes]]
+    if same.all():
+        later = np.flatnonzero(first[codes] != np.arange(len(codes)))
+        n = length[later]
+        at = np.arange(n.sum()) + np.repeat(starts[later] - np.cumsum(n) + n, n)
+        if (data[at] == data[at + np.repeat(starts[first[codes[later]]] - starts[later], n)]).all():
+            return codes, first
+    raw, known = data.tobytes(), {}
+    keys = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+    codes = np.array([known.setdefault(k, len(known)) for k in keys])
+    first = np.empty(len(known), dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, first
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows in them (nulls have no bytes)."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,8 +2,8 @@
 
 Small regression trees are boosted on statistics of a bounded sample of labelled texts; every path from a root to a
 node is a rule (a conjunction of bounds on statistics). A lasso logistic regression keeps few of the rules with a
-weight each. The kept rules become one column expression, so that scoring reads each text once, in the JVM, without a
-shuffle.
+weight each. The statistics are counted once a row, in Arrow batches; the kept rules become one column expression over
+them, so that scoring reads each text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, fresh
+from tidemark.llm.common import crc_mod, fresh, text_of
 from tidemark.llm.textstats import NAMES, with_stats
 
 
@@ -124,35 +124,50 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, d
     return RuleModel(float(b), tuple(kept))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 12_000, folds: int = 5) -> RuleModel:
-    """Fit on at most `sample` labelled rows whose crc32(id as text) mod folds is not 0, taken by a hash of the id. Rows without an
-    id, or with a label other than 0 and 1, are left out. An id with both labels counts once for each."""
-    marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(id_col, folds) != 0)).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).distinct()
-    chosen = marked.orderBy(F.xxhash64("k"), "k", "y").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k")
-    got = with_stats(rows, "text", "s_").select("k", "y", *[F.col("s_" + n) for n in NAMES]).toPandas()
-    got = got.sort_values(list(got.columns)).head(2 * sample)  # ids may repeat
-    return fit_rules(got[["s_" + n for n in NAMES]].to_numpy(float).reshape(-1, len(NAMES)), got["y"].to_numpy(float), NAMES)
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    sample: int = 12_000, folds: int = 5,
+) -> RuleModel:
+    """Fit on at most `sample` labelled ids whose crc32(id as text) mod folds is not 0, taken by a hash of the id, and at
+    most twice as many rows (ids may repeat, with texts or labels of their own), taken by a hash of id and text. Rows
+    without an id, or with a label other than 0 and 1, are left out. An id with both labels counts once for each."""
+    good = F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(id_col, folds) != 0)
+    marked = labels.filter(good).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"))
+    chosen = marked.distinct().orderBy(F.xxhash64("k"), "k", "y").limit(sample)
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), text_of(text_col).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("k", "text")).join(F.broadcast(chosen), "k")
+    stats = ["s_" + n for n in NAMES]
+    got = with_stats(rows, "text", "s_").select("h", "k", "y", *stats)
+    got = got.orderBy("h", "k", "y", *stats).limit(2 * sample).toPandas()
+    return fit_rules(got[stats].to_numpy(float).reshape(-1, len(NAMES)), got["y"].to_numpy(float), NAMES)
 
 
 def score(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the score of each whole text. Null and blank texts are scored like empty ones; repeated rows are kept."""
-    prefix = fresh(docs, "stat_")
+    prefix = "stat_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
     out = with_stats(docs, text_col, prefix).withColumn(score_col, model.score(prefix))
     return out.drop(*[prefix + n for n in NAMES])
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, sample: int = 12_000) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    threshold: float = 0.3, folds: int = 5, sample: int = 12_000,
+) -> DataFrame:
     """Per row of docs: id, held_out (the label was not to be learnt), score (nearer 1: likelier good) and predicted. An empty
     table gives an empty result; without labels every score is one half."""
     model = train(docs, labels, id_col, text_col, label_col, sample, folds)
     rows = score(docs.select(id_col, text_col), model, text_col, "score")
-    return rows.select(F.col(id_col), (crc_mod(id_col, folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    held, predicted = crc_mod(id_col, folds) == 0, (F.col("score") >= threshold).cast("int")
+    return rows.select(F.col(id_col), held.alias("held_out"), "score", predicted.alias("predicted"))
 
 
-def good_only(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, sample: int = 12_000) -> DataFrame:
+def good_only(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    threshold: float = 0.3, sample: int = 12_000,
+) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier doesn't reject."""
     mark = fresh(docs, "quality_score")
-    return score(docs, train(docs, labels, id_col, text_col, label_col, sample), text_col, mark).filter(F.col(mark) >= threshold).drop(mark)
+    scored = score(docs, train(docs, labels, id_col, text_col, label_col, sample), text_col, mark)
+    return scored.filter(F.col(mark) >= threshold).drop(mark)
