@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 
 from tests.llm.test_decontaminate import brute
-from tests.llm.test_simhash import slow_components
-from tidemark.llm import mixing, quality_rules, queries, simhash
+from tests.llm.test_near_copies import slow_groups
+from tidemark.llm import mixing, quality_rules, queries
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -51,7 +51,7 @@ def test_quality_stage(spark, stages):
 def test_dedup_stage(stages):
     _, out = stages
     rows = sorted(out[1].select("doc_id", "text").collect())
-    group = slow_components([simhash.fingerprint(r.text.encode()) for r in rows], 2)
+    group = slow_groups([r.text for r in rows])
     assert sorted(r.doc_id for r in out[2].collect()) == sorted({g: r.doc_id for r, g in reversed(list(zip(rows, group)))}.values())
 
 

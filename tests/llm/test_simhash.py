@@ -6,6 +6,7 @@ import xxhash
 
 from tests.llm import cases
 from tidemark.llm import simhash
+from tidemark.llm.common import Scratch
 
 
 def slow_fingerprint(text, shingle=3):
@@ -72,7 +73,8 @@ def test_links_of_a_crowded_bucket_match_brute_force(spark):
     for distance in (1, 2):
         prints = spark.createDataFrame([(v,) for v in signed], "fp long")
         for bucket in (4, 10_000):
-            found = simhash.components(simhash.links(prints, distance, bucket)).collect()
+            with Scratch(spark, "test") as scratch:
+                found = simhash.components(simhash.links(prints, scratch, distance, bucket), scratch).collect()
             root = {r.node: r.root for r in found}
             groups = slow_components(values, distance)
             mine = [root.get(s, s) for s in signed]
@@ -81,7 +83,8 @@ def test_links_of_a_crowded_bucket_match_brute_force(spark):
 
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
-    got = simhash.components(edges).collect()
+    with Scratch(spark, "test") as scratch:
+        got = simhash.components(edges, scratch).collect()
     assert {r.root for r in got} == {0} and len(got) == 201
 
 
