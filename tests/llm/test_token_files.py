@@ -9,7 +9,7 @@ import pytest
 
 from tests.llm import cases
 from tidemark.llm import token_files
-from tidemark.llm.common import buffers
+from tidemark.llm.common import buffers, distinct_spans, span_hashes
 from tidemark.llm.queries import tokenizer_file
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -27,6 +27,47 @@ def test_encoder_equals_the_library():
     assert got == [whole.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
+def colliding_words():
+    """Two words of a and b (a Thue-Morse word and its complement) that have one polynomial hash for any base."""
+    bits = [i.bit_count() & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_hash_are_told_apart():
+    one, two = colliding_words()
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    ends = np.array([1024, 2048])
+    h = span_hashes(data, ends - 1024, ends)
+    assert h[0] == h[1]
+    codes, first = distinct_spans(data, ends - 1024, ends)
+    assert codes.tolist() == [0, 1] and first.tolist() == [0, 1]
+    whole = tokenizers.Tokenizer.from_file(tokenizer_file())
+    texts = [f"x {one} y {two} z {one}", f"{two} {two}", one]
+    ids, counts = token_files.Encoder(tokenizer_file()).rows(*buffers(pa.array(texts)), 2)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_very_long_words_and_texts():
+    whole = tokenizers.Tokenizer.from_file(tokenizer_file())
+    texts = ["a" * 30_000, "xyz" * 4_000 + " end", "w " * 300_000]
+    ids, counts = token_files.Encoder(tokenizer_file()).rows(*buffers(pa.array(texts)), 2)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_writer_holds_less_than_two_batches(tmp_path):
+    out = token_files._Writer(str(tmp_path / "x" / "0.arrow"), np.dtype("<u2"), 16, 4)
+    for k in range(100):
+        out.add(np.arange(k, dtype="<u2"))
+        assert out.held < 64
+    out.close()
+    file = token_files.Shard(str(tmp_path / "x" / "0.arrow"))
+    total = sum(range(100))
+    assert len(file) == -(-total // 16)
+    assert (file.span(0, total) == np.concatenate([np.arange(k) for k in range(100)])).all()
+
+
 def test_round_trip(spark, tmp_path):
     docs = cases.documents(spark)
     path = str(tmp_path / "tokens")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffers, new_path, pieces, span_hashes, text_of
+from tidemark.llm.common import buffers, distinct_spans, new_path, pieces, text_of
 
 #: Unicode's white space beyond ASCII, in UTF-8, and the control characters that some count as such.
 ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
@@ -108,9 +108,7 @@ class Encoder:
         start[1:] |= single[:-1] & (data[:-1] == 10)
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], n)
-        codes, distinct = pd.factorize(span_hashes(data, starts, ends))
-        first = np.empty(len(distinct), dtype=np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        codes, first = distinct_spans(data, starts, ends)
         raw = data.tobytes()
         keys = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
         values = list(map(self.known.get, keys))
@@ -162,8 +160,9 @@ class Shard:
         fs, inner = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
         self.source = pa.memory_map(inner) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(inner)
         self.file = pa.ipc.open_file(self.source)
-        meta = self.file.schema.metadata
-        self.length, self.size, self.per = (int(meta[k]) for k in (b"length", b"sequences", b"per_batch"))
+        self.length, self.per = (int(self.file.schema.metadata[k]) for k in (b"length", b"per_batch"))
+        n = self.file.num_record_batches  # all but the last are full
+        self.size = (n - 1) * self.per + self.batch(n - 1).num_rows if n else 0
 
     def __len__(self) -> int:
         return self.size
@@ -195,23 +194,30 @@ class Shard:
 
 
 class _Writer:
-    """Writes a shard under a name of its own, and gives it the shard's name at the end; writing it again gives the same file."""
+    """Writes a shard as its ids come, under a name of its own, and gives it the shard's name at the end; writing it again
+    gives the same file. It holds less than two batches of sequences."""
 
     def __init__(self, path: str, kind: np.dtype, length: int, per: int):
-        self.path, self.length, self.per, self.kind = path, length, per, kind
+        self.kind, self.length, self.width = kind, length, length * per
         self.fs, self.inner = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
         self.fs.create_dir(self.inner.rpartition("/")[0], recursive=True)
-        self.parts: list[np.ndarray] = []
-        self.held = self.total = 0
-        self.batches: list[tuple[np.ndarray, int]] = []
-        self.out = None
-
-    def _open(self, sequences: int) -> None:
-        item = pa.from_numpy_dtype(self.kind)
-        schema = pa.schema([("ids", pa.list_(item, self.length)), ("mask", pa.list_(pa.bool_(), self.length))], metadata={"length": str(self.length), "sequences": str(sequences), "per_batch": str(self.per)})
         self.temp = f"{self.inner}.{uuid.uuid4().hex}"
+        fields = [("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))]
+        self.schema = pa.schema(fields, metadata={"length": str(length), "per_batch": str(per)})
         self.stream = self.fs.open_output_stream(self.temp)
-        self.out = pa.ipc.new_file(self.stream, schema)
+        self.out = pa.ipc.new_file(self.stream, self.schema)
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, ids: np.ndarray) -> None:
+        self.parts.append(ids)
+        self.held += len(ids)
+        if self.held >= self.width:
+            flat = np.concatenate(self.parts)
+            full = len(flat) // self.width * self.width
+            for at in range(0, full, self.width):
+                self._put(flat[at : at + self.width])
+            self.parts, self.held = [flat[full:]], len(flat) - full
 
     def _put(self, ids: np.ndarray) -> None:
         n = len(ids)
@@ -219,58 +225,56 @@ class _Writer:
         if full > n:
             ids = np.concatenate([ids, np.zeros(full - n, self.kind)])
         mask = pa.array(np.arange(full) < n)
-        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)]
-        self.out.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.out_schema))
-
-    def write(self, chunks: Iterator[np.ndarray], total: int) -> None:
-        self._open(-(-total // self.length))
-        self.out_schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), self.length)), ("mask", pa.list_(pa.bool_(), self.length))])
-        width, parts, held = self.length * self.per, [], 0
-        for c in chunks:
-            parts.append(c)
-            held += len(c)
-            if held >= width:
-                flat = np.concatenate(parts)
-                while len(flat) >= width:
-                    self._put(flat[:width])
-                    flat = flat[width:]
-                parts, held = [flat], len(flat)
-        if held:
-            self._put(np.concatenate(parts))
+        arrays = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(ids), mask)]
+        self.out.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
+
+    def close(self) -> None:
+        if self.held:
+            self._put(np.concatenate(self.parts))
         self.out.close()
         self.stream.close()
         self.fs.move(self.temp, self.inner)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 2, length: int = 2048, per_batch: int = 64, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+#: Bytes of text for a shard, about.
+SHARD_BYTES = 48 << 20
+
+
+def write_tokens(
+    docs: DataFrame, tokenizer: str, path: str, end: int = 2, length: int = 2048, per_batch: int = 64,
+    id_col: str = "doc_id", text_col: str = "text", shards: int | None = None,
+) -> DataFrame:
     """Write the ids of all rows of docs in ascending order of their id, as shards and an index under path; returns the index.
 
     Null texts are empty: they have the end id alone. Rows without an id come first. Rows that repeat an id follow each other
     by a hash of their text. An empty table writes no shard. Columns other than the id and the text are left out.
+    shards: how many ranges of ids; None: as many as the bytes of the texts ask for, so that a shard's size is bounded.
     Index: shard, k (row within the shard), id, start (within the shard), n_tokens."""
     spark = docs.sparkSession
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("h"))
-    shards = shards or max(1, rows.rdd.getNumPartitions())
-    rows = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
+        shards = max(1, -(-size // SHARD_BYTES))
+    order = [F.col("id").asc_nulls_first(), "h"]
+    rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tool = TaskContext.get().partitionId(), encoder(tokenizer)
-        kept: list[np.ndarray] = []
+        shard, tool, out = TaskContext.get().partitionId(), encoder(tokenizer), None
         start = k = 0
         for b in batches:
             data, at = buffers(b.column(1))
             for first, last in pieces(at):
                 ids, counts = tool.rows(data[at[first] : at[last]], at[first : last + 1] - at[first], end)
-                kept.append(ids)
-                begins = start + np.cumsum(counts) - counts
-                n = last - first
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(k, k + n)), b.column(0).slice(first, n), pa.array(begins), pa.array(counts)], names=["shard", "k", "id", "start", "n_tokens"]
-                )
+                out = out or _Writer(f"{path}/shards/{shard:06d}.arrow", tool.kind, length, per_batch)
+                out.add(ids)
+                n, begins = last - first, start + np.cumsum(counts) - counts
+                own = [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(k, k + n)), b.column(0).slice(first, n)]
+                names = ["shard", "k", "id", "start", "n_tokens"]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(begins), pa.array(counts)], names=names)
                 start, k = start + len(ids), k + n
-        if k:
-            _Writer(f"{path}/shards/{shard:06d}.arrow", tool.kind, length, per_batch).write(iter(kept), start)
+        if out:
+            out.close()
 
     index = rows.mapInArrow(run, "shard int, k long, id long, start long, n_tokens long")
     index.write.parquet(f"{path}/index")
@@ -287,14 +291,17 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
         shard = int(rows["shard"].iloc[0])
         file = Shard(f"{path}/shards/{shard:06d}.arrow")
         rows = rows.sort_values("k")
-        rows["ids_crc32"] = [zlib.crc32(file.span(s, n).astype("<u4").tobytes()) for s, n in zip(rows["start"].tolist(), rows["n_tokens"].tolist())]
+        spans = zip(rows["start"].tolist(), rows["n_tokens"].tolist())
+        rows["ids_crc32"] = [zlib.crc32(file.span(s, n).astype("<u4").tobytes()) for s, n in spans]
         return rows[["shard", "id", "start", "n_tokens", "ids_crc32"]].astype({"id": "Int64"})
 
     read = index.groupBy("shard").applyInPandas(run, "shard int, id long, start long, n_tokens long, ids_crc32 long")
     return read.join(before, "shard").select(F.col("id").alias(id_col), (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
-def token_table(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(
+    docs: DataFrame, tokenizer: str, end: int = 2, length: int = 2048, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """Write docs to a new folder of the shared one, and read the files back."""
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer, path, end, length, id_col=id_col, text_col=text_col)
