@@ -1,19 +1,22 @@
 """Mixing documents to target weights by soft membership, in DataFrame operations alone.
 
 A naive Bayes classifier is counted from the labelled table: which of a set of telling words and of bands of text
-statistics occur in the documents of each domain. It gives every document a posterior p for each domain. A
-document of n tokens adds n p to the domains' expected totals, and nonnegative rates r (how often each document is to
-be used) are sought for which those totals meet the targets T: least squares on the gaps g = sum(r n p / T) - 1, by
-projected gradient from r = 1. Documents are weighed by their tokens, so that the gradient of a rate is p / T times
-the gaps and documents of one kind get one rate whatever their length; the gaps are measured by the inverse of the
-matrix of sums n p p' / T T' over the documents whose rate isn't 0, which makes a step of length 1 right in every
-direction: r <- max(0, r - (p / T) M g). All that an iteration needs of the documents is one aggregate of a few
-numbers; the rate of a document follows from its own posteriors and the steps so far, so that nothing is kept for each
-document between iterations. Starting at 1, documents that need no change stay near 1.
+statistics occur in the documents of each domain. It gives every document a posterior p for each domain. A document of n
+tokens adds n p to the domains' expected totals, and nonnegative rates r (how often each document is to be used) are
+sought for which those totals meet the targets T: least squares on the gaps e = sum(r n p) - T, each weighed by 1 / T,
+
+    f(r) = 1/2 sum_k e_k^2 / T_k,   r >= 0,
+
+by accelerated projected gradient from r = 1, so that documents that need no change stay near 1. Distances between rates
+are weighed by tokens, so that documents of one kind get one rate whatever their length: with b = p / sqrt(T) and
+g = e / sqrt(T) a step is r <- max(0, y - (b . g) / L), where y carries the last move on and L is the largest eigenvalue of
+sum(n b b') over all documents, which is the Lipschitz constant in that metric. Where f would rise, the momentum starts
+anew, so f never does. All that a round needs of the documents is one aggregate of a sum for each domain.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, materialise, text_of
+from tidemark.llm.common import Scratch, fresh, materialise, text_of
 from tidemark.llm.textstats import STOP_WORDS
 
 #: Share of all tokens for each domain of domain_of in the production query.
@@ -124,72 +127,114 @@ def train(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col:
     return DomainModel(domains, tuple(float(np.log(sizes[d] / total) + x) for d, x in zip(domains, without)), word_table, band_table)
 
 
-def _rate(parts: list[Column], steps: list[list[float]]) -> Column:
-    """The rate after the steps: one column expression however many there are."""
-    if not steps or not parts:
-        return F.lit(1.0)
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
-
-    def step(rate: Column, g: Column) -> Column:
-        move = F.lit(0.0)
-        for k, b in enumerate(parts):
-            move = move + b * g[k]
-        return F.greatest(F.lit(0.0), rate - move)
-
-    return F.aggregate(rows, F.lit(1.0), step)
-
-
-def fit_rates(table: DataFrame, tokens: str, posteriors: list[str], targets: list[float], rounds: int = 40, tolerance: float = 1e-6) -> tuple[list[list[float]], list[float]]:
-    """The projected gradient steps after which the posterior columns' expected tokens meet the targets, and the totals reached, as shares
-    of the targets. A domain without any expected tokens, or without a target, is left alone. Where targets can't be met the
-    steps end after `rounds`."""
-    parts = [F.col(c) / F.lit(float(t)) if t > 0 else F.lit(0.0) for c, t in zip(posteriors, targets)]
-    n, weight = len(parts), F.col(tokens).cast("double")
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    live = np.array([t > 0 for t in targets])
-    steps: list[list[float]] = []
-    reached = [0.0] * n
-    for _ in range(rounds):
-        rows = table.select(*[b.alias(f"b{i}") for i, b in enumerate(parts)], weight.alias("w"), _rate(parts, steps).alias("r"))
-        b = [F.col(f"b{i}") for i in range(n)]
-        sums = rows.agg(
-            *[F.sum(F.col("w") * F.col("r") * b[i]).alias(f"s{i}") for i in range(n)],
-            *[F.sum(F.when(F.col("r") > 0, F.col("w") * b[i] * b[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i, j in pairs],
-        ).first()
-        reached = [float(sums[f"s{i}"] or 0.0) for i in range(n)]
-        gap = np.where(live, np.array(reached) - 1.0, 0.0)
-        if np.abs(gap).max(initial=0.0) <= tolerance:
-            break
-        gram = np.zeros((n, n))
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"] or 0.0
-        steps.append((np.linalg.pinv(gram, rcond=1e-10, hermitian=True) @ gap).tolist())
-    return steps, reached
-
-
-def mix(docs: DataFrame, marked: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", sample: int = 12_000, rounds: int = 40) -> DataFrame:
+@dataclass(frozen=True)
+class Fit:
+    """totals: the domains' expected tokens at the rates found; objective: f there; converged: whether all totals are
+    within the tolerance, or no step can lower f any more (targets that can't be met together)."""
+
+    totals: tuple[float, ...]
+    objective: float
+    rounds: int
+    converged: bool
+
+
+#: Rounds between two written states of the rates.
+KEEP = 5
+
+
+def fit_rates(
+    table: DataFrame, tokens: str, posteriors: list[str], targets: list[float], rate: str = "rate", rounds: int = 100,
+    tolerance: float = 1e-4,
+) -> tuple[DataFrame, Fit]:
+    """table with a column `rate` whose expected totals over the posterior columns meet the targets, and how well they do.
+
+    A domain with a target of 0 or less is left alone. Ends when all totals are within `tolerance` of their targets, when the
+    projected gradient is `tolerance` of what it was, or after `rounds`; f is never higher than at rates of 1."""
+    live = [k for k, t in enumerate(targets) if t > 0]
+    root = np.sqrt([targets[k] for k in live])
+    b = [F.col(posteriors[k]) / F.lit(float(x)) for k, x in zip(live, root)]
+    n, before = F.coalesce(F.col(tokens).cast("double"), F.lit(0.0)), rate + "_before"
+    pairs = [(i, j) for i in range(len(live)) for j in range(i, len(live))]
+    start = table.agg(
+        *[F.sum(F.col(tokens) * F.col(c)).alias(f"t{k}") for k, c in enumerate(posteriors)],
+        *[F.sum(n * b[i] * b[j]).alias(f"g{i}_{j}") for i, j in pairs],
+    ).first()
+    gram = np.zeros((len(live), len(live)))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = start[f"g{i}_{j}"] or 0.0
+    bound = float(np.linalg.eigvalsh(gram).max(initial=0.0))
+    totals = np.array([float(start[f"t{k}"] or 0.0) for k in range(len(posteriors))])
+    state = table.withColumns({rate: F.lit(1.0), before: F.lit(1.0)})
+    gap = lambda t: (t[live] - root**2) / root
+    e = gap(totals)
+    ahead, momentum, speed, first, done, k = e, 0.0, 1.0, None, not live or bound <= 0, 0
+    with Scratch(table.sparkSession, "rates") as scratch:
+        kept = None
+        while not done and k < rounds and np.abs(e / root).max(initial=0.0) > tolerance:
+            k += 1
+            y = F.col(rate) + F.lit(float(momentum)) * (F.col(rate) - F.col(before))
+            for c, x in zip(b, ahead / bound):
+                y = y - c * F.lit(float(x))
+            moved = state.withColumn("moved_", F.greatest(F.lit(0.0), y))
+            if k % KEEP == 0:
+                moved, last = scratch.write(moved, "state"), kept
+                if last is not None:
+                    scratch.drop(last)
+                kept = moved
+            at = F.col("moved_")
+            sums = moved.agg(
+                *[F.sum(n * at * F.col(c)).alias(f"t{i}") for i, c in enumerate(posteriors)],
+                F.sum(n * (at - F.col(rate)) ** 2).alias("move"),
+            ).first()
+            there = np.array([float(sums[f"t{i}"] or 0.0) for i in range(len(posteriors))])
+            new = gap(there)
+            if new @ new > e @ e and momentum > 0:  # start anew from the last rates
+                state = moved.drop("moved_") if k % KEEP == 0 else state
+                ahead, momentum, speed = e, 0.0, 1.0
+                continue
+            move = float(np.sqrt(sums["move"] or 0.0)) if momentum == 0 else None
+            first = first if first is not None else move
+            done = move is not None and (not first or move <= tolerance * first)
+            faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
+            momentum, speed = (speed - 1) / faster, faster
+            state = moved.withColumns({before: F.col(rate), rate: at}).drop("moved_")
+            ahead, e, totals = new + momentum * (new - e), new, there
+        met = bool(np.abs(e / root).max(initial=0.0) <= tolerance)
+        out = materialise(state.drop(before), "rates")
+    return out, Fit(tuple(totals.tolist()), float(e @ e / 2), k, met or bool(done))
+
+
+def mix(
+    docs: DataFrame, marked: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
+    sample: int = 12_000, rounds: int = 100,
+) -> DataFrame:
     """One row per row of docs: id, text hash h, n_tokens, a posterior p_<domain> for each labelled domain, and the rate.
 
     targets: shares for domains. They are scaled so that the domain with most expected tokens keeps what it has: to gain share the
-    others are used more often, to lose it less. Domains without a target keep theirs. Null and blank texts have no tokens and
-    a rate of 1. Without labels, or with an empty table, all rates are 1. Repeated rows are kept, each with the same rate."""
+    others are used more often, to lose it less. Domains without a target keep theirs. Targets that can't be met together
+    are met as nearly as `rounds` allow, with a warning. Null and blank texts have no tokens and the rate of their
+    posteriors. Without labels, or with an empty table, all rates are 1. Repeated rows are kept, each with the same rate."""
     model = train(docs, marked, id_col, text_col, sample)
     p = "f_"
     names = [f"p_{d}" for d in model.domains]
-    rows = _features(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")), "text", p, list(model.words))
-    rows = rows.select(id_col, F.xxhash64(text_of("text")).alias("h"), F.col(p + "tokens").alias("n_tokens"), *[c.alias(n) for c, n in zip(model.posteriors(p), names)])
-    rows = materialise(rows, "posteriors")
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
+    rows = _features(rows, "text", p, list(model.words))
+    own = [F.xxhash64(text_of("text")).alias("h"), F.col(p + "tokens").alias("n_tokens")]
+    rows = rows.select(id_col, *own, *[c.alias(n) for c, n in zip(model.posteriors(p), names)])
     if not names:
         return rows.withColumn("rate", F.lit(1.0))
-    now = rows.agg(*[F.sum(F.col("n_tokens") * F.col(c)).alias(c) for c in names]).first()
-    have = [float(now[c] or 0.0) for c in names]
-    wish = [targets.get(d, 0.0) for d in model.domains]
-    most = max(range(len(names)), key=lambda k: (have[k] if wish[k] else 0.0))
-    scale = have[most] / wish[most] if wish[most] else 0.0
-    goal = [w * scale if w and h else h for w, h in zip(wish, have)]
-    steps, _ = fit_rates(rows, "n_tokens", names, goal, rounds)
-    parts = [F.col(c) / F.lit(g) if g > 0 else F.lit(0.0) for c, g in zip(names, goal)]
-    return rows.withColumn("rate", _rate(parts, steps))
+    with Scratch(docs.sparkSession, "posteriors") as scratch:
+        rows = scratch.write(rows, "posteriors")
+        now = rows.agg(*[F.sum(F.col("n_tokens") * F.col(c)).alias(c) for c in names]).first()
+        have = [float(now[c] or 0.0) for c in names]
+        wish = [targets.get(d, 0.0) for d in model.domains]
+        most = max(range(len(names)), key=lambda k: (have[k] if wish[k] else 0.0))
+        scale = have[most] / wish[most] if wish[most] else 0.0
+        goal = [w * scale if w and h else h for w, h in zip(wish, have)]
+        out, fit = fit_rates(rows, "n_tokens", names, goal, "rate", rounds)
+    if not fit.converged:
+        warnings.warn(f"rates are not settled after {fit.rounds} rounds: totals {fit.totals} for targets {goal}", stacklevel=2)
+    return out
 
 
 def copies_of(rate: Column, key: Column) -> Column:
@@ -198,12 +243,22 @@ def copies_of(rate: Column, key: Column) -> Column:
     return F.floor(rate + share).cast("int")
 
 
-def apply_mix(docs: DataFrame, marked: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as copies_of its rate."""
+#: Keys of rows that aren't used just once are broadcast if they are at most so many, else joined by shuffle.
+BROADCAST = 2_000_000
+
+
+def apply_mix(
+    docs: DataFrame, marked: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
+    **options,
+) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as copies_of its rate. Rows that repeat are each used so often."""
     rates = mix(docs, marked, targets, id_col, text_col, **options)
-    key, text, often = fresh(docs, "mix_key"), fresh(docs, "mix_text"), fresh(docs, "mix_copies")
-    rates = rates.select(F.col(id_col).alias(key), F.col("h").alias(text), copies_of(F.col("rate"), F.coalesce(F.col(id_col), F.col("h"))).alias(often)).distinct()
-    other = rates.filter(F.col(often) != 1)
-    same = docs[id_col].cast("long").eqNullSafe(other[key]) & (F.xxhash64(text_of(text_col)) == other[text])
-    out = docs.join(other, same, "left").withColumn(often, F.coalesce(F.col(often), F.lit(1)))
-    return out.filter(F.col(often) > 0).withColumn(often, F.explode(F.sequence(F.lit(1), F.col(often)))).drop(key, text, often)
+    key, often = fresh(docs, "mix_key"), fresh(docs, "mix_copies")
+    own = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col)))
+    used = copies_of(F.col("rate"), F.coalesce(F.col(id_col), F.col("h")))
+    rates = rates.select(F.xxhash64(F.col(id_col), F.col("h")).alias(key), used.alias(often)).filter(F.col(often) != 1)
+    rates = materialise(rates.groupBy(key).agg(F.max(often).alias(often)), "copies")
+    rates = F.broadcast(rates) if rates.count() <= BROADCAST else rates
+    out = docs.join(rates, own == rates[key], "left").withColumn(often, F.coalesce(F.col(often), F.lit(1)))
+    out = out.filter(F.col(often) > 0)
+    return out.withColumn(often, F.explode(F.sequence(F.lit(1), F.col(often)))).drop(key, often)
