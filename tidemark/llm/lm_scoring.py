@@ -1,14 +1,20 @@
 """Cross-entropy difference of two n-gram models (target and background) over one vocabulary.
 
-Both models are class-based bigram models of the same form: p(w | v) = p(c(w) | c(v)) p(w | c(w)). The vocabulary, taken
-from the counts of all words of all documents, is the most frequent words (`words` at most) and one unknown word; the most
-frequent `classes` of them are classes of their own, the rest falls into classes by hash. The pairs of classes
-interpolate with single classes, all counts are smoothed. Counts cover every document; the background is all of
-them, the target those that are marked. Each token has a loss under both models, and a document's score is the mean of
-the differences (target less background): the lower, the more like the target.
-
-Both models are tables whose sizes are fixed by the parameters, so they can be broadcast at any size of the corpus. What
-tasks count is added up by shuffles.
+The vocabulary is every word of all documents and an end of text; nothing is cut off, so it and the bigrams grow with the
+corpus. Both models have the same form: a bigram model smoothed towards single words (Dirichlet),
+
+    p(w | v) = (c(v w) + m p(w)) / (c(v) + m),   p(w) = (c(w) + a) / (N + a V),
+
+and count all documents (background) or those that are marked (target). A token's own occurrence is left out of the
+counts that score it (in the background always, in the target where its document is marked), so that documents of
+the target are not scored by themselves; what a document repeats is still counted. Each token, and the end of the text, has
+a loss under both models, and a document's score is the mean of the differences (target less background): the lower, the
+more like the target.
+
+No task needs a whole model. Occurrences are dealt by their word, in packed arrays, over as many parts as the corpus asks for; a
+part has all occurrences of its words, so it counts their bigrams and scores them in one go, and gives back sums for the rows of
+each chunk of documents. Words of at least `hot` of all tokens (at most 1 / hot of them) would swamp their part: the counts of
+these words and of pairs of them are bounded tables, which are broadcast, and what precedes them deals out the rest.
 """
 
 from __future__ import annotations
@@ -17,206 +23,335 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_BYTES, buffers, materialise, pieces, span_hashes, text_of, word_spans
+from tidemark.llm.common import WORD_BYTES, Scratch, buffers, distinct_spans, fresh, materialise, pieces, text_of, word_spans
 
 _TABLE = np.frombuffer(WORD_BYTES, dtype=np.uint8)
+#: What stands before the first word and after the last.
+START, END = 1, 2
+#: Where target's ids are at most so many they are broadcast, else rows and labels are joined by sort and merge.
+BROADCAST = 4_000_000
+MARK = np.uint16(1 << 15)
 
 
-def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For pieces of a column: first and last row, the bytes, and starts, ends and rows (from the first) of their words."""
+def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For pieces of a column: first and last row, the 64-bit ids of their words (XXH3 of the bytes), and the rows (from the first)."""
     data, at = buffers(column)
     for first, last in pieces(at):
         part = _TABLE[data[at[first] : at[last]]]
-        yield first, last, part, *word_spans(part, at[first : last + 1] - at[first])
-
-
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w, n): how often each word occurs in all texts."""
+        starts, ends, rows = word_spans(part, at[first : last + 1] - at[first])
+        codes, each = distinct_spans(part, starts, ends)
+        raw = part.tobytes()
+        ids = [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts[each].tolist(), ends[each].tolist())]
+        yield first, last, np.array(ids, np.uint64)[codes], rows
+
+
+def _events(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What precedes, what follows, and the row: for each word of the rows, and for the end of each row that has words."""
+    first = np.diff(rows, prepend=-1) != 0
+    last = np.append(first[1:], True) if len(rows) else first
+    slots = np.arange(len(words)) + np.cumsum(first) - 1
+    n = len(words) + int(first.sum())
+    after, before, owner = np.full(n, END, np.uint64), np.full(n, START, np.uint64), np.zeros(n, np.int64)
+    after[slots] = words
+    owner[slots] = rows
+    owner[slots[last] + 1] = rows[last]
+    before[slots + 1] = words
+    return before, after, owner
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(w, n, t) from (text, mark): how often each word, and the end of a text, follows anything in all rows and in those marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            w, code = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            sums = [np.bincount(code, weights=np.concatenate([h[k] for h in held])).astype(np.int64) for k in (1, 2)]
+            return w, *sums
 
         for b in batches:
-            for _, _, part, starts, ends, _ in _tokens(b.column(0)):
-                if not len(starts):
-                    continue
-                codes, distinct = pd.factorize(span_hashes(part, starts, ends))
-                first = np.empty(len(distinct), dtype=np.int64)
-                first[codes[::-1]] = np.arange(len(codes))[::-1]
-                raw = part.tobytes()
-                for s, e, n in zip(starts[first].tolist(), ends[first].tolist(), np.bincount(codes).tolist()):
-                    w = raw[s:e]
-                    counts[w] = counts.get(w, 0) + n
-                if len(counts) > 400_000:  # what one task holds stays bounded
-                    yield out()
-                    counts.clear()
-        yield out()
-
-    return docs.select(text_of(text_col).alias("t")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+            marked = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, last, words, rows in _tokens(b.column(0)):
+                _, after, owner = _events(words, rows)
+                w, code = np.unique(after, return_inverse=True)
+                own = marked[first:last][owner]
+                held.append((w, np.bincount(code), np.bincount(code, weights=own)))
+                size += len(w)
+                if size > 2_000_000:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 1_000_000:  # what one task holds stays bounded
+                        yield _batch(*held[0])
+                        held, size = [], 0
+        if held:
+            yield _batch(*merged())
+
+    def _batch(w: np.ndarray, n: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n), pa.array(t)], names=["w", "n", "t"])
+
+    return docs.select("text", "mark").mapInArrow(run, "w long, n long, t long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
 @dataclass(frozen=True)
-class Vocabulary:
-    """Hashes of the words, sorted, with their numbers (by frequency); the unknown word has the number `words`."""
-
-    hashes: np.ndarray
-    numbers: np.ndarray
-    words: int
-    classes: int
-    buckets: int
-
-    def of(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not self.words:
-            return np.zeros(len(starts), np.int64)
-        h = span_hashes(part, starts, ends)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.numbers[at], self.words)
-
-    def class_of(self, words: np.ndarray) -> np.ndarray:
-        rare = self.classes + (words * 2654435761 % (1 << 32) >> 7) % self.buckets
-        return np.where(words < self.classes, words, rare)
-
-    @property
-    def n_classes(self) -> int:
-        return self.classes + self.buckets + 1  # the last stands before the first word
-
-
-def least_count(counts: DataFrame, words: int) -> int:
-    """The least count that at most `words` words reach. From histograms, first over bands of counts and then within the band that
-    holds it, so that what is collected is bounded however many words there are."""
-    banded = counts.withColumn("band", F.floor(8 * F.log2(F.col("n").cast("double"))))
-    left, cut = words, None
-    for band, n in sorted(((r.band, r["count"]) for r in banded.groupBy("band").count().collect()), reverse=True):
-        if n > left:
-            cut = band
-            break
-        left -= n
-    if cut is None:
-        return 1
-    inside = sorted(((r.n, r["count"]) for r in banded.filter(F.col("band") == cut).groupBy("n").count().collect()), reverse=True)
-    for value, n in inside:
-        if n > left:
-            return value + 1
-        left -= n
-    return inside[-1][0]
-
-
-def vocabulary(counts: DataFrame, words: int, classes: int, buckets: int) -> Vocabulary:
-    """The most frequent words: all that are at least as frequent as least_count says, `words` at most; numbered by frequency, equal ones in order."""
-    counts = materialise(counts, "words")
-    chosen = counts.filter(F.col("n") >= least_count(counts, words)).collect()
-    top = [r.w for r in sorted(chosen, key=lambda r: (-r.n, r.w))]
-    raw = [w.encode() for w in top]
-    ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
-    starts = ends - np.array([len(w) for w in raw], dtype=np.int64)
-    h = span_hashes(np.frombuffer(b"".join(raw), np.uint8), starts, ends) if raw else np.zeros(0, np.uint64)
-    order = np.argsort(h, kind="stable")
-    return Vocabulary(h[order], order, len(raw), min(classes, len(raw)), buckets)
-
-
-def _pairs(vocab: Vocabulary, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Index of (class before, class) for each token in a table of all pairs; before the first token of a row stands the last class."""
-    c = vocab.class_of(words)
-    before = np.empty_like(c)
-    before[1:] = c[:-1]
-    first = np.ones(len(c), dtype=bool)
-    first[1:] = rows[1:] != rows[:-1]
-    before[first] = vocab.n_classes - 1
-    return before * vocab.n_classes + c
-
-
-def model_counts(docs: DataFrame, vocab: Vocabulary, text_col: str, target: str) -> DataFrame:
-    """(kind, cell, n, t): how often each word (kind 0) and pair of classes (kind 1) occurs in all rows, and in those whose column `target` is true."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+class Model:
+    """What every task knows: sums, the hot words (ids in order; START and END are always among them) and the table of
+    their pairs; a column of `counts` and an entry of `pairs` is for the background, then for the target."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    pairs: np.ndarray
+    total: np.ndarray
+    vocabulary: int
+    parts: int
+    prior: float
+    smooth: float
+
+    def hot(self, ids: np.ndarray) -> np.ndarray:
+        """The number of each id among the hot words, or -1."""
+        at = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
+        return np.where(self.words[at] == ids, at, -1)
+
+    def single(self, count: np.ndarray, less: np.ndarray, k: int) -> np.ndarray:
+        return (count - less + self.smooth) / (self.total[k] - less + self.smooth * self.vocabulary)
+
+    def follow(self, pair: np.ndarray, count: np.ndarray, less: np.ndarray, k: int) -> np.ndarray:
+        """Losses of words so often seen after what precedes them (`pair`) and at all (`count`), but for the division by what precedes."""
+        return -np.log(pair - less + self.prior * self.single(count, less, k))
+
+    def precede(self, count: np.ndarray, less: np.ndarray) -> np.ndarray:
+        return np.log(count - less + self.prior)
+
+
+def pair_counts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(cell, n, t) from (text, mark): how often a hot word (cell // len(hot)) precedes another (cell % len(hot))."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = sent.value
-        sizes = (vocab.words + 1, vocab.n_classes**2)
-        sums = [[np.zeros(n, np.int64) for n in sizes] for _ in range(2)]
+        words = sent.value
+        known = Model(words, *[np.zeros(0)] * 3, 0, 1, 1.0, 1.0)
+        n = np.zeros((2, len(words) ** 2), np.int64)
         for b in batches:
             marked = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, last, part, starts, ends, rows in _tokens(b.column(0)):
-                words = vocab.of(part, starts, ends)
-                pairs = _pairs(vocab, rows, words)
-                own = marked[first:last][rows]
-                for kind, x in enumerate((words, pairs)):
-                    for k, y in enumerate((x, x[own])):
-                        cells, n = np.unique(y, return_counts=True)
-                        sums[k][kind][cells] += n
-        for kind, n in enumerate(sizes):
-            cells = np.flatnonzero(sums[0][kind])
-            for i in range(0, len(cells), 100_000):
-                c = cells[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), pa.array(c), pa.array(sums[0][kind][c]), pa.array(sums[1][kind][c])], names=["kind", "cell", "n", "t"])
-
-    rows = docs.select(text_of(text_col).alias("t"), F.coalesce(F.col(target), F.lit(False)).alias("m"))
-    return rows.mapInArrow(run, "kind int, cell long, n long, t long").groupBy("kind", "cell").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def _logs(vocab: Vocabulary, words: np.ndarray, pairs: np.ndarray, mixed: float, smooth: float) -> tuple[np.ndarray, np.ndarray]:
-    """log p(word | class) for each word, and log p(class | class before) for each pair."""
-    w = words + smooth
-    c = vocab.class_of(np.arange(len(w)))
-    per = np.bincount(c, weights=w, minlength=vocab.n_classes)
-    single = np.bincount(c, weights=words, minlength=vocab.n_classes) + smooth
-    single /= single.sum()
-    table = pairs.reshape(vocab.n_classes, vocab.n_classes)
-    total = table.sum(1, keepdims=True)
-    share = np.where(total > 0, mixed * total / (total + 1.0), 0.0)
-    both = share * table / np.maximum(total, 1) + (1 - share) * single[None, :]
-    return np.log(w / per[c]).astype(np.float32), np.log(both).astype(np.float32).ravel()
-
-
-def lm_score(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", words: int = 50_000, classes: int = 896, buckets: int = 127, mixed: float = 0.9, smooth: float = 0.1) -> DataFrame:
-    """Per row of docs: id, n_tokens, loss_target and loss_background (nats a token) and score, their difference.
+            for first, last, ids, rows in _tokens(b.column(0)):
+                before, after, owner = _events(ids, rows)
+                x, y = known.hot(before), known.hot(after)
+                both = (x >= 0) & (y >= 0)
+                cells, own = (x * len(words) + y)[both], marked[first:last][owner[both]]
+                for k, c in enumerate((cells, cells[own])):
+                    at, m = np.unique(c, return_counts=True)
+                    n[k][at] += m
+        cells = np.flatnonzero(n[0])
+        for i in range(0, len(cells), 100_000):
+            c = cells[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n[0][c]), pa.array(n[1][c])], names=["cell", "n", "t"])
 
-    target: a boolean column of docs that marks the target's rows (null: not marked). Null and blank texts have no tokens and null losses and
-    score. Without any target both models are alike but for their counts. Repeated rows are kept (and counted as often); an empty
-    table gives an empty result. words, classes and buckets fix the size of the models: (classes + buckets + 1)^2 + words numbers each."""
-    spark = docs.sparkSession
-    vocab = vocabulary(word_counts(docs, text_col), words, classes, buckets)
-    counts = model_counts(docs, vocab, text_col, target).toArrow().to_pandas()
-    tables = []
-    for column in ("n", "t"):
-        cells = []
-        for kind, size in enumerate((vocab.words + 1, vocab.n_classes**2)):
-            part = counts[counts["kind"] == kind]
-            x = np.zeros(size)
-            x[part["cell"].to_numpy()] = part[column].to_numpy()
-            cells.append(x)
-        tables.append(_logs(vocab, *cells, mixed, smooth))
-    sent = spark.sparkContext.broadcast((vocab, tables))
+    counted = docs.select("text", "mark").mapInArrow(run, "cell long, n long, t long")
+    return counted.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+#: part: where it is dealt to; kind: 0 the rows of a chunk, 1 words after anything, 2 hot words after words that aren't;
+#: the rest are packed arrays. Rows are numbers within the chunk, with the top bit for marked ones.
+PACKED = "part long, kind int, chunk long, keys binary, lens binary, subs binary, rows binary"
+_NAMES = ["part", "kind", "chunk", "keys", "lens", "subs", "rows"]
+
+
+def _packed(model: Model, rows: DataFrame, most_rows: int, most_events: int) -> DataFrame:
+    """PACKED from (id, text, mark): the occurrences of all words, dealt by word, and for each chunk its rows with what tasks can tell themselves."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, tables = sent.value
+        model, chunk = sent.value, TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        n_rows = n_events = 0
         for b in batches:
-            n = np.zeros(b.num_rows, dtype=np.int64)
-            loss = np.zeros((2, b.num_rows))
-            for first, last, part, starts, ends, rows in _tokens(b.column(1)):
-                x = vocab.of(part, starts, ends)
-                pairs = _pairs(vocab, rows, x)
-                n[first:last] = np.bincount(rows, minlength=last - first)
-                for k, (in_class, both) in enumerate(tables):
-                    loss[k, first:last] = -np.bincount(rows, weights=in_class[x].astype(np.float64) + both[pairs], minlength=last - first)
-            none = n == 0
-            per = loss / np.maximum(n, 1)
-            columns = [pa.array(x, mask=none) for x in (per[1], per[0], per[1] - per[0])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *columns], names=["id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, n_tokens long, loss_target double, loss_background double, score double").withColumnRenamed("id", id_col)
+            ids, marked = b.column(0), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for first, last, words, owner in _tokens(b.column(1)):
+                for s in range(first, last, most_rows):
+                    e = min(last, s + most_rows)
+                    if held and (n_rows + e - s > most_rows or n_events > most_events):
+                        yield _chunk(model, chunk, held)
+                        chunk, held, n_rows, n_events = chunk + 1, [], 0, 0
+                    own = (owner >= s - first) & (owner < e - first) if e - s < last - first else slice(None)
+                    held.append((ids.slice(s, e - s), marked[s:e], words[own], owner[own] - (s - first)))
+                    n_rows, n_events = n_rows + e - s, n_events + len(held[-1][2])
+        if held:
+            yield _chunk(model, chunk, held)
+
+    return rows.select("id", "text", "mark").mapInArrow(run, PACKED)
+
+
+def _chunk(model: Model, chunk: int, held: list[tuple]) -> pa.RecordBatch:
+    """The rows of PACKED of one chunk."""
+    ids = pa.concat_arrays([h[0] for h in held])
+    marked = np.concatenate([h[1] for h in held])
+    first = np.cumsum([0, *[len(h[0]) for h in held[:-1]]])
+    before, after, row = _events(np.concatenate([h[2] for h in held]), np.concatenate([h[3] + f for h, f in zip(held, first)]))
+    own = marked[row]
+    x, y = model.hot(before), model.hot(after)
+    sums = np.zeros((2, len(marked)))
+    for k, less in enumerate((np.ones(len(row)), own.astype(float))):
+        at = np.flatnonzero(x >= 0)
+        sums[k] += np.bincount(row[at], model.precede(model.counts[k][x[at]], less[at]), len(marked))
+        at = np.flatnonzero((x >= 0) & (y >= 0))
+        pairs = model.pairs[k][x[at] * len(model.words) + y[at]]
+        sums[k] += np.bincount(row[at], model.follow(pairs, model.counts[k][y[at]], less[at], k), len(marked))
+    events = np.bincount(row, minlength=len(marked)).astype(np.int32)
+    there = np.asarray(ids.is_valid()).astype(np.uint8)
+    numbers = ids.fill_null(0).to_numpy().astype(np.int64)
+    out = [(-1 - chunk, 0, chunk, numbers.tobytes(), there.tobytes(), events.tobytes(), sums.tobytes())]
+    packed_row = row.astype(np.uint16) | np.where(own, MARK, np.uint16(0))
+    for kind, at in ((1, np.flatnonzero(y < 0)), (2, np.flatnonzero((y >= 0) & (x < 0)))):
+        key = (after if kind == 1 else before)[at]
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        starts = np.flatnonzero(np.diff(key, prepend=key[:1] - np.uint64(1))) if len(key) else np.zeros(0, np.int64)
+        keys, lens = key[starts], np.diff(starts, append=len(key)).astype(np.uint32)
+        if kind == 1:  # the upper 48 bits tell apart what precedes one word
+            subs = np.ascontiguousarray(before[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
+        else:
+            subs = y[at].astype("<u2")
+        part = (keys >> np.uint64(32)) * np.uint64(model.parts) >> np.uint64(32)
+        cuts = np.flatnonzero(np.diff(part, prepend=part[:1] - np.uint64(1))) if len(part) else []
+        for s, e in zip(cuts, [*cuts[1:], len(part)]):
+            i, j = starts[s], starts[e] if e < len(starts) else len(key)
+            packed = [x.tobytes() for x in (keys[s:e], lens[s:e], subs[i:j], packed_row[at[i:j]])]
+            out.append((int(part[s]), kind, chunk, *packed))
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names=_NAMES)
+
+
+SUMS = "chunk long, kind int, rows binary, sums binary, ids binary, there binary"
+
+
+def _score_part(model: Model, table: pa.Table) -> pa.Table:
+    """Of all occurrences of some words the sums of losses for the rows of each chunk; the rows of a chunk (kind 0) are passed on."""
+    out: dict[str, list] = {n: [] for n in ("chunk", "kind", "rows", "sums", "ids", "there")}
+
+    def put(*values) -> None:
+        for column, v in zip(out.values(), values):
+            column.append(v)
+
+    columns = table.to_pydict()
+    blobs = list(zip(*[columns[n] for n in _NAMES[1:]]))
+    for kind in (1, 2):
+        own = [b for b in blobs if b[0] == kind]
+        if not own:
+            continue
+        read = lambda j, t: np.frombuffer(b"".join(b[j] for b in own), t)
+        lens, rows = read(3, np.uint32), read(5, np.uint16)
+        key = np.repeat(read(2, np.uint64), lens)
+        if kind == 1:
+            wide = np.zeros((len(rows), 8), np.uint8)
+            wide[:, 2:] = read(4, np.uint8).reshape(-1, 6)
+            sub = wide.view("<u8").ravel()
+        else:
+            sub = read(4, "<u2").astype(np.uint64)
+        pair = _numbers(key * np.uint64(0x9E3779B97F4A7C15) ^ _spread(sub))
+        less = [np.ones(len(rows)), (rows >= MARK).astype(float)]
+        n_rows = np.array([len(b[5]) // 2 for b in own])
+        place = np.repeat(np.arange(len(own)), n_rows) << 16 | (rows & ~MARK)
+        cell, code = np.unique(place, return_inverse=True)
+        word = _numbers(key) if kind == 1 else None
+        sums = []
+        for k in range(2):
+            count = np.bincount(word, less[k])[word] if kind == 1 else model.counts[k][sub.astype(np.int64)]
+            loss = model.follow(np.bincount(pair, less[k])[pair], count, less[k], k)
+            if kind == 1:
+                loss = loss + model.precede(count, less[k])
+            sums.append(np.bincount(code, loss).astype(np.float32))
+        blob = cell >> 16
+        cuts = np.searchsorted(blob, np.arange(len(own) + 1))
+        for b, s, e in zip(own, cuts, cuts[1:]):
+            put(b[1], kind, (cell[s:e] & 0xFFFF).astype(np.uint16).tobytes(), np.stack([x[s:e] for x in sums]).tobytes(), None, None)
+    for _, chunk, ids, there, events, base in (b for b in blobs if b[0] == 0):
+        put(chunk, 0, events, base, ids, there)
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+
+
+def _numbers(x: np.ndarray) -> np.ndarray:
+    import pandas as pd
+
+    return pd.factorize(x)[0]
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    h = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _score_chunk(table: pa.Table) -> pa.Table:
+    """The rows of a chunk with the sums of all parts."""
+    columns = table.to_pydict()
+    at = columns["kind"].index(0)
+    ids, there = np.frombuffer(columns["ids"][at], np.int64), np.frombuffer(columns["there"][at], np.uint8).astype(bool)
+    events = np.frombuffer(columns["rows"][at], np.int32).astype(np.int64)
+    total = np.frombuffer(columns["sums"][at]).reshape(2, -1).copy()
+    for kind, rows, sums in zip(columns["kind"], columns["rows"], columns["sums"]):
+        if kind:
+            total[:, np.frombuffer(rows, np.uint16)] += np.frombuffer(sums, np.float32).reshape(2, -1)
+    none = events == 0
+    per = total / np.maximum(events, 1)
+    losses = [pa.array(x, mask=none) for x in (per[1], per[0], per[1] - per[0])]
+    own = [pa.array(ids, mask=~there), pa.array(np.maximum(events - 1, 0))]
+    return pa.table([*own, *losses], names=["id", "n_tokens", "loss_target", "loss_background", "score"])
+
+
+def lm_score(
+    docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", prior: float = 50.0, smooth: float = 0.1,
+    hot: float = 1e-3, part_events: int = 1 << 21, chunk_rows: int = 8192, chunk_events: int = 1 << 20,
+) -> DataFrame:
+    """Per row of docs: id, n_tokens, loss_target and loss_background (nats a token) and score, their difference.
+
+    target: a boolean column of docs that marks the target's rows (null: not marked). Null and blank texts have no tokens
+    and null losses and score. Without any target its model knows only the vocabulary. Repeated rows are kept, and
+    counted as often. An empty table gives an empty result. No word is cut off, so ties don't matter; texts of any length are one row.
+    prior: m above; smooth: a; part_events: about how many occurrences a part has; chunk_rows (32,768 at most)
+    and chunk_events bound what a task holds before it sends it on."""
+    if not 0 < chunk_rows <= 1 << 15:
+        raise ValueError("chunk_rows is from 1 to 32768")
+    spark = docs.sparkSession
+    mark = F.coalesce(F.col(target).cast("boolean"), F.lit(False))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), mark.alias("mark"))
+    with Scratch(spark, "words") as scratch:
+        counts = scratch.write(word_counts(rows), "counts")
+        sums = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+        total = np.array([float(sums.n or 0), float(sums.t or 0)])
+        top = counts.filter(F.col("n") >= max(1.0, hot * total[0])).collect()  # at most 1 / hot
+        ends = counts.filter(F.col("w") == END).first()
+    known = {np.uint64(r.w & 0xFFFFFFFFFFFFFFFF): (r.n, r.t) for r in top}
+    known[np.uint64(END)] = known[np.uint64(START)] = (ends.n, ends.t) if ends else (0, 0)
+    words = np.array(sorted(known), np.uint64)
+    each = np.array([known[w] for w in words], float).T
+    pairs = np.zeros((2, len(words) ** 2))
+    for r in pair_counts(rows, words).collect():  # at most the square of that
+        pairs[:, r.cell] = r.n, r.t
+    parts = max(1, -(-int(total[0]) // part_events))
+    model = Model(words, each, pairs, total, max(1, sums.v), parts, prior, smooth)
+    sent = spark.sparkContext.broadcast(model)
+    packed = _packed(model, rows, chunk_rows, chunk_events)
+    scored = packed.groupBy("part").applyInArrow(lambda table: _score_part(sent.value, table), SUMS)
+    schema = "id long, n_tokens long, loss_target double, loss_background double, score double"
+    return scored.groupBy("chunk").applyInArrow(_score_chunk, schema).withColumnRenamed("id", id_col)
 
 
 def mark_target(docs: DataFrame, labels: DataFrame, mark: str, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """docs with a column `mark`: whether the row's id is labelled 1. The labels grow with the corpus, so they are never broadcast: rows and labels meet by a sort-merge join."""
-    good = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_target_id")).distinct()
-    out = docs.join(good.hint("merge"), docs[id_col].cast("long") == good["_target_id"], "left")
-    return out.withColumn(mark, F.col("_target_id").isNotNull()).drop("_target_id")
+    """docs with a column `mark`: whether the row's id is labelled 1. The ids are broadcast where they are at most BROADCAST; else
+    rows and labels meet by sort and merge, rows without an id apart, and the result is written, so that later passes see the rows in
+    one order."""
+    good = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull())
+    key = fresh(docs, "target_id")
+    good = good.select(F.col(id_col).cast("long").alias(key)).distinct()
+    same = docs[id_col].cast("long") == good[key]
+    if good.count() <= BROADCAST:
+        return docs.join(F.broadcast(good), same, "left").withColumn(mark, F.col(key).isNotNull()).drop(key)
+    out = docs.filter(F.col(id_col).isNotNull()).join(good.hint("merge"), same, "left").withColumn(mark, F.col(key).isNotNull()).drop(key)
+    return materialise(out.unionByName(docs.filter(F.col(id_col).isNull()).withColumn(mark, F.lit(False))), "marked")
