@@ -1,16 +1,16 @@
 """Maximum-inner-product search with score-aware quantisation.
 
-Vectors are cut into parts of two dimensions with a codebook of 16 centres each (four bits). Centres and codes are
-chosen for the anisotropic loss: the part of the residual that is parallel to the vector, which changes its inner
-products most where they are large, costs more than the rest. Queries make a table of inner products with all
-centres, blocks of codes are scanned with those tables, and the best of each block are scored again on the original
-vectors.
-
-The codebooks are fitted on a bounded sample, every vector is encoded. Codes, not vectors, are dealt out to
-pairs of a block of queries and a block of codes; no task holds all of either side, and the exact scores come from a
-join on the candidates' ids. Beside its code each vector has a copy in half precision: what the table scan finds near the
-best (within two standard deviations of the quantisation error) is ordered by these before it is cut, because the
-members of a large group of near copies differ by less than four-bit codes can tell.
+A vector is its norm and a direction. Directions are cut into parts of two dimensions with a codebook of 16 centres each
+(four bits). Centres and codes are chosen for the anisotropic loss: the part of the residual that is parallel to the
+vector, which changes its inner products most where they are large, costs more than the rest. Since norms are kept apart,
+codes serve vectors of any scale. Queries make a table of inner products with all centres, blocks of codes are scanned with
+those tables, and what can be among the best of a block is scored again: first on copies of the directions in single
+precision that lie beside the codes (the members of a large group of near copies differ by less than four-bit codes can
+tell), then, for the best of all blocks, on the original vectors in double precision.
+
+The codebooks are fitted on a bounded sample, every vector is encoded. Codes are dealt out to pairs of a block of queries
+and a block of codes, so that no task holds all of either side; each block of queries meets all codes, as an exact answer
+for a stated query set asks for, which makes work and shuffle grow with rows times queries / query_block.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import Scratch, materialise
 
 PART, CENTRES = 2, 16
 
@@ -115,92 +115,116 @@ def usable(col: Column) -> Column:
 
 
 def vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): one usable vector for each id that isn't null; of several for an id the least."""
+    """(row, id, v): the rows with a usable vector and an id, and a number for each row, which holds once this is written."""
     v = F.col(vector_col).cast("array<double>")
     rows = table.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "v")
 
 
-def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = 200, sample: int = 8_000, query_block: int = 2048, code_block: int = 65_536) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vector whose id is divisible by `every`, its k nearest of all others by inner product in
-    double precision, nearest first, of equal ones the least id.
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and norms of rows of any scale."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    u = x / most
+    norm = np.linalg.norm(u, axis=1, keepdims=True)
+    return u / norm, (most * norm)[:, 0]
 
-    Vectors that are null, empty or zero, or that hold a null or a value that isn't finite, take no part, nor do rows without an
-    id or of a dimension other than the most common one. Rows that repeat an id count once. Of vectors that are equal only the k + 1
-    least ids can be among the nearest, so that only those are searched for. With fewer than k candidates all are returned; an
-    empty table gives an empty result."""
-    spark = table.sparkSession
-    rows = vectors(table, id_col, vector_col)
-    common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if common is None:
-        return empty
-    rows = materialise(rows.filter(F.size("v") == common.d), "vectors")
-    # Equal vectors (by two hashes): the least ids of each of 64 shares of them, then the least of those.
-    base = rows.select("id", F.xxhash64("v").alias("g"), F.xxhash64("v", F.lit(1)).alias("h"), F.expr("pmod(xxhash64(id), 64)").alias("s"))
-    for keys in (["g", "h", "s"], ["g", "h"]):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
-        base = base.withColumn("r", place).filter(F.col("r") <= k + 1)
-    base = rows.join(base.select("id"), "id", "left_semi")
-
-    part = rows.select("v").orderBy(F.xxhash64("v")).limit(sample)
-    fitted = np.array([r.v for r in part.collect()])
-    quantiser = train(fitted)
-    sent = spark.sparkContext.broadcast(quantiser)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = sent.value
-        for b in batches:
-            if b.num_rows:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.dims)
-                code = q.pack(np.concatenate([q.encode(x[i : i + 4096]) for i in range(0, len(x), 4096)]))
-                half = np.clip(x, -65000, 65000).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in code], pa.binary()), pa.array([r.tobytes() for r in half], pa.binary())], names=["id", "code", "half"])
-
-    codes = materialise(base.mapInArrow(encode, "id long, code binary, half binary"), "codes")
-    queries = rows.filter(F.pmod("id", F.lit(every)) == 0)
-    n_codes, n_queries = codes.count(), queries.count()
-    if not n_queries:
-        return empty
-    code_blocks, query_blocks = max(8, -(-n_codes // code_block)), -(-n_queries // query_block)
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    grid = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = queries.select(block(query_blocks).alias("qb"), grid(code_blocks, "cb"), "id", "v")
-    right = codes.select(grid(query_blocks, "qb"), block(code_blocks).alias("cb"), "id", "code", "half")
-
-    def scan(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or cs.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "approx": pd.Series(dtype=object)})
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def encoded(base: DataFrame, quantiser: Quantiser) -> DataFrame:
+    """(row, id, norm, code, copy) of (row, id, v)."""
+    sent = base.sparkSession.sparkContext.broadcast(quantiser)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
-        cs = cs.sort_values("id")
-        ids = cs["id"].to_numpy()
+        for whole in batches:
+            for first in range(0, whole.num_rows, 4096):
+                b = whole.slice(first, 4096)
+                u, norm = directions(_matrix(b.column(2), q.dims))
+                packed = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (q.pack(q.encode(u)), u.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(norm), *packed], names=["row", "id", "norm", "code", "copy"])
+
+    return base.select("row", "id", "v").mapInArrow(run, "row long, id long, norm double, code binary, copy binary")
+
+
+def scan_block(q: Quantiser, qs: pd.DataFrame, cs: pd.DataFrame, candidates: int) -> pd.DataFrame:
+    """(query, row, id, approx): for each query (row, v) the best `candidates` of a block of codes (row, id, norm, code, copy), the
+    query's own row left out. The table scan picks at least that many and all that its error leaves in question."""
+    out = [pd.DataFrame({"query": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "approx": np.zeros(0)})]
+    if len(qs) and len(cs):
+        cs = cs.sort_values(["id", "row"])
+        rows, ids, norm = (cs[c].to_numpy() for c in ("row", "id", "norm"))
         code = np.frombuffer(b"".join(cs["code"]), np.uint8).reshape(len(cs), -1)
-        half = np.frombuffer(b"".join(cs["half"]), np.float16).reshape(len(cs), -1)
+        copy = np.frombuffer(b"".join(cs["copy"]), np.float32).reshape(len(cs), -1)
         columns = [np.ascontiguousarray(code[:, m]) for m in range(code.shape[1])]
-        out_q, out_i, out_s = [], [], []
+        depth = min(len(cs), 2 * candidates)
         for at in range(0, len(qs), 32):
             part = qs.iloc[at : at + 32]
-            table = q.tables(np.stack(part["v"].to_numpy()))
-            scores = np.zeros((len(part), len(ids)), np.float32)
-            for m, c in enumerate(columns):
-                for j in range(len(part)):
-                    scores[j] += table[j, m].take(c)
-            depth = min(len(ids), max(candidates, len(ids) // 16))
-            least = np.partition(scores, len(ids) - depth, axis=1)[:, len(ids) - depth]
-            for j, (query, v) in enumerate(zip(part["id"].tolist(), part["v"])):
-                near = np.flatnonzero((scores[j] >= least[j] - 2 * q.error * np.linalg.norm(v)) & (ids != query))
-                fine = half[near].astype(np.float32) @ v.astype(np.float32)
-                best = near[np.argsort(-fine, kind="stable")[:candidates]]
-                out_q.append(query)
-                out_i.append(ids[best])
-                out_s.append(np.sort(fine)[::-1][:candidates])
-        return pd.DataFrame({"query_id": out_q, "ids": out_i, "approx": out_s})
-
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(scan, "query_id long, ids array<long>, approx array<float>")
-    best = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("ids", "approx"))).alias("all"))
-    order = lambda a, b: F.when(a["approx"] > b["approx"], -1).when(a["approx"] < b["approx"], 1).when(a["ids"] < b["ids"], -1).otherwise(1)
-    best = best.select("query_id", F.explode(F.slice(F.array_sort("all", order), 1, candidates)).alias("c")).select("query_id", F.col("c.ids").alias("vec_id")).filter("vec_id != query_id")
-    exact = best.join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("x")), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    score = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            u, _ = directions(np.stack(part["v"].to_numpy()))
+            tables = q.tables(u)
+            for j, query in enumerate(part["row"].tolist()):
+                score = np.zeros(len(cs), np.float32)
+                for m, c in enumerate(columns):
+                    score += tables[j, m].take(c)
+                score = score * norm
+                least = np.partition(score, len(cs) - depth)[len(cs) - depth]
+                near = np.flatnonzero((score + 3 * q.error * norm >= least) & (rows != query))
+                fine = (copy[near] @ u[j].astype(np.float32)) * norm[near]
+                best = np.argsort(-fine, kind="stable")[:candidates]
+                pick = near[best]
+                out.append(pd.DataFrame({"query": query, "row": rows[pick], "id": ids[pick], "approx": fine[best]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def search(
+    table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
+    candidates: int = 64, sample: int = 8_000, query_block: int = 1024, code_block: int = 16_384,
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each vector whose id is divisible by `every`, its k nearest of all others by inner product in
+    double precision, nearest first, of equal ones the least id.
+
+    Vectors that are null, empty or zero, or that hold a null or a value that isn't finite, take no part, nor do rows without an
+    id or of a dimension other than the most common one. Every row is a candidate for every query but itself: rows that repeat
+    an id are rows of their own, as queries and as candidates. Of vectors that are equal only the k + 1 least ids can be
+    among the nearest, so that only those are searched for. With fewer than k candidates all are returned; an empty table gives an
+    empty result. candidates: how many of each block, and then of all, are scored again on copies and on the vectors."""
+    spark = table.sparkSession
+    with Scratch(spark, "vectors") as scratch:
+        rows = scratch.write(vectors(table, id_col, vector_col), "rows")
+        common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+        empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        if common is None:
+            return empty
+        rows = rows.filter(F.size("v") == common.d)
+        # Equal vectors (by two hashes): the least ids of each of 64 shares of them, then the least of those.
+        base = rows.select("row", "id", F.xxhash64("v").alias("g"), F.xxhash64("v", F.lit(1)).alias("h"), F.expr("pmod(xxhash64(row), 64)").alias("s"))
+        for keys in (["g", "h", "s"], ["g", "h"]):
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy("id", "row"))
+            base = base.withColumn("r", place).filter(F.col("r") <= k + 1)
+        base = rows.join(base.select("row"), "row", "left_semi")
+
+        part = rows.select("v").orderBy(F.xxhash64("v"), "row").limit(sample)
+        quantiser = train(directions(np.array([r.v for r in part.collect()]))[0])
+        sent = spark.sparkContext.broadcast(quantiser)
+        codes = scratch.write(encoded(base, quantiser), "codes")
+        queries = scratch.write(rows.filter(F.pmod("id", F.lit(every)) == 0), "queries")
+        n_codes, n_queries = codes.count(), queries.count()
+        if not n_queries:
+            return empty
+        code_blocks, query_blocks = -(-n_codes // code_block), -(-n_queries // query_block)
+        block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+        grid = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+        left = queries.select(block(query_blocks).alias("qb"), grid(code_blocks, "cb"), "row", "v")
+        right = codes.select(grid(query_blocks, "qb"), block(code_blocks).alias("cb"), "row", "id", "norm", "code", "copy")
+        scan = lambda qs, cs: scan_block(sent.value, qs, cs, candidates)
+        found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(scan, "query long, row long, id long, approx double")
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approx"), "id", "row"))
+        best = scratch.write(found.withColumn("r", place).filter(F.col("r") <= candidates).select("query", "row"), "best")
+        exact = best.join(rows.select("row", F.col("id").alias("vec_id"), F.col("v").alias("x")), "row")
+        exact = exact.join(queries.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q")), "query")
+        score = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+        exact = exact.select("query", "query_id", "row", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(ranked))
+        return materialise(exact.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
