@@ -1,4 +1,4 @@
-"""Walk-forward Gaussian hidden Markov models: one task for each key, seed and fold.
+"""Walk-forward Gaussian hidden Markov models: one group for each key and fold, whose seeds are fitted in turn.
 
 Fitting and filtering are recursions over at most a fold of rows, so they run in NumPy within a group; Spark fans the
 rows out, scales them and deals the groups. States are filtered forward only: the probability of a day uses nothing
@@ -16,22 +16,22 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.series import fan_out, number_rows
 
-RIDGE = 1e-9
+def _root(cov: np.ndarray) -> np.ndarray:
+    """Lower Cholesky factor; the diagonal is raised, a hundredfold each time, until there is one."""
+    for ridge in (1e-9, 1e-7, 1e-5, 1e-3, 1e-1):
+        try:
+            return np.linalg.cholesky(cov + ridge * np.eye(len(cov)))
+        except np.linalg.LinAlgError:
+            continue
+    raise np.linalg.LinAlgError("covariance has no Cholesky factor")
 
 
 def log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
     """log N(x | mean, cov) for each row and state."""
-    d = x.shape[1]
-    out = np.empty((len(x), len(means)))
-    for k, (m, c) in enumerate(zip(means, covs)):
-        c = c + RIDGE * np.eye(d)
-        sign, det = np.linalg.slogdet(c)
-        if sign <= 0:
-            c = c + 1e-6 * np.eye(d)
-            _, det = np.linalg.slogdet(c)
-        r = x - m
-        out[:, k] = -0.5 * (d * np.log(2 * np.pi) + det + np.einsum("ij,ij->i", r @ np.linalg.inv(c), r))
-    return out
+    roots = [_root(c) for c in covs]
+    white = [np.linalg.solve(r, (x - m).T) for r, m in zip(roots, means)]
+    volume = np.array([np.log(np.diag(r)).sum() for r in roots]) + 0.5 * x.shape[1] * np.log(2 * np.pi)
+    return -0.5 * np.stack([(w * w).sum(axis=0) for w in white], axis=1) - volume
 
 
 class GaussianHmm:
@@ -133,18 +133,20 @@ def walk_forward(features: DataFrame, columns: Sequence[str], level: str, train:
     error and no day; one that finds a single state is kept and says so."""
     names = list(dict.fromkeys([*columns, level]))
     rows = fan_out(number_rows(features.select(*by, order, *names), by, order), train, test, by)
-    rows = rows.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    keys = [*by, "seed", "fold"]
+    keys = [*by, "fold"]
     kind = {c: rows.schema[c].dataType.simpleString() for c in [*keys, order]}
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")
-        head = {c: part[c].iloc[0] for c in keys}
+        return pd.concat([fit_seed(part, s) for s in seeds], ignore_index=True)
+
+    def fit_seed(part: pd.DataFrame, seed: int) -> pd.DataFrame:
+        head = {"seed": int(seed)} | {c: part[c].iloc[0] for c in keys}
         inside = (part["part"] == "train").to_numpy()
         x = part[list(columns)].to_numpy(float)
         try:
             z = _scaled(x, x[inside])
-            model = GaussianHmm.fit(z[inside], states, int(head["seed"]), rounds)
+            model = GaussianHmm.fit(z[inside], states, int(seed), rounds)
             path = model.viterbi(z[inside])
             stressed = stressed_state(path, part[level].to_numpy(float)[inside], states)
             prob = model.filtered(z)[:, stressed][~inside]
@@ -154,11 +156,11 @@ def walk_forward(features: DataFrame, columns: Sequence[str], level: str, train:
         out["state"] = (out["stressed_prob"] >= 0.5).astype("int32")
         out["converged"] = len(model.log_likelihoods) < rounds
         out["error"] = "one state" if len(np.unique(path)) < 2 else None
-        for c in keys:
-            out[c] = head[c]
-        return out[[*keys, order, "stressed_prob", "state", "converged", "error"]]
+        for c, v in head.items():
+            out[c] = v
+        return out[["seed", *keys, order, "stressed_prob", "state", "converged", "error"]]
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in kind.items()) + ", stressed_prob double, state int, converged boolean, error string"
+    schema = "seed int, " + ", ".join(f"`{c}` {t}" for c, t in kind.items()) + ", stressed_prob double, state int, converged boolean, error string"
     return rows.groupBy(*keys).applyInPandas(fit, schema)
 
 
