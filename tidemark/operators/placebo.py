@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import pandas as pd
@@ -50,16 +51,31 @@ def sample_controls(candidates: DataFrame, per: int = 2, window: int = 14, gap:
         part = part.sort_values(["matched_to", "_h"])
         taken, counts, keep = [], {}, []
         for m, d in zip(part["matched_to"], part[day]):
-            fine = counts.get(m, 0) < per and all(abs((d - t).days) >= apart for t in taken)
+            at = bisect.bisect_left(taken, d)  # taken days are in order: only the next on either side can be too near
+            fine = counts.get(m, 0) < per and all(abs((d - t).days) >= apart for t in taken[max(0, at - 1) : at + 1])
             keep.append(fine)
             if fine:
-                taken.append(d)
+                taken.insert(at, d)
                 counts[m] = counts.get(m, 0) + 1
         return part[keep].drop(columns="_h")
 
     return rows.groupBy(*by).applyInPandas(take, candidates.schema)
 
 
+def bare_candidates(dates: DataFrame, universe: DataFrame | None = None, window: int = 14, low: int = 30, high: int = 90, by: Sequence[str] = ("asset",), day: str = "d") -> DataFrame:
+    """Control candidates for dates that have no states behind them: days from `low` to `high` days before or after a date and at least `window` days
+    from all of them; with a universe (*by, day) only those of its days. What sample_controls takes of them is matched as ever."""
+    by = list(by)
+    spread = dates.select(*by, F.explode(F.sequence(F.date_sub(day, high), F.date_add(day, high))).alias(day)).distinct()
+    return control_candidates(dates, spread if universe is None else universe, window, low, high, by, day)
+
+
+def matched_pairs(controls: DataFrame, transitions: DataFrame, by: Sequence[str] = ("asset",), day: str = "d") -> DataFrame:
+    """(*by, d, n_controls, first_control, days_apart): each transition with how many controls are matched to it, the earliest, and how far the nearest is; transitions without one stay."""
+    held = controls.groupBy(*by, F.col("matched_to").alias(day)).agg(F.count("*").alias("n_controls"), F.min(day).alias("first_control"), F.min(F.abs("offset_days")).alias("days_apart"))
+    return transitions.select(*by, day).distinct().join(held, [*by, day], "left").na.fill(0, ["n_controls"])
+
+
 def balance_report(controls: DataFrame, transitions: DataFrame, by: Sequence[str] = ("asset",), day: str = "d") -> DataFrame:
     """Per key: numbers, mean years and their gap, mean distance, share of clean ones, and transitions without a control. controls has stratum and offset_days."""
     by = list(by)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
@@ -13,45 +14,70 @@ from tidemark.operators.series import changes, episodes, over, run_ids
 
 def merge_short_runs(states: list[int], lengths: list[int], least: int) -> list[int]:
     """New states of runs: the shortest run below `least` (of equal ones the first) takes the state of its longer neighbour (of equal ones the one
-    before) and joins the runs around it that now have its state, until no run is too short or one is left."""
-    runs = [[s, n, [k]] for k, (s, n) in enumerate(zip(states, lengths))]
-    while len(runs) > 1:
-        k = min(range(len(runs)), key=lambda j: (runs[j][1], j))
-        if runs[k][1] >= least:
+    before) and joins the runs around it that now have its state, until no run is too short or one is left. A heap gives the shortest, and
+    neighbours are linked, so that all merges take n log n steps."""
+    n = len(states)
+    state, size = list(states), list(lengths)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    head = list(range(n))  # of a run that has joined another, the run that it joined
+
+    def join(left: int, right: int) -> None:
+        """right becomes part of left, which stands before it."""
+        size[left] += size[right]
+        head[right] = left
+        after[left] = after[right]
+        if after[right] >= 0:
+            before[after[right]] = left
+
+    # Runs of one state side by side are one run.
+    for k in range(1, n):
+        if state[before[k]] == state[k]:
+            join(before[k], k)
+    heap = [(size[k], k) for k in range(n) if head[k] == k]
+    heapq.heapify(heap)
+    while heap:
+        length, k = heapq.heappop(heap)
+        if head[k] != k or size[k] != length:
+            continue
+        if length >= least or (before[k] < 0 and after[k] < 0):
             break
-        before = runs[k - 1] if k else None
-        after = runs[k + 1] if k + 1 < len(runs) else None
-        runs[k][0] = (after if before is None or (after is not None and after[1] > before[1]) else before)[0]
-        joined: list[list] = []
-        for r in runs:
-            if joined and joined[-1][0] == r[0]:
-                joined[-1][1] += r[1]
-                joined[-1][2] += r[2]
-            else:
-                joined.append(r)
-        runs = joined
-    out = [0] * len(states)
-    for state, _, members in runs:
-        for k in members:
-            out[k] = state
+        i, j = before[k], after[k]
+        state[k] = state[j if i < 0 or (j >= 0 and size[j] > size[i]) else i]
+        if j >= 0 and state[j] == state[k]:
+            join(k, j)
+        if i >= 0 and state[i] == state[k]:
+            join(i, k)
+            k = i
+        heapq.heappush(heap, (size[k], k))
+    out = []
+    for k in range(n):
+        while head[k] != head[head[k]]:
+            head[k] = head[head[k]]
+        out.append(state[head[k]])
     return out
 
 
+def _filtered_runs(rows: DataFrame, leasts: Sequence[int], state: str, by: Sequence[str]) -> DataFrame:
+    """(*by, _run, _least, _new): the runs of rows (with _run) after those shorter than each of `leasts` are absorbed."""
+    runs = rows.groupBy(*by, "_run").agg(F.first(state).cast("int").alias("_state"), F.count("*").alias("_n"))
+    runs = runs.withColumn("_least", F.explode(F.array(*[F.lit(int(n)) for n in leasts])))
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_run")
+        part["_new"] = merge_short_runs(part["_state"].tolist(), part["_n"].tolist(), int(part["_least"].iloc[0]))
+        return part[[*by, "_run", "_least", "_new"]]
+
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    return runs.groupBy(*by, "_least").applyInPandas(merge, f"{keys}, _run long, _least int, _new int")
+
+
 def persistence_filter(df: DataFrame, least: int, state: str = "state", by: Sequence[str] = ("asset",), order: str = "d", name: str = "filtered") -> DataFrame:
     """df with the states that are left when runs shorter than `least` rows are absorbed. Each merge changes the next choice, so a series' runs (not its rows)
     are gathered, and runs are numbered and joined back in Spark. least <= 1 changes nothing."""
     if least <= 1:
         return df.withColumn(name, F.col(state))
     rows = run_ids(df, state, by, order, "_run")
-    runs = rows.groupBy(*by, "_run").agg(F.first(state).cast("int").alias("_state"), F.count("*").alias("_n"))
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_run")
-        part["_new"] = merge_short_runs(part["_state"].tolist(), part["_n"].tolist(), least)
-        return part[[*by, "_run", "_new"]]
-
-    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    new = runs.groupBy(*by).applyInPandas(merge, f"{keys}, _run long, _new int")
+    new = _filtered_runs(rows, [least], state, by).drop("_least")
     return rows.join(new, [*by, "_run"]).withColumn(name, F.col("_new").cast(df.schema[state].dataType)).drop("_run", "_new")
 
 
@@ -74,27 +100,19 @@ def extract_transitions(df: DataFrame, state: str = "filtered", by: Sequence[str
 
 
 def dwell_sensitivity(df: DataFrame, thresholds: Sequence[int], state: str = "state", by: Sequence[str] = ("asset",), order: str = "d") -> DataFrame:
-    """For each threshold: transitions by direction, and the lengths of episodes."""
-    parts = []
-    for least in thresholds:
-        kept = persistence_filter(df, least, state, by, order)
-        runs = episodes(kept, "filtered", by, order)
-        lag = F.lag("state").over(over(by, "run"))
-        runs = runs.withColumn("_from", lag)
-        parts.append(
-            runs.groupBy(*by)
-            .agg(
-                F.count_if(F.col("_from").isNotNull()).alias("n_transitions"),
-                F.count_if(F.col("_from").isNotNull() & (F.col("state") == 1)).alias("n_to_stressed"),
-                F.count_if(F.col("_from").isNotNull() & (F.col("state") == 0)).alias("n_to_calm"),
-                F.median("length").alias("median_dwell"), F.avg("length").alias("mean_dwell"), F.max("length").alias("max_dwell"),
-            )
-            .withColumn("min_dwell", F.lit(least))
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """For each threshold: transitions by direction, and the lengths of episodes. The threshold is a key, so that the series is read once for all."""
+    rows = run_ids(df, state, by, order, "_run")
+    new = _filtered_runs(rows, thresholds, state, by).withColumnRenamed("_least", "min_dwell")
+    kept = rows.select(*by, order, "_run").join(new, [*by, "_run"]).withColumn("filtered", F.col("_new").cast(df.schema[state].dataType))
+    keys = [*by, "min_dwell"]
+    runs = episodes(kept, "filtered", keys, order).withColumn("_from", F.lag("state").over(over(keys, "run")))
+    came = F.col("_from").isNotNull()
+    return runs.groupBy(*keys).agg(
+        F.count_if(came).alias("n_transitions"),
+        F.count_if(came & (F.col("state") == 1)).alias("n_to_stressed"),
+        F.count_if(came & (F.col("state") == 0)).alias("n_to_calm"),
+        F.median("length").alias("median_dwell"), F.avg("length").alias("mean_dwell"), F.max("length").alias("max_dwell"),
+    )
 
 
 def multi_state_changes(df: DataFrame, least: int, state: str = "state", by: Sequence[str] = ("asset",), order: str = "d") -> DataFrame:
