@@ -24,24 +24,26 @@ SHORT_MONTHS = "Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
 def tokens(text: Column, drop_stop_words: bool = True) -> Column:
     """Words of at least three characters, a letter first, in lower case; with or without stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z0-9\-']+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)) if drop_stop_words else words
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS)) if drop_stop_words else words
 
 
 def content_tokens(text: Column) -> Column:
     """The distinct words of at least four characters that aren't in the shorter list."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z0-9\-']+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in CLAIM_STOP_WORDS])
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w)))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(CLAIM_STOP_WORDS)))
 
 
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+#: What identifies a time, in the order in which it goes.
+IDENTIFYING = [r"\b(?:19|20)\d\d\b", rf"(?i)\b(?:{MONTHS}|{SHORT_MONTHS})\b", r"(?i)\bQ[1-4]\b", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", r"\b\d{4}-\d{2}-\d{2}\b"]
+
+
 def strip_identifying(text: Column) -> Column:
     """Without years, months, quarters and numeric dates, in this order, and with single spaces."""
-    for p in (r"\b(?:19|20)\d\d\b", rf"(?i)\b(?:{MONTHS}|{SHORT_MONTHS})\b", r"(?i)\bQ[1-4]\b", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", r"\b\d{4}-\d{2}-\d{2}\b"):
+    for p in IDENTIFYING:
         text = F.regexp_replace(text, p, " ")
     return squeeze(text)
 
@@ -103,28 +105,45 @@ def slug(text: Column, most: int = 40) -> Column:
     return F.coalesce(F.nullif(F.substring(out, 1, most), F.lit("")), F.lit("run"))
 
 
+#: Links with and without a label, and the steps that take markup away, in order.
+LABELLED_LINK = r"\[(https?://[^\s\]]+)\s+\(?([^\]]*?)\)?\]"
+BARE_LINK = r"\[(https?://[^\s\]]+)\]"
+MARKUP_STEPS = [
+    (r"(?s)<!--.*?-->", " "), (r"(?is)<ref[^>]*>.*?</ref>|<ref[^>]*/>", " "), (r"\[https?://[^\s\]]+\s+[^\]]*\]", " "), (r"\[https?://[^\s\]]+\]", " "),
+    *[(r"\{\{[^{}]*\}\}", " ")] * 4,
+    (r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]|]+)\]\]", "$1"), (r"<[^>]+>", " "), (r"'{2,5}", ""),
+]
+ENTITIES = [("&nbsp;", " "), ("&ndash;", "-"), ("&mdash;", "-"), ("&amp;", "&"), ("&quot;", '"')]
+
+
 def links(raw: Column) -> Column:
     """External links, labelled ones first, as an array of (publisher, url); a link without a label has its domain as publisher."""
-    named = F.arrays_zip(
-        F.regexp_extract_all(raw, F.lit(r"\[(https?://[^\s\]]+)\s+\(?([^\]]*?)\)?\]"), F.lit(2)).alias("l"), F.regexp_extract_all(raw, F.lit(r"\[(https?://[^\s\]]+)\s+\(?([^\]]*?)\)?\]"), F.lit(1)).alias("u")
-    )
-    bare = F.regexp_extract_all(raw, F.lit(r"\[(https?://[^\s\]]+)\]"), F.lit(1))
+    named = F.arrays_zip(F.regexp_extract_all(raw, F.lit(LABELLED_LINK), F.lit(2)).alias("l"), F.regexp_extract_all(raw, F.lit(LABELLED_LINK), F.lit(1)).alias("u"))
+    bare = F.regexp_extract_all(raw, F.lit(BARE_LINK), F.lit(1))
     entry = lambda label, url: F.struct(F.coalesce(F.nullif(F.trim(label), F.lit("")), domain(url)).alias("publisher"), url.alias("url"))
     return F.concat(F.transform(named, lambda x: entry(x["l"], x["u"])), F.transform(bare, lambda u: entry(F.lit(""), u)))
 
 
 def clean_markup(raw: Column) -> Column:
     """Plain text of wiki markup: comments, references, links, templates (nested up to four deep), tags, quotes and entities go."""
-    steps = [(r"(?s)<!--.*?-->", " "), (r"(?is)<ref[^>]*>.*?</ref>|<ref[^>]*/>", " "), (r"\[https?://[^\s\]]+\s+[^\]]*\]", " "), (r"\[https?://[^\s\]]+\]", " ")]
-    steps += [(r"\{\{[^{}]*\}\}", " ")] * 4
-    steps += [(r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]|]+)\]\]", "$1"), (r"<[^>]+>", " "), (r"'{2,5}", "")]
     out = raw
-    for pattern, to in steps:
+    for pattern, to in MARKUP_STEPS:
         out = F.regexp_replace(out, pattern, to)
-    for entity, plain in (("&nbsp;", " "), ("&ndash;", "-"), ("&mdash;", "-"), ("&amp;", "&"), ("&quot;", '"')):
+    for entity, plain in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(plain))
     return F.regexp_replace(squeeze(out), r"^[ *;:\-]+|[ *;:\-]+$", "")
 
 
 def front_matter_stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", "")
+
+
+def word_slice(text: Column, n: int | None, *key: Column, seed: int = 7) -> Column:
+    """n words of a text in a row, from a place that a hash of seed and key chooses; the whole text where n is None or the text has no more."""
+    if n is None:
+        return squeeze(text)
+    words = F.split(squeeze(text), " ")
+    spare = F.size(words) - n
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(n)), *[k.cast("string") for k in key]))
+    start = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.greatest(spare, F.lit(1))
+    return F.when(spare <= 0, squeeze(text)).otherwise(F.array_join(F.slice(words, (start + 1).cast("int"), n), " "))

@@ -23,7 +23,8 @@ def audit_claims(claims: DataFrame, items: DataFrame, threshold: float = 0.25, t
     """(window, claim, n_cited, n_fabricated, overlap, status). overlap: share of the claim's content words that the valid cited items hold (0 without such words).
     status: uncited without citations, fabricated_citation where none is valid, grounded from the threshold on, else ungrounded."""
     links = cited_items(claims, items, cited, item, window, claim)
-    words = items.select(window, item, content_tokens(F.col(text)).alias("_w"))
+    needed = links.filter("valid").select(window, item).distinct()
+    words = items.join(needed, [window, item], "left_semi").select(window, item, content_tokens(F.col(text)).alias("_w"))
     held = links.filter("valid").join(words, [window, item]).groupBy(window, claim).agg(F.array_distinct(F.flatten(F.collect_list("_w"))).alias("_held"))
     counts = links.groupBy(window, claim).agg(F.count("*").alias("n_cited"), F.count_if(~F.col("valid")).alias("n_fabricated"))
     out = claims.select(window, claim, content_tokens(F.col(claim_text)).alias("_c")).join(counts, [window, claim], "left").join(held, [window, claim], "left")

@@ -17,17 +17,25 @@ def postings(docs: DataFrame, terms: str = "terms", doc: str = "doc_id", by: Seq
     return docs.select(*by, doc, F.explode(terms).alias("term")).groupBy(*by, doc, "term").agg(F.count("*").alias("tf"))
 
 
+#: Asked terms are broadcast if they are at most so many rows, else joined by shuffle.
+BROADCAST = 500_000
+
+
 def scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, query: str = "query_id", doc: str = "doc_id", terms: str = "terms", by: Sequence[str] = ()) -> DataFrame:
     """(*by, query, doc, score) for pairs with a common term. idf = ln(1 + (N - df + 0.5) / (df + 0.5)) with N documents of the pool (`by`); a term that a
-    query repeats counts as often; a document without terms counts in N and in the mean length."""
+    query repeats counts as often; a document without terms counts in N and in the mean length. A query or document may be spread over several rows,
+    whose terms are its own. Only terms that a query asks for are counted in documents."""
     by = list(by)
-    post = postings(docs, terms, doc, by)
-    sizes = docs.select(*by, doc, F.size(terms).alias("dl"))
+    asked = postings(queries, terms, query, by).withColumnRenamed("tf", "qf")
+    small = asked.count() <= BROADCAST
+    asked = F.broadcast(asked) if small else asked
+    wanted = asked.select(*by, "term").distinct()
+    said = docs.select(*by, doc, F.explode(terms).alias("term")).join(F.broadcast(wanted) if small else wanted, [*by, "term"], "left_semi")
+    post = said.groupBy(*by, doc, "term").agg(F.count("*").alias("tf"))
+    sizes = docs.groupBy(*by, doc).agg(F.sum(F.size(terms)).alias("dl"))
     pool = sizes.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     often = post.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    asked = postings(queries, terms, query, by).withColumnRenamed("tf", "qf")
-    rows = asked.join(often, [*by, "term"])
-    rows = rows.join(post, [*by, "term"]).join(sizes, [*by, doc])
+    rows = post.join(asked.join(often, [*by, "term"]), [*by, "term"]).join(sizes, [*by, doc])
     rows = rows.join(pool, by) if by else rows.crossJoin(F.broadcast(pool))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def window_days(boundaries: DataFrame, days: int, boundary: str = "boundary") -> DataFrame:
@@ -69,25 +70,40 @@ def first_of_each(windowed: DataFrame, item: str = "item_id", published: str = "
     return windowed.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def ranked(windowed: DataFrame, bucket: Column, order: Sequence[Column | str], by: Sequence[str] = ("boundary",)) -> DataFrame:
+    """windowed with _i (place in its window from 0) and _n (size of the window). bucket must not fall along `order`: rows are only
+    counted by bucket, buckets are put in order, and rows are ordered within a bucket, so that no task sorts a whole window."""
+    rows = windowed.withColumn("_b", bucket)
+    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    places = counts.withColumns({"_before": F.sum("_c").over(run) - F.col("_c"), "_n": F.sum("_c").over(Window.partitionBy(*by))}).drop("_c")
+    names = {c: f"_p_{c}" for c in (*by, "_b")}
+    places = places.withColumnsRenamed(names)
+    same = F.lit(True)
+    for c, p in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(p))
+    joined = rows.join(places, same)
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
+    return joined.withColumn("_i", F.col("_before") + inside - 1).drop("_b", "_before", *names.values())
+
+
 def holdout_split(windowed: DataFrame, fraction: float = 0.5, seed: int = 7, item: str = "item_id", by: Sequence[str] = ("boundary",)) -> DataFrame:
     """windowed with `role`: of each window max(1, round(n fraction)) items, first by a hash of seed and item, are held out, the rest is for generation.
     The order of rows plays no part. With one item, it is held out."""
     if not 0 < fraction < 1:
         raise ValueError("fraction must lie between 0 and 1")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")), 256)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(digest, item))
-    n = F.count("*").over(Window.partitionBy(*by))
-    keep = F.greatest(F.lit(1), F.bround(n * fraction).cast("long"))
-    return windowed.withColumn("role", F.when(rank <= keep, "holdout").otherwise("generation"))
+    keep = F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("long"))
+    rows = ranked(windowed, F.substring(digest, 1, 3), [digest, item], by)
+    return rows.withColumn("role", F.when(F.col("_i") < keep, "holdout").otherwise("generation")).drop("_i", "_n")
 
 
 def truncate_evenly(windowed: DataFrame, most: int, by: Sequence[str] = ("boundary",), order: Sequence[str] = ("published", "item_id")) -> DataFrame:
     """At most `most` rows of each window, evenly spread: those at the rounded points (half to even) of a line from the first to the last."""
     if most < 1:
         raise ValueError("most must be positive")
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy(*by))
-    rows = windowed.withColumns({"_i": i, "_n": n})
+    time = isinstance(windowed.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType))
+    rows = ranked(windowed, F.date_trunc("minute", order[0]) if time else F.col(order[0]), order, by)
     if most == 1:
         return rows.filter("_i = 0").drop("_i", "_n")
     # Row i is chosen if some k has bround(k (n-1) / (most-1)) = i: one of the two next to i (most-1) / (n-1).
@@ -124,7 +140,17 @@ def ordered_text(windowed: DataFrame, text: str, by: Sequence[str] = ("boundary"
     return rows.select(*by, F.array_join(F.transform("_all", lambda x: x["_text"]), sep).alias(name))
 
 
-def manifest(windowed: DataFrame, by: Sequence[str] = ("boundary",), published: str = "published", item: str = "item_id") -> DataFrame:
-    """Per window: items, first and last time, and the ids in order."""
-    out = windowed.groupBy(*by).agg(F.count("*").alias("n_items"), F.min(published).alias("first_published"), F.max(published).alias("last_published"), F.array_sort(F.collect_list(F.struct(published, item))).alias("_ids"))
+def manifest(windowed: DataFrame, by: Sequence[str] = ("boundary",), published: str = "published", item: str = "item_id", assumed: str | None = None) -> DataFrame:
+    """Per window: items, first and last time, the ids in order, and n_tz_assumed, how many times are in a zone that was assumed (column `assumed`, else 0)."""
+    flag = F.count_if(F.col(assumed)) if assumed else F.lit(0).cast("long")
+    out = windowed.groupBy(*by).agg(
+        F.count("*").alias("n_items"), F.min(published).alias("first_published"), F.max(published).alias("last_published"),
+        flag.alias("n_tz_assumed"), F.array_sort(F.collect_list(F.struct(published, item))).alias("_ids"),
+    )
     return out.withColumn("item_ids", F.transform("_ids", lambda x: x[item])).drop("_ids")
+
+
+def page_counts(pages: DataFrame, found: str, by: Sequence[str] = ("boundary",)) -> DataFrame:
+    """Per window: pages asked for, and how many are there and missing (null counts as missing)."""
+    there = F.coalesce(F.col(found), F.lit(False))
+    return pages.groupBy(*by).agg(F.count("*").alias("n_pages"), F.count_if(there).alias("n_ok"), F.count_if(~there).alias("n_missing"))

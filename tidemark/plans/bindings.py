@@ -102,10 +102,11 @@ claim_items AS (SELECT doc_id % n AS window_id, doc_id AS item_id, text FROM doc
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    n = b.count()
+    n = F.col("n")
     numbered = b.select("item_id", "text", F.expr("row_number() OVER (ORDER BY item_id) - 1").cast("long").alias("window_id"))
-    s = numbered.select("window_id", F.posexplode(F.split("text", r"\.")).alias("pos", "s")).withColumn("pos", F.col("pos") + 1)
-    s = s.select("window_id", "pos", F.trim("s").alias("claim")).filter("claim <> ''")
+    numbered = numbered.crossJoin(F.broadcast(b.agg(F.count("*").alias("n"))))  # one row
+    s = numbered.select("window_id", "n", F.posexplode(F.split("text", r"\.")).alias("pos", "s")).withColumn("pos", F.col("pos") + 1)
+    s = s.select("window_id", "n", "pos", F.trim("s").alias("claim")).filter("claim <> ''")
     w, of = F.col("window_id"), (F.col("window_id") + F.col("pos")) % 4
     ids = (
         F.when(of == 0, F.array().cast("array<long>"))
@@ -117,5 +118,5 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "benchmark").count()
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("window_id"), F.col("doc_id").alias("item_id"), "text")
+    n = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").crossJoin(F.broadcast(n)).select((F.col("doc_id") % F.col("n")).alias("window_id"), F.col("doc_id").alias("item_id"), "text")

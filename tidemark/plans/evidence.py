@@ -57,10 +57,13 @@ def render(windowed: DataFrame, text: str = "text", section: str = "section") ->
 
 def match_arm(explanations: DataFrame, windowed: DataFrame, text: str = "text") -> DataFrame:
     """Ranks of each window's explanation (boundary, explanation) among the held-out texts. Windows without an explanation or without held-out text leave the pool."""
-    held = windows.ordered_text(windowed.filter("role = 'holdout'"), text, name="held").filter(F.trim("held") != "")
-    both = explanations.filter(F.trim("explanation") != "").join(held, "boundary")
+    held = windowed.filter("role = 'holdout'").filter(F.trim(text) != "")
+    told = explanations.filter(F.trim("explanation") != "").join(held.select("boundary").distinct(), "boundary")
     key = F.date_format("boundary", "yyyy-MM-dd")
-    return bm25.match_ranks(both.select(key.alias("query_id"), T.tokens(T.strip_identifying(F.col("explanation"))).alias("terms")), both.select(key.alias("doc_id"), T.tokens(F.col("held")).alias("terms")))
+    asked = told.select(key.alias("query_id"), T.tokens(T.strip_identifying(F.col("explanation"))).alias("terms"))
+    # A window's text is never one row: its items bring their terms, and are counted together.
+    texts = held.join(told.select("boundary").distinct(), "boundary", "left_semi")
+    return bm25.match_ranks(asked, texts.select(key.alias("doc_id"), T.tokens(F.col(text)).alias("terms")))
 
 
 def measure(days: DataFrame, windowed: DataFrame, narratives: DataFrame, settings: Settings, text: str = "text") -> dict[str, DataFrame]:
@@ -81,6 +84,21 @@ def measure(days: DataFrame, windowed: DataFrame, narratives: DataFrame, setting
     }
 
 
+def run(days: DataFrame, items: DataFrame, settings: Settings) -> dict[str, DataFrame]:
+    """Retrieval and what needs no explanation: `windowed` (items in roles), `manifest`, and `targets`: every date asked for, once, with its
+    kind, how many items it has, and a warning where its window is empty. A date that is both a transition and a control is a
+    transition."""
+    kind = F.when(F.max((F.col("kind") == "transition").cast("int")) == 1, "transition").otherwise(F.min("kind"))
+    asked = days.filter(F.col("boundary").isNotNull()).groupBy("boundary").agg(kind.alias("kind"))
+    windowed = build_windows(asked, items, settings)
+    late = F.count_if(F.col("published") > windows.last_instant(F.col("boundary")))
+    held = F.count_if(F.col("role") == "holdout")
+    sizes = windowed.groupBy("boundary").agg(F.count("*").alias("n_items"), held.alias("n_holdout"), late.alias("n_late"))
+    targets = asked.join(sizes, "boundary", "left").na.fill(0, ["n_items", "n_holdout", "n_late"])
+    targets = targets.withColumn("warning", F.when(F.col("n_items") == 0, F.lit("window is empty; skipped")))
+    return {"windowed": windowed, "manifest": windows.manifest(windowed), "targets": targets}
+
+
 def to_records(days: DataFrame, windowed: DataFrame, narratives: DataFrame, faithful: DataFrame) -> DataFrame:
     """One flat row per window, by kind and day; windows without a narrative or audit are kept."""
     sizes = windowed.groupBy("boundary").agg(F.count("*").alias("n_items"), F.count_if(F.col("role") == "holdout").alias("n_holdout"))

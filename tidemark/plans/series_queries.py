@@ -161,8 +161,8 @@ SELECT asset, CAST(d AS VARCHAR) AS d, last_value(px IGNORE NULLS) OVER (PARTITI
 FROM alldays CROSS JOIN assets LEFT JOIN px USING (asset, d)""")
 def ffill_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = B.prices(spark, sf_dir)
-    assets = px.select("asset").distinct()
-    days = px.select("d").distinct().withColumn("asset", F.explode(F.array(*[F.lit(r.asset) for r in assets.orderBy("asset").collect()])))
+    assets = px.agg(F.collect_set("asset").alias("assets"))  # one row
+    days = px.select("d").distinct().crossJoin(F.broadcast(assets)).select("d", F.explode("assets").alias("asset"))
     return series.onto_days(days, px, "px", fill=True).select("asset", *text_days("d"), "px")
 
 

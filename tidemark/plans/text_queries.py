@@ -67,8 +67,10 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {B.ITEMS}, r AS (SELECT item_id, boundary, row_number() OVER (PARTITION BY boundary ORDER BY published, item_id) - 1 AS i, count(*) OVER (PARTITION BY boundary) AS n FROM win),
-pick AS (SELECT DISTINCT boundary, CAST(round_even(k * (n - 1) / 99.0, 0) AS BIGINT) AS i FROM (SELECT DISTINCT boundary, n, unnest(range(0, 100)) AS k FROM r))
-SELECT item_id, CAST(boundary AS VARCHAR) AS boundary FROM r WHERE n <= 100 OR EXISTS (SELECT 1 FROM pick p WHERE p.boundary = r.boundary AND p.i = r.i)""")
+sizes AS (SELECT boundary, max(n) AS n FROM r GROUP BY boundary),
+pick AS (SELECT DISTINCT boundary, CAST(round_even(k * (n - 1) / 99.0, 0) AS BIGINT) AS i FROM sizes, range(0, 100) AS g(k) WHERE n > 100)
+SELECT item_id, CAST(r.boundary AS VARCHAR) AS boundary FROM r JOIN pick p ON p.boundary = r.boundary AND p.i = r.i
+UNION ALL SELECT item_id, CAST(boundary AS VARCHAR) AS boundary FROM r WHERE n <= 100""")
 def even_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     win = windows.items_in_windows(B.items(spark, sf_dir), B.boundaries(spark, sf_dir))
     return windows.truncate_evenly(win, 100).select("item_id", *text_days("boundary"))
@@ -144,12 +146,24 @@ def strip_identifying(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.strip_identifying(d).alias("text"))
 
 
-@query("""SELECT page_id, replace(regexp_extract(url, '://([^/?#:]+)', 1), 'www.', '') AS domain, CAST(len(regexp_extract_all(html, 'href="https?://')) AS INT) AS n_links,
-  trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM pages""")
+@query(r"""WITH raw AS (SELECT conv_id, turn, trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS plain, role FROM conversations)
+SELECT conv_id, turn, trim(regexp_replace(role || ' ' || plain || ' in bold & more - ' || turn, '\s+', ' ', 'g')) AS text, CAST(2 AS INT) AS n_links,
+  'Src ' || turn AS first_publisher, 'https://www.example.org/' || conv_id AS first_url, 'x' || turn || '.example.net' AS second_publisher FROM raw""")
 def html_clean_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    text = F.regexp_replace(F.regexp_replace("html", r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")
-    return p.select("page_id", F.replace(T.domain(F.col("url")), F.lit("www."), F.lit("")).alias("domain"), F.regexp_count("html", F.lit('href="https?://')).alias("n_links"), F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " ")).alias("text"))
+    """Wiki markup of all kinds around the turns of conversations, cleaned, and its links."""
+    c = table(spark, sf_dir, "conversations")
+    plain, turn, conv = F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    raw = F.concat(
+        F.lit("* <!-- hidden\n[[x]] -->[[Portal:Role|"), F.col("role"), F.lit("]] [[Some page|"), plain,
+        F.lit("]]<ref name=a>cite {{x}}</ref> ''in'' {{cite|{{deep|{{er}}}}}} '''bold''' &amp;&nbsp;<b>more</b> &ndash; "), turn,
+        F.lit(" [https://www.example.org/"), conv, F.lit(" (Src "), turn, F.lit(")] <ref/>[https://x"), turn, F.lit(".example.net/]"),
+    )
+    found = T.links(raw)
+    publisher = lambda k: F.get(found, F.lit(k))["publisher"]
+    return c.select(
+        "conv_id", "turn", T.clean_markup(raw).alias("text"), F.size(found).alias("n_links"), publisher(0).alias("first_publisher"),
+        F.get(found, F.lit(0))["url"].alias("first_url"), publisher(1).alias("second_publisher"),
+    )
 
 
 @query("""WITH lines AS (
