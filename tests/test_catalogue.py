@@ -1,4 +1,4 @@
-"""Every query with SQL equals DuckDB on the smallest tables; the others run and give rows."""
+"""Every query with SQL equals DuckDB on the smallest tables; the others run and give rows (their results: test_study.py)."""
 
 from __future__ import annotations
 
@@ -46,7 +46,7 @@ def test_equals_sql(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_runs(spark, sf, name):
-    assert catalogue.queries()[name](spark, sf).count() >= 0
+    assert catalogue.queries()[name](spark, sf).count() > 0
 
 
 def test_flagship(spark):

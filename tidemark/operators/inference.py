@@ -161,3 +161,27 @@ def median_bootstrap(df: DataFrame, value: str, by: Sequence[str], draws: int =
     picks = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
     picks = picks.withColumn("_i", draw(seed, F.col("_n"), *[F.col(c) for c in by], F.col("b"), F.col("_j")).cast("int"))
     return picks.join(rows, [*by, "_i"]).groupBy(*by, "b").agg(F.median(value).alias("median"))
+
+
+def agreement(first: DataFrame, second: DataFrame, flags: Sequence[str], on: Sequence[str] = ("window_id",)) -> DataFrame:
+    """(flag, n, n_agree, agreement, kappa) of two runs over the same windows: rows that both have, one line for each of the boolean columns
+    `flags`. What a run leaves null doesn't count."""
+    on = list(on)
+    one = first.select(*on, *[F.col(c).cast("boolean").alias(f"{c}_1") for c in flags])
+    two = second.select(*on, *[F.col(c).cast("boolean").alias(f"{c}_2") for c in flags])
+    pairs = F.array(*[F.struct(F.lit(c).alias("flag"), F.col(f"{c}_1").alias("a"), F.col(f"{c}_2").alias("b")) for c in flags])
+    each = one.join(two, on).select(F.inline(pairs))
+    out = cohen_kappa(each, "a", "b", ["flag"])
+    return out.withColumn("n_agree", F.round(F.col("agreement") * F.col("n")).cast("long"))
+
+
+def excluded(primary: DataFrame, stable: DataFrame, on: Sequence[str] = ("asset", "d")) -> DataFrame:
+    """Transitions of the primary run that didn't last: rows of primary without a partner in stable. Dates that are null in either have none."""
+    return primary.join(stable.select(*on).distinct(), list(on), "left_anti")
+
+
+def told_on(rows: DataFrame, narratives: DataFrame, day: str = "d", boundary: str = "boundary") -> DataFrame:
+    """rows with the narrative of their day, if any: `told` says so. Of several narratives of a day the least window_id is taken."""
+    one = narratives.groupBy(F.col(boundary).alias(day)).agg(F.min(F.struct("window_id", "summary", "is_confident")).alias("_t"))
+    out = rows.join(one, day, "left")
+    return out.select(*rows.columns, F.col("_t").isNotNull().alias("told"), "_t.window_id", "_t.summary", "_t.is_confident")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import slug
+from tidemark.functions.text import front_matter_stripped, slug
 from tidemark.operators.series import clean
 
 RUN = "run_id string, saved_at timestamp, label string, model string, config map<string,string>, summary map<string,double>"
@@ -34,6 +34,51 @@ def load_run(spark: SparkSession, path: str, wanted: str) -> DataFrame:
     return list_runs(spark, path).filter(F.col("run_id") == wanted)
 
 
+def delete_run(spark: SparkSession, path: str, wanted: str) -> bool:
+    """Whether there was a run of this id; the others are written anew beside the store, which then takes their place. Lines that aren't
+    runs go too."""
+    runs = list_runs(spark, path)
+    if runs.filter(F.col("run_id") == wanted).isEmpty():
+        return False
+    rest = path.rstrip("/") + ".rest"
+    runs.filter(F.col("run_id") != wanted).write.mode("overwrite").json(rest)
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+    return bool(fs.rename(_files(spark, rest)[1], at))
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def save_states(states: DataFrame, path: str, kind: str = "parquet", by: Sequence[str] = ("asset",)) -> None:
+    """States (raw, filtered, probability, fold, price) as files by asset; replaces what is there. kind: parquet or csv."""
+    out = states.repartition(*by).write.mode("overwrite").partitionBy(*by)
+    out.option("header", True).csv(path) if kind == "csv" else out.parquet(path)
+
+
+def record_manifest(prices: DataFrame, dataset: str, path: str) -> None:
+    """Append what a price table holds to a manifest; the last entry of a dataset counts (read_manifest)."""
+    manifest_of(prices, dataset).withColumn("recorded_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The last entry of each dataset."""
+    rows = spark.read.schema("n_rows long, actual_start date, actual_end date, dataset string, recorded_at timestamp").json(path)
+    last = F.max_by(F.struct("n_rows", "actual_start", "actual_end"), "recorded_at").alias("e")
+    return rows.groupBy("dataset").agg(last).select("dataset", "e.*")
+
+
+def load_prompt(spark: SparkSession, path: str) -> DataFrame:
+    """(prompt, sha16): the file without its front matter, and the first 16 hex digits of its sha256. A missing file is an error."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    text = front_matter_stripped(F.col("value"))
+    return spark.read.text(path, wholetext=True).select(text.alias("prompt"), F.substring(F.sha2(text, 256), 1, 16).alias("sha16"))
+
+
 def read_prices(spark: SparkSession, path: str, names: Mapping[str, str], day: str = "Date") -> DataFrame:
     """(d, *names) from CSV with a column for each ticker; `names` gives ticker -> name, in the order of the result. Rows that lack a price go."""
     raw = spark.read.option("header", True).csv(path)
