@@ -34,7 +34,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on the url of every page."""
-    return url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"))
+    out = url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "url", "pattern")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

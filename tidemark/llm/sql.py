@@ -11,7 +11,7 @@ WITH words AS (
   FROM documents),
 item_words AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 windows AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + 9], ' ') AS win
   FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item_words WHERE len(w) > 0)),
@@ -30,9 +30,13 @@ FROM words LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 
 _BLOCK = [
     "ads", "adserver", "doubleclick", "banner", "casino", "poker", "betting", "porn", "xxx", "escort", "viagra", "torrent", "warez", "login", "signin", "logout",
-    "register", "checkout", "cart", "password", r"wp-login\.php", "wp-admin", "cgi-bin", "phpmyadmin", r"xmlrpc\.php", r"sitemap\.xml", r"robots\.txt",
+    "register", "checkout", "cart", "password", "wp-login.php", "wp-admin", "cgi-bin", "phpmyadmin", "xmlrpc.php", "sitemap.xml", "robots.txt",
 ]
-_ANY = "(^|[^a-z0-9])({})([^a-z0-9]|$)".format("|".join(_BLOCK))
+_WORD = "(^|[^a-z0-9]){}([^a-z0-9]|$)"
+_BLOCKING = [(f"^{w}^", _WORD.format(w.replace(".", r"\."))) for w in _BLOCK]
+_BLOCKING.append(("^tracking^*^pixel^", _WORD.format("tracking") + ".*" + _WORD.format("pixel").replace("(^|[^a-z0-9])", "([^a-z0-9]|$)", 1)))
+#: The greatest of the blocking patterns that match.
+_BLOCKED = ", ".join(f"CASE WHEN regexp_matches(lower(url), '{regex}') THEN '{glob}' END" for glob, regex in _BLOCKING)
 
 URL_FILTER = rf"""
 WITH parts AS (
@@ -57,11 +61,13 @@ ruled AS (
 matched AS (
   SELECT *, CASE
     WHEN rule IS NOT NULL THEN NULL
-    WHEN regexp_matches(lower(url), '(^|[^a-z0-9])login([^a-z0-9]|$).*([^a-z0-9]|$)help([^a-z0-9]|$)') THEN 'allow'
-    WHEN regexp_matches(lower(url), '{_ANY}') OR regexp_matches(lower(url), '(^|[^a-z0-9])tracking([^a-z0-9]|$).*([^a-z0-9]|$)pixel([^a-z0-9]|$)') THEN 'block' END AS by_pattern
+    WHEN regexp_matches(lower(url), '(^|[^a-z0-9])login([^a-z0-9]|$).*([^a-z0-9]|$)help([^a-z0-9]|$)') THEN '^login^*^help^'
+    ELSE greatest({_BLOCKED}) END AS pattern
   FROM ruled)
-SELECT page_id, url, host, path, rule, CAST(NULL AS VARCHAR) AS pattern,
-       CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(by_pattern, 'allow') END AS verdict
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN pattern = '^login^*^help^' THEN 'allow' WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       url, pattern
 FROM matched
 """
 

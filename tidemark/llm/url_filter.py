@@ -118,7 +118,9 @@ def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return each.withColumn("at", F.row_number().over(rarest)).filter("at = 1").select("token", "rule", "regex", "action", "rank")
 
 
-def judge(pages: DataFrame, sites: list[SiteRule] = SITES, patterns: list[PatternRule] = PATTERNS, url_col: str = "url") -> DataFrame:
+def judge(
+    pages: DataFrame, sites: list[SiteRule] = SITES, patterns: list[PatternRule] = PATTERNS, url_col: str = "url",
+) -> DataFrame:
     """pages with host, path, rule (of the site rule that decides, else null), pattern (of the pattern that decides, else null)
     and verdict (allow or block); columns of these names are replaced.
 
@@ -132,18 +134,21 @@ def judge(pages: DataFrame, sites: list[SiteRule] = SITES, patterns: list[Patter
         index = F.broadcast(index)
     tried = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(index, "token").filter(F.rlike(F.col("url"), F.col("regex")))
     best = tried.groupBy("url").agg(F.max(F.struct("rank", "rule", "action")).alias("best"))
-    key, found = fresh(pages, "judged_url"), fresh(pages, "best")
+    key, found, salt = fresh(pages, "judged_url"), fresh(pages, "best"), fresh(pages, "salt")
     best = best.select(F.col("url").alias(key), F.col("best").alias(found))
     out = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "pattern", "verdict")])
-    site = F.col(f"{found}.rank") >= 0
+    url, site = F.col(url_col).cast("string"), F.col(f"{found}.rank") >= 0
+    # Rows without a URL have no partner: they are dealt out by a number of their own. Frequent URLs are split by adaptive execution.
+    apart = F.concat(F.lit("no url "), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+    out = out.withColumn(salt, F.coalesce(url, apart))
     return (
-        out.join(best, out[url_col].cast("string") == best[key], "left")
+        out.join(best, (out[salt] == best[key]) & out[url_col].isNotNull(), "left")
         .withColumns({
-            "host": host_of(F.col(url_col).cast("string")),
-            "path": path_of(F.col(url_col).cast("string")),
+            "host": host_of(url),
+            "path": path_of(url),
             "rule": F.when(site, F.col(f"{found}.rule")),
             "pattern": F.when(~site, F.col(f"{found}.rule")),
             "verdict": F.coalesce(F.col(f"{found}.action"), F.lit("allow")),
         })
-        .drop(key, found)
+        .drop(key, found, salt)
     )
