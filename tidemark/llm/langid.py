@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, text_of
+from tidemark.llm.common import Scratch, crc_mod, map_texts, text_of
 
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], dtype=np.uint32)
 _FOLD = np.arange(0x250, dtype=np.uint32)
@@ -70,25 +70,34 @@ def fit(present: np.ndarray, langs: np.ndarray, order: int, landmarks: int = 240
     return KernelModel(tuple(languages), (z.T.astype(np.float64) @ alpha).astype(np.float32), order)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, per_language: int = 800, width: int = 1 << 14, order: int = 3, landmarks: int = 240) -> KernelModel:
-    """Fit on about `per_language` rows of each language (a bounded sample by a hash of the id, and of the text where ids
-    repeat) whose crc32(id as text) mod folds is not `held` and whose lang isn't null."""
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1,
+    per_language: int = 800, width: int = 1 << 14, order: int = 3, landmarks: int = 240, languages: int = 200,
+) -> KernelModel:
+    """Fit on rows whose crc32(id as text) mod folds is not `held` and whose lang and text aren't null: of each language the
+    `per_language` rows with the least hashes of id, text and language (all, if fewer), equal rows counted once. Of more than
+    `languages` languages the most frequent are learnt, of equally frequent ones the first in order; `landmarks` should be no fewer."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, folds) != held))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("h"), F.col(text_col).cast("string").alias("t"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return fit(np.zeros((0, width), np.uint8), np.array([], dtype=object), order, landmarks)
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
-    some = rows.filter(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first in range(0, b.num_rows, 256):
-                part = b.slice(first, 256)
-                bits = np.packbits(grams(part.column(2).to_pylist(), width, order), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in bits], pa.binary())], names=["lang", "h", "bits"])
-
-    got = some.mapInArrow(run, "lang string, h long, bits binary").toPandas()
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
+    h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text, lang)
+    rows = rows.select(lang.alias("lang"), h.alias("h"), text.alias("t"))
+    with Scratch(docs.sparkSession, "langs") as scratch:
+        each = scratch.write(rows.groupBy("lang", "h").agg(F.count("*").alias("n")), "rows")
+        learnt = each.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+        least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        some = each.join(F.broadcast(learnt), "lang").withColumn("r", least).filter(F.col("r") <= per_language)
+        cuts = scratch.write(some.groupBy("lang").agg(F.max("h").alias("cut")), "cuts")
+        chosen = rows.join(F.broadcast(cuts), "lang").filter(F.col("h") <= F.col("cut")).select("lang", "h", "t")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for first in range(0, b.num_rows, 256):
+                    part = b.slice(first, 256)
+                    bits = np.packbits(grams(part.column(2).to_pylist(), width, order), axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in bits], pa.binary())], names=["lang", "h", "bits"])
+
+        # At most languages * per_language rows of width / 8 bytes come to the driver.
+        got = map_texts(chosen, run, "lang string, h long, bits binary").dropDuplicates(["lang", "h"]).toPandas()
     got = got.sort_values(["h", "lang", "bits"], ignore_index=True)
     present = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(-1, width // 8), axis=1)
     return fit(present, got["lang"].to_numpy(dtype=object), order, landmarks)
@@ -117,10 +126,13 @@ def predict(docs: DataFrame, model: KernelModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[pick], pa.string()), pa.array(best)], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return map_texts(rows, run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, **options) -> DataFrame:
+def identify(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1,
+    **options,
+) -> DataFrame:
     """Per row of docs: id, held_out, lang_pred and score; learnt from the rows that are not held out. Repeated rows are kept;
     an empty table gives an empty result; whatever the lang or other columns of a row hold, they don't enter its prediction."""
     model = train(docs, id_col, text_col, lang_col, folds, held, **options)
