@@ -19,8 +19,8 @@ def brute(rows, items, window=10):
     wins = []
     for item, text in items:
         w = split(text)
-        if w and item is not None:
-            wins += [(str(item), w[i : i + window]) for i in range(max(1, len(w) - window + 1))]
+        if w:
+            wins += [(None if item is None else str(item), w[i : i + window]) for i in range(max(1, len(w) - window + 1))]
     for doc, text in rows:
         w = split(text)
         hit, found = set(), set()
@@ -28,7 +28,7 @@ def brute(rows, items, window=10):
             for s in range(len(w) - len(win) + 1):
                 if w[s : s + len(win)] == win:
                     hit |= set(range(s, s + len(win)))
-                    found.add(item)
+                    found |= {item} - {None}
         yield {"doc_id": doc, "n_words": len(w), "n_hit": len(hit), "n_items": len(found), "items_sha256": hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), "contaminated": bool(hit)}
 
 
@@ -39,6 +39,7 @@ def tables(spark):
         (200, f"{cases.words(5, 1)} {passage.upper()}. {cases.words(5, 2)} {passage}", "en", "s", 0, "x", "y", "z", "w", 1),
         (201, " ".join(passage.split()[3:15]) + " " + " ".join(passage.split()[9:20]), "en", "s", 0, "x", "y", "z", "w", 1),
         (202, " ".join(passage.split()[:9]), "en", "s", 0, "x", "y", "z", "w", 1),
+        (206, f"x {cases.words(20, 3)} y", "en", "s", 0, "x", "y", "z", "w", 1),
         (203, "Straße-ÉTÉ 12 a b", "en", "s", 0, "x", "y", "z", "w", 1),
         (204, "the the the the the the the the the the the the", "en", "s", 0, "x", "y", "z", "w", 1),
         (205, f"{passage}", "en", "s", 0, "x", "y", "z", "w", 1), (205, f"{passage}", "en", "s", 0, "x", "y", "z", "w", 1), (None, passage, "en", "s", 0, "x", "y", "z", "w", 1),
@@ -68,6 +69,14 @@ def test_clean_only_drops_the_hit_rows(spark, tables):
     assert len(ids) == docs.count() - sum(r["contaminated"] for r in brute([(r.doc_id, r.text) for r in docs.collect()], items))
 
 
+def test_windows_of_items_without_an_id_are_hits(spark, tables):
+    docs, bench, _ = tables
+    row = decontaminate.decontaminate(docs, bench).filter("doc_id = 206").first()
+    assert row.n_hit == 20 and row.n_items == 0 and row.contaminated
+    for most in (200_000, 7):
+        assert decontaminate.clean_only(docs, bench, max_windows=most).filter("doc_id = 206").count() == 0
+
+
 def test_empty_tables(spark, tables):
     docs, bench, _ = tables
     assert decontaminate.decontaminate(cases.empty(spark), bench).collect() == []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_BYTES, buffers, text_of
+from tidemark.llm.common import WORD_BYTES, buffers, map_texts, text_of
 
 SPANS = "id long, h long, n_words long, spans array<long>, items array<string>"
 
@@ -31,7 +31,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 def benchmark_windows(benchmark: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(win, items): each distinct window, its words joined by spaces, with the ids (as text) of the items that hold it.
-    Items without an id or without words have none."""
+    Items without words have none; the windows of items without an id are windows of no id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -45,8 +45,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = 10, id_col: str = "ite
                     wins.append(b" ".join(words[k : k + window]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(wins, pa.string())], names=["item", "win"])
 
-    rows = benchmark.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, "item string, win string").groupBy("win").agg(F.collect_set("item").alias("items"))
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), text_of(text_col).alias("t"))
+    return map_texts(rows, run, "item string, win string").groupBy("win").agg(F.collect_set("item").alias("items"))
 
 
 def document_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, int]:
@@ -62,19 +62,46 @@ def document_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str =
                 counts.update(known.intersection(words_of(raw[at[i] : at[i + 1]])))
         yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
 
-    rows = docs.select(text_of(text_col).alias("t")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    rows = map_texts(docs.select(text_of(text_col).alias("t")), run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     return {r.w.encode(): r.n for r in rows}
 
 
-def _scan(docs: DataFrame, wins: list[tuple[str, list[str]]], id_col: str, text_col: str) -> DataFrame:
-    """SPANS for each row: the words hit by these windows, as sorted disjoint spans (start, end, start, end, ...)."""
+def window_index(docs: DataFrame, wins: list[tuple[str, list[str]]], text_col: str) -> dict[bytes, list]:
+    """For the word of each window that is in the fewest documents: the windows (words, place of the word, items)."""
     split = [(tuple(w.encode().split(b" ")), items) for w, items in wins]
     often = document_frequency(docs, {x for w, _ in split for x in w}, text_col)
     index: dict[bytes, list] = defaultdict(list)
     for w, items in split:
         rare = min(w, key=lambda x: (often.get(x, 0), x))
         index[rare].append((list(w), w.index(rare), items))
-    sent = docs.sparkSession.sparkContext.broadcast(dict(index))
+    return dict(index)
+
+
+def occurrences(index: dict[bytes, list], words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, items) of all windows that occur in the words of a text."""
+    n = len(words)
+    for p, x in enumerate(words):
+        if x in index:
+            for win, offset, ids in index[x]:
+                s = p - offset
+                if s >= 0 and s + len(win) <= n and words[s : s + len(win)] == win:
+                    yield s, s + len(win), ids
+
+
+def _join_spans(spans: list[tuple[int, int]]) -> list[int]:
+    """Sorted disjoint spans (start, end, start, end, ...) that cover the same."""
+    merged: list[int] = []
+    for s, e in sorted(spans):
+        if merged and s <= merged[-1]:
+            merged[-1] = max(merged[-1], e)
+        else:
+            merged += [s, e]
+    return merged
+
+
+def _scan(docs: DataFrame, wins: list[tuple[str, list[str]]], id_col: str, text_col: str) -> DataFrame:
+    """SPANS for each row: the words hit by these windows, as sorted disjoint spans (start, end, start, end, ...)."""
+    sent = docs.sparkSession.sparkContext.broadcast(window_index(docs, wins, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -84,41 +111,22 @@ def _scan(docs: DataFrame, wins: list[tuple[str, list[str]]], id_col: str, text_
             counts, spans, found = [], [], []
             for i in range(b.num_rows):
                 words = words_of(raw[at[i] : at[i + 1]])
-                n, hits, items = len(words), [], set()
-                for p, x in enumerate(words):
-                    if x in index:
-                        for win, offset, ids in index[x]:
-                            s = p - offset
-                            if s >= 0 and s + len(win) <= n and words[s : s + len(win)] == win:
-                                hits.append((s, s + len(win)))
-                                items.update(ids)
-                merged: list[int] = []
-                for s, e in sorted(hits):
-                    if merged and s <= merged[-1]:
-                        merged[-1] = max(merged[-1], e)
-                    else:
-                        merged += [s, e]
-                counts.append(n)
-                spans.append(merged)
-                found.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], names=["id", "h", "n_words", "spans", "items"])
+                hits = list(occurrences(index, words))
+                counts.append(len(words))
+                spans.append(_join_spans([h[:2] for h in hits]))
+                found.append(sorted({x for h in hits for x in h[2]}))
+            lists = [pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
+            own = [b.column(0), b.column(1), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, *lists], names=["id", "h", "n_words", "spans", "items"])
 
     text = text_of(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t")).mapInArrow(run, SPANS)
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t")), run, SPANS)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Put the spans and items of several scans of a row together."""
     for b in batches:
-        spans = []
-        for lists in b.column(3).to_pylist():
-            merged: list[int] = []
-            for s, e in sorted((x[k], x[k + 1]) for x in lists for k in range(0, len(x), 2)):
-                if merged and s <= merged[-1]:
-                    merged[-1] = max(merged[-1], e)
-                else:
-                    merged += [s, e]
-            spans.append(merged)
+        spans = [_join_spans([(x[k], x[k + 1]) for x in lists for k in range(0, len(x), 2)]) for lists in b.column(3).to_pylist()]
         items = [sorted({y for x in lists for y in x}) for lists in b.column(4).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["id", "h", "n_words", "spans", "items"])
 
@@ -157,9 +165,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     ).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", max_windows: int = 200_000) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark window."""
-    rows = hit_spans(docs, benchmark, window, id_col, text_col, max_windows)
-    bad = rows.filter(F.size("spans") > 0).select(F.col("id").alias("_hit_id"), F.col("h").alias("_hit_text")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(bad["_hit_id"]) & (F.xxhash64(text_of(text_col)) == bad["_hit_text"])
-    return docs.join(bad, same, "left_anti")
+def clean_only(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
+    max_windows: int = 200_000,
+) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark window. The rows pass through the tasks that scan them,
+    once for each group of windows, so that nothing is joined or shuffled."""
+    wins = benchmark_windows(benchmark, window)
+    groups = max(1, -(-wins.count() // max_windows))
+    place = [c.lower() for c in docs.columns].index(text_col.lower())
+    out = docs
+    for k in range(groups):
+        some = wins.filter(F.pmod(F.xxhash64("win"), F.lit(groups)) == k).collect()
+        index = window_index(docs, [(r.win, r["items"]) for r in some], text_col)
+        out = map_texts(out, _cleaner(docs.sparkSession.sparkContext.broadcast(index), place), docs.schema)
+    return out
+
+
+def _cleaner(sent, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for b in batches:
+            column = b.column(place)
+            data, at = buffers(column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast("string"))
+            raw, at = data.tobytes(), at.tolist()
+            clean = [next(occurrences(index, words_of(raw[s:e])), None) is None for s, e in zip(at, at[1:])]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return run
