@@ -152,7 +152,7 @@ def test_hmm_queries(spark, sf):
     assert len(got) == len(rows)
     for asset, part in rows.groupby("asset"):
         x = part[["vol", "mom"]].to_numpy(float)
-        model = hmm.GaussianHmm.fit((x - x.mean(0)) / x.std(0), 2, 42, 40)
+        model = hmm.GaussianHmm.fit((x - x.mean(0)) / x.std(0), 2, 42, series_queries.ROUNDS)
         assert all(b > a - 1e-2 for a, b in zip(model.log_likelihoods, model.log_likelihoods[1:]))
         mine = np.array([got[asset, d.isoformat()] for d in part["d"]])
         if 0 < mine.sum() < len(mine):

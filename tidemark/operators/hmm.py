@@ -34,6 +34,41 @@ def log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarra
     return -0.5 * np.stack([(w * w).sum(axis=0) for w in white], axis=1) - volume
 
 
+def _forward(start: np.ndarray, move: np.ndarray, dens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward pass of several models (first axis): probabilities given the rows so far, the scale of each row, the densities over
+    their largest, and the largest. A row that no state can have made leaves the prediction as it is."""
+    top = dens.max(2, keepdims=True)
+    like = np.exp(dens - np.where(np.isfinite(top), top, 0.0))
+    alpha, scale = np.empty_like(like), np.empty(like.shape[:2])
+    ahead = start
+    for t in range(like.shape[1]):
+        now = like[:, t] * ahead
+        total = now.sum(1)
+        lost = ~(total > 0)
+        if lost.any():
+            now[lost] = ahead[lost]
+            norm = now.sum(1)
+            scale[:, t] = np.where(lost, 1e-300, total)
+        else:
+            norm = scale[:, t] = total
+        alpha[:, t] = now / norm[:, None]
+        ahead = (alpha[:, t, :, None] * move).sum(1)
+    return alpha, scale, like, top[:, :, 0]
+
+
+def _posteriors(start: np.ndarray, move: np.ndarray, dens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of several models: probabilities of the states of each row given all rows, expected moves, and log likelihoods."""
+    alpha, scale, like, top = _forward(start, move, dens)
+    beta = np.ones_like(alpha)
+    for t in range(alpha.shape[1] - 2, -1, -1):
+        beta[:, t] = (move * (like[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None])[:, None, :]).sum(2)
+    gamma = alpha * beta
+    gamma /= np.maximum(gamma.sum(2, keepdims=True), 1e-300)
+    later = like[:, 1:] * beta[:, 1:] / scale[:, 1:, None]
+    xi = move * np.einsum("stk,stj->skj", alpha[:, :-1], later)
+    return gamma, xi, (np.log(scale) + top).sum(1)
+
+
 class GaussianHmm:
     """Full covariances; fitted by expectation-maximisation from a seeded start."""
 
@@ -43,63 +78,55 @@ class GaussianHmm:
 
     @classmethod
     def fit(cls, x: np.ndarray, states: int = 2, seed: int = 0, rounds: int = 200, tolerance: float = 1e-2) -> GaussianHmm:
+        return cls.fit_all(x, states, [seed], rounds, tolerance)[0]
+
+    @classmethod
+    def _begin(cls, x: np.ndarray, states: int, seed: int) -> GaussianHmm:
         rng, (n, d) = np.random.default_rng(seed), x.shape
         near = ((x[:, None, :] - x[rng.choice(n, states, replace=False)][None]) ** 2).sum(-1).argmin(1)
         for _ in range(20):
             centres = np.stack([x[near == k].mean(0) if (near == k).any() else x[rng.integers(n)] for k in range(states)])
             near = ((x[:, None, :] - centres[None]) ** 2).sum(-1).argmin(1)
         covs = np.stack([np.cov(x.T, ddof=0).reshape(d, d) + 1e-3 * np.eye(d)] * states)
-        model = cls(np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1)), centres, covs)
+        rest = 0.1 / max(1, states - 1)
+        return cls(np.full(states, 1 / states), np.full((states, states), rest) + np.eye(states) * (0.9 - rest), centres, covs)
+
+    @classmethod
+    def fit_all(cls, x: np.ndarray, states: int, seeds: Sequence[int], rounds: int = 200, tolerance: float = 1e-2) -> list[GaussianHmm]:
+        """A model for each seed. Their recursions run side by side, so that a step of all costs little more than a step of one; a model
+        that has settled is left as it is."""
+        models = [cls._begin(x, states, s) for s in seeds]
+        live = list(models)
         for _ in range(rounds):
-            dens = log_density(x, model.means, model.covs)
-            gamma, xi, total = model._posterior(dens)
-            if model.log_likelihoods and total - model.log_likelihoods[-1] < tolerance:
-                model.log_likelihoods.append(total)
+            if not live:
                 break
-            model.log_likelihoods.append(total)
-            weight = gamma.sum(0) + 1e-12
-            model.start = gamma[0] / gamma[0].sum()
-            model.move = xi / np.maximum(xi.sum(1, keepdims=True), 1e-300)
-            model.means = gamma.T @ x / weight[:, None]
-            for k in range(states):
-                r = x - model.means[k]
-                model.covs[k] = (gamma[:, k, None] * r).T @ r / weight[k] + 1e-3 / weight[k] * np.eye(d)
-        return model
+            dens = np.stack([log_density(x, m.means, m.covs) for m in live])
+            gammas, moves, totals = _posteriors(np.stack([m.start for m in live]), np.stack([m.move for m in live]), dens)
+            going = []
+            for m, gamma, xi, total in zip(live, gammas, moves, totals.tolist()):
+                settled = bool(m.log_likelihoods) and total - m.log_likelihoods[-1] < tolerance
+                m.log_likelihoods.append(total)
+                if not settled:
+                    m._maximise(x, gamma, xi)
+                    going.append(m)
+            live = going
+        return models
+
+    def _maximise(self, x: np.ndarray, gamma: np.ndarray, xi: np.ndarray) -> None:
+        weight = gamma.sum(0) + 1e-12
+        self.start = gamma[0] / gamma[0].sum()
+        self.move = xi / np.maximum(xi.sum(1, keepdims=True), 1e-300)
+        self.means = gamma.T @ x / weight[:, None]
+        for k in range(len(weight)):
+            r = x - self.means[k]
+            self.covs[k] = (gamma[:, k, None] * r).T @ r / weight[k] + 1e-3 / weight[k] * np.eye(x.shape[1])
 
     def _logs(self) -> tuple[np.ndarray, np.ndarray]:
         return np.log(np.clip(self.start, 1e-300, None)), np.log(np.clip(self.move, 1e-300, None))
 
-    @staticmethod
-    def _forward(start: np.ndarray, move: np.ndarray, dens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward pass: probabilities given the rows so far, the scale of each row, the densities over their largest, and the largest."""
-        top = dens.max(1, keepdims=True)
-        like = np.exp(dens - np.where(np.isfinite(top), top, 0.0))
-        alpha, scale = np.empty_like(like), np.empty(len(like))
-        last = start
-        for t, row in enumerate(like):
-            last = row * (last if t == 0 else last @ move)
-            total = last.sum()
-            if not total > 0:  # no state can have made the row: stay with the prediction
-                last, total = (start if t == 0 else alpha[t - 1] @ move), 1e-300
-                last = last / last.sum()
-            else:
-                last = last / total
-            alpha[t], scale[t] = last, total
-        return alpha, scale, like, top[:, 0]
-
-    def _posterior(self, dens: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        alpha, scale, like, top = self._forward(self.start, self.move, dens)
-        beta = np.ones_like(alpha)
-        for t in range(len(alpha) - 2, -1, -1):
-            beta[t] = self.move @ (like[t + 1] * beta[t + 1]) / scale[t + 1]
-        gamma = alpha * beta
-        gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-300)
-        xi = self.move * (alpha[:-1].T @ (like[1:] * beta[1:] / scale[1:, None]))
-        return gamma, xi, float((np.log(scale) + top).sum())
-
     def filtered(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of the states given the rows up to each: no backward pass."""
-        return self._forward(self.start, self.move, log_density(x, self.means, self.covs))[0]
+        return _forward(self.start[None], self.move[None], log_density(x, self.means, self.covs)[None])[0][0]
 
     def viterbi(self, x: np.ndarray) -> np.ndarray:
         start, move = self._logs()
@@ -116,6 +143,9 @@ class GaussianHmm:
         return path
 
 
+FAILURES = (np.linalg.LinAlgError, ValueError, FloatingPointError)
+
+
 def stressed_state(states: np.ndarray, level: np.ndarray, n: int) -> int:
     """The state with the highest mean of the raw level; an empty one loses, of equal ones the first wins."""
     means = [level[states == k].mean() if (states == k).any() else -np.inf for k in range(n)]
@@ -138,19 +168,23 @@ def walk_forward(features: DataFrame, columns: Sequence[str], level: str, train:
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")
-        return pd.concat([fit_seed(part, s) for s in seeds], ignore_index=True)
-
-    def fit_seed(part: pd.DataFrame, seed: int) -> pd.DataFrame:
-        head = {"seed": int(seed)} | {c: part[c].iloc[0] for c in keys}
         inside = (part["part"] == "train").to_numpy()
         x = part[list(columns)].to_numpy(float)
+        head = {c: part[c].iloc[0] for c in keys}
+        z = _scaled(x, x[inside])
+        try:
+            models = GaussianHmm.fit_all(z[inside], states, list(seeds), rounds)
+        except FAILURES:  # one seed's start can fail where the others do not
+            models = [None] * len(seeds)
+        return pd.concat([told(part, inside, z, {"seed": int(s)} | head, m) for s, m in zip(seeds, models)], ignore_index=True)
+
+    def told(part: pd.DataFrame, inside: np.ndarray, z: np.ndarray, head: dict, model: GaussianHmm | None) -> pd.DataFrame:
         try:
-            z = _scaled(x, x[inside])
-            model = GaussianHmm.fit(z[inside], states, int(seed), rounds)
+            model = model or GaussianHmm.fit(z[inside], states, head["seed"], rounds)
             path = model.viterbi(z[inside])
             stressed = stressed_state(path, part[level].to_numpy(float)[inside], states)
             prob = model.filtered(z)[:, stressed][~inside]
-        except (np.linalg.LinAlgError, ValueError, FloatingPointError) as e:
+        except FAILURES as e:
             return pd.DataFrame([head | {order: None, "stressed_prob": None, "state": None, "converged": False, "error": f"{type(e).__name__}: {e}"[:200]}])
         out = pd.DataFrame({order: part[order].to_numpy()[~inside], "stressed_prob": prob})
         out["state"] = (out["stressed_prob"] >= 0.5).astype("int32")

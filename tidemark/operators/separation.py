@@ -79,19 +79,28 @@ def draw(seed: int, n: Column, *keys: Column) -> Column:
 
 def block_bootstrap(df: DataFrame, value: str = "ret", state: str = "state", by: Sequence[str] = ("asset",), order: str = "d", draws: int = 200, block: int = 20, seed: int = 7, inclusive: bool = False) -> DataFrame:
     """(*by, b, ratio): ratio of deviations of moving-block resamples. ceil(n / block) blocks start anywhere in [0, n - block) (inclusive: and at n - block), are
-    put together and cut to n rows. Draws and blocks are rows, dealt out by key and draw; the series is joined on the position."""
+    put together and cut to n rows. Draws and blocks are rows, dealt out by key and draw; what a block holds is the difference of two running sums,
+    so that no block is laid out row by row. Values are taken from the key's mean, which keeps the sums of squares exact."""
     rows = df.filter(F.col(value).isNotNull() & F.col(state).isNotNull())
-    rows = rows.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).alias("i"), value, state)
+    rows = rows.join(rows.groupBy(*by).agg(F.avg(value).alias("_mean")), list(by)).withColumn("_x", F.col(value) - F.col("_mean"))
+    run = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"_{c}{k}" for k in (0, 1) for c in "nsq"]
+    parts = [F.when(F.col(state) == k, v).otherwise(F.lit(0.0)) for k in (0, 1) for v in (F.lit(1.0), F.col("_x"), F.col("_x") ** 2)]
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    sums = rows.select(*by, place.cast("long").alias("_at"), *[F.sum(p).over(run).alias(c) for p, c in zip(parts, names)])
+    zero = rows.select(*by).distinct().select(*by, F.lit(0).cast("long").alias("_at"), *[F.lit(0.0).alias(c) for c in names])
+    sums = sums.unionByName(zero)  # what stands before each place
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > block)
     starts = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))))
     room = F.col("n") - block + (1 if inclusive else 0)
     starts = starts.withColumn("s", draw(seed, room, *[F.col(c) for c in by], F.col("b"), F.col("j")))
-    each = starts.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).filter(F.col("j") * block + F.col("o") < F.col("n"))
-    each = each.select(*by, "b", (F.col("s") + F.col("o")).alias("i")).join(rows, [*by, "i"])
-    x0, x1 = _of(value, state, 0), _of(value, state, 1)
-    out = each.groupBy(*by, "b").agg(F.count(x0).alias("_n0"), F.count(x1).alias("_n1"), F.stddev_samp(x0).alias("_s0"), F.stddev_samp(x1).alias("_s1"))
-    fine = (F.col("_n0") >= 2) & (F.col("_n1") >= 2) & (F.col("_s0") > 0)
-    return out.select(*by, "b", F.when(fine, F.col("_s1") / F.col("_s0")).alias("ratio"))
+    ends = F.col("s") + F.least(F.lit(block), F.col("n") - F.col("j") * block)
+    edges = starts.select(*by, "b", F.inline(F.array(F.struct(F.col("s").alias("_at"), F.lit(-1.0).alias("_sign")), F.struct(ends.alias("_at"), F.lit(1.0).alias("_sign")))))
+    out = edges.join(sums, [*by, "_at"]).groupBy(*by, "b").agg(*[F.sum(F.col("_sign") * F.col(c)).alias(c) for c in names])
+    std = [F.sqrt(F.greatest(F.lit(0.0), F.col(f"_q{k}") - F.col(f"_s{k}") ** 2 / F.col(f"_n{k}")) / (F.col(f"_n{k}") - 1)) for k in (0, 1)]
+    # A deviation this small beside the squares is a constant value.
+    fine = (F.col("_n0") >= 2) & (F.col("_n1") >= 2)
+    return out.select(*by, "b", F.when(fine, F.when(std[0] > 1e-9 * F.sqrt(F.col("_q0")), std[1] / std[0])).alias("ratio"))
 
 
 def quantile_interval(df: DataFrame, value: str, by: Sequence[str], alpha: float = 0.05, least: int = 50) -> DataFrame:

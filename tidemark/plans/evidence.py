@@ -23,7 +23,7 @@ class Settings:
     fraction: float = 0.5
     seed: int = 7
     threshold: float = 0.25
-    permutations: int = 500
+    permutations: int = 10_000
     sections: Sequence[str] = field(default_factory=tuple)
 
     def __post_init__(self) -> None:

@@ -229,7 +229,7 @@ def bm25_match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.match_summary(bm25.match_ranks(*_half(spark, sf_dir))).select("n", "n_candidates", "n_correct", *places("accuracy", "chance", "mrr", "top3"))
 
 
-_PERMS = 500
+_PERMS = 10_000
 
 
 @query(f"""WITH {_HALVES}, {_SCORES}, {_RANKS},
@@ -299,11 +299,11 @@ def pooled_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {B.CLAIMS}, it AS (SELECT window_id, item_id, {_content("text")} AS held, row_number() OVER (PARTITION BY window_id ORDER BY item_id) - 1 AS k, count(*) OVER (PARTITION BY window_id) AS n FROM claim_items),
-cl AS (SELECT window_id, claim_id, {_content("claim")} AS w FROM claims), dr AS (SELECT *, unnest(range(1, 6)) AS draw FROM cl WHERE len(w) > 0),
+cl AS (SELECT window_id, claim_id, {_content("claim")} AS w FROM claims), dr AS (SELECT *, unnest(range(1, 11)) AS draw FROM cl WHERE len(w) > 0),
 k AS (SELECT d.window_id, claim_id, draw, w, CAST(('0x' || substr(md5('7:' || d.window_id || ':' || claim_id || ':' || draw), 1, 8)) AS BIGINT) % s.n AS k FROM dr d JOIN (SELECT DISTINCT window_id, n FROM it) s USING (window_id))
 SELECT claim_id, CAST(draw AS INT) AS draw, round(len(list_intersect(w, held)) / len(w), 6) AS overlap FROM k JOIN it USING (window_id, k)""")
 def random_citation_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.random_citation_floor(B.claims(spark, sf_dir), B.claim_items(spark, sf_dir), draws=5).select("claim_id", "draw", *places("overlap"))
+    return audit.random_citation_floor(B.claims(spark, sf_dir), B.claim_items(spark, sf_dir), draws=10).select("claim_id", "draw", *places("overlap"))
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS n_true, round(count(*) FILTER (quality = 1) / count(*), 6) AS rate FROM labels JOIN documents USING (doc_id) GROUP BY lang")
