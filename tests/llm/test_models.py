@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -227,6 +228,39 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(bare).collect()} == {"und"}
 
 
+def test_weights_equal_kernels_times_landmark_weights():
+    """The folded matrix gives the decision values of ridge regression on the kernel with the landmarks, from plain sets of n-grams."""
+    texts = [cases.words(30, i) + (" the cat" if i % 3 == 0 else " die katze" if i % 3 == 1 else " le chat") for i in range(45)]
+    langs = np.array([["en", "de", "fr"][i % 3] for i in range(45)], dtype=object)
+    present = langid.grams(texts, 1 << 10, 3)
+    model = langid.fit(present, langs, 3, landmarks=12, ridge=1e-2)
+    sets = [set(np.flatnonzero(r)) for r in present]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    marks = [next(i for i in range(45) if i // 3 == k // 3 and i % 3 == j) for k in range(0, 12, 3) for j in (1, 0, 2)]
+    marks = sorted(marks, key=lambda i: (i // 3, i))
+    k = np.array([[kernel(a, sets[m]) for m in marks] for a in sets])
+    zz = np.array([[kernel(sets[a], sets[m]) for m in marks] for a in marks])
+    y = np.where(langs[:, None] == np.array(["de", "en", "fr"])[None, :], 1.0, -1.0)
+    alpha = np.linalg.solve(k.T @ k + 1e-2 * len(texts) * zz + 1e-8 * np.eye(12), k.T @ y)
+    assert np.allclose(model.decide(present), k @ alpha, atol=1e-4)
+
+
+def test_language_sample_of_hot_and_null_ids(spark):
+    """Rows that share an id, or have none, are sampled like any other; so are rows that repeat."""
+    rows = [(7 if i % 2 else None, f"{cases.words(12, i)} {'the' if i % 4 < 2 else 'der'}", "en" if i % 4 < 2 else "de") for i in range(400)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
+    seen = []
+    fit = langid.fit
+    langid.fit = lambda present, langs, *a: seen.append(Counter(langs)) or fit(present, langs, *a)
+    try:
+        langid.train(docs, per_language=60, width=1 << 10)
+        langid.train(docs, per_language=1000, width=1 << 10)
+        langid.train(docs, per_language=60, width=1 << 10, languages=1)
+    finally:
+        langid.fit = fit
+    assert seen == [{"en": 60, "de": 60}, {"en": 200, "de": 200}, {"en": 60}]
+
+
 def test_grams_are_presence_of_orders_one_to_three():
     one, two = langid.grams(["abc", "abcabcabc"], 1 << 12, 3)
     assert one.sum() == 6 and two.sum() == 9 and (one <= two).all()
@@ -425,6 +459,17 @@ def test_url_rules_match_brute_force(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict), r.url
 
 
+@pytest.mark.parametrize("name", ["op2_url_filter", "op4_decontamination"])
+def test_queries_equal_their_sql(spark, name):
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
+    got, want = queries.queries()[name](spark, d).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    assert list(got.columns) == list(want.columns) and len(got) > 0
+    plain = lambda df: sorted(tuple(None if pd.isna(v) else str(v) for v in r) for r in df.itertuples(index=False))
+    assert [str(r) for r in plain(got)] == [str(r) for r in plain(want)]
+
+
 def test_url_patterns(spark):
     urls = ["http://x.net/ads/1", "http://x.net/loads/1", "http://casino.net/", "http://x.net/login", "http://x.net/login/new/help/", "http://x.net/Robots.txt", "http://x.org/ads/"]
     pages = spark.createDataFrame([(u,) for u in urls], "url string")

@@ -3,6 +3,7 @@ splitting whole Arrow batches of text into words at byte level."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,32 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Bytes of a batch of whole texts that a task has in Arrow at a time.
+BATCH_BYTES = 8 << 20
+
+
+def map_texts(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) for rows that hold whole texts. A session that allows larger batches (Spark's default is 64 MB, which
+    JVM and Python each hold more than once) is set to BATCH_BYTES; a longer text is a batch of its own."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name)).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return rows.mapInArrow(lambda batches: _tidied(run(batches)), schema)
+
+
+def _tidied(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at the end the memory that the task has freed goes back to the system, since its process waits for others."""
+    try:
+        yield from out
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 #: Bytes of lower-cased words: ASCII letters and digits, and all of UTF-8 beyond ASCII; the rest becomes a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

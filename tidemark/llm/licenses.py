@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_BYTES, buffers, distinct_spans, pieces, text_of, word_spans
+from tidemark.llm.common import WORD_BYTES, buffers, distinct_spans, map_texts, pieces, text_of, word_spans
 from tidemark.llm.license_texts import TEMPLATES
 
 _TABLE = np.frombuffer(WORD_BYTES, dtype=np.uint8)
@@ -153,7 +153,7 @@ def license_spans(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["id", "found"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id long, found {_FOUND}").withColumnRenamed("id", id_col)
+    return map_texts(rows, run, f"id long, found {_FOUND}").withColumnRenamed("id", id_col)
 
 
 def scan_licenses(

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_BYTES, Scratch, buffers, distinct_spans, fresh, materialise, pieces, text_of, word_spans
+from tidemark.llm.common import Scratch, WORD_BYTES, buffers, distinct_spans, fresh, map_texts, materialise, pieces, text_of, word_spans
 
 _TABLE = np.frombuffer(WORD_BYTES, dtype=np.uint8)
 #: What stands before the first word and after the last.
@@ -97,7 +97,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def _batch(w: np.ndarray, n: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n), pa.array(t)], names=["w", "n", "t"])
 
-    return docs.select("text", "mark").mapInArrow(run, "w long, n long, t long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    return map_texts(docs.select("text", "mark"), run, "w long, n long, t long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def pair_counts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             c = cells[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n[0][c]), pa.array(n[1][c])], names=["cell", "n", "t"])
 
-    counted = docs.select("text", "mark").mapInArrow(run, "cell long, n long, t long")
+    counted = map_texts(docs.select("text", "mark"), run, "cell long, n long, t long")
     return counted.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
@@ -185,7 +185,7 @@ def _packed(model: Model, rows: DataFrame, most_rows: int, most_events: int) ->
         if held:
             yield _chunk(model, chunk, held)
 
-    return rows.select("id", "text", "mark").mapInArrow(run, PACKED)
+    return map_texts(rows.select("id", "text", "mark"), run, PACKED)
 
 
 def _chunk(model: Model, chunk: int, held: list[tuple]) -> pa.RecordBatch:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import buffers, pieces, span_hashes, word_spans
+from tidemark.llm.common import buffers, map_texts, pieces, span_hashes, word_spans
 
 #: Bytes that make up mostly decoration, in ASCII.
 SYMBOLS = b"!$%&*#|=<>{}[]~^_\\+@"
@@ -107,4 +107,4 @@ def with_stats(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
             counted = [pa.array(np.ascontiguousarray(values[:, j])) for j in range(len(NAMES))]
             yield pa.RecordBatch.from_arrays([*b.columns, *counted], names=names)
 
-    return df.mapInArrow(run, kind)
+    return map_texts(df, run, kind)

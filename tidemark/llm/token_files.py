@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffers, distinct_spans, new_path, pieces, text_of
+from tidemark.llm.common import buffers, distinct_spans, map_texts, new_path, pieces, text_of
 
 #: Unicode's white space beyond ASCII, in UTF-8, and the control characters that some count as such.
 ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
@@ -276,7 +276,7 @@ def write_tokens(
         if out:
             out.close()
 
-    index = rows.mapInArrow(run, "shard int, k long, id long, start long, n_tokens long")
+    index = map_texts(rows, run, "shard int, k long, id long, start long, n_tokens long")
     index.write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
