@@ -16,7 +16,7 @@ from tests.test_regimes import slow_filter
 from tidemark.functions import text as T
 from tidemark.operators import bm25, ceiling, hmm, inference, placebo, regimes, windows
 from tidemark.plans import bindings, catalogue, evidence, series_queries
-from tidemark.sources import store
+from tidemark.sources import inputs, store, timed
 
 
 @pytest.fixture(scope="module")
@@ -281,3 +281,15 @@ def test_scores_of_documents_in_several_rows(spark):
     kind = "doc_id int, terms array<string>"
     one, two = ({(r.query_id, r.doc_id): r.score for r in bm25.scores(asked, spark.createDataFrame(d, kind)).collect()} for d in (docs, apart))
     assert one.keys() == two.keys() == {(7, 1), (7, 2), (8, 1)} and all(one[k] == pytest.approx(two[k]) for k in one)
+
+
+def test_timed_rows_and_pasted_days(spark):
+    text = "# t\n| **0:00\u20130:10** | a | one two *three* |\n| **0:12-0:20** | 3 seconds of silence | `x` \u2026 y |\n| not timed | a | b |\n| **0:20-0:21** | c | four five six |"
+    df = spark.createDataFrame([(1, text), (2, "none")], "script_id int, text string")
+    rows = timed.timed_rows(df)
+    got = [(r.start, r.end, r.words, r.seconds, r.gap, r.too_fast) for r in rows.orderBy("pos").collect()]
+    assert got == [(0, 10, 3, 10, False, False), (12, 20, 2, 5, True, False), (20, 21, 3, 1, False, True)]
+    (r,) = timed.script_summary(rows).collect()
+    assert (r.n_rows, r.runtime, r.n_gaps, r.n_too_fast, r.ok) == (3, 21, 1, 1, False)
+    days = inputs.pasted_days(spark, "2020-03-03, 3/4/2020;5 March 2020\nno day\t2020-03-03")
+    assert {r.d for r in days.collect()} == {dt.date(2020, 3, 3), dt.date(2020, 3, 4), dt.date(2020, 3, 5)}

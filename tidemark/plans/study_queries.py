@@ -12,7 +12,7 @@ from tidemark.plans import evidence
 from tidemark.plans.registry import places, query, table, text_days
 from tidemark.plans.series_queries import _fan, _RATIOS, _transitions
 from tidemark.plans.text_queries import _DATED, _TABLES, _half, _tokens, _two_by_two
-from tidemark.sources import store
+from tidemark.sources import store, timed
 
 _LENGTHS = (60, 400, None)
 _MONTHS = f"{T.MONTHS}|{T.SHORT_MONTHS}"
@@ -252,3 +252,19 @@ def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     win = windows.ranked(win, F.date_trunc("minute", "published"), ["published", "item_id"]).filter("_i < 20")
     out = evidence.render(win.withColumns({"section": F.col("source"), "text": F.lit("seen in June 2024")}))
     return out.select(*text_days("boundary"), "n_items", F.md5(F.col("prompt").cast("binary")).alias("h"))
+
+
+@query("""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS say FROM conversations),
+w AS (SELECT conv_id, k, len(list_filter(string_split(say, ' '), lambda x: x <> '')) AS words FROM r WHERE k < 9)
+SELECT conv_id AS script_id, CAST(k + 1 AS INT) AS pos, CAST(words AS INT) AS words, CASE WHEN k % 3 = 0 THEN 57 ELSE 60 END AS seconds,
+  round(words * 60 / CASE WHEN k % 3 = 0 THEN 57 ELSE 60 END, 6) AS wpm, false AS gap FROM w""")
+def timed_script_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as scripts of a minute a turn."""
+    c = table(spark, sf_dir, "conversations")
+    c = c.withColumn("k", F.expr("row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1")).filter("k < 9")
+    show = F.when(F.col("k") % 3 == 0, "3 seconds of silence").otherwise("a chart")
+    span = F.format_string("**%d:00\u2013%d:00**", F.col("k"), F.col("k") + 1)
+    line = F.concat(F.lit("| "), span, F.lit(" | "), show, F.lit(" | **"), F.trim(F.regexp_replace("text", "[^A-Za-z ]", "")), F.lit("** |"))
+    scripts = windows.ordered_text(c.withColumn("line", line), "line", by=["conv_id"], order=["turn"], sep="\n")
+    scripts = scripts.select(F.col("conv_id").alias("script_id"), F.concat(F.lit("# head\n"), F.col("text")).alias("text"))
+    return timed.timed_rows(scripts).select("script_id", "pos", "words", "seconds", *places("wpm"), "gap")

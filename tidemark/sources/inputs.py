@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,3 +48,10 @@ def days_and_states(df: DataFrame, least: float = 0.6) -> DataFrame:
         raise ValueError(f"no column holds days in {least:.0%} of its rows: {found.shares}")
     rows = df.select(_as_day(df, found.day).alias("d"), *([F.expr(f"try_cast(`{found.state}` AS INT)").alias("state")] if found.state else [])).filter("d IS NOT NULL")
     return rows.groupBy("d").agg(F.min("state").alias("state")) if found.state else rows.distinct()
+
+
+def pasted_days(spark: SparkSession, text: str) -> DataFrame:
+    """(d): the distinct days of a pasted list, parted by commas, semicolons, tabs or line feeds; what can't be read as a day goes."""
+    parts = spark.createDataFrame([(text,)], "_all string").select(F.explode(F.split("_all", "[,;\t\n]+")).alias("_raw"))
+    raw = parts.select(F.trim("_raw").alias("_raw"))
+    return raw.select(_as_day(raw, "_raw").alias("d")).filter("d IS NOT NULL").distinct()
