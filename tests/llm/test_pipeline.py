@@ -6,7 +6,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tests.llm import cases
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_near_copies import slow_groups
 from tidemark.llm import mixing, quality_rules, queries
@@ -85,3 +87,25 @@ def test_every_operator_has_a_query():
     names = list(queries.queries())
     assert [n for n in names if n.startswith("op")] and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
     assert "pipeline" in names
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, and columns with clashing names pass all stages."""
+    d = "/root/testdata/sf0.001"
+    docs = cases.documents(spark, 12).withColumns({"mix_key": F.lit(1), "quality_score": F.lit("q"), "row_key": F.lit(2), "stat_n_chars": F.lit(0)})
+    rows = docs.unionByName(docs.limit(7))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = {(r.doc_id, r.text) for r in rows.select("doc_id", "text").collect()}
+        rows = corpus_pipeline.materialise(stage(spark, rows, d), f"odd{k}")
+        assert rows.columns == docs.columns
+        assert {(r.doc_id, r.text) for r in rows.select("doc_id", "text").collect()} <= before
+    out = corpus_pipeline.STAGES[-1][1](spark, rows, d).collect()
+    assert len(out) == rows.count() and all(r.n_tokens >= 1 for r in out)
+
+
+def test_stages_take_empty_tables(spark):
+    d, rows = "/root/testdata/sf0.001", cases.empty(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, d)
+        assert rows.columns == cases.empty(spark).columns and rows.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, d).count() == 0
