@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,8 @@ def _table(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of a byte array; equal bytes have equal hashes."""
+    """64-bit numbers of the spans of a byte array, equal for equal bytes. Unequal spans can be made to collide, so they only put
+    spans together that are then compared (distinct_spans)."""
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table(_BASE, n)[:n], out=sums[1:])
@@ -121,6 +123,14 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return codes, first
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 (unsigned) of the bytes of each span; each distinct span of the piece is hashed once."""
+    codes, first = distinct_spans(data, starts, ends)
+    raw, digest = data.tobytes(), xxhash.xxh64_intdigest
+    spans = zip(starts[first].tolist(), ends[first].tolist())
+    return np.fromiter((digest(raw[s:e]) for s, e in spans), np.uint64, len(first))[codes]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows in them (nulls have no bytes)."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import buffers, map_texts, pieces, span_hashes, word_spans
+from tidemark.llm.common import buffers, distinct_spans, map_texts, pieces, word_spans
 
 #: Bytes that make up mostly decoration, in ASCII.
 SYMBOLS = b"!$%&*#|=<>{}[]~^_\\+@"
@@ -40,9 +40,7 @@ def _is(members: bytes) -> np.ndarray:
 
 
 _SYMBOL, _CAPITAL, _DIGIT, _BLANK = _is(SYMBOLS), _is(bytes(range(65, 91))), _is(b"0123456789"), _is(_BLANKS)
-_raw = [w.encode() for w in STOP_WORDS]
-_ends = np.cumsum([len(w) for w in _raw])
-_STOPS = span_hashes(np.frombuffer(b"".join(_raw), np.uint8), _ends - [len(w) for w in _raw], _ends)
+_STOPS = {w.encode() for w in STOP_WORDS}
 
 
 def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -53,8 +51,8 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     and digit_rate are a character; distinct_words, line_rate (lines that aren't empty) and stop_marks (full stops) are
     a word; stop_rate is the share of STOP_WORDS that occur, of as many as there are words at most; distinct_lines
     is a line; last_mark is 1 where the last character but blanks is one of .!? Texts without words have zeros where
-    nothing is counted. Words and lines are told apart by 64-bit hashes."""
-    n = len(at) - 1
+    nothing is counted. Words and lines are told apart by their bytes."""
+    n, raw = len(at) - 1, data.tobytes()
     edges = np.zeros(len(data) + 1, dtype=bool)
     edges[at] = True
 
@@ -68,9 +66,10 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         starts, ends, rows = word_spans(table[data], at)
         if not len(starts):
             return np.zeros(n), np.zeros(n), np.zeros(n)
-        values, code = np.unique(span_hashes(data, starts, ends), return_inverse=True)
-        each = np.unique(rows * len(values) + code)
-        owner, stop = each // len(values), np.isin(values, _STOPS)[each % len(values)]
+        code, first = distinct_spans(data, starts, ends)
+        is_stop = np.array([raw[s:e] in _STOPS for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+        each = np.unique(rows * len(first) + code)
+        owner, stop = each // len(first), is_stop[each % len(first)]
         return tuple(np.bincount(r, minlength=n).astype(float) for r in (rows, owner, owner[stop]))
 
     high = np.zeros(len(data), dtype=bool)
