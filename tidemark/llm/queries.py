@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, decontaminate, langid, licenses, lm_scoring, mixing, quality_rules, simhash, token_files, url_filter
+from tidemark.llm import (
+    ann, decontaminate, divergence, langid, licenses, lm_scoring, mixing, quality_rules, repeats, simhash, token_files, url_filter, whitening,
+)
 from tidemark.llm.sql import SQL
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package of them.
@@ -79,6 +81,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("copies", mixing.copies_of(rates["rate"], rates["doc_id"])).drop("h")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the spans of 13 words and more that a document with a smaller id has."""
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the four leading components of their exact covariance, whitened."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in the terms of all documents."""
+    return divergence.source_divergence(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline, from documents to token files."""
     import corpus_pipeline
@@ -98,6 +115,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_whitening": op12_whitening,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,
     }
 
