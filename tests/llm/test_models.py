@@ -479,3 +479,55 @@ def test_url_patterns(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
     with pytest.raises(ValueError):
         url_filter.rule_table(spark, [], [url_filter.PatternRule("*abc*", "block")])
+
+
+def colliding(n, seed=7):
+    """Different vectors of three dimensions whose XXH64, as Spark chains it over their components, is one number: the last component undoes what the others did."""
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    mask = (1 << 64) - 1
+    rol = lambda x, r: ((x << r) | (x >> (64 - r))) & mask
+    ror = lambda x, r: rol(x, 64 - r)
+
+    def step(bits, h):
+        h = (h + p5 + 8) & mask
+        h ^= rol(bits * p2 & mask, 31) * p1 & mask
+        h = (rol(h, 27) * p1 + p4) & mask
+        h = (h ^ (h >> 33)) * p2 & mask
+        h = (h ^ (h >> 29)) * p3 & mask
+        return h ^ (h >> 32)
+
+    def unstep(out, h):
+        """The bits that lead from h to out."""
+        x = out ^ (out >> 32)
+        x = x * pow(p3, -1, 1 << 64) & mask
+        x = x ^ (x >> 29) ^ (x >> 58)
+        x = x * pow(p2, -1, 1 << 64) & mask
+        x = x ^ (x >> 33)
+        x = ror((x - p4) * pow(p1, -1, 1 << 64) & mask, 27)
+        x = (x ^ ((h + p5 + 8) & mask)) * pow(p1, -1, 1 << 64) & mask
+        return ror(x, 31) * pow(p2, -1, 1 << 64) & mask
+
+    rng, found = np.random.default_rng(seed), []
+    target = 0x0123456789ABCDEF
+    while len(found) < n:
+        a, b = rng.normal(size=2).tolist()
+        h = step(int(np.float64(b).view(np.uint64)), step(int(np.float64(a).view(np.uint64)), 42))
+        c = float(np.uint64(unstep(target, h)).view(np.float64))
+        if 0.05 < abs(c) < 20:
+            found.append([a, b, c])
+    return found
+
+
+def test_vectors_whose_hashes_collide_are_all_found(spark):
+    vectors = colliding(60)
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(4)
+    assert table.select(F.xxhash64("embedding")).distinct().count() == 1
+    got = {}
+    for r in ann.search(table).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    v = np.array(vectors)
+    assert set(got) == {0, 20, 40}
+    for q, rows in got.items():
+        score = v @ v[q]
+        order = sorted((i for i in range(60) if i != q), key=lambda i: (-score[i], i))[:20]
+        assert [i for _, i, _ in sorted(rows)] == order

@@ -8,9 +8,10 @@ those tables, and what can be among the best of a block is scored again: first o
 precision that lie beside the codes (the members of a large group of near copies differ by less than four-bit codes can
 tell), then, for the best of all blocks, on the original vectors in double precision.
 
-The codebooks are fitted on a bounded sample, every vector is encoded. Codes are dealt out to pairs of a block of queries
-and a block of codes, so that no task holds all of either side; each block of queries meets all codes, as an exact answer
-for a stated query set asks for, which makes work and shuffle grow with rows times queries / query_block.
+The codebooks are fitted on a bounded sample, every vector is encoded. Queries go in blocks of a bounded size to the tasks that
+read the written codes, so that codes are never shuffled; a task gives back a few candidates for each query. Each block of
+queries meets all codes, as an answer for a stated query set asks for: what is read grows with rows times queries /
+query_block, what is shuffled with queries times tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, materialise
@@ -178,9 +179,35 @@ def scan_block(q: Quantiser, qs: pd.DataFrame, cs: pd.DataFrame, candidates: int
     return pd.concat(out, ignore_index=True)
 
 
+def _best(found: list[pd.DataFrame], keep: int) -> pd.DataFrame:
+    """The best `keep` of each query, of equal ones the least id."""
+    rows = pd.concat(found, ignore_index=True).sort_values(["query", "approx", "id", "row"], ascending=[True, False, True, True], kind="stable")
+    return rows.groupby("query", sort=False).head(keep)
+
+
+def scan(codes: DataFrame, quantiser: Quantiser, queries: list[Row], candidates: int, keep: int, code_block: int) -> DataFrame:
+    """(query, row, id, approx): what each task that reads codes has for each of a bounded block of queries (row, v)."""
+    block = pd.DataFrame({"row": [r.row for r in queries], "v": [np.array(r.v) for r in queries]})
+    sent = codes.sparkSession.sparkContext.broadcast((quantiser, block))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, qs = sent.value
+        held, size = [scan_block(q, qs.iloc[:0], qs.iloc[:0], candidates)], 0
+        for b in batches:
+            for at in range(0, b.num_rows, code_block):
+                held.append(scan_block(q, qs, b.slice(at, code_block).to_pandas(), candidates))
+                size += len(held[-1])
+            if size > 4 * keep * len(qs):
+                held = [_best(held, keep)]
+                size = len(held[0])
+        yield pa.RecordBatch.from_pandas(_best(held, keep), preserve_index=False)
+
+    return codes.mapInArrow(run, "query long, row long, id long, approx double")
+
+
 def search(
     table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    candidates: int = 64, sample: int = 8_000, query_block: int = 1024, code_block: int = 16_384,
+    candidates: int = 64, sample: int = 8_000, query_block: int = 4096, code_block: int = 16_384,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by `every`, its k nearest of all others by inner product in
     double precision, nearest first, of equal ones the least id.
@@ -189,7 +216,8 @@ def search(
     id or of a dimension other than the most common one. Every row is a candidate for every query but itself: rows that repeat
     an id are rows of their own, as queries and as candidates. Of vectors that are equal only the k + 1 least ids can be
     among the nearest, so that only those are searched for. With fewer than k candidates all are returned; an empty table gives an
-    empty result. candidates: how many of each block, and then of all, are scored again on copies and on the vectors."""
+    empty result. candidates: how many of each block of codes, and then of all, are scored again on copies and on the vectors. Extra columns
+    of any name are not looked at."""
     spark = table.sparkSession
     with Scratch(spark, "vectors") as scratch:
         rows = scratch.write(vectors(table, id_col, vector_col), "rows")
@@ -198,28 +226,27 @@ def search(
         if common is None:
             return empty
         rows = rows.filter(F.size("v") == common.d)
-        # Equal vectors (by two hashes): the least ids of each of 64 shares of them, then the least of those.
-        base = rows.select("row", "id", F.xxhash64("v").alias("g"), F.xxhash64("v", F.lit(1)).alias("h"), F.expr("pmod(xxhash64(row), 64)").alias("s"))
-        for keys in (["g", "h", "s"], ["g", "h"]):
+        # Equal vectors (their hashes only make comparing them cheap): the least ids of each of 64 shares of them, then the least of those.
+        base = rows.select("row", "id", "v", F.xxhash64("v").alias("g"), F.expr("pmod(xxhash64(row), 64)").alias("s"))
+        for keys in (["g", "v", "s"], ["g", "v"]):
             place = F.row_number().over(Window.partitionBy(*keys).orderBy("id", "row"))
             base = base.withColumn("r", place).filter(F.col("r") <= k + 1)
         base = rows.join(base.select("row"), "row", "left_semi")
 
         part = rows.select("v").orderBy(F.xxhash64("v"), "row").limit(sample)
         quantiser = train(directions(np.array([r.v for r in part.collect()]))[0])
-        sent = spark.sparkContext.broadcast(quantiser)
         codes = scratch.write(encoded(base, quantiser), "codes")
         queries = scratch.write(rows.filter(F.pmod("id", F.lit(every)) == 0), "queries")
-        n_codes, n_queries = codes.count(), queries.count()
+        n_queries = queries.count()
         if not n_queries:
             return empty
-        code_blocks, query_blocks = -(-n_codes // code_block), -(-n_queries // query_block)
-        block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-        grid = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-        left = queries.select(block(query_blocks).alias("qb"), grid(code_blocks, "cb"), "row", "v")
-        right = codes.select(grid(query_blocks, "qb"), block(code_blocks).alias("cb"), "row", "id", "norm", "code", "copy")
-        scan = lambda qs, cs: scan_block(sent.value, qs, cs, candidates)
-        found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(scan, "query long, row long, id long, approx double")
+        blocks = -(-n_queries // query_block)
+        found = None
+        for block in range(blocks):
+            asked = queries.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block).select("row", "v").collect()
+            if asked:
+                part = scratch.write(scan(codes, quantiser, asked, candidates, min(candidates, 2 * k), code_block), "found")
+                found = part if found is None else found.unionByName(part)
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approx"), "id", "row"))
         best = scratch.write(found.withColumn("r", place).filter(F.col("r") <= candidates).select("query", "row"), "best")
         exact = best.join(rows.select("row", F.col("id").alias("vec_id"), F.col("v").alias("x")), "row")
