@@ -49,7 +49,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of many texts at once, equal to the library's for each text."""
 
-    def __init__(self, tokenizer: str, most: int = 600_000):
+    def __init__(self, tokenizer: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer)
