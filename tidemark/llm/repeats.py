@@ -15,12 +15,14 @@ document has don't matter, so the graph holds the repeated ones:
    different windows were equal), all is done again with hashes of another seed. Only then are words removed.
 
 Every text is read whole. Nothing is gathered by a key that a large part of the table can share: a task sends an anchor for
-two documents at most, and a window's text once.
+two documents at most, and a window's text once. Texts are shuffled twice, compressed: for the windows, and at the end, where
+those of which nothing is repeated stay out (a filter of a fixed size tells most of them).
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,9 @@ from tidemark.llm.common import Scratch, buffers, map_texts, materialise, pieces
 #: Words are separated by these bytes.
 BLANKS = b" \t\n\v\f\r"
 _TABLE = np.array([32 if b in BLANKS else b for b in range(256)], np.uint8)
+_BLANKED = _TABLE.tobytes()
+#: Size of the filter of texts of which something is repeated.
+BITS = 1 << 27
 #: Words of an anchor (m) at most; windows of fewer words have anchors of half of them.
 ANCHOR = 6
 #: Bytes of text for each bucket of anchors, and for each part of the windows.
@@ -46,26 +51,57 @@ STRETCH = 64
 _PLACE = ["id", "h", "pos", "n", "src_id", "src_h", "src_pos"]
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, z): the id, the first 64 bits of the text's SHA-256, and the text (UTF-8), compressed. A null text counts as empty."""
+def _digest(text: bytes) -> int:
+    return int.from_bytes(hashlib.sha256(text).digest()[:8], "little", signed=True)
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str, told: bool, touched: np.ndarray | None = None) -> DataFrame:
+    """(id, h, size, z, n_words, kept): the id, where texts of an id have to be told apart the first 64 bits of the text's SHA-256 (else 0), and the text (UTF-8),
+    compressed. A null text counts as empty. With touched (the bits of `touched_bits`), rows whose bit is not set have their number of words and
+    the digest of these instead of a text."""
+    sent = None if touched is None else docs.sparkSession.sparkContext.broadcast(touched)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = buffers(b.column(1))
             raw, at = data.tobytes(), at.tolist()
             texts = [raw[s:e] for s, e in zip(at, at[1:])]
-            h = np.array([int.from_bytes(hashlib.sha256(t).digest()[:8], "little", signed=True) for t in texts], np.int64)
-            sizes = [len(t) for t in texts]
-            z = [pa.compress(t, codec="zstd", asbytes=True) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), pa.array(sizes, pa.int64()), pa.array(z, pa.binary())], names=["id", "h", "size", "z"])
+            h = np.array([_digest(t) for t in texts] if told else np.zeros(len(texts)), np.int64)
+            keep = np.ones(len(texts), bool)
+            if sent is not None:
+                bit = b.column(0).fill_null(0).to_numpy() % BITS
+                keep = (sent.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+                keep &= b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            z = [pa.compress(t, codec="zstd", asbytes=True) if k else None for t, k in zip(texts, keep.tolist())]
+            words = [None if k else _words(t) for t, k in zip(texts, keep.tolist())]
+            kept = [None if w is None else hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+            counts = [None if w is None else len(w) for w in words]
+            columns = [b.column(0), pa.array(h), pa.array([len(t) for t in texts], pa.int64()), pa.array(z, pa.binary()), pa.array(counts, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "size", "z", "n_words", "kept"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return map_texts(rows, run, "id long, h long, size long, z binary")
+    return map_texts(rows, run, "id long, h long, size long, z binary, n_words long, kept string")
+
+
+def touched_bits(places: DataFrame) -> np.ndarray:
+    """A bit for each remainder of an id by BITS: set where a place or a source has it. So many bits tell apart most ids of some ten million; with more of
+    them the filter lets more through, and in the end all."""
+    ids = places.select(F.explode(F.array("id", "src_id")).alias("id"))
+    bit = F.pmod("id", F.lit(BITS))
+    words = ids.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
+    out = np.zeros(BITS >> 6, np.int64)
+    found = words.toPandas()  # at most BITS / 64 rows
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _words(text: bytes) -> list[bytes]:
+    return [w for w in text.translate(_BLANKED).split(b" ") if w]
 
 
-def _unpacked(b: pa.RecordBatch) -> list[bytes]:
+def _unpacked(b: pa.RecordBatch) -> list[bytes | None]:
     sizes, z = b.column(b.schema.get_field_index("size")).to_pylist(), b.column(b.schema.get_field_index("z"))
-    return [pa.decompress(x.as_py(), n, codec="zstd", asbytes=True) for x, n in zip(z, sizes)]
+    return [pa.decompress(x.as_py(), n, codec="zstd", asbytes=True) if x.is_valid else None for x, n in zip(z, sizes)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -127,7 +163,7 @@ def _short(h):
     return h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
-def anchors(docs: DataFrame, buckets: int, k: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+def anchors(docs: DataFrame, buckets: int, k: int, seed: int, id_col: str, text_col: str, told: bool) -> DataFrame:
     """(bucket, ids, marks, counts, keys): for rows of one bucket (or, if it is negative, of any) that are known to be shared ids, bits of the texts' digests,
     the number of each one's anchors and, in turn, six bytes of each anchor's hash."""
 
@@ -173,8 +209,8 @@ def anchors(docs: DataFrame, buckets: int, k: int, seed: int, id_col: str, text_
             data, at = buffers(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
             raw = data.tobytes()
-            digests = (hashlib.sha256(raw[s:e]).digest()[:4] for s, e in zip(at.tolist(), at.tolist()[1:]))
-            marks = np.array([int.from_bytes(x, "little") & 0x7FFFFFFF for x in digests], np.int32)
+            spans = zip(at.tolist(), at.tolist()[1:])
+            marks = np.array([_digest(raw[s:e]) & 0x7FFFFFFF for s, e in spans] if told else np.zeros(b.num_rows), np.int32)
             for s, e in pieces(at):
                 row, _, key, where, _, _ = windows(data[at[s] : at[e]], at[s : e + 1] - at[s], k, seed)
                 new = np.ones(len(row), bool)
@@ -227,36 +263,47 @@ def shared_anchors(dealt: DataFrame, buckets: int) -> DataFrame:
     return dealt.repartition(buckets, "bucket").mapInArrow(run, "id long, mark int, keys binary")
 
 
-_RUNS = "kind int, key long, id long, h long, pos array<int>, n int, src_id long, src_h long, src_pos int, nodes array<long>"
+_HEAD, _HEAD_BYTES = "<qqqii", 32
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
-    fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), fields)], names=[name for name, _ in fields])
+def _merged(places: list[tuple]) -> list[tuple]:
+    """Places (id, h, pos, n, src_id, src_h, src_pos) of a task that follow one another, in a text and in its source, as one."""
+    out: list[list] = []
+    for i, h, pos, n, si, sh, sp in sorted(places, key=lambda p: (p[0], p[1], p[4], p[5], p[6] - p[2], p[2])):
+        if out and out[-1][:2] == [i, h] and out[-1][4:6] == [si, sh] and out[-1][6] - out[-1][2] == sp - pos and pos <= out[-1][2] + out[-1][3]:
+            out[-1][3] = max(out[-1][3], pos + n - out[-1][2])
+        else:
+            out.append([i, h, pos, n, si, sh, sp])
+    return out
 
 
 def runs(texts: DataFrame, shared: DataFrame, k: int, seed: int) -> DataFrame:
-    """Rows of _RUNS. Kind 0: windows in a row around one anchor (key), with their nodes, once for each text that a task has of the least id, and all
-    places there; src_id is the greatest id that has it. Kind 1: the other places of the task, with that one as their source; their key is any number."""
+    """(key, run, *_PLACE). With run: windows in a row around one anchor (key), once for each text that a task has of the least id: id, h, the greatest id that has it, the
+    numbers of places and of windows (_HEAD), the places, and six bytes of each node's hash. Else: other places of the task, with that one as
+    their source; their key is any number."""
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
     def sent(held: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        whole: list[tuple[int, bytes]] = []
+        other: list[tuple] = []
         for content, (key, places) in held.items():
-            nodes = np.frombuffer(content, np.int64)
+            n = len(content) // 6 - 1
             least, most = min(p[0] for p in places), max(p[0] for p in places)
             own: dict[int, list[int]] = {}
             for i, h, pos in places:
                 if i == least:
                     own.setdefault(h, []).append(pos)
             source, first = next(iter(own.items()))
-            out += [(0, key, least, h, at, len(nodes) - 1, most, None, None, nodes) for h, at in own.items()]
-            out += [(1, h ^ pos, i, h, [pos], len(nodes) - 1, least, source, first[0], None) for i, h, pos in places if i != least]
-            if len(out) > 20_000:
-                yield _batch(out, _RUNS)
-                out = []
-        if out:
-            yield _batch(out, _RUNS)
+            whole += [(key, struct.pack(_HEAD, least, h, most, len(at), n) + np.array(at, "<i4").tobytes() + content) for h, at in own.items()]
+            other += [(i, h, pos, n, least, source, first[0]) for i, h, pos in places if i != least]
+        for at in range(0, len(whole), 20_000):
+            part = whole[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(zip(*part), kinds)), *(pa.nulls(len(part), kind) for kind in kinds[2:])], names=["key", "run", *_PLACE])
+        other = _merged(other)
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
+            keys = [p[0] ^ p[2] for p in part]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.nulls(len(part), pa.binary()), *(pa.array(c, kind) for c, kind in zip(zip(*part), kinds[2:]))], names=["key", "run", *_PLACE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
@@ -283,9 +330,10 @@ def runs(texts: DataFrame, shared: DataFrame, k: int, seed: int) -> DataFrame:
                 new[1:] = (where[1:] != where[:-1]) | (word[1:] != word[:-1] + 1)
                 start = np.flatnonzero(new)
                 n = np.diff(np.append(start, len(row)))
+                six = _key_bytes(nodes)
                 values = zip(row[start].tolist(), place[start].tolist(), anchor[start].view(np.int64).tolist(), word[start].tolist(), n.tolist())
                 for r, pos, key, w, count in values:
-                    content = nodes[w : w + count + 1].tobytes()
+                    content = six[w : w + count + 1].tobytes()
                     i = fresh_rows[s + r]
                     held.setdefault(content, [key, []])[1].append((ids[i], hs[i], pos))
                 size += len(start)
@@ -296,7 +344,27 @@ def runs(texts: DataFrame, shared: DataFrame, k: int, seed: int) -> DataFrame:
 
     asked = shared.groupBy("id", "mark").agg(F.collect_list("keys").alias("keys"))
     rows = texts.filter("id IS NOT NULL").withColumn("mark", _short(F.col("h"))).join(asked, ["id", "mark"])
-    return map_texts(rows.select("id", "h", "size", "z", "keys"), run, _RUNS)
+    schema = "key long, run binary, id long, h long, pos int, n int, src_id long, src_h long, src_pos int"
+    return map_texts(rows.select("id", "h", "size", "z", "keys"), run, schema)
+
+
+def _opened(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of runs: ids, h, greatest ids, numbers of places and of windows, all places, all nodes."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    head = raw[at[:-1, None] + np.arange(_HEAD_BYTES)].reshape(len(column), -1)
+    ids, hs, most = (np.ascontiguousarray(head[:, 8 * j : 8 * j + 8]).view("<i8")[:, 0] for j in range(3))
+    many, n = (np.ascontiguousarray(head[:, 24 + 4 * j : 28 + 4 * j]).view("<i4")[:, 0].astype(np.int64) for j in range(2))
+
+    def items(begin: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+        first = np.repeat(begin - width * (np.cumsum(counts) - counts), counts) + width * np.arange(counts.sum())
+        return raw[first[:, None] + np.arange(width)]
+
+    places = np.ascontiguousarray(items(at[:-1] + _HEAD_BYTES, many, 4)).view("<i4")[:, 0].astype(np.int64)
+    nodes = np.zeros(((n + 1).sum(), 8), np.uint8)
+    nodes[:, :6] = items(at[:-1] + _HEAD_BYTES + 4 * many, n + 1, 6)
+    return ids, hs, most, many, n, places, nodes.view("<i8")[:, 0]
 
 
 _FOUND = "kind int, id long, h long, pos int, n int, src_id long, src_h long, src_pos int, nodes array<long>"
@@ -308,21 +376,18 @@ def edges(dealt: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _FOUND.split(", ")]
-        tables = []
+        held = []
         for b in batches:
             t = pa.Table.from_batches([b])
-            kind = t.column("kind").to_numpy()
-            if (kind == 1).any():
-                own = t.filter(pa.array(kind == 1))
-                yield from own.set_column(own.schema.get_field_index("pos"), "pos", pa.chunked_array([c.flatten() for c in own.column("pos").chunks], pa.int32())).select(names).to_batches()
-            tables.append(t.filter(pa.array(kind == 0)))
-        t = pa.concat_tables(tables).combine_chunks() if tables else None
-        if t is None or not t.num_rows:
+            other = t.filter(t.column("run").is_null())
+            if other.num_rows:
+                kind, none = pa.array(np.ones(other.num_rows, np.int32)), pa.nulls(other.num_rows, pa.list_(pa.int64()))
+                yield from pa.table([kind, *(other.column(c) for c in _PLACE), none], names=names).to_batches()
+            held.append(t.column("run").drop_null())
+        whole = pa.chunked_array([c for x in held for c in x.chunks], pa.binary()).combine_chunks()
+        if not len(whole):
             return
-        flat = lambda name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        ids, hs, n, most = (t.column(c).to_numpy() for c in ("id", "h", "n", "src_id"))
-        nodes, places = flat("nodes"), flat("pos")
-        many = t.column("pos").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        ids, hs, most, many, n, places, nodes = _opened(whole)
         first_place = np.cumsum(many) - many
         at = np.cumsum(n + 1) - (n + 1)  # of a row's first node
         row = np.repeat(np.arange(len(n)), n)
@@ -379,7 +444,8 @@ def edges(dealt: DataFrame, parts: int) -> DataFrame:
 
 def segments(chains: DataFrame, scratch: Scratch) -> DataFrame:
     """(path, id, h, pos, n): the graph's edges (rows of kind 3) as nonbranching segments of their sources, and the least segment of each path."""
-    nodes = chains.select("id", "h", F.col("pos").alias("chain"), (F.size("nodes") - 1).alias("last"), F.posexplode("nodes").alias("i", "node"))
+    last = (F.size("nodes") - 1).cast("int").alias("last")
+    nodes = chains.select("id", "h", F.col("pos").alias("chain"), last, F.posexplode("nodes").alias("i", "node")).repartition("node")
     enters, leaves = (F.col("i") > 0).cast("int"), (F.col("i") < F.col("last")).cast("int")
     spot = F.struct("id", "h", (F.col("chain") + F.col("i")).alias("pos"))
     whole = Window.partitionBy("node")
@@ -437,7 +503,7 @@ _OUT = "kind int, id long, h long, n_words long, n_removed long, kept string, po
 
 
 def cut(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """Rows of _OUT. Kind 0: for each row of texts (id, h, size, z) its words, how many the places (_PLACE) cover and the digest of the rest. Kinds 1 and 2: digests
+    """Rows of _OUT. Kind 0: for each row of texts (see `packed`) its words, how many the places (_PLACE) cover and the digest of the rest. Kinds 1 and 2: digests
     of the words of each place and of each source."""
     todo = F.struct("pos", "n", "src_id", "src_h", "src_pos")
     asked = places.select(F.col("src_id").alias("id"), F.col("src_h").alias("h"), F.col("src_pos").alias("pos"), "n").distinct()
@@ -446,11 +512,14 @@ def cut(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        blank = bytes(_TABLE.tobytes())
         for b in batches:
             out: list[tuple] = []
-            for i, h, text, tasks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _unpacked(b), b.column(b.schema.get_field_index("todo"))):
-                words = [w for w in text.translate(blank).split(b" ") if w]
+            of = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
+            for i, h, text, tasks, n_words, known in zip(of("id"), of("h"), _unpacked(b), b.column(b.schema.get_field_index("todo")), of("n_words"), of("kept")):
+                if text is None:
+                    out.append((0, i, h, n_words, 0, known, None, None, None, None, None, None))
+                    continue
+                words = _words(text)
                 change = np.zeros(len(words) + 1, np.int64)
                 for t in tasks.as_py() or ():
                     s, e = t["pos"], t["pos"] + t["n"] + k - 1
@@ -467,7 +536,7 @@ def cut(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=[c.split()[0] for c in _OUT.split(", ")])
 
-    rows = texts.join(rows, ["id", "h"], "left").select("id", "h", "size", "z", "todo")
+    rows = texts.join(rows, ["id", "h"], "left").select("id", "h", "size", "z", "n_words", "kept", "todo")
     return map_texts(rows, run, _OUT)
 
 
@@ -478,12 +547,12 @@ def differing(out: DataFrame) -> DataFrame:
     return place.join(source, ["src_id", "src_h", "src_pos", "n"], "left").filter(~F.col("one").eqNullSafe(F.col("other")))
 
 
-def repeated_places(docs: DataFrame, scratch: Scratch, k: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+def repeated_places(docs: DataFrame, scratch: Scratch, k: int, seed: int, id_col: str, text_col: str, told: bool) -> DataFrame:
     """(_PLACE, path): windows in a row of a row's text that a document with a smaller id has, the place of the source and their path. n counts windows."""
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
     buckets, parts = 1 + size // BUCKET_BYTES, 1 + size // PART_BYTES
-    shared = shared_anchors(anchors(docs, buckets, k, seed, id_col, text_col), buckets)
-    found = scratch.write(edges(runs(packed(docs, id_col, text_col), shared, k, seed), parts), "found")
+    shared = shared_anchors(anchors(docs, buckets, k, seed, id_col, text_col, told), buckets)
+    found = scratch.write(edges(runs(packed(docs, id_col, text_col, told), shared, k, seed), parts), "found")
     known = segments(found.filter("kind = 3").select("id", "h", "pos", "nodes"), scratch)
     later = scratch.write(on_paths(merged(found.filter("kind = 2").select(*_PLACE)), known), "later")
     again = on_paths(merged(found.filter("kind = 4").select(*_PLACE)), known)
@@ -497,10 +566,12 @@ def repeated_places(docs: DataFrame, scratch: Scratch, k: int, seed: int, id_col
 def _verified(docs: DataFrame, k: int, id_col: str, text_col: str, spans: bool) -> DataFrame:
     if k < 2:
         raise ValueError("a window has two words at least")
+    # Only where an id is not a row's own do texts have to be told apart.
+    told = not docs.groupBy(F.col(id_col).cast("long").alias("id")).count().filter("id IS NOT NULL AND count > 1").isEmpty()
     for seed in range(1, 6):
         with Scratch(docs.sparkSession, "repeats") as scratch:
-            places = repeated_places(docs, scratch, k, seed, id_col, text_col)
-            out = scratch.write(cut(packed(docs, id_col, text_col), places, k), "cut")
+            places = repeated_places(docs, scratch, k, seed, id_col, text_col, told)
+            out = scratch.write(cut(packed(docs, id_col, text_col, told, touched_bits(places)), places, k), "cut")
             if not differing(out).isEmpty():
                 continue
             if spans:
