@@ -131,6 +131,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return np.fromiter((digest(raw[s:e]) for s, e in spans), np.uint64, len(first))[codes]
 
 
+def rolling(h: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Polynomial combinations of k hashes in a row, from each of the first n on; those that would pass the end hold what is left."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _table(_BASE, len(h))[: len(h)], out=sums[1:])
+    at = np.arange(n)
+    return (sums[np.minimum(at + k, len(h))] - sums[:n]) * _table(_INVERSE, n)[:n]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows in them (nulls have no bytes)."""
     if isinstance(column, pa.ChunkedArray):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import Scratch, buffers, map_texts, materialise, pieces, text_of, word_hashes, word_spans
+from tidemark.llm.common import Scratch, buffers, map_texts, materialise, pieces, rolling, text_of, word_hashes, word_spans
 
 #: Words are separated by these bytes.
 BLANKS = b" \t\n\v\f\r"
@@ -110,17 +110,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def rolled(h: np.ndarray, k: int, n: int) -> np.ndarray:
-    """Hashes of the first n sequences of k words (those that would pass the end wrap around and mean nothing)."""
-    total = np.zeros(n, np.uint64)
-    for j in range(k):
-        total += np.roll(h, -j)[:n] * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
-    return _mixed(total)
-
-
-def windows(data: np.ndarray, at: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, ...]:
+def windows(data: np.ndarray, at: np.ndarray, k: int, seed: int, with_nodes: bool = True) -> tuple[np.ndarray, ...]:
     """For the windows of a piece, in order: row, place of the first word in its text, hash of the anchor and the place of the anchor in the piece;
-    last the places of the first words in the piece and the hashes of all nodes there."""
+    last the places of the first words in the piece and, if asked for, the hashes of all nodes there."""
     data = _TABLE[data]
     starts, ends, rows = word_spans(data, at)
     n = len(starts)
@@ -129,7 +121,7 @@ def windows(data: np.ndarray, at: np.ndarray, k: int, seed: int) -> tuple[np.nda
         return none, none, none.astype(np.uint64), none, none, none.astype(np.uint64)
     h = _mixed(word_hashes(data, starts, ends) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
     m = min(ANCHOR, max(1, k // 2))
-    grams = rolled(h, m, n)
+    grams = _mixed(rolling(h, m, n))
     least, where = grams[: n - k + 1].copy(), np.arange(n - k + 1)
     for j in range(1, k - m + 1):
         other = grams[j : j + n - k + 1]
@@ -138,7 +130,8 @@ def windows(data: np.ndarray, at: np.ndarray, k: int, seed: int) -> tuple[np.nda
     whole = np.flatnonzero(rows[: n - k + 1] == rows[k - 1 :])
     per = np.bincount(rows, minlength=len(at) - 1)
     first = np.cumsum(per) - per
-    return rows[whole], whole - first[rows[whole]], least[whole], where[whole], whole, rolled(h, k - 1, n)
+    nodes = _mixed(rolling(h, k - 1, n)) if with_nodes else grams[:0]
+    return rows[whole], whole - first[rows[whole]], least[whole], where[whole], whole, nodes
 
 
 def _short_pieces(at: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -212,7 +205,7 @@ def anchors(docs: DataFrame, buckets: int, k: int, seed: int, id_col: str, text_
             spans = zip(at.tolist(), at.tolist()[1:])
             marks = np.array([_digest(raw[s:e]) & 0x7FFFFFFF for s, e in spans] if told else np.zeros(b.num_rows), np.int32)
             for s, e in pieces(at):
-                row, _, key, where, _, _ = windows(data[at[s] : at[e]], at[s : e + 1] - at[s], k, seed)
+                row, _, key, where, _, _ = windows(data[at[s] : at[e]], at[s : e + 1] - at[s], k, seed, False)
                 new = np.ones(len(row), bool)
                 new[1:] = where[1:] != where[:-1]
                 held.append((key[new], ids[s + row[new]], marks[s + row[new]]))
@@ -228,7 +221,7 @@ def anchors(docs: DataFrame, buckets: int, k: int, seed: int, id_col: str, text_
 
 
 def shared_anchors(dealt: DataFrame, buckets: int) -> DataFrame:
-    """(id, mark, keys): anchors of each document that another document has too; a document may have several rows."""
+    """(id, mark, key): the anchors of documents that another document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, marks, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
@@ -250,17 +243,13 @@ def shared_anchors(dealt: DataFrame, buckets: int) -> DataFrame:
         end = np.append(start[1:], len(key))
         several = ids[end - 1] != ids[start]
         keep = np.repeat(several, end - start) | known
+        # Rows of a document stand together, which makes them small when they are shuffled.
         key, ids, marks = key[keep], ids[keep], marks[keep]
         order = np.lexsort((marks, ids))
-        key, ids, marks = key[order], ids[order], marks[order]
-        doc = np.ones(len(key), bool)
-        doc[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
-        doc = np.flatnonzero(doc)
-        edges, six = np.append(doc, len(key)).tolist(), _key_bytes(key)
-        keys = pa.array([six[s:e].tobytes() for s, e in zip(edges, edges[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(marks[doc]), keys], names=["id", "mark", "keys"])
+        columns = [pa.array(c[order]) for c in (ids, marks, key.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "key"])
 
-    return dealt.repartition(buckets, "bucket").mapInArrow(run, "id long, mark int, keys binary")
+    return dealt.repartition(buckets, "bucket").mapInArrow(run, "id long, mark int, key long")
 
 
 _HEAD, _HEAD_BYTES = "<qqqii", 32
@@ -321,7 +310,7 @@ def runs(texts: DataFrame, shared: DataFrame, k: int, seed: int) -> DataFrame:
             for s, e in _short_pieces(at):
                 row, place, anchor, where, word, nodes = windows(data[at[s] : at[e]], at[s : e + 1] - at[s], k, seed)
                 # Rows of a piece are told apart in the upper bits.
-                of = [np.concatenate([_keys(x) for x in wanted[i].as_py()]) | np.uint64((j - s) << 48) for j, i in enumerate(fresh_rows[s:e], s)]
+                of = [wanted[i].values.to_numpy().view(np.uint64) | np.uint64((j - s) << 48) for j, i in enumerate(fresh_rows[s:e], s)]
                 if not of or not len(row):
                     continue
                 keep = np.isin((anchor & np.uint64(_SIX)) | (row.astype(np.uint64) << np.uint64(48)), np.concatenate(of))
@@ -342,7 +331,7 @@ def runs(texts: DataFrame, shared: DataFrame, k: int, seed: int) -> DataFrame:
                     held, size = {}, 0
         yield from sent(held)
 
-    asked = shared.groupBy("id", "mark").agg(F.collect_list("keys").alias("keys"))
+    asked = shared.groupBy("id", "mark").agg(F.collect_list("key").alias("keys"))
     rows = texts.filter("id IS NOT NULL").withColumn("mark", _short(F.col("h"))).join(asked, ["id", "mark"])
     schema = "key long, run binary, id long, h long, pos int, n int, src_id long, src_h long, src_pos int"
     return map_texts(rows.select("id", "h", "size", "z", "keys"), run, schema)
