@@ -269,7 +269,7 @@ def test_manifest_states_and_prompt(spark, tmp_path):
     prompt = tmp_path / "prompt.md"
     prompt.write_text("---\nversion: 2\n---\nSay why.\n")
     (r,) = store.load_prompt(spark, str(prompt)).collect()
-    assert r.prompt == "Say why.\n" and r.sha16 == hashlib.sha256(b"Say why.\n").hexdigest()[:16]
+    assert r.prompt == "Say why." and r.sha16 == hashlib.sha256(prompt.read_bytes()).hexdigest()[:16]
     with pytest.raises(FileNotFoundError):
         store.load_prompt(spark, str(tmp_path / "none.md"))
 
@@ -284,7 +284,7 @@ def test_scores_of_documents_in_several_rows(spark):
 
 
 def test_timed_rows_and_pasted_days(spark):
-    text = "# t\n| **0:00\u20130:10** | a | one two *three* |\n| **0:12-0:20** | 3 seconds of silence | `x` \u2026 y |\n| not timed | a | b |\n| **0:20-0:21** | c | four five six |"
+    text = "# t\n| **0:00\u20130:10** | a | one two *three* |\n| **0:12-0:20** | 3 seconds of silence | `x` \u2026 y |\n| not timed | a | b |\n| **0:20-0:21** | c | four | five six |"
     df = spark.createDataFrame([(1, text), (2, "none")], "script_id int, text string")
     rows = timed.timed_rows(df)
     got = [(r.start, r.end, r.words, r.seconds, r.gap, r.too_fast) for r in rows.orderBy("pos").collect()]

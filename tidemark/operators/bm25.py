@@ -10,6 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.windows import ranked
 
 
 def postings(docs: DataFrame, terms: str = "terms", doc: str = "doc_id", by: Sequence[str] = ()) -> DataFrame:
@@ -21,12 +24,12 @@ def postings(docs: DataFrame, terms: str = "terms", doc: str = "doc_id", by: Seq
 BROADCAST = 500_000
 
 
-def scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, query: str = "query_id", doc: str = "doc_id", terms: str = "terms", by: Sequence[str] = ()) -> DataFrame:
-    """(*by, query, doc, score) for pairs with a common term. idf = ln(1 + (N - df + 0.5) / (df + 0.5)) with N documents of the pool (`by`); a term that a
+def scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, query: str = "query_id", doc: str = "doc_id", terms: str = "terms", by: Sequence[str] = (), per: Sequence[str] = ()) -> DataFrame:
+    """(*by, *per, query, doc, score) for pairs with a common term. per: columns of queries alone, such as variants of a query that meet the same documents. idf = ln(1 + (N - df + 0.5) / (df + 0.5)) with N documents of the pool (`by`); a term that a
     query repeats counts as often; a document without terms counts in N and in the mean length. A query or document may be spread over several rows,
     whose terms are its own. Only terms that a query asks for are counted in documents."""
-    by = list(by)
-    asked = postings(queries, terms, query, by).withColumnRenamed("tf", "qf")
+    by, per = list(by), list(per)
+    asked = postings(queries, terms, query, [*by, *per]).withColumnRenamed("tf", "qf")
     small = asked.count() <= BROADCAST
     asked = F.broadcast(asked) if small else asked
     wanted = asked.select(*by, "term").distinct()
@@ -39,7 +42,7 @@ def scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75
     rows = rows.join(pool, by) if by else rows.crossJoin(F.broadcast(pool))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    return rows.groupBy(*by, query, doc).agg(F.sum(F.col("qf") * idf * F.col("tf") * (k1 + 1) / norm).alias("score"))
+    return rows.groupBy(*by, *per, query, doc).agg(F.sum(F.col("qf") * idf * F.col("tf") * (k1 + 1) / norm).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id", by: Sequence[str] = (), digits: int = 9) -> DataFrame:
@@ -48,28 +51,38 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def match_ranks(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id", by: Sequence[str] = (), digits: int = 9) -> DataFrame:
-    """(*by, query, n_candidates, rank, predicted, score): for each query whose id is also a document's, where that document ranks among all documents of
+def _places(ids: DataFrame, doc: str, by: Sequence[str]) -> DataFrame:
+    """(*by, doc, place, n_candidates) of distinct ids, counted by ranges of ids, so that no task orders a whole pool."""
+    kind = ids.schema[doc].dataType
+    if isinstance(kind, T.NumericType):
+        bucket = F.floor(F.col(doc) / 4096)
+    else:
+        bucket = F.substring(doc, 1, 7) if isinstance(kind, T.StringType) else F.date_trunc("month", doc) if isinstance(kind, (T.DateType, T.TimestampType)) else F.lit(0)
+    return ranked(ids, bucket, [doc], by).select(*by, doc, (F.col("_i") + 1).alias("place"), F.col("_n").alias("n_candidates"))
+
+
+def match_ranks(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id", by: Sequence[str] = (), digits: int = 9, per: Sequence[str] = ()) -> DataFrame:
+    """(*by, *per, query, n_candidates, rank, predicted, score): for each query whose id is also a document's, where that document ranks among all documents of
     the pool by score and then id, and which comes first. Documents without a common term have score zero and are ranked without being paired: the rank
-    follows from the better ones and from how many ids come before."""
-    by = list(by)
-    s = scores(queries, docs, query=query, doc=doc, by=by).withColumn("score", F.round("score", digits)).filter(F.col("score") > 0)
+    follows from the better ones and from how many ids come before. per: columns of queries alone, not null: variants that share the pool's documents."""
+    by, per = list(by), list(per)
+    s = scores(queries, docs, query=query, doc=doc, by=by, per=per).withColumn("score", F.round("score", digits)).filter(F.col("score") > 0)
     ids = docs.select(*by, doc).distinct()
-    place = ids.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(doc))).withColumn("n_candidates", F.count("*").over(Window.partitionBy(*by)))
-    own = queries.select(*by, query).distinct().join(place.withColumnRenamed(doc, query), [*by, query])
-    truth = s.filter(F.col(query) == F.col(doc)).select(*by, query, F.col("score").alias("own"))
-    own = own.join(truth, [*by, query], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-    pairs = s.join(own.select(*by, query, "own"), [*by, query])
-    better = pairs.groupBy(*by, query).agg(
+    keys = [*by, *per, query]
+    own = queries.select(*keys).distinct().join(_places(ids, doc, by).withColumnRenamed(doc, query), [*by, query])
+    truth = s.filter(F.col(query) == F.col(doc)).select(*keys, F.col("score").alias("own"))
+    own = own.join(truth, keys, "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    pairs = s.join(own.select(*keys, "own"), keys)
+    better = pairs.groupBy(*keys).agg(
         F.count_if((F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col(doc) < F.col(query)))).alias("above"),
         F.count_if(F.col(doc) < F.col(query)).alias("scored_before"),
         F.min(F.struct(-F.col("score"), doc)).alias("best"),
     )
-    out = own.join(better, [*by, query], "left")
+    out = own.join(better, keys, "left")
     zero_before = F.when(F.col("own") > 0, F.lit(0)).otherwise(F.col("place") - 1 - F.coalesce("scored_before", F.lit(0)))
     first = ids.groupBy(*by).agg(F.min(doc).alias("_first"))
     out = out.join(first, by) if by else out.crossJoin(F.broadcast(first))
-    return out.select(*by, query, "n_candidates", (F.coalesce("above", F.lit(0)) + zero_before + 1).alias("rank"), F.coalesce(F.col(f"best.{doc}"), F.col("_first")).alias("predicted"), F.col("own").alias("score"))
+    return out.select(*keys, "n_candidates", (F.coalesce("above", F.lit(0)) + zero_before + 1).alias("rank"), F.coalesce(F.col(f"best.{doc}"), F.col("_first")).alias("predicted"), F.col("own").alias("score"))
 
 
 def match_summary(ranks: DataFrame, by: Sequence[str] = (), query: str = "query_id") -> DataFrame:

@@ -15,15 +15,17 @@ from tidemark.operators import bm25
 LENGTHS = (60, 120, 200, 400, 800, None)
 
 
-def proxy_terms(generation: DataFrame, words: int | None, text: str = "text", by: str = "boundary", order: Sequence[str] = ("published", "item_id"), seed: int = 7) -> DataFrame:
-    """(by, terms): terms of `words` words in a row of each window's items in order, from a place that a hash of seed, words and window
+def proxy_terms(
+    generation: DataFrame, words: int | None, text: str = "text", by: str = "boundary", order: Sequence[str] = ("published", "item_id"), seed: int = 7, arms: Sequence[str] = (),
+) -> DataFrame:
+    """(*arms, by, terms): for each window, within columns that tell arms apart, terms of `words` words in a row of each window's items in order, from a place that a hash of seed, words and window
     chooses; of all where words is None or there are no more. Items are cut where the slice begins and ends, so that a window's text is
     never one row unless the slice is short; whole halves stay one row an item."""
     plain = generation.withColumn("_w", F.filter(F.split(squeeze(F.coalesce(F.col(text), F.lit(""))), " "), lambda w: w != ""))
     if words is None:
-        return plain.select(by, tokens(strip_identifying(F.array_join("_w", " "))).alias("terms"))
-    run = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sized = plain.withColumn("_n", F.size("_w")).withColumns({"_to": F.sum("_n").over(run), "_all": F.sum("_n").over(Window.partitionBy(by))})
+        return plain.select(*arms, by, tokens(strip_identifying(F.array_join("_w", " "))).alias("terms"))
+    run = Window.partitionBy(*arms, by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sized = plain.withColumn("_n", F.size("_w")).withColumns({"_to": F.sum("_n").over(run), "_all": F.sum("_n").over(Window.partitionBy(*arms, by))})
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(words)), F.col(by).cast("string")))
     spare = F.col("_all") - words
     start = F.when(spare > 0, F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.greatest(spare, F.lit(1))).otherwise(0)
@@ -32,34 +34,49 @@ def proxy_terms(generation: DataFrame, words: int | None, text: str = "text", by
     cut = sized.withColumns({"_s": low, "_e": high}).filter(F.col("_s") < F.col("_e"))
     part = F.array_join(F.slice("_w", (F.col("_s") + 1).cast("int"), (F.col("_e") - F.col("_s")).cast("int")), " ")
     # At most `words` words of each window: put in order, so that dates that two items share are found.
-    whole = cut.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, part.alias("_p")))).alias("_all"))
-    return whole.select(by, tokens(strip_identifying(F.array_join(F.transform("_all", lambda x: x["_p"]), " "))).alias("terms"))
+    whole = cut.groupBy(*arms, by).agg(F.array_sort(F.collect_list(F.struct(*order, part.alias("_p")))).alias("_all"))
+    return whole.select(*arms, by, tokens(strip_identifying(F.array_join(F.transform("_all", lambda x: x["_p"]), " "))).alias("terms"))
 
 
-def _ranks(windowed: DataFrame, words: int | None, text: str, by: str, seed: int) -> DataFrame:
+def ranks(windowed: DataFrame, arms: Column, lengths: Sequence[int | None] = LENGTHS, text: str = "text", by: str = "boundary", seed: int = 7) -> DataFrame:
+    """(arm, words, query_id, n_candidates, rank, predicted) for stand-ins of each length (null: the whole half) in each arm; windowed has a role for each
+    item, and arms gives the names of the arms (an array) that a row is in. Windows without text in either half leave an arm's pool. All arms and
+    lengths share one index: the arm is part of its key, and the lengths of a window's stand-in meet the same documents."""
     said = F.trim(F.coalesce(F.col(text), F.lit(""))) != ""
-    halves = windowed.filter(said)
-    both = halves.filter("role = 'generation'").select(by).intersect(halves.filter("role = 'holdout'").select(by))
-    asked = proxy_terms(halves.filter("role = 'generation'").join(both, by, "left_semi"), words, text, by, seed=seed)
-    held = halves.filter("role = 'holdout'").join(both, by, "left_semi")
-    return bm25.match_ranks(asked.withColumnRenamed(by, "query_id"), held.select(F.col(by).alias("doc_id"), tokens(F.col(text)).alias("terms")))
+    rows = windowed.filter(said).withColumn("arm", F.explode(arms))
+    halves = {role: rows.filter(F.col("role") == role) for role in ("generation", "holdout")}
+    both = halves["generation"].select("arm", by).intersect(halves["holdout"].select("arm", by))
+    told, held = (halves[role].join(both, ["arm", by], "left_semi") for role in ("generation", "holdout"))
+    asked = None
+    for n in lengths:
+        one = proxy_terms(told, n, text, by, seed=seed, arms=["arm"]).withColumn("words", F.lit(n or 0))  # 0: a key can't be null
+        asked = one if asked is None else asked.unionByName(one)
+    docs = held.select("arm", F.col(by).alias("doc_id"), tokens(F.col(text)).alias("terms"))
+    out = bm25.match_ranks(asked.withColumnRenamed(by, "query_id"), docs, by=["arm"], per=["words"])
+    return out.select("arm", F.when(F.col("words") > 0, F.col("words")).alias("words"), "query_id", "n_candidates", "rank", "predicted")
+
+
+def summary(ranked: DataFrame, draws: int = 4000, seed: int = 7) -> DataFrame:
+    """Per arm and length: accuracy, chance, mean reciprocal rank, share in the top three, and the permutation p (ranks: see `ranks`)."""
+    by = ["arm", "words"]
+    rows = ranked.withColumn("words", F.coalesce("words", F.lit(0)))
+    p = bm25.permutation_p(rows, draws, seed, by=by).select(*by, "n_as_good", "p")
+    out = bm25.match_summary(rows, by=by).join(p, by)
+    return out.withColumn("words", F.when(F.col("words") > 0, F.col("words")))
 
 
 def length_sweep(windowed: DataFrame, lengths: Sequence[int | None] = LENGTHS, text: str = "text", by: str = "boundary", seed: int = 7) -> DataFrame:
-    """(words, query_id, n_candidates, rank, predicted) for stand-ins of each length (null: the whole half); windowed has a role for each item.
-    Windows without text in either half leave the pool."""
-    out = None
-    for n in lengths:
-        one = _ranks(windowed, n, text, by, seed).select(F.lit(n).cast("int").alias("words"), "query_id", "n_candidates", "rank", "predicted")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(words, query_id, n_candidates, rank, predicted) for stand-ins of each length (null: the whole half)."""
+    return ranks(windowed, F.array(F.lit("all")), lengths, text, by, seed).drop("arm")
 
 
 def section_arms(windowed: DataFrame, inside: Column, text: str = "text", by: str = "boundary") -> DataFrame:
     """(arm, query_id, n_candidates, rank, predicted) with whole halves of all items, of those `inside` holds for, and of the rest."""
-    holds = F.coalesce(inside, F.lit(False))
-    out = None
-    for arm, keep in (("all", F.lit(True)), ("inside", holds), ("outside", ~holds)):
-        one = _ranks(windowed.filter(keep), None, text, by, 7).select(F.lit(arm).alias("arm"), "query_id", "n_candidates", "rank", "predicted")
-        out = one if out is None else out.unionByName(one)
-    return out
+    side = F.when(F.coalesce(inside, F.lit(False)), "inside").otherwise("outside")
+    return ranks(windowed, F.array(F.lit("all"), side), (None,), text, by).drop("words")
+
+
+def pools(windowed: DataFrame, kind: str = "kind", lengths: Sequence[int | None] = LENGTHS, text: str = "text", by: str = "boundary") -> DataFrame:
+    """(arm, words, query_id, n_candidates, rank, predicted) with transitions alone, controls alone, and all windows."""
+    own = F.when(F.col(kind) == "transition", "transitions_only").otherwise("placebos_only")
+    return ranks(windowed, F.array(F.lit("all_windows"), own), lengths, text, by)

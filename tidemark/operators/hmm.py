@@ -69,33 +69,61 @@ def _posteriors(start: np.ndarray, move: np.ndarray, dens: np.ndarray) -> tuple[
     return gamma, xi, (np.log(scale) + top).sum(1)
 
 
+#: Forms of the states' covariances: any; no correlations; one for all states; one variance for all columns of a state.
+FORMS = ("full", "diag", "tied", "spherical")
+
+
+def _known(form: str) -> str:
+    if form not in FORMS:
+        raise ValueError(f"covariances are one of {', '.join(FORMS)}, not {form!r}")
+    return form
+
+
+def shaped(scatters: np.ndarray, weights: np.ndarray, form: str, ridge: float = 1e-3) -> np.ndarray:
+    """Covariances (states x columns x columns) of a form from the states' weighted scatters about their means: those of the greatest likelihood, but for a
+    ridge that is worth as much as `ridge` rows of variance one."""
+    d = scatters.shape[1]
+    if form == "tied":
+        one = scatters.sum(0) + ridge * np.eye(d)
+        return np.repeat(one[None] / weights.sum(), len(scatters), axis=0)
+    covs = (scatters + ridge * np.eye(d)) / weights[:, None, None]
+    if form == "full":
+        return covs
+    own = np.einsum("kii->ki", covs)
+    if form == "spherical":
+        own = np.repeat(own.mean(1, keepdims=True), d, axis=1)
+    return own[:, :, None] * np.eye(d)
+
+
 class GaussianHmm:
-    """Full covariances; fitted by expectation-maximisation from a seeded start."""
+    """Fitted by expectation-maximisation from a seeded start; covariances of one of FORMS."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, means: np.ndarray, covs: np.ndarray):
-        self.start, self.move, self.means, self.covs = start, move, means, covs
+    def __init__(self, start: np.ndarray, move: np.ndarray, means: np.ndarray, covs: np.ndarray, form: str = "full"):
+        self.start, self.move, self.means, self.covs, self.form = start, move, means, covs, _known(form)
         self.log_likelihoods: list[float] = []
 
     @classmethod
-    def fit(cls, x: np.ndarray, states: int = 2, seed: int = 0, rounds: int = 200, tolerance: float = 1e-2) -> GaussianHmm:
-        return cls.fit_all(x, states, [seed], rounds, tolerance)[0]
+    def fit(cls, x: np.ndarray, states: int = 2, seed: int = 0, rounds: int = 200, tolerance: float = 1e-2, form: str = "full") -> GaussianHmm:
+        return cls.fit_all(x, states, [seed], rounds, tolerance, form)[0]
 
     @classmethod
-    def _begin(cls, x: np.ndarray, states: int, seed: int) -> GaussianHmm:
+    def _begin(cls, x: np.ndarray, states: int, seed: int, form: str = "full") -> GaussianHmm:
         rng, (n, d) = np.random.default_rng(seed), x.shape
         near = ((x[:, None, :] - x[rng.choice(n, states, replace=False)][None]) ** 2).sum(-1).argmin(1)
         for _ in range(20):
             centres = np.stack([x[near == k].mean(0) if (near == k).any() else x[rng.integers(n)] for k in range(states)])
             near = ((x[:, None, :] - centres[None]) ** 2).sum(-1).argmin(1)
         covs = np.stack([np.cov(x.T, ddof=0).reshape(d, d) + 1e-3 * np.eye(d)] * states)
+        if form in ("diag", "spherical"):
+            covs = shaped(covs, np.ones(states), form, 0.0)
         rest = 0.1 / max(1, states - 1)
-        return cls(np.full(states, 1 / states), np.full((states, states), rest) + np.eye(states) * (0.9 - rest), centres, covs)
+        return cls(np.full(states, 1 / states), np.full((states, states), rest) + np.eye(states) * (0.9 - rest), centres, covs, form)
 
     @classmethod
-    def fit_all(cls, x: np.ndarray, states: int, seeds: Sequence[int], rounds: int = 200, tolerance: float = 1e-2) -> list[GaussianHmm]:
+    def fit_all(cls, x: np.ndarray, states: int, seeds: Sequence[int], rounds: int = 200, tolerance: float = 1e-2, form: str = "full") -> list[GaussianHmm]:
         """A model for each seed. Their recursions run side by side, so that a step of all costs little more than a step of one; a model
         that has settled is left as it is."""
-        models = [cls._begin(x, states, s) for s in seeds]
+        models = [cls._begin(x, states, s, _known(form)) for s in seeds]
         live = list(models)
         for _ in range(rounds):
             if not live:
@@ -117,9 +145,8 @@ class GaussianHmm:
         self.start = gamma[0] / gamma[0].sum()
         self.move = xi / np.maximum(xi.sum(1, keepdims=True), 1e-300)
         self.means = gamma.T @ x / weight[:, None]
-        for k in range(len(weight)):
-            r = x - self.means[k]
-            self.covs[k] = (gamma[:, k, None] * r).T @ r / weight[k] + 1e-3 / weight[k] * np.eye(x.shape[1])
+        gaps = [x - m for m in self.means]
+        self.covs = shaped(np.stack([(gamma[:, k, None] * r).T @ r for k, r in enumerate(gaps)]), weight, self.form)
 
     def _logs(self) -> tuple[np.ndarray, np.ndarray]:
         return np.log(np.clip(self.start, 1e-300, None)), np.log(np.clip(self.move, 1e-300, None))
@@ -157,10 +184,11 @@ def _scaled(x: np.ndarray, fitted: np.ndarray) -> np.ndarray:
     return (x - fitted.mean(0)) / np.where(std > 0, std, 1.0)
 
 
-def walk_forward(features: DataFrame, columns: Sequence[str], level: str, train: int = 756, test: int = 126, seeds: Sequence[int] = (42,), states: int = 2, rounds: int = 200, by: Sequence[str] = ("asset",), order: str = "d") -> DataFrame:
+def walk_forward(features: DataFrame, columns: Sequence[str], level: str, train: int = 756, test: int = 126, seeds: Sequence[int] = (42,), states: int = 2, rounds: int = 200, by: Sequence[str] = ("asset",), order: str = "d", form: str = "full") -> DataFrame:
     """(*by, seed, fold, d, stressed_prob, state, converged, error): filtered states of the test rows of each fold. The filter runs over the training rows
     first, so that it is warm; means and deviations are those of the training rows. A fold that can't be fitted gives one row with the
     error and no day; one that finds a single state is kept and says so."""
+    _known(form)
     names = list(dict.fromkeys([*columns, level]))
     rows = fan_out(number_rows(features.select(*by, order, *names), by, order), train, test, by)
     keys = [*by, "fold"]
@@ -173,14 +201,14 @@ def walk_forward(features: DataFrame, columns: Sequence[str], level: str, train:
         head = {c: part[c].iloc[0] for c in keys}
         z = _scaled(x, x[inside])
         try:
-            models = GaussianHmm.fit_all(z[inside], states, list(seeds), rounds)
+            models = GaussianHmm.fit_all(z[inside], states, list(seeds), rounds, form=form)
         except FAILURES:  # one seed's start can fail where the others do not
             models = [None] * len(seeds)
         return pd.concat([told(part, inside, z, {"seed": int(s)} | head, m) for s, m in zip(seeds, models)], ignore_index=True)
 
     def told(part: pd.DataFrame, inside: np.ndarray, z: np.ndarray, head: dict, model: GaussianHmm | None) -> pd.DataFrame:
         try:
-            model = model or GaussianHmm.fit(z[inside], states, head["seed"], rounds)
+            model = model or GaussianHmm.fit(z[inside], states, head["seed"], rounds, form=form)
             path = model.viterbi(z[inside])
             stressed = stressed_state(path, part[level].to_numpy(float)[inside], states)
             prob = model.filtered(z)[:, stressed][~inside]

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import normal
+from tidemark.functions.tails import beta_inc
 from tidemark.operators.separation import draw
 
 Z_975 = 1.959963984540054
@@ -52,18 +55,28 @@ def binomial_tail(df: DataFrame, k: str, n: str, p: float | str = 0.5, two_sided
     return df.withColumn(name, F.least(F.lit(1.0), 2 * total) if two_sided else F.least(F.lit(1.0), total))
 
 
-def wilson(x: Column, n: Column, z: float = Z_975) -> tuple[Column, Column]:
+def _z(alpha: float | Column | None) -> Column | float:
+    """The two-sided normal quantile of a level; of 0.05 where none is given."""
+    if isinstance(alpha, Column):
+        return normal.quantile(1 - alpha / 2)
+    return Z_975 if alpha is None else NormalDist().inv_cdf(1 - alpha / 2)
+
+
+def wilson(x: Column, n: Column, z: float | Column = Z_975) -> tuple[Column, Column]:
     p, m = x / n, 1 + z * z / n
     middle, half = (p + z * z / (2 * n)) / m, z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / m
     return middle - half, middle + half
 
 
-def newcombe(df: DataFrame, x1: str, n1: str, x0: str, n0: str, z: float = Z_975) -> DataFrame:
-    """diff, low, high of p1 - p0 by the hybrid of Wilson's intervals."""
+def newcombe(df: DataFrame, x1: str, n1: str, x0: str, n0: str, z: float | Column = Z_975, alpha: float | Column | None = None) -> DataFrame:
+    """diff, low, high of p1 - p0 by the hybrid of Wilson's intervals, at the level alpha (a number or a column), or for the quantile z."""
+    z = z if alpha is None else _z(alpha)
+    if isinstance(z, Column):  # taken once, and not in each of the places where it stands
+        df, z = df.withColumn("_z", z), F.col("_z")
     p1, p0 = F.col(x1) / F.col(n1), F.col(x0) / F.col(n0)
     l1, u1 = wilson(F.col(x1), F.col(n1), z)
     l0, u0 = wilson(F.col(x0), F.col(n0), z)
-    return df.withColumns({"diff": p1 - p0, "low": p1 - p0 - F.sqrt((p1 - l1) ** 2 + (u0 - p0) ** 2), "high": p1 - p0 + F.sqrt((u1 - p1) ** 2 + (p0 - l0) ** 2)})
+    return df.withColumns({"diff": p1 - p0, "low": p1 - p0 - F.sqrt((p1 - l1) ** 2 + (u0 - p0) ** 2), "high": p1 - p0 + F.sqrt((u1 - p1) ** 2 + (p0 - l0) ** 2)}).drop("_z")
 
 
 def cohen_kappa(df: DataFrame, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
@@ -74,8 +87,10 @@ def cohen_kappa(df: DataFrame, first: str, second: str, by: Sequence[str] = ())
     return out.withColumn("kappa", F.when(chance < 1, (F.col("agreement") - chance) / (1 - chance))).drop("_a", "_b")
 
 
-def mantel_haenszel(df: DataFrame, by: Sequence[str] = (), a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> DataFrame:
-    """Common odds ratio over strata (rows of 2 x 2 tables) with its interval (Robins, Breslow and Greenland), and the test statistic with continuity correction."""
+def mantel_haenszel(df: DataFrame, by: Sequence[str] = (), a: str = "a", b: str = "b", c: str = "c", d: str = "d", alpha: float | None = None) -> DataFrame:
+    """Common odds ratio over strata (rows of 2 x 2 tables) with its interval (Robins, Breslow and Greenland; 95 % unless alpha says otherwise), and the test
+    statistic with continuity correction and its p (chi-square, one degree of freedom)."""
+    z = _z(alpha)
     A, B, C, D = (F.col(x).cast("double") for x in (a, b, c, d))
     n = A + B + C + D
     R, S, P, Q = A * D / n, B * C / n, (A + D) / n, (B + C) / n
@@ -85,9 +100,53 @@ def mantel_haenszel(df: DataFrame, by: Sequence[str] = (), a: str = "a", b: str
     )
     ratio = F.col("_r") / F.when(F.col("_s") > 0, F.col("_s"))
     se = F.sqrt(F.col("_pr") / (2 * F.col("_r") ** 2) + F.col("_ps") / (2 * F.col("_r") * F.col("_s")) + F.col("_qs") / (2 * F.col("_s") ** 2))
-    return out.select(
-        *by, "n_strata", ratio.alias("odds_ratio"), (ratio * F.exp(-Z_975 * se)).alias("low"), (ratio * F.exp(Z_975 * se)).alias("high"), (F.greatest(F.lit(0.0), F.abs("_gap") - 0.5) ** 2 / F.when(F.col("_var") > 0, F.col("_var"))).alias("chi2")
-    )
+    chi2 = F.greatest(F.lit(0.0), F.abs("_gap") - 0.5) ** 2 / F.when(F.col("_var") > 0, F.col("_var"))
+    out = out.select(*by, "n_strata", ratio.alias("odds_ratio"), (ratio * F.exp(-z * se)).alias("low"), (ratio * F.exp(z * se)).alias("high"), chi2.alias("chi2"))
+    return out.withColumn("p", normal.chi_square_tail(F.col("chi2"), 1))
+
+
+def _binomial(m: Column, q: Column) -> Column:
+    """Chances of 0 to m successes of m trials."""
+    inner = F.greatest(F.least(q, F.lit(1 - 1e-16)), F.lit(1e-300))  # the ends are told apart below
+    chance = lambda k: F.exp(_log_choose(m, k) + k * F.log(inner) + (m - k) * F.log1p(-inner))
+    sure = lambda k: F.when(k == F.when(q <= 0, F.lit(0)).otherwise(m), 1.0).otherwise(0.0)
+    return F.transform(F.sequence(F.lit(0), m), lambda k: F.when((q <= 0) | (q >= 1), sure(k)).otherwise(chance(k)))
+
+
+def _convolved(a: Column, b: Column) -> Column:
+    """The distribution of a sum from those of its parts."""
+    last = F.size(a) + F.size(b) - 2
+    reach = lambda i: F.sequence(F.greatest(F.lit(0), i - F.size(b) + 1), F.least(i, F.size(a) - 1))
+    at = lambda i: F.aggregate(reach(i), F.lit(0.0), lambda t, j: t + F.get(a, j) * F.get(b, i - j))
+    return F.transform(F.sequence(F.lit(0), last), at)
+
+
+def matched_set_test(df: DataFrame, case: str, flag: str, members: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(*by, n_sets, n_left_out, n_cases, expected, p_upper, p): exact test that the case of a matched set (`case`: which row it is) has the flag no more
+    often than its controls. members: the columns that name a set within `by`.
+
+    The labels are permuted within each set: with k flags among its n rows, a set's case has one with chance k / n, so that the number of flagged
+    cases is a sum of independent draws. Sets with the same k and n are one binomial, and these are convolved, instead of going through all
+    arrangements. p_upper is the chance of at least as many, p that of anything no likelier. Sets without exactly one case or without a
+    control are left out and counted. Flags that are null count as false. S sets cost S squared sums, in one row a group."""
+    on = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
+    is_case = F.coalesce(F.col(case).cast("boolean"), F.lit(False))
+    sets = df.groupBy(*by, *members).agg(F.count("*").alias("_n"), F.count_if(on).alias("_k"), F.count_if(is_case).alias("_cases"), F.count_if(on & is_case).alias("_x"))
+    good = (F.col("_cases") == 1) & (F.col("_n") > 1)
+    kinds = sets.groupBy(*by, "_n", "_k").agg(F.count_if(good).alias("_m"), F.count_if(~good).alias("_out"), F.sum(F.when(good, F.col("_x")).otherwise(0)).alias("_x"))
+    q = F.col("_k") / F.col("_n")
+    kind = F.struct(F.col("_m").cast("int").alias("m"), q.alias("q"))
+    out = kinds.groupBy(*by).agg(
+        F.sum("_m").alias("n_sets"), F.sum("_out").alias("n_left_out"), F.sum("_x").alias("n_cases"), F.sum(F.col("_m") * q).alias("expected"),
+        F.array_sort(F.collect_list(F.when(F.col("_m") > 0, kind))).alias("_kinds"),
+    )
+    chances = F.aggregate("_kinds", F.array(F.lit(1.0)), lambda d, x: _convolved(d, _binomial(x["m"], x["q"])))
+    out = out.withColumn("_d", chances).withColumn("_own", F.get("_d", F.col("n_cases").cast("int")))
+    total = lambda keep: F.aggregate(F.filter("_d", keep), F.lit(0.0), lambda t, x: t + x)
+    upper = F.least(F.lit(1.0), total(lambda x, i: i >= F.col("n_cases")))
+    p = F.least(F.lit(1.0), total(lambda x: x <= F.col("_own") * (1 + 1e-7)))
+    some = lambda c: F.when(F.col("n_sets") > 0, c)
+    return out.select(*by, "n_sets", "n_left_out", "n_cases", "expected", some(upper).alias("p_upper"), some(p).alias("p"))
 
 
 def signed_rank_p(values: Sequence[float]) -> float:
@@ -119,18 +178,32 @@ def wilcoxon(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return df.select(*by, value).groupBy(*by).applyInPandas(test, f"{keys}, n long, w_plus double, p double")
 
 
-def jeffreys(df: DataFrame, x1: str, n1: str, x0: str, n0: str, draws: int = 200_000, margin: float = 0.1, seed: int = 7) -> DataFrame:
-    """p_higher and p_margin: posterior chances that rate 1 is higher, and higher by more than `margin`, with Jeffreys priors; `draws` draws for each row."""
+#: Nodes and weights on [-1, 1], and how many standard deviations to either side of the mean are integrated over.
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(400)
+_REACH = 12.0
+
+
+def jeffreys_chance(x1: float, n1: float, x0: float, n0: float, margin: float = 0.0) -> float:
+    """P(p1 > p0 + margin) where the rates have the posteriors Beta(x + 1/2, n - x + 1/2): the density of the one times the incomplete beta
+    function of the other, by quadrature over the angle whose squared sine is the rate, on which the density is smooth."""
+    a, b = x1 + 0.5, n1 - x1 + 0.5
+    middle, width = math.asin(math.sqrt(a / (a + b))), _REACH / (2 * math.sqrt(a + b))
+    low, high = max(0.0, middle - width), min(math.pi / 2, middle + width)
+    angle = low + (high - low) * (_NODES + 1) / 2
+    rate = np.sin(angle) ** 2
+    density = 2 * np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (2 * a - 1) * np.log(np.sin(angle)) + (2 * b - 1) * np.log(np.cos(angle)))
+    weight = density * _WEIGHTS * (high - low) / 2
+    below = np.array([beta_inc(x0 + 0.5, n0 - x0 + 0.5, r - margin) for r in rate.tolist()])
+    return float(min(1.0, max(0.0, weight @ below)))
+
+
+def jeffreys(df: DataFrame, x1: str, n1: str, x0: str, n0: str, margin: float = 0.1) -> DataFrame:
+    """p_higher and p_margin: posterior chances that rate 1 is higher, and higher by more than `margin`, with Jeffreys priors; exact to about 1e-10."""
 
     def run(batches):
         for part in batches:
-            higher, by_margin = [], []
-            for a, n, b, m in zip(part[x1], part[n1], part[x0], part[n0]):
-                rng = np.random.default_rng(seed)
-                gap = rng.beta(a + 0.5, n - a + 0.5, draws) - rng.beta(b + 0.5, m - b + 0.5, draws)
-                higher.append(float((gap > 0).mean()))
-                by_margin.append(float((gap > margin).mean()))
-            yield part.assign(p_higher=higher, p_margin=by_margin)
+            rows = list(zip(part[x1], part[n1], part[x0], part[n0]))
+            yield part.assign(p_higher=[jeffreys_chance(*r) for r in rows], p_margin=[jeffreys_chance(*r, margin) for r in rows])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(run, f"{kinds}, p_higher double, p_margin double")

@@ -152,3 +152,20 @@ def stable_transitions(df: DataFrame, tolerance: int = 5, support: float = 0.6,
     out = out.join(seeds, list(by)).withColumn("support", F.col("_have") / F.col("_seeds")).filter(F.col("support") >= support)
     middle = F.element_at("_days", (F.floor(F.size("_days") / 2) + 1).cast("int"))
     return out.select(*by, middle.alias(order), "to_state", "support", "n_members", "dwell_after")
+
+
+def log_histogram(runs: DataFrame, bins: int = 17, length: str = "length", by: Sequence[str] = ("asset", "state")) -> DataFrame:
+    """(*by, bin, low, high, n): how many lengths fall in each of `bins` bins that are equal in the logarithm, from each key's least length (at least 1) to its
+    greatest (at least 2). The last bin holds its upper end; bins without a length are kept, with 0. Lengths that are null or below 1 don't count."""
+    if bins < 1:
+        raise ValueError("a histogram has one bin at least")
+    rows = runs.filter(F.col(length) >= 1).select(*by, F.col(length).cast("double").alias("_x"))
+    ends = rows.groupBy(*by).agg(F.min("_x").alias("_low"), F.greatest(F.max("_x"), F.lit(2.0)).alias("_high"))
+    wide = F.log(F.col("_high") / F.col("_low"))
+    # One bin where all lengths are equal (and above 2): it holds them all.
+    place = F.when(wide > 0, F.least(F.floor(bins * F.log(F.col("_x") / F.col("_low")) / wide + 1e-9), F.lit(bins - 1))).otherwise(F.lit(bins - 1))
+    counts = rows.join(ends, list(by)).groupBy(*by, place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    edge = lambda k: F.col("_low") * F.exp(wide * k / bins)
+    out = every.join(counts, [*by, "bin"], "left")
+    return out.select(*by, "bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -25,10 +25,11 @@ class Settings:
     threshold: float = 0.25
     permutations: int = 10_000
     sections: Sequence[str] = field(default_factory=tuple)
+    max_items: int | None = None
 
     def __post_init__(self) -> None:
-        if self.window_days < 1 or not 0 < self.fraction < 1 or self.permutations < 1:
-            raise ValueError("window_days and permutations must be positive, fraction between 0 and 1")
+        if self.window_days < 1 or not 0 < self.fraction < 1 or self.permutations < 1 or (self.max_items or 1) < 1:
+            raise ValueError("window_days, permutations and max_items must be positive, fraction between 0 and 1")
 
 
 def in_sections(section: Column, names: Sequence[str], inside: bool = True) -> Column:
@@ -38,49 +39,111 @@ def in_sections(section: Column, names: Sequence[str], inside: bool = True) -> C
 
 
 def build_windows(days: DataFrame, items: DataFrame, settings: Settings) -> DataFrame:
-    """Items of each window once, in roles generation and holdout. days: (boundary, kind); the section filter comes before the windows."""
+    """Items of each window once, in roles generation and holdout. days: (boundary, kind); the section filter comes before the windows. With max_items a
+    window has that many at most, evenly spread, and truncated_from says how many there were (null where nothing was left out)."""
     if settings.sections:
         items = items.filter(in_sections(F.col("section"), settings.sections))
     windowed = windows.items_in_windows(items, days, settings.window_days)
     windowed = windows.first_of_each(windowed)
+    if settings.max_items:
+        sizes = windowed.groupBy("boundary").agg(F.count("*").alias("_n"))
+        windowed = windows.truncate_evenly(windowed, settings.max_items).join(sizes, "boundary")
+        windowed = windowed.withColumn("truncated_from", F.when(F.col("_n") > settings.max_items, F.col("_n"))).drop("_n")
     return windows.holdout_split(windowed, settings.fraction, settings.seed).join(days.dropDuplicates(["boundary"]), "boundary")
 
 
-def render(windowed: DataFrame, text: str = "text", section: str = "section") -> DataFrame:
-    """(boundary, n_items, prompt): the items of each window as they are shown, without dates."""
+def _said(df: DataFrame, text: str, title: str) -> Column:
+    """An item's text, or its title where it has none."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    return F.when(own != "", own).otherwise(F.coalesce(F.col(title), F.lit(""))) if title in df.columns else own
+
+
+def body(df: DataFrame, text: str = "text", title: str = "title") -> Column:
+    """Title and text of an item, as a matcher reads it."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    both = F.concat_ws("\n", F.coalesce(F.col(title), F.lit("")), own) if title in df.columns else own
+    return F.regexp_replace(both, r"^\s+|\s+$", "")
+
+
+def render(windowed: DataFrame, text: str = "text", section: str = "section", title: str = "title", window_days: int = 14, days: DataFrame | None = None) -> DataFrame:
+    """(boundary, n_items, prompt): a heading and the items of each window as they are shown, without dates; an item without text shows its title. days: all
+    boundaries, of which those without items are told so."""
     head = F.concat(F.lit("["), F.col("item_id").cast("string"), F.lit("] Day "), F.col("day_index").cast("string"))
     mark = F.when(F.coalesce(F.col(section), F.lit("")) != "", F.concat(F.lit(" | "), F.col(section))).otherwise("")
-    line = F.concat(head, mark, F.lit("\n"), T.strip_dates(F.coalesce(F.col(text), F.lit(""))))
-    shown = windows.ordered_text(windowed.withColumn("_line", line), "_line", name="prompt", sep="\n\n")
-    return shown.join(windowed.groupBy("boundary").agg(F.count("*").alias("n_items")), "boundary")
+    line = F.concat(head, mark, F.lit("\n"), T.strip_dates(_said(windowed, text, title)))
+    shown = windows.ordered_text(windowed.withColumn("_line", line), "_line", name="_shown", sep="\n\n")
+    out = shown.join(windowed.groupBy("boundary").agg(F.count("*").alias("n_items")), "boundary")
+    if days is not None:
+        out = days.select("boundary").distinct().join(out, "boundary", "left").na.fill(0, ["n_items"])
+    heading = F.format_string(f"There are %d items, covering a window of {window_days} days. Day {window_days} is the day the model flagged.\n", F.col("n_items"))
+    prompt = F.when(F.col("n_items") > 0, F.concat(heading, F.col("_shown"))).otherwise("(no items were published in this window)")
+    return out.select("boundary", "n_items", prompt.alias("prompt"))
 
 
-def match_arm(explanations: DataFrame, windowed: DataFrame, text: str = "text") -> DataFrame:
-    """Ranks of each window's explanation (boundary, explanation) among the held-out texts. Windows without an explanation or without held-out text leave the pool."""
-    held = windowed.filter("role = 'holdout'").filter(F.trim(text) != "")
-    told = explanations.filter(F.trim("explanation") != "").join(held.select("boundary").distinct(), "boundary")
+def explanation() -> Column:
+    """What is matched of a narrative: summary, mechanism and the text of its claims."""
+    claims = F.transform(F.coalesce(F.col("claims"), F.array().cast("array<struct<claim:string,item_ids:array<string>>>")), lambda c: F.coalesce(c["claim"], F.lit("")))
+    return F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("mechanism", F.lit("")), F.array_join(claims, " "))
+
+
+#: Sections of the arm that keeps to business, in lower case. Fixed values.
+BUSINESS = ("business and economy", "economics and business", "business")
+
+
+def match_arms(explanations: DataFrame, windowed: DataFrame, arms: Column, text: str = "text") -> DataFrame:
+    """(arm, query_id, n_candidates, rank, predicted, score) of each window's explanation (boundary, explanation) among the held-out texts of an arm. arms: the names
+    of the arms (an array) that an item is in. Windows without held-out text, or whose explanation says nothing once it is scrubbed, leave
+    the pool. All arms share one index, with the arm in its key."""
     key = F.date_format("boundary", "yyyy-MM-dd")
-    asked = told.select(key.alias("query_id"), T.tokens(T.strip_identifying(F.col("explanation"))).alias("terms"))
+    held = windowed.filter("role = 'holdout'").withColumn("_body", body(windowed, text)).filter("_body <> ''")
+    held = held.withColumn("arm", F.explode(arms)).select("arm", "boundary", "_body")
+    told = explanations.withColumn("_scrubbed", T.strip_identifying(F.coalesce("explanation", F.lit("")))).filter(F.trim("_scrubbed") != "")
+    told = told.join(held.select("arm", "boundary").distinct(), "boundary").select("arm", "boundary", "_scrubbed")
+    asked = told.select("arm", key.alias("query_id"), T.tokens(F.col("_scrubbed")).alias("terms"))
     # A window's text is never one row: its items bring their terms, and are counted together.
-    texts = held.join(told.select("boundary").distinct(), "boundary", "left_semi")
-    return bm25.match_ranks(asked, texts.select(key.alias("doc_id"), T.tokens(F.col(text)).alias("terms")))
+    texts = held.join(told.select("arm", "boundary").distinct(), ["arm", "boundary"], "left_semi")
+    return bm25.match_ranks(asked, texts.select("arm", key.alias("doc_id"), T.tokens(F.col("_body")).alias("terms")), by=["arm"])
+
+
+def match_arm(explanations: DataFrame, windowed: DataFrame, text: str = "text") -> DataFrame:
+    """match_arms over all items of all windows, in one arm."""
+    return match_arms(explanations, windowed, F.array(F.lit("all")), text).drop("arm")
+
+
+def standard_arms(business: Sequence[str] = BUSINESS) -> Column:
+    """Transitions with all sections, transitions with business sections alone, all windows."""
+    transition, inside = F.col("kind") == "transition", in_sections(F.col("section"), business)
+    names = F.array(
+        F.when(transition, "transitions_all_sections"), F.when(transition & inside, "transitions_business_only"), F.lit("all_windows")
+    )
+    return F.array_compact(names)
+
+
+def confident_test(narratives: DataFrame, kind: str = "kind", flag: str = "is_confident") -> DataFrame:
+    """(a, b, c, d, p): transitions that are confident and not, controls that are and not, and Fisher's p (null where either kind is missing)."""
+    transition, on = F.col(kind) == "transition", F.coalesce(F.col(flag), F.lit(False))
+    cells = [(transition & on, "a"), (transition & ~on, "b"), (~transition & on, "c"), (~transition & ~on, "d")]
+    return inference.fisher_exact(narratives.agg(*[F.count_if(c).alias(n) for c, n in cells]))
 
 
-def measure(days: DataFrame, windowed: DataFrame, narratives: DataFrame, settings: Settings, text: str = "text") -> dict[str, DataFrame]:
-    """match, match_summary, permutation, claims, faithfulness and rates. narratives: (boundary, summary, mechanism, claims, is_confident)."""
-    told = narratives.withColumn("explanation", F.concat_ws(" ", "summary", "mechanism"))
-    ranks = match_arm(told, windowed, text)
+def measure(days: DataFrame, windowed: DataFrame, narratives: DataFrame, settings: Settings, text: str = "text", business: Sequence[str] = BUSINESS) -> dict[str, DataFrame]:
+    """match, match_summary and permutation (by arm), claims, faithfulness, rates and fisher. narratives: (boundary, summary, mechanism, claims, is_confident). Claims
+    are audited against the generation half, which is all that an explanation was made from: a held-out item can't be cited."""
+    ranks = match_arms(narratives.withColumn("explanation", explanation()), windowed, standard_arms(business), text)
     each = narratives.select("boundary", F.posexplode("claims").alias("pos", "c"))
     claims = each.select(F.col("boundary").alias("window_id"), F.concat_ws(":", F.date_format("boundary", "yyyy-MM-dd"), F.col("pos").cast("string")).alias("claim_id"), F.col("c.claim").alias("claim"), F.col("c.item_ids").alias("item_ids"))
-    items = windowed.select(F.col("boundary").alias("window_id"), F.col("item_id").cast("string").alias("item_id"), text)
+    shown = windowed.filter("role = 'generation'")
+    items = shown.select(F.col("boundary").alias("window_id"), F.col("item_id").cast("string").alias("item_id"), text)
     audited = audit.audit_claims(claims, items, settings.threshold, text=text)
+    told = narratives.join(days, "boundary")
     return {
         "match": ranks,
-        "match_summary": bm25.match_summary(ranks),
-        "permutation": bm25.permutation_p(ranks, settings.permutations, settings.seed),
+        "match_summary": bm25.match_summary(ranks, by=["arm"]),
+        "permutation": bm25.permutation_p(ranks, settings.permutations, settings.seed, by=["arm"]),
         "claims": audited,
         "faithfulness": audit.faithfulness(audited),
-        "rates": inference.rates(narratives.join(days, "boundary"), "is_confident", ["kind"]),
+        "rates": inference.rates(told, "is_confident", ["kind"]),
+        "fisher": confident_test(told),
     }
 
 
@@ -126,7 +189,7 @@ def evidence_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = first.select("boundary", F.col("x.text").alias("summary"), F.lit("").alias("mechanism"), claim.alias("claims"), F.lit(True).alias("driver_identified"), F.lit("high").alias("confidence"), F.lit(True).alias("is_confident"))
     got = measure(days, windowed, told, settings)
     out = to_records(days, windowed, told, got["faithfulness"]).drop("summary")
-    ranks = got["match"].select(F.to_date("query_id").alias("boundary"), "rank", "n_candidates")
+    ranks = got["match"].filter("arm = 'all_windows'").select(F.to_date("query_id").alias("boundary"), "rank", "n_candidates")
     return out.join(ranks, "boundary", "left").select(*text_days("boundary"), "kind", "window_id", "n_items", "n_holdout", "confidence", "n_claims", *places("grounded_rate", "mean_overlap"), "rank", "n_candidates")
 
 

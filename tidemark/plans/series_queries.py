@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import hmm, placebo, regimes, separation, series
+from tidemark.operators import generalise, hmm, placebo, regimes, separation, series
 from tidemark.plans import bindings as B
 from tidemark.plans.registry import places, query, text_days
 from tidemark.sources.tables import materialise
@@ -248,3 +248,35 @@ def stable_regimes_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = regimes.persistence_filter(got, 5, by=by)
     tr = regimes.extract_transitions(kept, by=by, fold="fold")
     return regimes.stable_transitions(tr, n_seeds=len(seeds)).select("asset", *text_days("d"), "to_state", *places("support"), "n_members", "dwell_after")
+
+
+@query()
+def hmm_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward states with each form of the covariances."""
+    df = materialise(B.features(spark, sf_dir).na.drop(subset=["vol", "mom"]).select("asset", "d", "vol", "mom"), "features")
+    out = None
+    for form in hmm.FORMS:
+        one = hmm.walk_forward(df, ["vol", "mom"], "vol", train=126, test=42, rounds=ROUNDS, form=form).withColumn("form", F.lit(form))
+        out = one if out is None else out.unionByName(one)
+    return out.select("form", "asset", "fold", *text_days("d"), *places("stressed_prob"), "state", "error")
+
+
+@query()
+def generalisation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every series of daily totals by priority, and one too short for a fold, met with the shared level and credit series."""
+    px = B.prices(spark, sf_dir)
+    short = px.filter("d < DATE '1992-03-01'").withColumn("asset", F.lit("short"))
+    short = short.groupBy("asset", "d").agg(F.sum(F.col("px").cast("decimal(18,2)")).cast("double").alias("px"))
+    out = generalise.generalisation(px.unionByName(short), B.levels(spark, sf_dir), lambda x: materialise(x, "walk"), 126, 42, rounds=ROUNDS)
+    measures = [c for c in generalise.MEASURES if not c.startswith("n_")]
+    return out.select("asset", "n_days", "n_folds", "n_calm", "n_stressed", *places(*measures), "error")
+
+
+@query(f"""WITH {B.EPISODES}, e AS (SELECT asset, state, length::DOUBLE AS x FROM episodes), m AS (SELECT asset, state, min(x) AS low, greatest(max(x), 2) AS high FROM e GROUP BY ALL),
+c AS (SELECT asset, state, CASE WHEN high > low THEN least(floor(17 * ln(x / low) / ln(high / low) + 1e-9), 16) ELSE 16 END AS bin, count(*) AS n FROM e JOIN m USING (asset, state) GROUP BY ALL)
+SELECT m.asset, m.state, CAST(b.bin AS INT) AS bin, round(low * exp(ln(high / low) * b.bin / 17), 6) AS low, round(low * exp(ln(high / low) * (b.bin + 1) / 17), 6) AS high, coalesce(n, 0) AS n
+FROM m CROSS JOIN range(0, 17) AS b(bin) LEFT JOIN c ON c.asset = m.asset AND c.state = m.state AND c.bin = b.bin""")
+def episode_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episode lengths in bins that are equal in the logarithm."""
+    out = regimes.log_histogram(series.episodes(B.states(spark, sf_dir)))
+    return out.select("asset", "state", "bin", *places("low", "high"), "n")

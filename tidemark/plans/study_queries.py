@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -12,9 +12,9 @@ from tidemark.plans import evidence
 from tidemark.plans.registry import places, query, table, text_days
 from tidemark.plans.series_queries import _fan, _RATIOS, _transitions
 from tidemark.plans.text_queries import _DATED, _TABLES, _half, _tokens, _two_by_two
-from tidemark.sources import store, timed
+from tidemark.sources import ledger, quarantine, runs, store, timed
+from tidemark.sources.tables import Scratch, materialise
 
-_LENGTHS = (60, 400, None)
 _MONTHS = f"{T.MONTHS}|{T.SHORT_MONTHS}"
 
 
@@ -27,17 +27,18 @@ def _scrub(x: str) -> str:
 #: Documents dealt to twelve windows, in order of their ids, in two roles.
 _SHELF = f"""shelf AS (SELECT doc_id % 12 AS boundary, doc_id AS item_id, lang AS section, CASE WHEN doc_id // 12 % 2 = 0 THEN 'generation' ELSE 'holdout' END AS role,
   trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
-gen AS (SELECT arm, boundary, string_split(string_agg(text, ' ' ORDER BY item_id), ' ') AS w FROM armed WHERE role = 'generation' GROUP BY ALL),
-held AS (SELECT arm, boundary, string_agg(text, ' ' ORDER BY item_id) AS text FROM armed WHERE role = 'holdout' GROUP BY ALL),
-cut AS (SELECT g.*, n, CASE WHEN n IS NULL OR len(w) <= n THEN 0 ELSE CAST(('0x' || substr(md5('7:' || n || ':' || boundary), 1, 8)) AS BIGINT) % (len(w) - n) END AS s FROM gen g JOIN sizes USING (arm)),
-queries AS (SELECT arm, boundary AS query_id, {_tokens(_scrub("array_to_string(w[s + 1 : s + coalesce(n, len(w))], ' ')"))} AS terms FROM cut SEMI JOIN held USING (arm, boundary)),
-docs AS (SELECT arm, boundary AS doc_id, {_tokens("text")} AS terms FROM held SEMI JOIN gen USING (arm, boundary)),
-post AS (SELECT arm, doc_id, term, count(*) AS tf FROM docs, unnest(terms) AS u(term) GROUP BY ALL), lens AS (SELECT arm, doc_id, len(terms) AS dl FROM docs),
-pool AS (SELECT arm, count(*) AS total, avg(dl) AS avgdl FROM lens GROUP BY arm), df AS (SELECT arm, term, count(*) AS df FROM post GROUP BY ALL),
-asked AS (SELECT arm, query_id, term, count(*) AS qf FROM queries, unnest(terms) AS u(term) GROUP BY ALL),
-scores AS (SELECT arm, query_id, doc_id, sum(qf * ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+armed AS MATERIALIZED (@armed),
+gen AS MATERIALIZED (SELECT arm, boundary, string_split(string_agg(text, ' ' ORDER BY item_id), ' ') AS w FROM armed WHERE role = 'generation' GROUP BY ALL),
+held AS MATERIALIZED (SELECT arm, boundary, string_agg(text, ' ' ORDER BY item_id) AS text FROM armed WHERE role = 'holdout' GROUP BY ALL),
+cut AS MATERIALIZED (SELECT g.*, n, CASE WHEN n IS NULL OR len(w) <= n THEN 0 ELSE CAST(('0x' || substr(md5('7:' || n || ':' || boundary), 1, 8)) AS BIGINT) % (len(w) - n) END AS s FROM gen g JOIN sizes USING (arm)),
+queries AS MATERIALIZED (SELECT arm, boundary AS query_id, {_tokens(_scrub("array_to_string(w[s + 1 : s + coalesce(n, len(w))], ' ')"))} AS terms FROM cut SEMI JOIN held USING (arm, boundary)),
+docs AS MATERIALIZED (SELECT arm, boundary AS doc_id, {_tokens("text")} AS terms FROM held SEMI JOIN gen USING (arm, boundary)),
+post AS MATERIALIZED (SELECT arm, doc_id, term, count(*) AS tf FROM docs, unnest(terms) AS u(term) GROUP BY ALL), lens AS MATERIALIZED (SELECT arm, doc_id, len(terms) AS dl FROM docs),
+pool AS MATERIALIZED (SELECT arm, count(*) AS total, avg(dl) AS avgdl FROM lens GROUP BY arm), df AS MATERIALIZED (SELECT arm, term, count(*) AS df FROM post GROUP BY ALL),
+asked AS MATERIALIZED (SELECT arm, query_id, term, count(*) AS qf FROM queries, unnest(terms) AS u(term) GROUP BY ALL),
+scores AS MATERIALIZED (SELECT arm, query_id, doc_id, sum(qf * ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM asked JOIN df USING (arm, term) JOIN post USING (arm, term) JOIN lens USING (arm, doc_id) JOIN pool USING (arm) GROUP BY ALL),
-paired AS (SELECT q.arm, q.query_id, d.doc_id, coalesce(round(score, 9), 0) AS score FROM queries q JOIN docs d ON q.arm = d.arm LEFT JOIN scores s ON s.arm = q.arm AND s.query_id = q.query_id AND s.doc_id = d.doc_id),
+paired AS MATERIALIZED (SELECT q.arm, q.query_id, d.doc_id, coalesce(round(score, 9), 0) AS score FROM queries q JOIN docs d ON q.arm = d.arm LEFT JOIN scores s ON s.arm = q.arm AND s.query_id = q.query_id AND s.doc_id = d.doc_id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY arm, query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY arm, query_id) AS n_candidates FROM paired)"""
 _PLACED = "SELECT arm, query_id, n_candidates, max(CASE WHEN query_id = doc_id THEN rank END) AS rank, max(CASE WHEN rank = 1 THEN doc_id END) AS predicted FROM placed GROUP BY arm, query_id, n_candidates"
 
@@ -48,21 +49,19 @@ def _shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select((F.col("doc_id") % 12).alias("boundary"), F.col("doc_id").alias("item_id"), F.col("doc_id").alias("published"), F.col("lang").alias("section"), role.alias("role"), T.squeeze(F.col("text")).alias("text"))
 
 
-@query(
-    "WITH sizes AS (SELECT * FROM (VALUES ('60', 60), ('400', 400), ('all', NULL)) AS v(arm, n)), "
-    + _SHELF.replace("gen AS (", "armed AS (SELECT arm, shelf.* FROM shelf, sizes), gen AS (", 1)
-    + " "
-    + _PLACED
-)
+_SIZES = "(VALUES ('60', 60), ('120', 120), ('200', 200), ('400', 400), ('800', 800), ('all', NULL::INT)) AS v(arm, n)"
+
+
+@query(f"WITH sizes AS (SELECT * FROM {_SIZES}), " + _SHELF.replace("@armed", "SELECT arm, shelf.* FROM shelf, sizes") + " " + _PLACED)
 def ceiling_length_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ceiling.length_sweep(_shelf(spark, sf_dir), _LENGTHS)
+    out = ceiling.length_sweep(_shelf(spark, sf_dir))
     arm = F.coalesce(F.col("words").cast("string"), F.lit("all"))
     return out.select(arm.alias("arm"), "query_id", "n_candidates", F.col("rank").cast("long").alias("rank"), "predicted")
 
 
 @query(
     "WITH sizes AS (SELECT * FROM (VALUES ('all', NULL::INT), ('inside', NULL::INT), ('outside', NULL::INT)) AS v(arm, n)), "
-    + _SHELF.replace("gen AS (", "armed AS (SELECT arm, shelf.* FROM shelf, sizes WHERE arm = 'all' OR (arm = 'inside') = (section = 'en')), gen AS (", 1)
+    + _SHELF.replace("@armed", "SELECT arm, shelf.* FROM shelf, sizes WHERE arm = 'all' OR (arm = 'inside') = (section = 'en')")
     + " "
     + _PLACED
 )
@@ -71,6 +70,28 @@ def ceiling_section_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("arm", "query_id", "n_candidates", F.col("rank").cast("long").alias("rank"), "predicted")
 
 
+_POOL_DRAWS = 4000
+
+
+@query(
+    f"WITH sizes AS (SELECT pool || ':' || arm AS arm, pool, n FROM {_SIZES}, (VALUES ('all_windows'), ('transitions_only'), ('placebos_only')) AS k(pool)), "
+    + _SHELF.replace("@armed", "SELECT arm, shelf.* FROM shelf, sizes WHERE pool = 'all_windows' OR (pool = 'transitions_only') = (boundary % 2 = 0)")
+    + f""", ranks AS MATERIALIZED ({_PLACED}), base AS MATERIALIZED (SELECT arm, query_id, predicted, row_number() OVER (PARTITION BY arm ORDER BY query_id) AS slot FROM ranks WHERE rank IS NOT NULL),
+dealt AS (SELECT arm, draw, predicted, row_number() OVER (PARTITION BY arm, draw ORDER BY sha256('7:' || draw || ':' || query_id), query_id) AS slot FROM base, range(1, {_POOL_DRAWS + 1}) AS r(draw)),
+hits AS (SELECT arm, draw, count(*) FILTER (d.predicted = b.query_id) AS hits FROM dealt d JOIN base b USING (arm, slot) GROUP BY ALL),
+own AS (SELECT arm, count(*) FILTER (predicted = query_id) AS n_correct FROM base GROUP BY arm),
+good AS (SELECT arm, count(*) FILTER (hits >= n_correct) AS n_as_good FROM hits JOIN own USING (arm) GROUP BY arm)
+SELECT pool, any_value(s.n) AS words, count(*) AS n, max(n_candidates) AS n_candidates, count(*) FILTER (rank = 1) AS n_correct, round(avg((rank = 1)::INT), 6) AS accuracy, round(1.0 / max(n_candidates), 6) AS chance,
+  round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 3)::INT), 6) AS top3, any_value(n_as_good) AS n_as_good, round((any_value(n_as_good) + 1) / {_POOL_DRAWS + 1}.0, 6) AS p
+FROM ranks JOIN sizes s USING (arm) JOIN good USING (arm) WHERE rank IS NOT NULL AND n_candidates >= 2 GROUP BY pool, arm"""
+)
+def ceiling_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions, controls and all windows at six lengths, with their permutation p, from one index."""
+    shelf = _shelf(spark, sf_dir).withColumn("kind", F.when(F.col("boundary") % 2 == 0, "transition").otherwise("control"))
+    out = ceiling.summary(materialise(ceiling.pools(shelf), "ranks"), _POOL_DRAWS)
+    return out.select(F.col("arm").alias("pool"), "words", "n", "n_candidates", "n_correct", *places("accuracy", "chance", "mrr", "top3"), "n_as_good", *places("p"))
+
+
 @query("""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
 s AS (SELECT *, CASE WHEN len(w) <= 60 THEN 0 ELSE CAST(('0x' || substr(md5('7:60:' || doc_id), 1, 8)) AS BIGINT) % (len(w) - 60) END AS s FROM d)
 SELECT doc_id, md5(array_to_string(w[s + 1 : s + 60], ' ')) AS h FROM s""")
@@ -161,7 +182,7 @@ def wilcoxon_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.wilcoxon(ratios, "v", ["asset"]).select("asset", "n", "w_plus")
 
 
-_DRAWS = 200
+_DRAWS = 20_000
 
 
 @query(f"""WITH {B.FOLDED}, {_RATIOS}, x AS (SELECT asset, ratio, row_number() OVER (PARTITION BY asset ORDER BY ratio) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM rr WHERE ratio IS NOT NULL),
@@ -175,22 +196,87 @@ def median_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separation.quantile_interval(drawn, "median", ["asset"]).select("asset", "n", *places("low", "high"))
 
 
-@query()
+#: Steps of the angle in the SQL for Jeffreys' chances.
+_STEPS = 40_000
+
+
+@query(f"""WITH {_TABLES}, s AS (SELECT lang, a + 0.5 AS a1, b + 0.5 AS b1, c + 0.5 AS a0, d + 0.5 AS b0 FROM t WHERE a + b > 0 AND c + d > 0),
+g AS (SELECT i, (i + 0.5) * pi() / {2 * _STEPS} AS w FROM range({_STEPS}) AS r(i)),
+f AS MATERIALIZED (SELECT lang, i, w, exp(lgamma(a1 + b1) - lgamma(a1) - lgamma(b1) + (2 * a1 - 1) * ln(sin(w)) + (2 * b1 - 1) * ln(cos(w))) * pi() / {_STEPS} AS f1,
+  exp(lgamma(a0 + b0) - lgamma(a0) - lgamma(b0) + (2 * a0 - 1) * ln(sin(w)) + (2 * b0 - 1) * ln(cos(w))) * pi() / {_STEPS} AS f0 FROM s, g),
+c AS MATERIALIZED (SELECT *, sum(f0) OVER (PARTITION BY lang ORDER BY i) - f0 AS below FROM f),
+m AS (SELECT lang, f1, asin(sqrt(sin(w) ** 2 - 0.1)) * {2 * _STEPS} / pi() AS u FROM f WHERE sin(w) ** 2 > 0.1),
+higher AS (SELECT lang, sum(f1 * (below + f0 / 2)) AS p FROM c GROUP BY lang), by_margin AS (SELECT m.lang, sum(m.f1 * (below + (u - floor(u)) * f0)) AS p FROM m JOIN c ON c.lang = m.lang AND c.i = CAST(floor(u) AS BIGINT) GROUP BY m.lang)
+SELECT lang, round(h.p, 4) AS p_higher, round(coalesce(b.p, 0), 4) AS p_margin FROM higher h LEFT JOIN by_margin b USING (lang)""")
 def jeffreys_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _two_by_two(spark, sf_dir).select("lang", F.col("a").alias("x1"), (F.col("a") + F.col("b")).alias("n1"), F.col("c").alias("x0"), (F.col("c") + F.col("d")).alias("n0"))
-    return inference.jeffreys(t.filter("n1 > 0 AND n0 > 0"), "x1", "n1", "x0", "n0", 20_000).select("lang", *places("p_higher", "p_margin", n=2))
+    return inference.jeffreys(t.filter("n1 > 0 AND n0 > 0"), "x1", "n1", "x0", "n0").select("lang", *places("p_higher", "p_margin", n=4))
+
 
+#: Blocks of labelled documents: how many are good and bad, and how often either is toxic.
+_BLOCKS = """b AS (SELECT doc_id // 64 AS block, count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n0, count(*) FILTER (quality = 1 AND toxic = 1) AS t1, count(*) FILTER (quality = 0 AND toxic = 1) AS t0 FROM labels GROUP BY ALL)"""
 
-@query("""WITH g AS (SELECT n1, n0, x1, x0, 0.8 AS p1, 0.5 AS p0 FROM (VALUES (8, 6), (12, 9)) AS v(n1, n0), LATERAL (SELECT unnest(range(0, n1 + 1)) AS x1), LATERAL (SELECT unnest(range(0, n0 + 1)) AS x0)),
-h AS (SELECT n1, n0, k, x, lgamma(n1 + 1) - lgamma(x + 1) - lgamma(n1 - x + 1) + lgamma(n0 + 1) - lgamma(k - x + 1) - lgamma(n0 - k + x + 1) - lgamma(n1 + n0 + 1) + lgamma(k + 1) + lgamma(n1 + n0 - k + 1) AS lp
-  FROM (SELECT DISTINCT n1, n0, x1 + x0 AS k FROM g) m, LATERAL (SELECT unnest(range(greatest(0, k - n0), least(k, n1) + 1)) AS x)),
-p AS (SELECT a.n1, a.n0, a.k, a.x, least(1, sum(exp(b.lp)) FILTER (exp(b.lp) <= exp(a.lp) * (1 + 1e-7))) AS p FROM h a JOIN h b ON a.n1 = b.n1 AND a.n0 = b.n0 AND a.k = b.k GROUP BY ALL),
-w AS (SELECT g.*, exp(lgamma(n1 + 1) - lgamma(x1 + 1) - lgamma(n1 - x1 + 1)) * p1 ** x1 * (1 - p1) ** (n1 - x1) * exp(lgamma(n0 + 1) - lgamma(x0 + 1) - lgamma(n0 - x0 + 1)) * p0 ** x0 * (1 - p0) ** (n0 - x0) AS chance FROM g)
-SELECT CAST(w.n1 AS INT) AS n1, CAST(w.n0 AS INT) AS n0, round(coalesce(sum(chance) FILTER (p < 0.05), 0), 6) AS power FROM w JOIN p ON p.n1 = w.n1 AND p.n0 = w.n0 AND p.k = x1 + x0 AND p.x = x1 GROUP BY w.n1, w.n0""")
+
+@query(f"""WITH {_BLOCKS}, s AS (SELECT block, n1, n0, (t1 + 0.5) / (n1 + 1) AS p1, (t0 + 0.5) / (n0 + 1) AS p0 FROM b WHERE n1 > 0 AND n0 > 0),
+g AS (SELECT *, unnest(range(0, n1 + 1)) AS x1 FROM s), gg AS (SELECT *, unnest(range(0, n0 + 1)) AS x0 FROM g),
+h AS MATERIALIZED (SELECT n1, n0, k, x, lgamma(n1 + 1) - lgamma(x + 1) - lgamma(n1 - x + 1) + lgamma(n0 + 1) - lgamma(k - x + 1) - lgamma(n0 - k + x + 1) - lgamma(n1 + n0 + 1) + lgamma(k + 1) + lgamma(n1 + n0 - k + 1) AS lp
+  FROM (SELECT n1, n0, k, unnest(range(greatest(0, k - n0), least(k, n1) + 1)) AS x FROM (SELECT DISTINCT n1, n0, x1 + x0 AS k FROM gg))),
+p AS MATERIALIZED (SELECT a.n1, a.n0, a.k, a.x, least(1, sum(exp(b.lp)) FILTER (exp(b.lp) <= exp(a.lp) * (1 + 1e-7))) AS p FROM h a JOIN h b ON a.n1 = b.n1 AND a.n0 = b.n0 AND a.k = b.k GROUP BY ALL),
+w AS (SELECT *, exp(lgamma(n1 + 1) - lgamma(x1 + 1) - lgamma(n1 - x1 + 1)) * p1 ** x1 * (1 - p1) ** (n1 - x1) * exp(lgamma(n0 + 1) - lgamma(x0 + 1) - lgamma(n0 - x0 + 1)) * p0 ** x0 * (1 - p0) ** (n0 - x0) AS chance FROM gg)
+SELECT block, w.n1, w.n0, round(coalesce(sum(chance) FILTER (p < 0.05), 0), 6) AS power FROM w JOIN p ON p.n1 = w.n1 AND p.n0 = w.n0 AND p.k = x1 + x0 AND p.x = x1 GROUP BY block, w.n1, w.n0""")
 def fisher_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power of Fisher's test at given sizes and rates; no table is read."""
-    sizes = spark.createDataFrame([(8, 6, 0.8, 0.5), (12, 9, 0.8, 0.5)], "n1 int, n0 int, p1 double, p0 double")
-    return inference.power_of_fisher(sizes, "n1", "n0", "p1", "p0").select("n1", "n0", *places("power"))
+    """The power of Fisher's test within each block of labelled documents, at the rates that the block itself shows."""
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    x = table(spark, sf_dir, "labels").groupBy(F.floor(F.col("doc_id") / 64).alias("block")).agg(
+        F.count_if(good).alias("n1"), F.count_if(F.col("quality") == 0).alias("n0"), F.count_if(good & toxic).alias("t1"), F.count_if((F.col("quality") == 0) & toxic).alias("t0")
+    )
+    x = x.filter("n1 > 0 AND n0 > 0").select("block", "n1", "n0", ((F.col("t1") + 0.5) / (F.col("n1") + 1)).alias("p1"), ((F.col("t0") + 0.5) / (F.col("n0") + 1)).alias("p0"))
+    return inference.power_of_fisher(x, "n1", "n0", "p1", "p0").select("block", "n1", "n0", *places("power"))
+
+
+#: Three documents in a row are a matched set, whose case is the first; sets are dealt to four groups.
+_MATCHED = """sets AS (SELECT (doc_id // 3) % 4 AS pool, doc_id // 3 AS member, count(*) AS n, count(*) FILTER (quality = 1) AS k, count(*) FILTER (doc_id % 3 = 0) AS cases, count(*) FILTER (quality = 1 AND doc_id % 3 = 0) AS x FROM labels GROUP BY ALL),
+good AS MATERIALIZED (SELECT *, k / n AS q, row_number() OVER (PARTITION BY pool ORDER BY member) AS s FROM sets WHERE cases = 1 AND n > 1)"""
+
+
+@query(f"""WITH RECURSIVE {_MATCHED},
+dist AS (SELECT pool, 0::BIGINT AS s, 0::BIGINT AS v, 1.0::DOUBLE AS p FROM (SELECT DISTINCT pool FROM sets)
+  UNION ALL SELECT d.pool, d.s + 1, d.v + u.u, sum(d.p * CASE WHEN u.u = 1 THEN q ELSE 1 - q END) FROM dist d JOIN good g ON g.pool = d.pool AND g.s = d.s + 1, (VALUES (0), (1)) AS u(u) GROUP BY ALL),
+told AS (SELECT pool, count(*) FILTER (cases = 1 AND n > 1) AS n_sets, count(*) FILTER (NOT (cases = 1 AND n > 1)) AS n_left_out, coalesce(sum(x) FILTER (cases = 1 AND n > 1), 0)::BIGINT AS n_cases, coalesce(sum(k / n) FILTER (cases = 1 AND n > 1), 0) AS expected FROM sets GROUP BY pool),
+last AS MATERIALIZED (SELECT d.* FROM dist d JOIN told USING (pool) WHERE d.s = n_sets), own AS (SELECT pool, p AS own FROM last JOIN told USING (pool) WHERE v = n_cases)
+SELECT pool, n_sets, n_left_out, n_cases, round(expected, 6) AS expected, CASE WHEN n_sets > 0 THEN round(sum(p) FILTER (v >= n_cases), 6) END AS p_upper, CASE WHEN n_sets > 0 THEN round(least(1, sum(p) FILTER (p <= own * (1 + 1e-7))), 6) END AS p
+FROM last JOIN told USING (pool) JOIN own USING (pool) GROUP BY pool, n_sets, n_left_out, n_cases, expected""")
+def matched_set_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first of three documents in a row is good more often than the others, by permuting labels within the sets."""
+    x = table(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 3).alias("member"), (F.floor(F.col("doc_id") / 3) % 4).alias("pool"), (F.col("doc_id") % 3 == 0).alias("case"), (F.col("quality") == 1).alias("good"))
+    out = inference.matched_set_test(x, "case", "good", ["member"], ["pool"])
+    return out.select("pool", "n_sets", "n_left_out", "n_cases", *places("expected", "p_upper", "p"))
+
+
+_LEVELS = "(VALUES (0.01, 2.5758293035489004), (0.05, 1.959963984540054), (0.2, 1.2815515655446004), (0.32, 0.994457883209753)) AS z(alpha, z)"
+
+
+@query(f"""WITH {_TABLES}, w AS (SELECT lang, alpha, z, a AS x1, a + b AS n1, c AS x0, c + d AS n0 FROM t, {_LEVELS} WHERE a + b > 0 AND c + d > 0), p AS (SELECT *, x1 / n1 AS p1, x0 / n0 AS p0 FROM w),
+i AS (SELECT *, (p1 + z*z/(2*n1)) / (1 + z*z/n1) AS m1, z * sqrt(p1*(1-p1)/n1 + z*z/(4*n1*n1)) / (1 + z*z/n1) AS h1, (p0 + z*z/(2*n0)) / (1 + z*z/n0) AS m0, z * sqrt(p0*(1-p0)/n0 + z*z/(4*n0*n0)) / (1 + z*z/n0) AS h0 FROM p)
+SELECT lang, alpha::DOUBLE AS alpha, round(p1 - p0 - sqrt((p1 - (m1 - h1)) ** 2 + (m0 + h0 - p0) ** 2), 6) AS low, round(p1 - p0 + sqrt((m1 + h1 - p1) ** 2 + (p0 - (m0 - h0)) ** 2), 6) AS high FROM i""")
+def interval_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the difference of two rates at several levels."""
+    t = _two_by_two(spark, sf_dir).select("lang", F.col("a").alias("x1"), (F.col("a") + F.col("b")).alias("n1"), F.col("c").alias("x0"), (F.col("c") + F.col("d")).alias("n0")).filter("n1 > 0 AND n0 > 0")
+    t = t.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (0.01, 0.05, 0.2, 0.32)])))
+    return inference.newcombe(t, "x1", "n1", "x0", "n0", alpha=F.col("alpha")).select("lang", "alpha", *places("low", "high"))
+
+
+#: The normal distribution by its series; (2k + 1)!! = (2k + 1)! / (2^k k!).
+_NORMAL = "0.5 - exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln({z}) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))))"
+
+
+@query(f"""WITH {_TABLES}, x AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d, (a + b + c + d)::DOUBLE AS n FROM t WHERE a + b + c + d > 1),
+s AS (SELECT count(*) AS n_strata, sum(a*d/n) AS r, sum(b*c/n) AS s, sum((a+d)/n * a*d/n) AS pr, sum((a+d)/n * b*c/n + (b+c)/n * a*d/n) AS ps, sum((b+c)/n * b*c/n) AS qs, sum(a - (a+b)*(a+c)/n) AS gap, sum((a+b)*(c+d)*(a+c)*(b+d)/(n*n*(n-1))) AS v FROM x),
+e AS (SELECT *, sqrt(pr / (2*r*r) + ps / (2*r*s) + qs / (2*s*s)) AS se, greatest(0, abs(gap) - 0.5) ** 2 / nullif(v, 0) AS chi2 FROM s)
+SELECT n_strata, round(r / s * exp(-1.6448536269514722 * se), 6) AS low, round(r / s * exp(1.6448536269514722 * se), 6) AS high, round(CASE WHEN chi2 > 0 THEN 2 * ({_NORMAL.replace("{z}", "sqrt(chi2)")}) ELSE 1 END, 6) AS p FROM e""")
+def mantel_haenszel_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of the common odds ratio at 90 %, and the p of its test."""
+    return inference.mantel_haenszel(_two_by_two(spark, sf_dir), alpha=0.1).select("n_strata", *places("low", "high", "p"))
 
 
 @query(f"""WITH {_TABLES}, s AS (SELECT lang, a + b AS k, a + b + c + d AS n FROM t), x AS (SELECT *, unnest(range(k, n + 1)) AS x FROM s)
@@ -225,9 +311,9 @@ def normalised_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {B.FOLDED}, p AS (SELECT asset, fold, avg(vol) AS m, stddev_pop(vol) AS s FROM fan WHERE part = 'train' GROUP BY ALL)
-SELECT asset, CAST(fold AS INT) AS fold, part, CAST(d AS VARCHAR) AS d, round((vol - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS vol FROM fan JOIN p USING (asset, fold) WHERE fold < 3""")
+SELECT asset, CAST(fold AS INT) AS fold, part, CAST(d AS VARCHAR) AS d, round((vol - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS vol FROM fan JOIN p USING (asset, fold)""")
 def standardised_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = series.standardise(_fan(spark, sf_dir).filter("fold < 3"), ["vol"])
+    out = series.standardise(_fan(spark, sf_dir), ["vol"])
     return out.select("asset", "fold", "part", *text_days("d"), *places("vol"))
 
 
@@ -244,27 +330,144 @@ def parsed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "parse_ok", "summary", "confidence", F.size("claims").alias("n_claims"), "is_confident")
 
 
-@query(f"""WITH {B.ITEMS}, top AS (SELECT *, row_number() OVER (PARTITION BY boundary ORDER BY published, item_id) AS k FROM win)
-SELECT CAST(boundary AS VARCHAR) AS boundary, count(*) AS n_items, md5(string_agg('[' || item_id || '] Day ' || day_index || ' | ' || source || chr(10) || 'seen in [month] [year]', chr(10) || chr(10) ORDER BY published, item_id)) AS h
-FROM top WHERE k <= 20 GROUP BY boundary""")
+@query(f"""WITH {B.ITEMS}
+SELECT CAST(boundary AS VARCHAR) AS boundary, count(*) AS n_items, md5('There are ' || count(*) || ' items, covering a window of 14 days. Day 14 is the day the model flagged.' || chr(10) ||
+  string_agg('[' || item_id || '] Day ' || day_index || ' | ' || source || chr(10) || 'item n' || item_id || ' seen in [month] [year]', chr(10) || chr(10) ORDER BY published, item_id)) AS h
+FROM win GROUP BY boundary""")
 def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     win = windows.items_in_windows(B.items(spark, sf_dir), B.boundaries(spark, sf_dir))
-    win = windows.ranked(win, F.date_trunc("minute", "published"), ["published", "item_id"]).filter("_i < 20")
-    out = evidence.render(win.withColumns({"section": F.col("source"), "text": F.lit("seen in June 2024")}))
+    said = F.concat(F.lit("item n"), F.col("item_id").cast("string"), F.lit(" seen in June 2024"))
+    out = evidence.render(win.withColumns({"section": F.col("source"), "text": said}), window_days=14)
     return out.select(*text_days("boundary"), "n_items", F.md5(F.col("prompt").cast("binary")).alias("h"))
 
 
-@query("""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS say FROM conversations),
-w AS (SELECT conv_id, k, len(list_filter(string_split(say, ' '), lambda x: x <> '')) AS words FROM r WHERE k < 9)
-SELECT conv_id AS script_id, CAST(k + 1 AS INT) AS pos, CAST(words AS INT) AS words, CASE WHEN k % 3 = 0 THEN 57 ELSE 60 END AS seconds,
+@query("""WITH n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS say FROM conversations),
+r AS (SELECT conv_id || ':' || (i // 9) AS script_id, i % 9 AS k, say FROM n),
+w AS (SELECT script_id, k, len(list_filter(string_split(say, ' '), lambda x: x <> '')) AS words FROM r)
+SELECT script_id, CAST(k + 1 AS INT) AS pos, CAST(words AS INT) AS words, CASE WHEN k % 3 = 0 THEN 57 ELSE 60 END AS seconds,
   round(words * 60 / CASE WHEN k % 3 = 0 THEN 57 ELSE 60 END, 6) AS wpm, false AS gap FROM w""")
 def timed_script_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as scripts of a minute a turn."""
+    """Conversations as scripts of a minute a turn; nine turns are a script, since minutes have one digit."""
     c = table(spark, sf_dir, "conversations")
-    c = c.withColumn("k", F.expr("row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1")).filter("k < 9")
+    c = c.withColumn("i", F.expr("row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1")).withColumn("k", F.col("i") % 9)
+    c = c.withColumn("script_id", F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.floor(F.col("i") / 9).cast("string")))
     show = F.when(F.col("k") % 3 == 0, "3 seconds of silence").otherwise("a chart")
     span = F.format_string("**%d:00\u2013%d:00**", F.col("k"), F.col("k") + 1)
     line = F.concat(F.lit("| "), span, F.lit(" | "), show, F.lit(" | **"), F.trim(F.regexp_replace("text", "[^A-Za-z ]", "")), F.lit("** |"))
-    scripts = windows.ordered_text(c.withColumn("line", line), "line", by=["conv_id"], order=["turn"], sep="\n")
-    scripts = scripts.select(F.col("conv_id").alias("script_id"), F.concat(F.lit("# head\n"), F.col("text")).alias("text"))
+    scripts = windows.ordered_text(c.withColumn("line", line), "line", by=["script_id"], order=["k"], sep="\n")
+    scripts = scripts.select("script_id", F.concat(F.lit("# head\n"), F.col("text")).alias("text"))
     return timed.timed_rows(scripts).select("script_id", "pos", "words", "seconds", *places("wpm"), "gap")
+
+
+#: Conversations as stored runs: forty runs, each with a window a turn.
+_RUNS = """c AS (SELECT conv_id % 40 AS run, conv_id, turn, role, text FROM conversations),
+kept AS (SELECT *, CASE WHEN run % 10 = 3 THEN 'again' ELSE 'Run ' || run END AS label FROM c WHERE run % 10 <> 7)"""
+
+
+def _stored(spark: SparkSession, sf_dir: str, store_at: str) -> runs.RunStore:
+    """A store with a run for each of forty shares of the conversations, of which some are saved again and some deleted."""
+    c = table(spark, sf_dir, "conversations").withColumn("run", F.col("conv_id") % 40)
+    day = F.expr("timestamp_seconds(1704067200 + run * 3600)")
+    c = c.withColumn("run_id", runs.run_id(day, F.concat(F.lit("Run "), F.col("run").cast("string"))))
+    window = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("window_id")
+    kind = F.when(F.col("turn") % 2 == 0, "transition").otherwise("control")
+    told = c.select("run_id", window, kind.alias("kind"), (F.col("role") == "user").alias("driver_identified"), F.lit("high").alias("confidence"), F.col("text").alias("summary"))
+    dates = lambda k: F.collect_set(F.when(F.col("turn") % 2 == k, F.expr("date_add(DATE '2024-01-01', cast(turn as int))")))
+    settings = F.create_map(F.lit("window_days"), (F.col("run") % 5 + 10).cast("string"))
+    heads = c.groupBy("run", "run_id").agg(dates(0).alias("event_dates"), dates(1).alias("control_dates"))
+    heads = heads.withColumns({"label": F.concat(F.lit("Run "), F.col("run").cast("string")), "saved_at": day, "model": F.lit("m"), "settings": settings})
+    kept = runs.RunStore(spark, store_at)
+    kept.save(heads, narratives=told, windows=told.select("run_id", "window_id", "kind"))
+    kept.save(heads.filter("run % 10 = 3").withColumn("label", F.lit("again")), narratives=told.join(heads.filter("run % 10 = 3").select("run_id"), "run_id"))
+    for r in heads.filter("run % 10 = 7").select("run_id").collect():
+        kept.delete(r.run_id)
+    return kept
+
+
+@query(f"""WITH {_RUNS} SELECT label, any_value('m') AS model, CAST(run % 5 + 10 AS INT) AS window_days, CAST(count(DISTINCT turn) FILTER (turn % 2 = 0) AS INT) AS n_events,
+  CAST(count(DISTINCT turn) FILTER (turn % 2 <> 0) AS INT) AS n_controls, count(*) AS n_narratives, row_number() OVER (ORDER BY run DESC) AS newest FROM kept GROUP BY label, run""")
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store lists after runs were saved, saved again and deleted."""
+    with Scratch(spark, "runs") as scratch:
+        listed = _stored(spark, sf_dir, scratch.path).list()
+        order = F.row_number().over(Window.orderBy(F.desc("saved_at")))  # of at most forty runs
+        listed = listed.select("label", "model", "window_days", "n_events", "n_controls", "n_narratives", order.cast("long").alias("newest"))
+        return materialise(listed, "listed")
+
+
+@query(f"WITH {_RUNS} SELECT conv_id || ':' || turn AS window_id, CASE WHEN turn % 2 = 0 THEN 'transition' ELSE 'control' END AS kind, role = 'user' AS driver_identified, md5(text) AS h FROM kept WHERE run = 4")
+def loaded_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narratives of one stored run, read from its partition."""
+    with Scratch(spark, "runs") as scratch:
+        kept = _stored(spark, sf_dir, scratch.path)
+        got = kept.load("20240101-040000_run-4")
+        none = spark.createDataFrame([], runs.TABLES["narratives"])
+        told = (got["narratives"] if got else none).select("window_id", "kind", "driver_identified", F.md5(F.col("summary").cast("binary")).alias("h"))
+        return materialise(told, "narratives")
+
+
+#: Turns as stored responses: what was asked is the window (a conversation), a model and the role; later turns answer the same again.
+_LEDGER = """asked AS (SELECT 'w' || conv_id AS window_id, substr(sha256('m' || conv_id % 3 || '|p|' || role), 1, 16) AS input_hash, 'primary' AS label, turn, text FROM conversations),
+entries AS (SELECT window_id, input_hash, label, turn, text FROM asked QUALIFY row_number() OVER (PARTITION BY window_id, input_hash, label ORDER BY turn DESC, text DESC) = 1)"""
+
+
+def _ledger(spark: SparkSession, sf_dir: str, at: str) -> tuple[DataFrame, ledger.Ledger]:
+    c = table(spark, sf_dir, "conversations")
+    c = c.select(F.concat(F.lit("w"), F.col("conv_id").cast("string")).alias("window_id"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"), F.lit("p").alias("prompt_sha16"),
+                 F.col("role").alias("text"), F.col("turn"), F.timestamp_seconds("turn").alias("answered_at"), F.col("text").alias("response_text"))
+    asked = ledger.keyed(c)
+    kept = ledger.Ledger(spark, at, digits=1)
+    for batch in (asked.filter("turn % 2 = 1"), asked.filter("turn % 2 = 0"), asked.filter("turn % 2 = 1")):  # one of them twice
+        kept.merge(batch)
+    return asked, kept
+
+
+@query(f"WITH {_LEDGER} SELECT window_id, input_hash, label, CAST(turn AS BIGINT) AS turn, md5(text) AS h FROM entries")
+def response_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after three batches, of which one came twice: the newest response of each key."""
+    with Scratch(spark, "ledger") as scratch:
+        kept = _ledger(spark, sf_dir, scratch.path + "/table")[1].read()
+        return materialise(kept.select("window_id", "input_hash", "label", F.unix_seconds("answered_at").alias("turn"), F.md5(F.col("response_text").cast("binary")).alias("h")), "entries")
+
+
+@query(f"""WITH {_LEDGER}, wanted AS (SELECT DISTINCT window_id, substr(sha256('m' || k || '|p|user'), 1, 16) AS input_hash, label FROM (SELECT DISTINCT window_id FROM asked), range(0, 3) AS r(k), (VALUES ('primary'), ('again')) AS l(label))
+SELECT w.window_id, w.input_hash, w.label FROM wanted w ANTI JOIN entries e USING (window_id, input_hash, label)""")
+def pending_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which windows still lack a response when three models are asked, each under two labels."""
+    with Scratch(spark, "ledger") as scratch:
+        asked, kept = _ledger(spark, sf_dir, scratch.path + "/table")
+        each = asked.select("window_id").distinct().withColumn("model", F.explode(F.array(*[F.lit(f"m{k}") for k in range(3)]))).withColumn("label", F.explode(F.array(F.lit("primary"), F.lit("again"))))
+        wanted = ledger.keyed(each.withColumns({"prompt_sha16": F.lit("p"), "text": F.lit("user")}))
+        return materialise(kept.pending(wanted).select("window_id", "input_hash", "label"), "pending")
+
+
+#: Responses (turns), days (urls' numbers as days) and revisions (events), some of which can't be used.
+_QUARANTINE = """r AS (SELECT CASE WHEN turn % 5 = 0 THEN 'empty response' WHEN turn % 5 = 1 THEN 'no object' WHEN turn % 5 = 2 THEN 'no summary' END AS reason FROM conversations),
+d AS (SELECT CASE page_id % 4 WHEN 0 THEN 'no day' WHEN 1 THEN 'unreadable day' END AS reason FROM pages),
+e AS (SELECT CASE WHEN event_id % 7 = 0 THEN 'no time' WHEN CAST(ts AS TIMESTAMP) > CAST(CAST(ts AS DATE) - CAST(event_id % 3 AS INT) AS TIMESTAMP) + INTERVAL 86399 SECONDS THEN 'later than its boundary' END AS reason FROM events)"""
+
+
+@query(f"""WITH {_QUARANTINE}
+SELECT 'responses' AS source, reason, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'days', reason, count(*) FROM d GROUP BY ALL UNION ALL SELECT 'revisions', reason, count(*) FROM e GROUP BY ALL""")
+def quarantine_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is good and what is in quarantine, of responses, days and revisions."""
+    c, p, e = (table(spark, sf_dir, name) for name in ("conversations", "pages", "events"))
+    k = F.col("turn") % 5
+    told = F.when(k == 0, " ").when(k == 1, "no object here").when(k == 2, '{"summary": " ", "confidence": "low"}').otherwise(F.concat(F.lit('{"summary": "s'), F.col("turn").cast("string"), F.lit('"}')))
+    read = quarantine.responses(c.select("conv_id", "turn", told.alias("response_text")))
+    m = F.col("page_id") % 4
+    stamp = F.when(m == 0, "").when(m == 1, F.concat(F.lit("day "), F.col("page_id").cast("string"))).when(m == 2, "2024-03-05").otherwise("3/5/2024")
+    named = quarantine.days(p.select("page_id", stamp.alias("when")), "when")
+    ts = F.col("ts").cast("timestamp")
+    late = e.select("event_id", F.when(F.col("event_id") % 7 != 0, ts).alias("ts"), F.date_sub(F.to_date(ts), (F.col("event_id") % 3).cast("int")).alias("boundary"))
+    rows = [quarantine.balance(x, name) for x, name in ((read, "responses"), (named, "days"), (quarantine.revisions(late), "revisions"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'no time' WHEN CAST(ts AS TIMESTAMP) > CAST(CAST(ts AS DATE) - CAST(event_id % 3 AS INT) AS TIMESTAMP) + INTERVAL 86399 SECONDS THEN 'later than its boundary' END AS reason FROM events)
+SELECT 'events' AS source, reason, CAST(event_id AS VARCHAR) AS key FROM e WHERE reason IS NOT NULL""")
+def quarantined_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions that came after their boundary or have no time, with the reason."""
+    ts = F.col("ts").cast("timestamp")
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, ts).alias("ts"), F.date_sub(F.to_date(ts), (F.col("event_id") % 3).cast("int")).alias("boundary"))
+    return quarantine.quarantined(quarantine.revisions(e), "events", "event_id").select("source", "reason", "key")

@@ -21,7 +21,8 @@ class Columns:
     shares: dict[str, float]
 
 
-def _as_day(df: DataFrame, c: str):
+def as_day(df: DataFrame, c: str):
+    """The day that a column holds, in one of the forms known; null where it can't be read or lies outside 1900 to 2100."""
     kind = df.schema[c].dataType
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.to_date(F.col(c))
@@ -32,7 +33,7 @@ def _as_day(df: DataFrame, c: str):
 def infer_columns(df: DataFrame, least: float = 0.6) -> Columns:
     """One aggregate over the table: the day column is one of a known name, else the one with most days (not a numeric one), of equal ones the first, if it has `least` of them."""
     candidates = [c for c in df.columns if not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType, T.ArrayType, T.MapType, T.StructType))]
-    row = df.agg(F.count("*").alias("_n"), *[F.count(_as_day(df, c)).alias(f"_{i}") for i, c in enumerate(candidates)]).first()
+    row = df.agg(F.count("*").alias("_n"), *[F.count(as_day(df, c)).alias(f"_{i}") for i, c in enumerate(candidates)]).first()
     shares = {c: (row[f"_{i}"] / row["_n"] if row["_n"] else 0.0) for i, c in enumerate(candidates)}
     named = [c for c in candidates if c.lower() in DAY_NAMES and shares[c] >= least]
     best = max(candidates, key=lambda c: shares[c], default=None)
@@ -46,7 +47,7 @@ def days_and_states(df: DataFrame, least: float = 0.6) -> DataFrame:
     found = infer_columns(df, least)
     if found.day is None:
         raise ValueError(f"no column holds days in {least:.0%} of its rows: {found.shares}")
-    rows = df.select(_as_day(df, found.day).alias("d"), *([F.expr(f"try_cast(`{found.state}` AS INT)").alias("state")] if found.state else [])).filter("d IS NOT NULL")
+    rows = df.select(as_day(df, found.day).alias("d"), *([F.expr(f"try_cast(`{found.state}` AS INT)").alias("state")] if found.state else [])).filter("d IS NOT NULL")
     return rows.groupBy("d").agg(F.min("state").alias("state")) if found.state else rows.distinct()
 
 
@@ -54,4 +55,4 @@ def pasted_days(spark: SparkSession, text: str) -> DataFrame:
     """(d): the distinct days of a pasted list, parted by commas, semicolons, tabs or line feeds; what can't be read as a day goes."""
     parts = spark.createDataFrame([(text,)], "_all string").select(F.explode(F.split("_all", "[,;\t\n]+")).alias("_raw"))
     raw = parts.select(F.trim("_raw").alias("_raw"))
-    return raw.select(_as_day(raw, "_raw").alias("d")).filter("d IS NOT NULL").distinct()
+    return raw.select(as_day(raw, "_raw").alias("d")).filter("d IS NOT NULL").distinct()

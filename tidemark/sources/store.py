@@ -71,12 +71,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_prompt(spark: SparkSession, path: str) -> DataFrame:
-    """(prompt, sha16): the file without its front matter, and the first 16 hex digits of its sha256. A missing file is an error."""
+    """(prompt, sha16): the file without its front matter and the blanks around it, and the first 16 hex digits of the sha256 of the file as it is. A missing file is an error."""
     fs, at = _files(spark, path)
     if not fs.exists(at):
         raise FileNotFoundError(path)
-    text = front_matter_stripped(F.col("value"))
-    return spark.read.text(path, wholetext=True).select(text.alias("prompt"), F.substring(F.sha2(text, 256), 1, 16).alias("sha16"))
+    text = F.regexp_replace(front_matter_stripped(F.decode("content", F.lit("UTF-8"))), r"^\s+|\s+$", "")
+    digest = F.substring(F.sha2("content", 256), 1, 16)
+    return spark.read.format("binaryFile").load(path).select(text.alias("prompt"), digest.alias("sha16"))
 
 
 def read_prices(spark: SparkSession, path: str, names: Mapping[str, str], day: str = "Date") -> DataFrame:
@@ -88,6 +89,59 @@ def read_prices(spark: SparkSession, path: str, names: Mapping[str, str], day: s
     return rows.select("d", *[clean(n).alias(n) for n in names.values()]).na.drop("any")
 
 
+def _header(lines: list[list[str]], symbols: Sequence[str], field: str) -> dict[str, int]:
+    """Which column holds `field` of each symbol, from the rows above the data: one row of symbols, one of fields (of a single symbol), or two, the one over the other."""
+    clean_ = [[c.strip() for c in row] for row in lines]
+    fields = [row for row in clean_ if field.lower() in [c.lower() for c in row]]
+    named = [row for row in clean_ if set(row) & set(symbols) and row not in fields]
+    if not fields and named:
+        return {t: named[0].index(t) for t in symbols if named[0].count(t) == 1}
+    if fields and not named and len(symbols) == 1:
+        return {symbols[0]: [c.lower() for c in fields[0]].index(field.lower())}
+    if fields and named:
+        # Merged cells: a name holds for the columns after it, up to the next.
+        filled = []
+        for row in (fields[0], named[0]):
+            own, last = [], ""
+            for c in row:
+                last = c or last
+                own.append(last)
+            filled.append(own)
+        pairs = list(zip(*filled))
+        return {t: k for t in symbols for k, (f, name) in enumerate(pairs) if f.lower() == field.lower() and name == t}
+    return {}
+
+
+def read_vendor_prices(spark: SparkSession, path: str, names: Mapping[str, str], field: str = "Close") -> DataFrame:
+    """(d, *names) from a vendor's CSV, in whatever layout it came: a column for each ticker, the fields of a single ticker, or two rows of headings, fields over tickers or
+    tickers over fields (merged cells may be empty). Of the fields `field` is taken. names gives ticker -> name. The headings are what comes before the first row
+    whose first cell is a day; rows that lack a price go. Tickers that aren't there, or layouts that aren't known, are a KeyError."""
+    raw = spark.read.option("header", False).csv(path)
+    day = F.to_date(F.try_to_timestamp(F.substring(raw.columns[0], 1, 10), F.lit("yyyy-MM-dd")))
+    head = [[c or "" for c in r] for r in raw.filter(day.isNull()).limit(8).collect()]
+    found = _header(head, list(names), field)
+    if missing := [t for t in names if t not in found]:
+        raise KeyError(f"no column {field} of {missing} under the headings {head}")
+    price = lambda t: F.nanvl(F.expr(f"try_cast(`{raw.columns[found[t]]}` AS DOUBLE)"), F.lit(None).cast("double"))
+    return raw.select(day.alias("d"), *[price(t).alias(n) for t, n in names.items()]).na.drop("any")
+
+
+#: Named sets of tickers, and what each is called: fixed values. The first is what models are fitted on; the others are indices that played no part in it.
+DATASETS = {
+    "universe": {"SPY": "spy", "TLT": "tlt", "GLD": "gld", "^VIX": "vix", "HYG": "hyg"},
+    "nikkei": {"^N225": "nikkei"},
+    "hang_seng": {"^HSI": "hang_seng"},
+    "dax": {"^GDAXI": "dax"},
+}
+
+
+def load_dataset(spark: SparkSession, folder: str, dataset: str, datasets: Mapping[str, Mapping[str, str]] = DATASETS, field: str = "Close") -> DataFrame:
+    """(d, *names) of a named set, from the file (or folder) of its name with .csv under folder."""
+    if dataset not in datasets:
+        raise KeyError(f"no such dataset: {dataset}; there are {sorted(datasets)}")
+    return read_vendor_prices(spark, f"{folder.rstrip('/')}/{dataset}.csv", datasets[dataset], field)
+
+
 def long_prices(wide: DataFrame, day: str = "d") -> DataFrame:
     """(asset, d, px) of a table with a column for each asset."""
     assets = [c for c in wide.columns if c != day]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A timed row, and what isn't spoken in it.
-ROW = r"^\|\s*\*\*(\d):(\d\d)[–-](\d):(\d\d)\*\*\s*\|([^|]*)\|([^|]*)\|\s*$"
+ROW = r"^\|\s*\*\*(\d):(\d\d)[–-](\d):(\d\d)\*\*\s*\|(.*?)\|(.*?)\|\s*$"
 MARKS = r"\*|`|…"
 SILENCE, SILENT_SECONDS = "seconds of silence", 3
 
