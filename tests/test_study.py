@@ -288,7 +288,7 @@ def test_timed_rows_and_pasted_days(spark):
     df = spark.createDataFrame([(1, text), (2, "none")], "script_id int, text string")
     rows = timed.timed_rows(df)
     got = [(r.start, r.end, r.words, r.seconds, r.gap, r.too_fast) for r in rows.orderBy("pos").collect()]
-    assert got == [(0, 10, 3, 10, False, False), (12, 20, 2, 5, True, False), (20, 21, 3, 1, False, True)]
+    assert got == [(0, 10, 3, 10, False, False), (12, 20, 2, 5, True, False), (20, 21, 4, 1, False, True)]
     (r,) = timed.script_summary(rows).collect()
     assert (r.n_rows, r.runtime, r.n_gaps, r.n_too_fast, r.ok) == (3, 21, 1, 1, False)
     days = inputs.pasted_days(spark, "2020-03-03, 3/4/2020;5 March 2020\nno day\t2020-03-03")

@@ -10,9 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.operators.windows import ranked
+from tidemark.operators.windows import id_bucket, ranked
 
 
 def postings(docs: DataFrame, terms: str = "terms", doc: str = "doc_id", by: Sequence[str] = ()) -> DataFrame:
@@ -53,12 +52,7 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id
 
 def _places(ids: DataFrame, doc: str, by: Sequence[str]) -> DataFrame:
     """(*by, doc, place, n_candidates) of distinct ids, counted by ranges of ids, so that no task orders a whole pool."""
-    kind = ids.schema[doc].dataType
-    if isinstance(kind, T.NumericType):
-        bucket = F.floor(F.col(doc) / 4096)
-    else:
-        bucket = F.substring(doc, 1, 7) if isinstance(kind, T.StringType) else F.date_trunc("month", doc) if isinstance(kind, (T.DateType, T.TimestampType)) else F.lit(0)
-    return ranked(ids, bucket, [doc], by).select(*by, doc, (F.col("_i") + 1).alias("place"), F.col("_n").alias("n_candidates"))
+    return ranked(ids, id_bucket(ids, doc), [doc], by).select(*by, doc, (F.col("_i") + 1).alias("place"), F.col("_n").alias("n_candidates"))
 
 
 def match_ranks(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id", by: Sequence[str] = (), digits: int = 9, per: Sequence[str] = ()) -> DataFrame:

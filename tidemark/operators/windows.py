@@ -98,12 +98,30 @@ def holdout_split(windowed: DataFrame, fraction: float = 0.5, seed: int = 7, ite
     return rows.withColumn("role", F.when(F.col("_i") < keep, "holdout").otherwise("generation")).drop("_i", "_n")
 
 
+def id_bucket(df: DataFrame, item: str) -> Column:
+    """A bucket that does not fall along the order of ids: ranges of numbers, prefixes of text."""
+    kind = df.schema[item].dataType
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col(item) / 4096)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("month", item)
+    return F.substring(item, 1, 7) if isinstance(kind, T.StringType) else F.lit(0)
+
+
+def _time_bucket(df: DataFrame, order: Sequence[str]) -> Column:
+    """A bucket for `order`: the minute, and for rows on the very minute (news that has a day alone is all at noon) ranges of what comes next."""
+    if not isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
+        return F.col(order[0])
+    minute = F.date_trunc("minute", order[0])
+    same = F.col(order[0]) == minute
+    return F.struct(minute, ~same, F.when(same, id_bucket(df, order[1]) if len(order) > 1 else F.lit(0)))
+
+
 def truncate_evenly(windowed: DataFrame, most: int, by: Sequence[str] = ("boundary",), order: Sequence[str] = ("published", "item_id")) -> DataFrame:
     """At most `most` rows of each window, evenly spread: those at the rounded points (half to even) of a line from the first to the last."""
     if most < 1:
         raise ValueError("most must be positive")
-    time = isinstance(windowed.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType))
-    rows = ranked(windowed, F.date_trunc("minute", order[0]) if time else F.col(order[0]), order, by)
+    rows = ranked(windowed, _time_bucket(windowed, order), order, by)
     if most == 1:
         return rows.filter("_i = 0").drop("_i", "_n")
     # Row i is chosen if some k has bround(k (n-1) / (most-1)) = i: one of the two next to i (most-1) / (n-1).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import series
+from tidemark.operators import series, windows
 from tidemark.plans.registry import table
 
 #: px: daily order totals by priority. feat: returns, momentum, trailing and forward volatility. st: state 1 above the asset's median volatility.
@@ -103,7 +103,8 @@ claim_items AS (SELECT doc_id % n AS window_id, doc_id AS item_id, text FROM doc
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     n = F.col("n")
-    numbered = b.select("item_id", "text", F.expr("row_number() OVER (ORDER BY item_id) - 1").cast("long").alias("window_id"))
+    numbered = windows.ranked(b.select("item_id", "text"), windows.id_bucket(b, "item_id"), ["item_id"], by=[])
+    numbered = numbered.select("item_id", "text", F.col("_i").cast("long").alias("window_id"))
     numbered = numbered.crossJoin(F.broadcast(b.agg(F.count("*").alias("n"))))  # one row
     s = numbered.select("window_id", "n", F.posexplode(F.split("text", r"\.")).alias("pos", "s")).withColumn("pos", F.col("pos") + 1)
     s = s.select("window_id", "n", "pos", F.trim("s").alias("claim")).filter("claim <> ''")

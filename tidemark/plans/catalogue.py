@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evidence, series_queries, study_queries, text_queries  # noqa: F401  they register their queries
+from tidemark.plans import evidence, series_queries, stream_queries, study_queries, text_queries  # noqa: F401  they register their queries
 from tidemark.plans.registry import QUERIES, SQL, Query
 
 

@@ -265,7 +265,7 @@ def hmm_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generalisation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every series of daily totals by priority, and one too short for a fold, met with the shared level and credit series."""
     px = B.prices(spark, sf_dir)
-    short = px.filter("d < DATE '1992-03-01'").withColumn("asset", F.lit("short"))
+    short = px.filter("d < DATE '1995-03-01'").withColumn("asset", F.lit("short"))
     short = short.groupBy("asset", "d").agg(F.sum(F.col("px").cast("decimal(18,2)")).cast("double").alias("px"))
     out = generalise.generalisation(px.unionByName(short), B.levels(spark, sf_dir), lambda x: materialise(x, "walk"), 126, 42, rounds=ROUNDS)
     measures = [c for c in generalise.MEASURES if not c.startswith("n_")]

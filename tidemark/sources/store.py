@@ -23,7 +23,7 @@ def save_runs(runs: DataFrame, path: str) -> None:
     runs.withColumn("run_id", run_id(F.col("saved_at"), F.col("label"))).select("run_id", "saved_at", "label", "model", "config", "summary").write.mode("append").json(path)
 
 
-def list_runs(spark: SparkSession, path: str) -> DataFrame:
+def list_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Stored runs, newest first; lines that aren't runs are passed over."""
     raw = spark.read.schema(RUN + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return raw.filter(F.col("_corrupt_record").isNull() & F.col("run_id").isNotNull()).drop("_corrupt_record").orderBy(F.desc("saved_at"), "run_id")
@@ -35,16 +35,19 @@ def load_run(spark: SparkSession, path: str, wanted: str) -> DataFrame:
 
 
 def delete_run(spark: SparkSession, path: str, wanted: str) -> bool:
-    """Whether there was a run of this id; the others are written anew beside the store, which then takes their place. Lines that aren't
-    runs go too."""
-    runs = list_runs(spark, path)
-    if runs.filter(F.col("run_id") == wanted).isEmpty():
+    """Whether there was a run of this id. The files that hold it are written anew, one for one, and only then deleted; files without it are left as they are, so that
+    what is appended meanwhile stays, and a crash between leaves runs twice and loses none. Lines that aren't runs go with their file. RunStore
+    (tidemark.sources.runs) keeps runs as partitions, where deleting one is dropping its folder."""
+    rows = spark.read.schema(RUN).json(path).select("run_id", F.col("_metadata.file_path").alias("file"))
+    held = [r.file for r in rows.filter(F.col("run_id") == wanted).select("file").distinct().collect()]
+    if not held:
         return False
-    rest = path.rstrip("/") + ".rest"
-    runs.filter(F.col("run_id") != wanted).write.mode("overwrite").json(rest)
-    fs, at = _files(spark, path)
-    fs.delete(at, True)
-    return bool(fs.rename(_files(spark, rest)[1], at))
+    rest = list_runs(spark, held).filter(F.col("run_id") != wanted)
+    rest.write.mode("append").json(path)
+    for file in held:
+        fs, at = _files(spark, file)
+        fs.delete(at, False)
+    return True
 
 
 def _files(spark: SparkSession, path: str):
@@ -75,7 +78,7 @@ def load_prompt(spark: SparkSession, path: str) -> DataFrame:
     fs, at = _files(spark, path)
     if not fs.exists(at):
         raise FileNotFoundError(path)
-    text = F.regexp_replace(front_matter_stripped(F.decode("content", F.lit("UTF-8"))), r"^\s+|\s+$", "")
+    text = F.regexp_replace(front_matter_stripped(F.decode("content", "UTF-8")), r"^\s+|\s+$", "")
     digest = F.substring(F.sha2("content", 256), 1, 16)
     return spark.read.format("binaryFile").load(path).select(text.alias("prompt"), digest.alias("sha16"))
 
