@@ -157,7 +157,11 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", max_windows: int = 200_000) -> DataFrame:
-    """Per row of docs: the id, n_words, n_hit, n_items, items_sha256 and contaminated, as hit_spans finds them."""
+    """Per row of docs: the id, n_words, n_hit, n_items, items_sha256 and contaminated, as hit_spans finds them.
+
+    Null and blank texts have no words and no hits; a text of any length is read whole, in one task. Rows that repeat are each returned; of items that
+    repeat an id with other texts all windows are that id's, and windows of items without an id are hits that belong to no id. An empty table, or
+    benchmark, gives an empty result, or no hits. Other columns are not looked at, whatever their names."""
     rows = hit_spans(docs, benchmark, window, id_col, text_col, max_windows)
     hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda a, x: F.when(a["s"] < 0, F.struct(a["n"].alias("n"), x.alias("s"))).otherwise(F.struct((a["n"] + x - a["s"]).alias("n"), F.lit(-1).cast("long").alias("s"))))["n"]
     return rows.select(
@@ -170,7 +174,8 @@ def clean_only(
     max_windows: int = 200_000,
 ) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark window. The rows pass through the tasks that scan them,
-    once for each group of windows, so that nothing is joined or shuffled."""
+    once for each group of windows, so that nothing is joined or shuffled. Rows with null, blank or very long texts, repeated rows and rows without an
+    id are judged like any other; columns keep their names, whatever they are. An empty table gives an empty result."""
     wins = benchmark_windows(benchmark, window)
     groups = max(1, -(-wins.count() // max_windows))
     place = [c.lower() for c in docs.columns].index(text_col.lower())

@@ -134,6 +134,8 @@ def identify(
     **options,
 ) -> DataFrame:
     """Per row of docs: id, held_out, lang_pred and score; learnt from the rows that are not held out. Repeated rows are kept;
-    an empty table gives an empty result; whatever the lang or other columns of a row hold, they don't enter its prediction."""
+    an empty table gives an empty result; whatever the lang or other columns of a row hold, they don't enter its prediction.
+    Null texts and those without a letter are und. A text of any length is read whole, in one task. Of languages with equal scores the first by
+    name is taken. Names of other columns don't matter."""
     model = train(docs, id_col, text_col, lang_col, folds, held, **options)
     return predict(docs, model, id_col, text_col).select(id_col, (crc_mod(id_col, folds) == held).alias("held_out"), "lang_pred", "score")

@@ -314,6 +314,7 @@ def lm_score(
     target: a boolean column of docs that marks the target's rows (null: not marked). Null and blank texts have no tokens
     and null losses and score. Without any target its model knows only the vocabulary. Repeated rows are kept, and
     counted as often. An empty table gives an empty result. No word is cut off, so ties don't matter; texts of any length are one row.
+    Other columns of docs are not looked at, whatever their names.
     prior: m above; smooth: a; part_events: about how many occurrences a part has; chunk_rows (32,768 at most)
     and chunk_events bound what a task holds before it sends it on."""
     if not 0 < chunk_rows <= 1 << 15:

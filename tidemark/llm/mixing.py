@@ -213,7 +213,9 @@ def mix(
     targets: shares for domains. They are scaled so that the domain with most expected tokens keeps what it has: to gain share the
     others are used more often, to lose it less. Domains without a target keep theirs. Targets that can't be met together
     are met as nearly as `rounds` allow, with a warning. Null and blank texts have no tokens and the rate of their
-    posteriors. Without labels, or with an empty table, all rates are 1. Repeated rows are kept, each with the same rate."""
+    posteriors. Without labels, or with an empty table, all rates are 1. Repeated rows are kept, each with the same rate. Of
+    domains with equally many tokens the first by name keeps what it has. A text of any length is counted whole. Other columns of docs are not
+    looked at, whatever their names."""
     model = train(docs, marked, id_col, text_col, sample)
     p = "f_"
     names = [f"p_{d}" for d in model.domains]
@@ -251,7 +253,9 @@ def apply_mix(
     docs: DataFrame, marked: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
     **options,
 ) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as copies_of its rate. Rows that repeat are each used so often."""
+    """The rows of docs, with all their columns, each as often as copies_of its rate. Rows that repeat are each used so often.
+    Null, blank and very long texts are rows like any other, and so are rows without an id. Columns that the join needs have names that docs
+    doesn't use. An empty table gives an empty result."""
     rates = mix(docs, marked, targets, id_col, text_col, **options)
     key, often = fresh(docs, "mix_key"), fresh(docs, "mix_copies")
     own = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col)))

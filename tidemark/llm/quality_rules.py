@@ -156,7 +156,9 @@ def classify(
     threshold: float = 0.3, folds: int = 5, sample: int = 12_000,
 ) -> DataFrame:
     """Per row of docs: id, held_out (the label was not to be learnt), score (nearer 1: likelier good) and predicted. An empty
-    table gives an empty result; without labels every score is one half."""
+    table gives an empty result; without labels every score is one half. Null and blank texts are scored by statistics of zero; a text of any length
+    is counted whole, in one task. Repeated rows are each scored. Equal scores are equal predictions. Other columns are not looked at, whatever
+    their names."""
     model = train(docs, labels, id_col, text_col, label_col, sample, folds)
     rows = score(docs.select(id_col, text_col), model, text_col, "score")
     held, predicted = crc_mod(id_col, folds) == 0, (F.col("score") >= threshold).cast("int")
@@ -167,7 +169,10 @@ def good_only(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     threshold: float = 0.3, sample: int = 12_000,
 ) -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier doesn't reject."""
+    """The rows of docs, with all their columns, that the classifier doesn't reject.
+
+    Null, blank and very long texts, repeated rows and rows without an id are scored like any other, and a row stays where its score is the
+    threshold or more. Columns of the statistics have names that docs doesn't use. An empty table gives an empty result."""
     mark = fresh(docs, "quality_score")
     scored = score(docs, train(docs, labels, id_col, text_col, label_col, sample), text_col, mark)
     return scored.filter(F.col(mark) >= threshold).drop(mark)

@@ -186,8 +186,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: the id, fingerprint (16 hex digits) and component_id (least id reachable over links).
 
     Null or blank texts have fingerprint zero and are linked like any other. Rows with a null id take part; a component
-    of such rows alone has a null component_id. Repeated rows are kept. An empty table gives an empty result. Other
-    columns of docs are not looked at, whatever their names."""
+    of such rows alone has a null component_id. Repeated rows are kept. A text of any length is hashed
+    whole, in one task. An empty table gives an empty result. Other columns of docs are not looked at, whatever their names."""
     rows = _classes(docs, id_col, text_col, shingle, distance)
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -302,7 +302,10 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 def token_table(
     docs: DataFrame, tokenizer: str, end: int = 2, length: int = 2048, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Write docs to a new folder of the shared one, and read the files back."""
+    """Write docs to a new folder of the shared one, and read the files back.
+
+    Null texts are empty; a text of any length is encoded whole, in one task, and lies over as many sequences as it fills. Rows that repeat an id are
+    each written; ties are ordered by a hash of the text. An empty table gives an empty result; other columns are left out, whatever their names."""
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer, path, end, length, id_col=id_col, text_col=text_col)
     return read_tokens(docs.sparkSession, path, id_col)

@@ -125,7 +125,9 @@ def judge(
     and verdict (allow or block); columns of these names are replaced.
 
     Null and odd URLs have an empty host and path, fit no site rule, and are allowed where no pattern matches. Repeated rows
-    are kept. An empty table gives an empty result."""
+    are kept. An empty table gives an empty result. A URL of any length is one row and read whole. Of site rules that fit equally long
+    the first of the list decides (in lists of more than 1,000 that of equal ranks with the greatest text); of patterns that match, one that allows,
+    and then the greatest text."""
     spark = pages.sparkSession
     urls = pages.select(F.col(url_col).cast("string").alias("url")).filter("url IS NOT NULL").distinct()
     rules = rule_table(spark, sites, patterns)
