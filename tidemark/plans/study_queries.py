@@ -81,7 +81,7 @@ dealt AS (SELECT arm, draw, predicted, row_number() OVER (PARTITION BY arm, draw
 hits AS (SELECT arm, draw, count(*) FILTER (d.predicted = b.query_id) AS hits FROM dealt d JOIN base b USING (arm, slot) GROUP BY ALL),
 own AS (SELECT arm, count(*) FILTER (predicted = query_id) AS n_correct FROM base GROUP BY arm),
 good AS (SELECT arm, count(*) FILTER (hits >= n_correct) AS n_as_good FROM hits JOIN own USING (arm) GROUP BY arm)
-SELECT pool, any_value(s.n) AS words, count(*) AS n, max(n_candidates) AS n_candidates, count(*) FILTER (rank = 1) AS n_correct, round(avg((rank = 1)::INT), 6) AS accuracy, round(1.0 / max(n_candidates), 6) AS chance,
+SELECT pool, coalesce(CAST(any_value(s.n) AS VARCHAR), 'all') AS words, count(*) AS n, max(n_candidates) AS n_candidates, count(*) FILTER (rank = 1) AS n_correct, round(avg((rank = 1)::INT), 6) AS accuracy, round(1.0 / max(n_candidates), 6) AS chance,
   round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 3)::INT), 6) AS top3, any_value(n_as_good) AS n_as_good, round((any_value(n_as_good) + 1) / {_POOL_DRAWS + 1}.0, 6) AS p
 FROM ranks JOIN sizes s USING (arm) JOIN good USING (arm) WHERE rank IS NOT NULL AND n_candidates >= 2 GROUP BY pool, arm"""
 )
@@ -89,7 +89,7 @@ def ceiling_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitions, controls and all windows at six lengths, with their permutation p, from one index."""
     shelf = _shelf(spark, sf_dir).withColumn("kind", F.when(F.col("boundary") % 2 == 0, "transition").otherwise("control"))
     out = ceiling.summary(materialise(ceiling.pools(shelf), "ranks"), _POOL_DRAWS)
-    return out.select(F.col("arm").alias("pool"), "words", "n", "n_candidates", "n_correct", *places("accuracy", "chance", "mrr", "top3"), "n_as_good", *places("p"))
+    return out.select(F.col("arm").alias("pool"), F.coalesce(F.col("words").cast("string"), F.lit("all")).alias("words"), "n", "n_candidates", "n_correct", *places("accuracy", "chance", "mrr", "top3"), "n_as_good", *places("p"))
 
 
 @query("""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
