@@ -116,6 +116,22 @@ def test_matched_sets_equal_all_arrangements(spark):
     assert r.n_sets == 400 and 0 < r.p <= 1 and r.expected == pytest.approx(400 / 3)
 
 
+def test_matched_chances_are_exact_and_take_no_square_time(spark):
+    """Against whole numbers; and on so many sets that squared sums would not end."""
+    ways = [1]
+    for share, m in ((1, 40), (2, 20)):
+        one = [math.comb(m, k) * share**k * (3 - share) ** (m - k) for k in range(m + 1)]
+        ways = [sum(ways[j] * one[i - j] for j in range(max(0, i - m), min(i, len(ways) - 1) + 1)) for i in range(len(ways) + m)]
+    for n in (0, 5, 27, 30, 55, 60):
+        upper, p = inference.matched_chances([(40, 1 / 3), (20, 2 / 3)], n)
+        assert upper == pytest.approx(sum(ways[n:]) / sum(ways), rel=1e-9) and p == pytest.approx(sum(w for w in ways if w <= ways[n]) / sum(ways), rel=1e-9)
+    n = 300_000
+    many = spark.range(3 * n).select(F.floor(F.col("id") / 3).alias("k"), (F.col("id") % 3 == 0).alias("is_case"), (F.col("id") % 6 < 2).alias("flag"))
+    r = inference.matched_set_test(many, "is_case", "flag", ["k"]).first()  # half of the sets have two flags, one of them the case's
+    assert (r.n_sets, r.n_cases) == (n, n // 2) and r.p == pytest.approx(0, abs=1e-300)
+    assert inference.matched_chances([(n, 1 / 3)], n // 3)[0] == pytest.approx(0.5, abs=2e-3)
+
+
 # Windows of two kinds, whose items hold a few topics; the third window has no held-out text.
 DAYS = [(dt.date(2024, 1, d), "transition" if d % 2 else "control") for d in range(1, 7)]
 TOPICS = ["crude barrels drilling", "harvest wheat drought", "ballot vote coalition", "bank lending rates", "flood river levee", "metal copper smelter"]

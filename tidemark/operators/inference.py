@@ -105,20 +105,39 @@ def mantel_haenszel(df: DataFrame, by: Sequence[str] = (), a: str = "a", b: str
     return out.withColumn("p", normal.chi_square_tail(F.col("chi2"), 1))
 
 
-def _binomial(m: Column, q: Column) -> Column:
-    """Chances of 0 to m successes of m trials."""
-    inner = F.greatest(F.least(q, F.lit(1 - 1e-16)), F.lit(1e-300))  # the ends are told apart below
-    chance = lambda k: F.exp(_log_choose(m, k) + k * F.log(inner) + (m - k) * F.log1p(-inner))
-    sure = lambda k: F.when(k == F.when(q <= 0, F.lit(0)).otherwise(m), 1.0).otherwise(0.0)
-    return F.transform(F.sequence(F.lit(0), m), lambda k: F.when((q <= 0) | (q >= 1), sure(k)).otherwise(chance(k)))
+def _binomial(m: int, q: float) -> tuple[int, np.ndarray]:
+    """(least, chances): the chances of least, least + 1, ... successes of m trials, as far as doubles hold them. Beyond 20 roots of m from the mean they are
+    under 1e-347 (Hoeffding), which is 0 as a double; so there are at most 40 roots of m."""
+    if q <= 0 or q >= 1:
+        return (m if q >= 1 else 0), np.ones(1)
+    mode, reach = min(m, int((m + 1) * q)), math.ceil(20 * math.sqrt(m)) + 1
+    up, down = np.arange(mode, min(m, mode + reach)), np.arange(mode, max(0, mode - reach), -1)
+    odds = math.log(q) - math.log1p(-q)
+    right = np.cumsum(np.log((m - up) / (up + 1)) + odds)
+    left = np.cumsum(np.log(down / (m - down + 1)) - odds)
+    chances = np.exp(np.concatenate([left[::-1], [0.0], right]))
+    return _trimmed(mode - len(left), chances / chances.sum())
 
 
-def _convolved(a: Column, b: Column) -> Column:
-    """The distribution of a sum from those of its parts."""
-    last = F.size(a) + F.size(b) - 2
-    reach = lambda i: F.sequence(F.greatest(F.lit(0), i - F.size(b) + 1), F.least(i, F.size(a) - 1))
-    at = lambda i: F.aggregate(reach(i), F.lit(0.0), lambda t, j: t + F.get(a, j) * F.get(b, i - j))
-    return F.transform(F.sequence(F.lit(0), last), at)
+def _trimmed(least: int, chances: np.ndarray) -> tuple[int, np.ndarray]:
+    """Without what is 0 as a double at either end."""
+    some = np.flatnonzero(chances > _TINY)
+    return least + int(some[0]), chances[some[0] : some[-1] + 1]
+
+
+#: The least normal double: what is smaller has lost digits.
+_TINY = float(np.finfo(float).tiny)
+
+
+def matched_chances(kinds: Sequence[tuple[int, float]], n_cases: int) -> tuple[float, float]:
+    """(p_upper, p): the chance that a sum of binomials, kinds of m trials at chance q, is at least n_cases, and that of any sum no likelier than n_cases."""
+    least, chances = 0, np.ones(1)
+    for m, q in kinds:
+        first, one = _binomial(m, q)
+        least, chances = _trimmed(least + first, np.convolve(chances, one))
+    at = n_cases - least
+    own = chances[at] if 0 <= at < len(chances) else 0.0
+    return float(min(1.0, chances[max(0, at) :].sum())), float(min(1.0, chances[chances <= own * (1 + 1e-7)].sum()))
 
 
 def matched_set_test(df: DataFrame, case: str, flag: str, members: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -128,25 +147,27 @@ def matched_set_test(df: DataFrame, case: str, flag: str, members: Sequence[str]
     The labels are permuted within each set: with k flags among its n rows, a set's case has one with chance k / n, so that the number of flagged
     cases is a sum of independent draws. Sets with the same k and n are one binomial, and these are convolved, instead of going through all
     arrangements. p_upper is the chance of at least as many, p that of anything no likelier. Sets without exactly one case or without a
-    control are left out and counted. Flags that are null count as false. S sets cost S squared sums, in one row a group."""
+    control are left out and counted. Flags that are null count as false. Chances too small for a double are 0, so that a group of S sets keeps some 40 roots of S
+    chances, and costs S products for each kind of set (k of n)."""
     on = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
     is_case = F.coalesce(F.col(case).cast("boolean"), F.lit(False))
     sets = df.groupBy(*by, *members).agg(F.count("*").alias("_n"), F.count_if(on).alias("_k"), F.count_if(is_case).alias("_cases"), F.count_if(on & is_case).alias("_x"))
     good = (F.col("_cases") == 1) & (F.col("_n") > 1)
     kinds = sets.groupBy(*by, "_n", "_k").agg(F.count_if(good).alias("_m"), F.count_if(~good).alias("_out"), F.sum(F.when(good, F.col("_x")).otherwise(0)).alias("_x"))
     q = F.col("_k") / F.col("_n")
-    kind = F.struct(F.col("_m").cast("int").alias("m"), q.alias("q"))
+    kind = F.struct(F.col("_m").alias("m"), q.alias("q"))
     out = kinds.groupBy(*by).agg(
         F.sum("_m").alias("n_sets"), F.sum("_out").alias("n_left_out"), F.sum("_x").alias("n_cases"), F.sum(F.col("_m") * q).alias("expected"),
         F.array_sort(F.collect_list(F.when(F.col("_m") > 0, kind))).alias("_kinds"),
     )
-    chances = F.aggregate("_kinds", F.array(F.lit(1.0)), lambda d, x: _convolved(d, _binomial(x["m"], x["q"])))
-    out = out.withColumn("_d", chances).withColumn("_own", F.get("_d", F.col("n_cases").cast("int")))
-    total = lambda keep: F.aggregate(F.filter("_d", keep), F.lit(0.0), lambda t, x: t + x)
-    upper = F.least(F.lit(1.0), total(lambda x, i: i >= F.col("n_cases")))
-    p = F.least(F.lit(1.0), total(lambda x: x <= F.col("_own") * (1 + 1e-7)))
-    some = lambda c: F.when(F.col("n_sets") > 0, c)
-    return out.select(*by, "n_sets", "n_left_out", "n_cases", "expected", some(upper).alias("p_upper"), some(p).alias("p"))
+
+    def test(batches):
+        for part in batches:
+            pairs = [matched_chances([(k["m"], k["q"]) for k in row], n) if n_sets else (None, None) for row, n, n_sets in zip(part["_kinds"], part["n_cases"], part["n_sets"])]
+            yield part.drop(columns="_kinds").assign(p_upper=pd.array([p[0] for p in pairs], "Float64"), p=pd.array([p[1] for p in pairs], "Float64"))
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.drop("_kinds").schema)
+    return out.mapInPandas(test, f"{names}, p_upper double, p double")
 
 
 def signed_rank_p(values: Sequence[float]) -> float:
