@@ -83,6 +83,23 @@ def test_jeffreys_chances_are_exact():
     assert inference.jeffreys_chance(3, 9, 1, 4, 1.0) == 0
 
 
+def test_jeffreys_chances_have_no_bend_at_the_margin():
+    """Against two million steps of the angle; few trials without a success have a root where the rate is the margin."""
+    steps = 2_000_000
+    angle = (np.arange(steps) + 0.5) * math.pi / 2 / steps
+    sin2 = np.sin(angle) ** 2
+
+    def mass(x, n):
+        a, b = x + 0.5, n - x + 0.5
+        return np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (2 * a - 1) * np.log(np.sin(angle)) + (2 * b - 1) * np.log(np.cos(angle))) * math.pi / steps
+
+    for one, other, margin in (((4, 34), (0, 5), 0.1), ((5, 37), (1, 9), 0.1), ((0, 3), (4, 4), -0.2), ((3, 9), (40_000, 100_000), 0.1)):
+        upto = np.concatenate([[0.0], np.cumsum(mass(*other))])
+        at = np.arcsin(np.sqrt(np.clip(sin2 - margin, 0, 1))) * 2 * steps / math.pi
+        want = (mass(*one) * np.interp(at, np.arange(steps + 1), upto)).sum()
+        assert inference.jeffreys_chance(*one, *other, margin) == pytest.approx(want, abs=1e-7)
+
+
 def slow_matched(sets):
     """(n_cases, expected, p_upper, p) by going through all choices of one case from each set; sets of flags, the case first."""
     observed = sum(s[0] for s in sets)

@@ -204,18 +204,31 @@ _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(400)
 _REACH = 12.0
 
 
+def _angles(a: float, b: float) -> tuple[float, float]:
+    """Where a Beta(a, b) rate lies but for less than 1e-30, as angles whose squared sine is the rate."""
+    middle, width = math.asin(math.sqrt(a / (a + b))), _REACH / (2 * math.sqrt(a + b))
+    return max(0.0, middle - width), min(math.pi / 2, middle + width)
+
+
 def jeffreys_chance(x1: float, n1: float, x0: float, n0: float, margin: float = 0.0) -> float:
     """P(p1 > p0 + margin) where the rates have the posteriors Beta(x + 1/2, n - x + 1/2): the density of the one times the incomplete beta
-    function of the other, by quadrature over the angle whose squared sine is the rate, on which the density is smooth."""
-    a, b = x1 + 0.5, n1 - x1 + 0.5
-    middle, width = math.asin(math.sqrt(a / (a + b))), _REACH / (2 * math.sqrt(a + b))
-    low, high = max(0.0, middle - width), min(math.pi / 2, middle + width)
-    angle = low + (high - low) * (_NODES + 1) / 2
-    rate = np.sin(angle) ** 2
-    density = 2 * np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (2 * a - 1) * np.log(np.sin(angle)) + (2 * b - 1) * np.log(np.cos(angle)))
-    weight = density * _WEIGHTS * (high - low) / 2
-    below = np.array([beta_inc(x0 + 0.5, n0 - x0 + 0.5, r - margin) for r in rate.tolist()])
-    return float(min(1.0, max(0.0, weight @ below)))
+    function of the other, by quadrature over the angle whose squared sine is the rate, on which the density is smooth. The incomplete beta function
+    has a bend where its argument, the rate less the margin, is 0 or 1, and rises only where the other rate lies: these places part the integral, and in each
+    part the nodes lie square-close to both ends, which smooths the roots there."""
+    a, b, c, d = x1 + 0.5, n1 - x1 + 0.5, x0 + 0.5, n0 - x0 + 0.5
+    low, high = _angles(a, b)
+    bends = [margin, 1 + margin, *(math.sin(t) ** 2 + margin for t in _angles(c, d))]
+    inner = [math.asin(math.sqrt(r)) for r in bends if 0 < r < 1]
+    edges = sorted({low, high, *(t for t in inner if low < t < high)})
+    total = 0.0
+    for start, end in zip(edges, edges[1:]):
+        turn = math.pi * (_NODES + 1) / 2
+        angle = start + (end - start) * (1 - np.cos(turn)) / 2
+        density = 2 * np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (2 * a - 1) * np.log(np.sin(angle)) + (2 * b - 1) * np.log(np.cos(angle)))
+        weight = density * _WEIGHTS * (end - start) * math.pi / 4 * np.sin(turn)
+        below = np.array([beta_inc(c, d, r - margin) for r in (np.sin(angle) ** 2).tolist()])
+        total += weight @ below
+    return float(min(1.0, max(0.0, total)))
 
 
 def jeffreys(df: DataFrame, x1: str, n1: str, x0: str, n0: str, margin: float = 0.1) -> DataFrame:
