@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +169,18 @@ def test_power_sums_over_outcomes(spark):
     assert 0.5 < r.power < 1
 
 
+def test_power_leaves_out_a_p_that_is_alpha(spark):
+    """Of 23 and 2 trials with six successes in all, both of the two: 15 of 300 arrangements, which is 0.05 and not less."""
+    r = inference.power_of_fisher(spark.createDataFrame([(23, 2, 0.2, 0.9)], "n1 int, n0 int, p1 double, p0 double"), "n1", "n0", "p1", "p0").first()
+    want = 0.0
+    for x1, x0 in itertools.product(range(24), range(3)):
+        ways = [math.comb(23, i) * math.comb(2, x1 + x0 - i) for i in range(max(0, x1 + x0 - 2), min(23, x1 + x0) + 1)]
+        own = math.comb(23, x1) * math.comb(2, x0)
+        if 20 * sum(w for w in ways if w <= own) < sum(ways):
+            want += math.comb(23, x1) * 0.2**x1 * 0.8 ** (23 - x1) * math.comb(2, x0) * 0.9**x0 * 0.1 ** (2 - x0)
+    assert r.power == pytest.approx(want, rel=1e-9)
+
+
 def test_tails():
     assert tails.t_tail(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
     assert tails.f_tail(4.0, 1, 10) == pytest.approx(0.07338803, abs=1e-7)

@@ -244,14 +244,15 @@ def jeffreys(df: DataFrame, x1: str, n1: str, x0: str, n0: str, margin: float =
 
 
 def power_of_fisher(df: DataFrame, n1: str, n0: str, p1: str, p0: str, alpha: float = 0.05) -> DataFrame:
-    """df with `power`: the chance that Fisher's test on n1 and n0 trials at rates p1 and p0 gives p < alpha, by going through all outcomes as rows."""
+    """df with `power`: the chance that Fisher's test on n1 and n0 trials at rates p1 and p0 gives p < alpha, by going through all outcomes as rows. A p that
+    is alpha itself but for rounding (a billionth of it) is not less."""
     keys = df.columns
     grid = df.withColumn("_x1", F.explode(F.sequence(F.lit(0), F.col(n1).cast("int")))).withColumn("_x0", F.explode(F.sequence(F.lit(0), F.col(n0).cast("int"))))
     grid = grid.withColumns({"_b": F.col(n1) - F.col("_x1"), "_d": F.col(n0) - F.col("_x0")})
     tested = fisher_exact(grid, "_x1", "_b", "_x0", "_d", "_p")
     chance = lambda x, n, p: F.exp(_log_choose(n, x)) * F.pow(p, x) * F.pow(1 - p, n - x)
     weight = chance(F.col("_x1"), F.col(n1), F.col(p1)) * chance(F.col("_x0"), F.col(n0), F.col(p0))
-    return tested.groupBy(*keys).agg(F.sum(F.when(F.col("_p") < alpha, weight).otherwise(0.0)).alias("power"))
+    return tested.groupBy(*keys).agg(F.sum(F.when(F.col("_p") < alpha * (1 - 1e-9), weight).otherwise(0.0)).alias("power"))
 
 
 def rates(df: DataFrame, flag: str, by: Sequence[str]) -> DataFrame:
