@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import itertools
 import math
 import random
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tests.test_study import plain_bm25
 from tidemark.functions import normal
 from tidemark.functions import text as T
-from tidemark.operators import bm25, ceiling, inference
+from tidemark.operators import bm25, ceiling, inference, windows
 from tidemark.plans import evidence
 
 NORMAL = statistics.NormalDist()
@@ -221,6 +222,19 @@ def test_prompts_have_a_heading_and_tell_of_empty_windows(spark):
     assert (got[5].n_items, got[5].prompt) == (0, "(no items were published in this window)")
 
 
+def test_digests_are_those_of_the_prompts(spark):
+    """Items in the very minute, in one second, late on a boundary, without text, section or time; no plan collects a window."""
+    rng = random.Random(2)
+    rows = [(f"i{k}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.choice([k % 7 * 86400, rng.randrange(7 * 86400)])), rng.choice(["Law", "", None]), f"ruled é {k} in May 2020" if k % 5 else None, f"T{k}") for k in range(300)]
+    rows += [("late", dt.datetime(2024, 1, 3, 23, 59, 59, 500_000), "x", "y", None), ("last", dt.datetime(2024, 1, 3, 23, 59, 59), "x", "y", None), ("never", None, "x", "y", None)]
+    df = spark.createDataFrame(rows, "item_id string, published timestamp, section string, text string, title string").repartition(5)
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (1, 3, 4, 4, 9)] + [(dt.date(2024, 5, 5),)], "boundary date")
+    whole = evidence.render(windows.items_in_windows(df, days, 3), window_days=3)
+    want = {(r.boundary, r.n_items, hashlib.md5(r.prompt.encode()).hexdigest()) for r in whole.collect()}
+    got = evidence.prompt_digests(df, days, window_days=3)
+    assert len(want) == 4 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_windows_are_truncated_and_say_so(spark):
     items = spark.createDataFrame([(f"i{k:02d}", dt.datetime(2024, 1, 1 + k % 3, 12), "x", "t") for k in range(30)] + [("z", dt.datetime(2024, 3, 1), "x", "t")], "item_id string, published timestamp, section string, text string")
     days = spark.createDataFrame([(dt.date(2024, 1, 3), "transition"), (dt.date(2024, 3, 1), "control")], "boundary date, kind string")

@@ -108,7 +108,7 @@ def id_bucket(df: DataFrame, item: str) -> Column:
     return F.substring(item, 1, 7) if isinstance(kind, T.StringType) else F.lit(0)
 
 
-def _time_bucket(df: DataFrame, order: Sequence[str]) -> Column:
+def time_bucket(df: DataFrame, order: Sequence[str]) -> Column:
     """A bucket for `order`: the minute, and for rows on the very minute (news that has a day alone is all at noon) ranges of what comes next."""
     if not isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
         return F.col(order[0])
@@ -121,7 +121,7 @@ def truncate_evenly(windowed: DataFrame, most: int, by: Sequence[str] = ("bounda
     """At most `most` rows of each window, evenly spread: those at the rounded points (half to even) of a line from the first to the last."""
     if most < 1:
         raise ValueError("most must be positive")
-    rows = ranked(windowed, _time_bucket(windowed, order), order, by)
+    rows = ranked(windowed, time_bucket(windowed, order), order, by)
     if most == 1:
         return rows.filter("_i = 0").drop("_i", "_n")
     # Row i is chosen if some k has bround(k (n-1) / (most-1)) = i: one of the two next to i (most-1) / (n-1).

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,21 +67,68 @@ def body(df: DataFrame, text: str = "text", title: str = "title") -> Column:
     return F.regexp_replace(both, r"^\s+|\s+$", "")
 
 
+#: What a prompt begins with, and what stands between its items. Fixed values.
+HEADING, BETWEEN = "There are %d items, covering a window of {days} days. Day {days} is the day the model flagged.\n", "\n\n"
+
+
+def _line(df: DataFrame, text: str, section: str, title: str) -> tuple[Column, Column]:
+    """What stands before and after the day in an item's lines."""
+    mark = F.when(F.coalesce(F.col(section), F.lit("")) != "", F.concat(F.lit(" | "), F.col(section))).otherwise("")
+    return F.concat(F.lit("["), F.col("item_id").cast("string"), F.lit("] Day ")), F.concat(mark, F.lit("\n"), T.strip_dates(_said(df, text, title)))
+
+
 def render(windowed: DataFrame, text: str = "text", section: str = "section", title: str = "title", window_days: int = 14, days: DataFrame | None = None) -> DataFrame:
     """(boundary, n_items, prompt): a heading and the items of each window as they are shown, without dates; an item without text shows its title. days: all
-    boundaries, of which those without items are told so."""
-    head = F.concat(F.lit("["), F.col("item_id").cast("string"), F.lit("] Day "), F.col("day_index").cast("string"))
-    mark = F.when(F.coalesce(F.col(section), F.lit("")) != "", F.concat(F.lit(" | "), F.col(section))).otherwise("")
-    line = F.concat(head, mark, F.lit("\n"), T.strip_dates(_said(windowed, text, title)))
-    shown = windows.ordered_text(windowed.withColumn("_line", line), "_line", name="_shown", sep="\n\n")
+    boundaries, of which those without items are told so. A prompt is one row, as a model is asked; for windows beyond that, see `prompt_digests`."""
+    before, after = _line(windowed, text, section, title)
+    line = F.concat(before, F.col("day_index").cast("string"), after)
+    shown = windows.ordered_text(windowed.withColumn("_line", line), "_line", name="_shown", sep=BETWEEN)
     out = shown.join(windowed.groupBy("boundary").agg(F.count("*").alias("n_items")), "boundary")
     if days is not None:
         out = days.select("boundary").distinct().join(out, "boundary", "left").na.fill(0, ["n_items"])
-    heading = F.format_string(f"There are %d items, covering a window of {window_days} days. Day {window_days} is the day the model flagged.\n", F.col("n_items"))
+    heading = F.format_string(HEADING.format(days=window_days), F.col("n_items"))
     prompt = F.when(F.col("n_items") > 0, F.concat(heading, F.col("_shown"))).otherwise("(no items were published in this window)")
     return out.select("boundary", "n_items", prompt.alias("prompt"))
 
 
+def prompt_digests(items: DataFrame, boundaries: DataFrame, text: str = "text", section: str = "section", title: str = "title", window_days: int = 14) -> DataFrame:
+    """(boundary, n_items, h): the MD5 of each prompt that `render` gives for the windows of these items; windows without items give no row.
+
+    No window is ever one row: an item is written once, among those of its minute; a minute goes as one text to each window that holds it, and a task
+    that reads a window's minutes in order keeps nothing but the state of the digest. What is broadcast are the windows' days."""
+    late = F.col("published") > windows.last_instant(F.to_date("published"))
+    dated = items.filter(F.col("published").isNotNull()).withColumns({"day": F.to_date("published"), "_late": late})
+    # On its own day a boundary's window ends before what is late.
+    here = ~F.col("_late") | (F.col("day") < F.col("boundary"))
+    spread = windows.window_days(boundaries, window_days)
+    totals = dated.groupBy("day", "_late").agg(F.count("*").alias("_n")).join(spread, "day").filter(here).groupBy("boundary").agg(F.sum("_n").alias("n_items"))
+    before, after = _line(dated, text, section, title)
+    row = F.struct("published", "item_id", before.alias("before"), after.alias("after"))
+    minutes = dated.groupBy("day", windows.time_bucket(dated, ["published", "item_id"]).alias("_minute"), "_late").agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    placed = minutes.join(F.broadcast(spread.join(totals, "boundary")), "day").filter(here)
+    day = (F.datediff("day", F.date_sub("boundary", window_days - 1)) + 1).cast("string")
+    shown = F.array_join(F.transform("_all", lambda x: F.concat(x["before"], day, x["after"])), BETWEEN)
+    parts = placed.select("boundary", "day", "_minute", "_late", "n_items", shown.alias("_shown")).repartition("boundary").sortWithinPartitions("boundary", "day", "_minute", "_late")
+    heading = HEADING.format(days=window_days)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, state = None, 0, None
+        row = lambda: pa.RecordBatch.from_pydict({"boundary": pa.array([now], pa.date32()), "n_items": pa.array([n], pa.int64()), "h": [state.hexdigest()]})
+        for b in batches:
+            for boundary, size, said in zip(*(c.to_pylist() for c in b.columns)):
+                if boundary != now:
+                    if state:
+                        yield row()
+                    now, n, state = boundary, size, hashlib.md5((heading % size).encode())
+                else:
+                    state.update(BETWEEN.encode())
+                state.update(said.encode())
+        if state:
+            yield row()
+
+    return parts.select("boundary", "n_items", "_shown").mapInArrow(digests, "boundary date, n_items long, h string")
+
+
 def explanation() -> Column:
     """What is matched of a narrative: summary, mechanism and the text of its claims."""
     claims = F.transform(F.coalesce(F.col("claims"), F.array().cast("array<struct<claim:string,item_ids:array<string>>>")), lambda c: F.coalesce(c["claim"], F.lit("")))
