@@ -246,6 +246,16 @@ def test_windows_are_truncated_and_say_so(spark):
         evidence.Settings(max_items=-1)
 
 
+def test_large_scores_that_differ_by_their_sums_order_are_ties(spark, monkeypatch):
+    """Windows of the same held-out texts: what the order of a sum leaves in the eighth place doesn't rank them."""
+    rows = [(b, f"{b}{role}", 0, role, "crude barrels") for b in (1, 2, 3) for role in ("generation", "holdout")]
+    df = spark.createDataFrame(rows, "boundary int, item_id string, published int, role string, text string")
+    scored = spark.createDataFrame([("all", 0, q, d, 90000.0 + d * 1e-8) for q in (1, 2, 3) for d in (1, 2, 3)], "arm string, words int, query_id int, doc_id int, score double")
+    monkeypatch.setattr(bm25, "scores", lambda *_, **__: scored)
+    got = ceiling.length_sweep(df, (None,)).collect()
+    assert sorted((r.query_id, r["rank"], r.predicted) for r in got) == [(1, 1, 1), (2, 2, 1), (3, 3, 1)]
+
+
 def test_pools_and_lengths_share_an_index(spark):
     """Each arm's ranks are those of the arm alone."""
     rng = random.Random(8)

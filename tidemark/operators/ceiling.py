@@ -41,7 +41,8 @@ def proxy_terms(
 def ranks(windowed: DataFrame, arms: Column, lengths: Sequence[int | None] = LENGTHS, text: str = "text", by: str = "boundary", seed: int = 7) -> DataFrame:
     """(arm, words, query_id, n_candidates, rank, predicted) for stand-ins of each length (null: the whole half) in each arm; windowed has a role for each
     item, and arms gives the names of the arms (an array) that a row is in. Windows without text in either half leave an arm's pool. All arms and
-    lengths share one index: the arm is part of its key, and the lengths of a window's stand-in meet the same documents."""
+    lengths share one index: the arm is part of its key, and the lengths of a window's stand-in meet the same documents. Scores equal in single precision
+    are ties, and go to the least window."""
     said = F.trim(F.coalesce(F.col(text), F.lit(""))) != ""
     rows = windowed.filter(said).withColumn("arm", F.explode(arms))
     halves = {role: rows.filter(F.col("role") == role) for role in ("generation", "holdout")}
@@ -52,7 +53,7 @@ def ranks(windowed: DataFrame, arms: Column, lengths: Sequence[int | None] = LEN
         one = proxy_terms(told, n, text, by, seed=seed, arms=["arm"]).withColumn("words", F.lit(n or 0))  # 0: a key can't be null
         asked = one if asked is None else asked.unionByName(one)
     docs = held.select("arm", F.col(by).alias("doc_id"), tokens(F.col(text)).alias("terms"))
-    out = bm25.match_ranks(asked.withColumnRenamed(by, "query_id"), docs, by=["arm"], per=["words"])
+    out = bm25.match_ranks(asked.withColumnRenamed(by, "query_id"), docs, by=["arm"], digits=None, per=["words"])
     return out.select("arm", F.when(F.col("words") > 0, F.col("words")).alias("words"), "query_id", "n_candidates", "rank", "predicted")
 
 
