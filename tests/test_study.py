@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import itertools
 import math
+import re
 import statistics
 
 import numpy as np
@@ -202,6 +203,62 @@ def test_evidence_query_counts_add_up(spark, sf):
     assert all(1 <= r["rank"] <= r.n_candidates for r in got if r["rank"])
 
 
+def test_evidence_query_equals_plain_python(spark, tmp_path, monkeypatch):
+    """Ranks, sizes and audits, with ids that repeat or are missing and texts that are null or blank; no table of windows holds a text, and what is counted of a text doesn't depend on how many windows hold it."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"word{chr(97 + k)}{chr(97 + j)}" for k in range(6) for j in range(10)]
+    docs = [(k, "en" if k % 3 else "business", ". ".join(" ".join(rng.choice(vocabulary[k % 30 : k % 30 + 25], 6)) for _ in range(5))) for k in range(240)]
+    docs = [(k, s, None if k % 50 == 7 else " \n\t" if k % 50 == 8 else t) for k, s, t in docs]
+    docs[3] = (3, None, "the of and")
+    more = [(None, "en", "worda wordb"), (5, "zz", "last of all"), (6, None, vocabulary[2]), (6, None, vocabulary[1]), (40, "business", "aaa bbb"), (40, "business", "aaa bbb")]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(docs + more, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    written, write = {}, evidence.materialise
+    monkeypatch.setattr(evidence, "materialise", lambda df, name: written.setdefault(name, write(df, name)))
+    got = {r.boundary: r for r in run(spark, str(tmp_path / "sf"), "evidence_e2e")}
+    # Of rows that share an id the least counts, null first.
+    order = lambda r: (r[1] is not None, r[1] or "", r[2] is not None, r[2] or "")
+    one = {}
+    for r in docs + more:
+        if r[0] is not None and (r[0] not in one or order(r) < order(one[r[0]])):
+            one[r[0]] = r
+    day = lambda k: dt.date(2024, 1, 1 + k)
+    words = lambda t: [w for w in re.findall(r"[a-z][a-z0-9\-']+", (t or "").lower()) if len(w) > 2 and w not in T.STOP_WORDS]
+    asked, held, sizes = {}, {}, {}
+    for b in range(30):
+        ids = sorted((k for k in one if b - 2 <= k % 30 <= b), key=lambda k: (hashlib.sha256(f"7:{k}".encode()).hexdigest(), k))
+        keep = max(1, round(len(ids) / 2))
+        first = one[min(ids[keep:], key=lambda k: (k % 30, k))]
+        sizes[day(b).isoformat()] = (len(ids), keep)
+        told = " ".join(["" if first[2] is None else first[2], "", ".".join((first[2] or "").split(".")[:2])])
+        held[day(b).isoformat()] = [w for k in ids[:keep] for w in words(one[k][2])]
+        if told.strip(" \n\t"):
+            asked[day(b).isoformat()] = words(told)
+    ranks = plain_bm25(asked, {b: held[b] for b in asked})
+    assert {b: (r.n_items, r.n_holdout) for b, r in got.items()} == sizes
+    assert {b: (r["rank"], r.n_candidates) for b, r in got.items() if r["rank"] is not None} == ranks and len(ranks) < 30
+    assert all(r.grounded_rate == 1 for b, r in got.items() if asked.get(b)) and {r.n_claims for r in got.values()} == {1}
+    assert "text" not in written["windows"].columns
+    assert written["counts"].agg(F.sum("tf")).first()[0] == sum(len(words(one[k][2])) for k in {k for b in range(30) for k in sorted((k for k in one if b - 2 <= k % 30 <= b), key=lambda k: hashlib.sha256(f"7:{k}".encode()).hexdigest())[: sizes[day(b).isoformat()][1]]})
+
+
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_match_arms_with_texts_apart(spark, monkeypatch, bound):
+    """The same ranks, whether texts are in the windows or apart, and whether what is asked is broadcast or not."""
+    rng = np.random.default_rng(3)
+    items = {f"i{k}": (" ".join(rng.choice(["crude", "harvest", "strike", "vote", "flood", "bank", "metal", "river"][k % 4 :], 8)) if k % 9 else " ", f"title{chr(97 + k % 5)}" if k % 2 else None) for k in range(40)}
+    rows = [(dt.date(2024, 1, 1 + b), "transition" if b % 2 else "control", f"i{k}", "holdout" if k % 3 else "generation", "Business" if k % 5 else "Sport") for b in range(8) for k in range(b * 4, min(b * 4 + 12, 40))]
+    windowed = spark.createDataFrame(rows, "boundary date, kind string, item_id string, role string, section string")
+    texts = spark.createDataFrame([(k, *v) for k, v in items.items()], "item_id string, text string, title string")
+    told = spark.createDataFrame([(dt.date(2024, 1, 1 + b), " ".join(rng.choice(["crude", "harvest", "vote", "bank", "titlea"], 4)) if b != 4 else "May 2024") for b in range(9)], "boundary date, explanation string")
+    monkeypatch.setattr(bm25, "BROADCAST", bound)
+    with_texts, apart = (
+        sorted((r.arm, r.query_id, r.n_candidates, r["rank"], r.predicted, round(r.score, 6)) for r in evidence.match_arms(told, w, evidence.standard_arms(), texts=t).collect())
+        for w, t in ((windowed.join(texts, "item_id"), None), (windowed, texts))
+    )
+    assert with_texts == apart and len({r[0] for r in apart}) == 3 and {r[1] for r in apart if r[0] == "all_windows"} == {f"2024-01-0{b}" for b in (1, 2, 3, 4, 6, 7, 8)}
+
+
 def test_proxy_slices_are_words_in_a_row(spark):
     rows = [(b, f"i{k}", k, " ".join(f"w{b}x{k}y{j}" for j in range(7))) for b in range(3) for k in range(5)]
     df = spark.createDataFrame(rows, "boundary int, item_id string, published int, text string")

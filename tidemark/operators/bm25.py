@@ -23,18 +23,39 @@ def postings(docs: DataFrame, terms: str = "terms", doc: str = "doc_id", by: Seq
 BROADCAST = 500_000
 
 
-def scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, query: str = "query_id", doc: str = "doc_id", terms: str = "terms", by: Sequence[str] = (), per: Sequence[str] = ()) -> DataFrame:
+def if_small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def count_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", terms: str = "terms") -> DataFrame:
+    """(key, term, tf): how often rows with the same key have each term that a query asks for; the null term has all others, and none where a key has no
+    terms at all. The key may stand for several documents that its rows are part of, so that their terms are taken once."""
+    wanted = queries.select(F.explode(terms).alias("term")).distinct().withColumn("_asked", F.lit(True))
+    small = wanted.count() <= BROADCAST
+    each = docs.select(key, F.explode_outer(terms).alias("term")).withColumn("tf", F.col("term").isNotNull().cast("long"))
+    if not small:
+        each = each.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    each = each.join(F.broadcast(wanted) if small else wanted, "term", "left")
+    return each.groupBy(key, F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
+
+
+def scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, query: str = "query_id", doc: str = "doc_id", terms: str = "terms", by: Sequence[str] = (), per: Sequence[str] = (), counted: bool = False) -> DataFrame:
     """(*by, *per, query, doc, score) for pairs with a common term. per: columns of queries alone, such as variants of a query that meet the same documents. idf = ln(1 + (N - df + 0.5) / (df + 0.5)) with N documents of the pool (`by`); a term that a
     query repeats counts as often; a document without terms counts in N and in the mean length. A query or document may be spread over several rows,
-    whose terms are its own. Only terms that a query asks for are counted in documents."""
+    whose terms are its own. Only terms that a query asks for are counted in documents. counted: docs has term and tf instead of an array, as `count_terms` gives them."""
     by, per = list(by), list(per)
     asked = postings(queries, terms, query, [*by, *per]).withColumnRenamed("tf", "qf")
     small = asked.count() <= BROADCAST
     asked = F.broadcast(asked) if small else asked
-    wanted = asked.select(*by, "term").distinct()
-    said = docs.select(*by, doc, F.explode(terms).alias("term")).join(F.broadcast(wanted) if small else wanted, [*by, "term"], "left_semi")
-    post = said.groupBy(*by, doc, "term").agg(F.count("*").alias("tf"))
-    sizes = docs.groupBy(*by, doc).agg(F.sum(F.size(terms)).alias("dl"))
+    if counted:
+        post = docs.filter("term IS NOT NULL").groupBy(*by, doc, "term").agg(F.sum("tf").alias("tf"))
+        sizes = docs.groupBy(*by, doc).agg(F.sum("tf").alias("dl"))
+    else:
+        wanted = asked.select(*by, "term").distinct()
+        said = docs.select(*by, doc, F.explode(terms).alias("term")).join(F.broadcast(wanted) if small else wanted, [*by, "term"], "left_semi")
+        post = said.groupBy(*by, doc, "term").agg(F.count("*").alias("tf"))
+        sizes = docs.groupBy(*by, doc).agg(F.sum(F.size(terms)).alias("dl"))
     pool = sizes.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     often = post.groupBy(*by, "term").agg(F.count("*").alias("df"))
     rows = post.join(asked.join(often, [*by, "term"]), [*by, "term"]).join(sizes, [*by, doc])
@@ -55,15 +76,15 @@ def _places(ids: DataFrame, doc: str, by: Sequence[str]) -> DataFrame:
     return ranked(ids, id_bucket(ids, doc), [doc], by).select(*by, doc, (F.col("_i") + 1).alias("place"), F.col("_n").alias("n_candidates"))
 
 
-def match_ranks(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id", by: Sequence[str] = (), digits: int | None = 9, per: Sequence[str] = ()) -> DataFrame:
+def match_ranks(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id", by: Sequence[str] = (), digits: int | None = 9, per: Sequence[str] = (), counted: bool = False) -> DataFrame:
     """(*by, *per, query, n_candidates, rank, predicted, score): for each query whose id is also a document's, where that document ranks among all documents of
     the pool by score and then id, and which comes first. Documents without a common term have score zero and are ranked without being paired: the rank
     follows from the better ones and from how many ids come before. per: columns of queries alone, not null: variants that share the pool's documents.
     Scores equal to `digits` places are ties; where digits is None, those equal in single precision: scores of long texts are so large that the order of
-    their sums shows in the ninth place."""
+    their sums shows in the ninth place. counted: see `scores`."""
     by, per = list(by), list(per)
     same = F.col("score").cast("float").cast("double") if digits is None else F.round("score", digits)
-    s = scores(queries, docs, query=query, doc=doc, by=by, per=per).withColumn("score", same).filter(F.col("score") > 0)
+    s = scores(queries, docs, query=query, doc=doc, by=by, per=per, counted=counted).withColumn("score", same).filter(F.col("score") > 0)
     ids = docs.select(*by, doc).distinct()
     keys = [*by, *per, query]
     own = queries.select(*keys).distinct().join(_places(ids, doc, by).withColumnRenamed(doc, query), [*by, query])

@@ -40,13 +40,14 @@ def in_sections(section: Column, names: Sequence[str], inside: bool = True) -> C
     return found if inside else ~found
 
 
-def build_windows(days: DataFrame, items: DataFrame, settings: Settings) -> DataFrame:
+def build_windows(days: DataFrame, items: DataFrame, settings: Settings, ties: Sequence[str] = ()) -> DataFrame:
     """Items of each window once, in roles generation and holdout. days: (boundary, kind); the section filter comes before the windows. With max_items a
-    window has that many at most, evenly spread, and truncated_from says how many there were (null where nothing was left out)."""
+    window has that many at most, evenly spread, and truncated_from says how many there were (null where nothing was left out). ties: columns that decide between rows of one item and time.
+    Items without texts will do: what is measured on the windows takes texts apart (see `match_arms`), so that a text isn't copied to each window that holds it."""
     if settings.sections:
         items = items.filter(in_sections(F.col("section"), settings.sections))
     windowed = windows.items_in_windows(items, days, settings.window_days)
-    windowed = windows.first_of_each(windowed)
+    windowed = windows.first_of_each(windowed, ties=ties)
     if settings.max_items:
         sizes = windowed.groupBy("boundary").agg(F.count("*").alias("_n"))
         windowed = windows.truncate_evenly(windowed, settings.max_items).join(sizes, "boundary")
@@ -60,11 +61,14 @@ def _said(df: DataFrame, text: str, title: str) -> Column:
     return F.when(own != "", own).otherwise(F.coalesce(F.col(title), F.lit(""))) if title in df.columns else own
 
 
+def _whole(df: DataFrame, text: str, title: str = "title") -> Column:
+    own = F.coalesce(F.col(text), F.lit(""))
+    return F.concat_ws("\n", F.coalesce(F.col(title), F.lit("")), own) if title in df.columns else own
+
+
 def body(df: DataFrame, text: str = "text", title: str = "title") -> Column:
     """Title and text of an item, as a matcher reads it."""
-    own = F.coalesce(F.col(text), F.lit(""))
-    both = F.concat_ws("\n", F.coalesce(F.col(title), F.lit("")), own) if title in df.columns else own
-    return F.regexp_replace(both, r"^\s+|\s+$", "")
+    return F.regexp_replace(_whole(df, text, title), r"^\s+|\s+$", "")
 
 
 #: What a prompt begins with, and what stands between its items. Fixed values.
@@ -139,19 +143,37 @@ def explanation() -> Column:
 BUSINESS = ("business and economy", "economics and business", "business")
 
 
-def match_arms(explanations: DataFrame, windowed: DataFrame, arms: Column, text: str = "text") -> DataFrame:
+def one_text_each(texts: DataFrame) -> DataFrame:
+    """The row of each item_id that is least by the other columns, in their order."""
+    first, *rest = [c for c in texts.columns if c != "item_id"]
+    return windows.first_of_each(texts, published=first, by=(), ties=rest)
+
+
+def match_arms(explanations: DataFrame, windowed: DataFrame, arms: Column, text: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """(arm, query_id, n_candidates, rank, predicted, score) of each window's explanation (boundary, explanation) among the held-out texts of an arm. arms: the names
     of the arms (an array) that an item is in. Windows without held-out text, or whose explanation says nothing once it is scrubbed, leave
-    the pool. All arms share one index, with the arm in its key."""
+    the pool. All arms share one index, with the arm in its key. texts: item_id with its text, and title if it has one, where windowed has
+    none (see `one_text_each` for ids with several rows). A text's words are taken once, whatever the number of its arms, and, where texts are given, of its windows."""
     key = F.date_format("boundary", "yyyy-MM-dd")
-    held = windowed.filter("role = 'holdout'").withColumn("_body", body(windowed, text)).filter("_body <> ''")
-    held = held.withColumn("arm", F.explode(arms)).select("arm", "boundary", "_body")
-    told = explanations.withColumn("_scrubbed", T.strip_identifying(F.coalesce("explanation", F.lit("")))).filter(F.trim("_scrubbed") != "")
-    told = told.join(held.select("arm", "boundary").distinct(), "boundary").select("arm", "boundary", "_scrubbed")
-    asked = told.select("arm", key.alias("query_id"), T.tokens(F.col("_scrubbed")).alias("terms"))
+    asked = explanations.withColumn("_scrubbed", T.strip_identifying(F.coalesce("explanation", F.lit("")))).filter(F.trim("_scrubbed") != "")
+    asked = asked.select(key.alias("query_id"), T.tokens(F.col("_scrubbed")).alias("terms"))
+    held = windowed.filter("role = 'holdout'").withColumn("places", F.transform(arms, lambda a: F.struct(a.alias("arm"), key.alias("doc_id"))))
+    if texts is not None:
+        held = held.select("item_id", F.explode("places").alias("_p")).groupBy("item_id").agg(F.array_sort(F.collect_list("_p")).alias("places"))
+    # Many items are part of the same documents: such a set of documents has a number, by which terms are counted.
+    sets = materialise(held.select("places").distinct().withColumn("_set", F.monotonically_increasing_id()), "sets")
+    few = (sets.agg(F.sum(F.size("places"))).first()[0] or 0) <= bm25.BROADCAST
+    held = held.join(sets.hint("broadcast" if few else "merge"), "places").drop("places")
+    if texts is not None:
+        held = held.join(one_text_each(texts), "item_id")
+    # What `body` trims holds no words, and a text with nothing else is none.
+    said = held.withColumn("_whole", _whole(held, text)).filter(F.col("_whole").rlike(r"\S"))
     # A window's text is never one row: its items bring their terms, and are counted together.
-    texts = held.join(told.select("arm", "boundary").distinct(), ["arm", "boundary"], "left_semi")
-    return bm25.match_ranks(asked, texts.select("arm", key.alias("doc_id"), T.tokens(F.col("_body")).alias("terms")), by=["arm"])
+    counts = materialise(bm25.count_terms(said.select("_set", T.tokens(F.col("_whole")).alias("terms")), asked, "_set"), "counts")
+    docs = counts.join(sets, "_set").select(F.inline("places"), "term", "tf")
+    told = asked.join(docs.select("arm", F.col("doc_id").alias("query_id")).distinct(), "query_id")
+    docs = docs.join(asked.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+    return bm25.match_ranks(told, docs, by=["arm"], counted=True)
 
 
 def match_arm(explanations: DataFrame, windowed: DataFrame, text: str = "text") -> DataFrame:
@@ -175,14 +197,19 @@ def confident_test(narratives: DataFrame, kind: str = "kind", flag: str = "is_co
     return inference.fisher_exact(narratives.agg(*[F.count_if(c).alias(n) for c, n in cells]))
 
 
-def measure(days: DataFrame, windowed: DataFrame, narratives: DataFrame, settings: Settings, text: str = "text", business: Sequence[str] = BUSINESS) -> dict[str, DataFrame]:
+def measure(days: DataFrame, windowed: DataFrame, narratives: DataFrame, settings: Settings, text: str = "text", business: Sequence[str] = BUSINESS, texts: DataFrame | None = None) -> dict[str, DataFrame]:
     """match, match_summary and permutation (by arm), claims, faithfulness, rates and fisher. narratives: (boundary, summary, mechanism, claims, is_confident). Claims
-    are audited against the generation half, which is all that an explanation was made from: a held-out item can't be cited."""
-    ranks = match_arms(narratives.withColumn("explanation", explanation()), windowed, standard_arms(business), text)
+    are audited against the generation half, which is all that an explanation was made from: a held-out item can't be cited. texts: see `match_arms`."""
+    ranks = match_arms(narratives.withColumn("explanation", explanation()), windowed, standard_arms(business), text, texts)
     each = narratives.select("boundary", F.posexplode("claims").alias("pos", "c"))
     claims = each.select(F.col("boundary").alias("window_id"), F.concat_ws(":", F.date_format("boundary", "yyyy-MM-dd"), F.col("pos").cast("string")).alias("claim_id"), F.col("c.claim").alias("claim"), F.col("c.item_ids").alias("item_ids"))
     shown = windowed.filter("role = 'generation'")
-    items = shown.select(F.col("boundary").alias("window_id"), F.col("item_id").cast("string").alias("item_id"), text)
+    items = shown.select(F.col("boundary").alias("window_id"), F.col("item_id").cast("string").alias("item_id"), *([text] if texts is None else []))
+    if texts is not None:
+        # Of all texts only those that a claim cites are looked up.
+        cited = bm25.if_small(claims.select("window_id", F.explode("item_ids").alias("item_id")).distinct())
+        own = one_text_each(texts.withColumn("item_id", F.col("item_id").cast("string")).join(cited, "item_id", "left_semi"))
+        items = materialise(items.join(cited, ["window_id", "item_id"], "left_semi").join(own.select("item_id", text), "item_id"), "cited")
     audited = audit.audit_claims(claims, items, settings.threshold, text=text)
     told = narratives.join(days, "boundary")
     return {
@@ -228,15 +255,18 @@ def estimate_cost(windows_: int, settings: Settings, per_page: float = 1.15, per
 @query()
 def evidence_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline over documents dealt to 30 days, with the first item of each window's generation half as its explanation."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL")
     items = docs.select(F.col("doc_id").alias("item_id"), F.expr("timestamp_seconds(1704067200 + doc_id % 30 * 86400 + 43200)").alias("published"), F.col("lang").alias("section"), "text")
     days = items.select(F.to_date("published").alias("boundary")).distinct().withColumn("kind", F.when(F.dayofmonth("boundary") % 2 == 0, "transition").otherwise("placebo"))
     settings = Settings(window_days=3)
-    windowed = materialise(build_windows(days, items, settings), "windows")
-    first = windowed.filter("role = 'generation'").groupBy("boundary").agg(F.min_by(F.struct("item_id", "text"), F.struct("published", "item_id")).alias("x"))
-    claim = F.array(F.struct(F.substring_index("x.text", ".", 2).alias("claim"), F.array(F.col("x.item_id").cast("string")).alias("item_ids")))
-    told = first.select("boundary", F.col("x.text").alias("summary"), F.lit("").alias("mechanism"), claim.alias("claims"), F.lit(True).alias("driver_identified"), F.lit("high").alias("confidence"), F.lit(True).alias("is_confident"))
-    got = measure(days, windowed, told, settings)
+    # Windows hold no texts. Of rows that share an id the least counts, here as there.
+    windowed = materialise(build_windows(days, items.drop("text"), settings, ties=["section"]), "windows")
+    first = windowed.filter("role = 'generation'").groupBy("boundary").agg(F.min_by("item_id", F.struct("published", "item_id")).alias("item_id"))
+    first = first.join(one_text_each(items.join(bm25.if_small(first.select("item_id")), "item_id", "left_semi")), "item_id")
+    claim = F.array(F.struct(F.substring_index("text", ".", 2).alias("claim"), F.array(F.col("item_id").cast("string")).alias("item_ids")))
+    told = first.select("boundary", F.col("text").alias("summary"), F.lit("").alias("mechanism"), claim.alias("claims"), F.lit(True).alias("driver_identified"), F.lit("high").alias("confidence"), F.lit(True).alias("is_confident"))
+    told = materialise(told, "told")
+    got = measure(days, windowed, told, settings, texts=items)
     out = to_records(days, windowed, told, got["faithfulness"]).drop("summary")
     ranks = got["match"].filter("arm = 'all_windows'").select(F.to_date("query_id").alias("boundary"), "rank", "n_candidates")
     return out.join(ranks, "boundary", "left").select(*text_days("boundary"), "kind", "window_id", "n_items", "n_holdout", "confidence", "n_claims", *places("grounded_rate", "mean_overlap"), "rank", "n_candidates")
