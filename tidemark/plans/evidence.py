@@ -157,9 +157,12 @@ def match_arms(explanations: DataFrame, windowed: DataFrame, arms: Column, text:
     key = F.date_format("boundary", "yyyy-MM-dd")
     asked = explanations.withColumn("_scrubbed", T.strip_identifying(F.coalesce("explanation", F.lit("")))).filter(F.trim("_scrubbed") != "")
     asked = asked.select(key.alias("query_id"), T.tokens(F.col("_scrubbed")).alias("terms"))
-    held = windowed.filter("role = 'holdout'").withColumn("places", F.transform(arms, lambda a: F.struct(a.alias("arm"), key.alias("doc_id"))))
-    if texts is not None:
-        held = held.select("item_id", F.explode("places").alias("_p")).groupBy("item_id").agg(F.array_sort(F.collect_list("_p")).alias("places"))
+    held = windowed.filter("role = 'holdout'")
+    if texts is None:
+        held = held.withColumn("places", F.transform(arms, lambda a: F.struct(a.alias("arm"), key.alias("doc_id"))))
+    else:
+        each = held.select("item_id", key.alias("doc_id"), F.explode(arms).alias("arm"))
+        held = materialise(each.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("arm", "doc_id"))).alias("places")), "held")
     # Many items are part of the same documents: such a set of documents has a number, by which terms are counted.
     sets = materialise(held.select("places").distinct().withColumn("_set", F.monotonically_increasing_id()), "sets")
     few = (sets.agg(F.sum(F.size("places"))).first()[0] or 0) <= bm25.BROADCAST
@@ -169,10 +172,10 @@ def match_arms(explanations: DataFrame, windowed: DataFrame, arms: Column, text:
     # What `body` trims holds no words, and a text with nothing else is none.
     said = held.withColumn("_whole", _whole(held, text)).filter(F.col("_whole").rlike(r"\S"))
     # A window's text is never one row: its items bring their terms, and are counted together.
-    counts = materialise(bm25.count_terms(said.select("_set", T.tokens(F.col("_whole")).alias("terms")), asked, "_set"), "counts")
-    docs = counts.join(sets, "_set").select(F.inline("places"), "term", "tf")
-    told = asked.join(docs.select("arm", F.col("doc_id").alias("query_id")).distinct(), "query_id")
-    docs = docs.join(asked.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+    counts = bm25.count_terms(said.select("_set", T.tokens(F.col("_whole")).alias("terms")), asked, "_set")
+    docs = counts.join(sets, "_set").select(F.inline("places"), "term", "tf").join(asked.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+    docs = materialise(docs.groupBy("arm", "doc_id", "term").agg(F.sum("tf").alias("tf")), "counts")
+    told = materialise(asked.join(docs.select("arm", F.col("doc_id").alias("query_id")).distinct(), "query_id"), "asked")
     return bm25.match_ranks(told, docs, by=["arm"], counted=True)
 
 
@@ -258,6 +261,7 @@ def evidence_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL")
     items = docs.select(F.col("doc_id").alias("item_id"), F.expr("timestamp_seconds(1704067200 + doc_id % 30 * 86400 + 43200)").alias("published"), F.col("lang").alias("section"), "text")
     days = items.select(F.to_date("published").alias("boundary")).distinct().withColumn("kind", F.when(F.dayofmonth("boundary") % 2 == 0, "transition").otherwise("placebo"))
+    days = materialise(days, "days")
     settings = Settings(window_days=3)
     # Windows hold no texts. Of rows that share an id the least counts, here as there.
     windowed = materialise(build_windows(days, items.drop("text"), settings, ties=["section"]), "windows")
