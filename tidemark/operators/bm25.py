@@ -76,15 +76,16 @@ def _places(ids: DataFrame, doc: str, by: Sequence[str]) -> DataFrame:
     return ranked(ids, id_bucket(ids, doc), [doc], by).select(*by, doc, (F.col("_i") + 1).alias("place"), F.col("_n").alias("n_candidates"))
 
 
-def match_ranks(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id", by: Sequence[str] = (), digits: int | None = 9, per: Sequence[str] = (), counted: bool = False) -> DataFrame:
+def match_ranks(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id", by: Sequence[str] = (), digits: int | None = 9, per: Sequence[str] = (), scored: DataFrame | None = None) -> DataFrame:
     """(*by, *per, query, n_candidates, rank, predicted, score): for each query whose id is also a document's, where that document ranks among all documents of
     the pool by score and then id, and which comes first. Documents without a common term have score zero and are ranked without being paired: the rank
     follows from the better ones and from how many ids come before. per: columns of queries alone, not null: variants that share the pool's documents.
     Scores equal to `digits` places are ties; where digits is None, those equal in single precision: scores of long texts are so large that the order of
-    their sums shows in the ninth place. counted: see `scores`."""
+    their sums shows in the ninth place. scored: what `scores` gives, where it is at hand; it is read twice."""
     by, per = list(by), list(per)
     same = F.col("score").cast("float").cast("double") if digits is None else F.round("score", digits)
-    s = scores(queries, docs, query=query, doc=doc, by=by, per=per, counted=counted).withColumn("score", same).filter(F.col("score") > 0)
+    s = scored if scored is not None else scores(queries, docs, query=query, doc=doc, by=by, per=per)
+    s = s.withColumn("score", same).filter(F.col("score") > 0)
     ids = docs.select(*by, doc).distinct()
     keys = [*by, *per, query]
     own = queries.select(*keys).distinct().join(_places(ids, doc, by).withColumnRenamed(doc, query), [*by, query])

@@ -176,7 +176,8 @@ def match_arms(explanations: DataFrame, windowed: DataFrame, arms: Column, text:
     docs = counts.join(sets, "_set").select(F.inline("places"), "term", "tf").join(asked.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
     docs = materialise(docs.groupBy("arm", "doc_id", "term").agg(F.sum("tf").alias("tf")), "counts")
     told = materialise(asked.join(docs.select("arm", F.col("doc_id").alias("query_id")).distinct(), "query_id"), "asked")
-    return bm25.match_ranks(told, docs, by=["arm"], counted=True)
+    scored = materialise(bm25.scores(told, docs, by=["arm"], counted=True), "scores")
+    return bm25.match_ranks(told, docs, by=["arm"], scored=scored)
 
 
 def match_arm(explanations: DataFrame, windowed: DataFrame, text: str = "text") -> DataFrame:
