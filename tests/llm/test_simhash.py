@@ -101,3 +101,20 @@ def test_keep_one_keeps_columns_and_least_ids(spark):
 def test_empty_table(spark):
     assert simhash.simhash_groups(cases.empty(spark)).collect() == []
     assert simhash.keep_one(cases.empty(spark)).collect() == []
+
+
+def test_keys_of_fingerprints_are_never_broadcast(spark):
+    """Exploded tables look as small as what they are exploded from: no join with one of them may go by Spark's estimate."""
+    plans = []
+
+    class Kept(Scratch):
+        def write(self, df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().write(df, name)
+
+    prints = spark.createDataFrame([(v,) for v in range(200)], "fp long")
+    for distance in (1, 2):
+        with Kept(spark, "test") as scratch:
+            found = simhash.links(scratch.write(prints, "prints"), scratch, distance)
+            plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) == 4 and not any("Broadcast" in p for p in plans)

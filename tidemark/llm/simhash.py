@@ -89,7 +89,10 @@ def _keys(fp, probes: bool):
 
 def links(prints: DataFrame, scratch: Scratch, distance: int = 2, bucket: int = 32) -> DataFrame:
     """(a, b) with a < b for distinct fingerprints (column fp) at most two bits apart: every pair whose table entry is small, and
-    for the rest a star that connects the same fingerprints. distance is 1 or 2."""
+    for the rest a star that connects the same fingerprints. distance is 1 or 2.
+
+    Keys and points are many rows of each fingerprint, but Spark sizes them as one, so that it would broadcast tables that the
+    driver can't hold: they are joined by sort and merge, whatever their size."""
     if distance not in (1, 2):
         raise ValueError("two segments with balls of one bit find distances of 1 and 2")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
@@ -98,9 +101,9 @@ def links(prints: DataFrame, scratch: Scratch, distance: int = 2, bucket: int =
     probe = prints.select(F.col("fp").alias("a"), _keys(F.col("fp"), True).alias("k"))
     # Probes are made once: each with the size of the table entry that it meets, if any.
     size = table.groupBy("k").agg(F.count("*").alias("n"))
-    met = scratch.write(probe.join(size, "k"), "met")
+    met = scratch.write(probe.join(size.hint("merge"), "k"), "met")
     pairs = (
-        met.filter(F.col("n") <= bucket).select("a", "k").join(table, "k")
+        met.filter(F.col("n") <= bucket).select("a", "k").join(table.hint("merge"), "k")
         .filter((F.col("a") != F.col("b")) & near("a", "b"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
@@ -110,11 +113,11 @@ def links(prints: DataFrame, scratch: Scratch, distance: int = 2, bucket: int =
         ball = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), flip))
         points = crowd.select("fp", F.explode(ball).alias("p"))
         least = points.groupBy("p").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter(F.col("a") < F.col("z"))
-        stars = points.join(least, "p").select("a", F.col("fp").alias("b")).filter((F.col("a") < F.col("b")) & near("a", "b"))
+        stars = points.join(least.hint("merge"), "p").select("a", F.col("fp").alias("b")).filter((F.col("a") < F.col("b")) & near("a", "b"))
     else:
         # One bit apart: the one with the set bit names the other, so the pairs are linear already.
         other = crowd.select(F.col("fp").alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(63)), flip)).alias("b"))
-        stars = other.join(crowd.select(F.col("fp").alias("b")), "b", "left_semi").filter("a < b").select("a", "b")
+        stars = other.join(crowd.select(F.col("fp").alias("b")).hint("merge"), "b", "left_semi").filter("a < b").select("a", "b")
     return pairs.union(stars).distinct()
 
 
