@@ -13,6 +13,7 @@ from tests.llm.test_decontaminate import brute
 from tests.llm.test_near_copies import slow_groups
 from tests.llm.test_simhash import slow_components, slow_fingerprint
 from tidemark.llm import mixing, quality_rules, queries
+from tidemark.llm.common import Scratch
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -66,6 +67,15 @@ def test_dedup_stage_links_fingerprints(stages):
     assert sorted(r.doc_id for r in out[2].collect()) == sorted({g: r.doc_id for r, g in reversed(list(zip(rows, group)))}.values())
 
 
+def test_dedup_stage_never_broadcasts_probes(spark, stages, monkeypatch):
+    """Probes are some 34 rows of each fingerprint, which Spark takes to be as small as one: the stage joins them by sort and merge."""
+    _, out = stages
+    plans, write = {}, Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(self, df, name))
+    corpus_pipeline.near_dedup(spark, out[1], None)
+    assert "SortMergeJoin" in plans["met"] and "Broadcast" not in plans["met"]
+
+
 def test_decontamination_stage(spark, stages):
     d, out = stages
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
