@@ -273,3 +273,29 @@ def test_pools_and_lengths_share_an_index(spark):
                 assert got[arm, words, r.query_id] == (r.n_candidates, r["rank"], r.predicted)
     summary = {(r.arm, r.words): r for r in ceiling.summary(ceiling.pools(df, lengths=(10, None)), 100).collect()}
     assert len(summary) == 6 and all(0 < r.p <= 1 and r.n == r.n_candidates for r in summary.values())
+
+
+def test_texts_are_read_a_few_times_for_all_arms_and_lengths(spark):
+    """Words are counted once by the set of arms, and slices take again only what they need: what is read of texts doesn't grow with arms and lengths."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [(b, f"i{k}", k, "generation" if k % 2 else "holdout", "transition" if b % 2 else "control", f"worda{b} wordb{k} wordc") for b in range(4) for k in range(6)]
+    df = spark.createDataFrame(rows, "boundary int, item_id string, published int, role string, kind string, text string").withColumn("text", counted("text"))
+    assert ceiling.pools(df, lengths=(2, 3, 4, 5, None)).count() == 5 * (4 + 2 + 2)
+    assert read.value <= 6 * len(rows)
+
+
+def test_slices_of_rows_that_repeat_or_have_no_date(spark):
+    """Each copy of a row is part of its window's text; rows without a date come first."""
+    rows = [(1, "b", 5, "bba bbb"), (1, "a", 2, "aaa aab aac"), (1, "a", 2, "aaa aab aac"), (1, "c", None, "cca"), (1, "d", 1, " ")]
+    df = spark.createDataFrame(rows, "boundary int, item_id string, published int, text string")
+    whole = "cca aaa aab aac aaa aab aac bba bbb".split()
+    (r,) = ceiling.proxy_terms(df, 9).collect()
+    assert r.terms == whole
+    (r,) = ceiling.proxy_terms(df, 7).collect()
+    assert r.terms in [whole[k : k + 7] for k in range(3)]

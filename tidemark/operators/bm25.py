@@ -40,12 +40,16 @@ def count_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", terms:
     return each.groupBy(key, F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
 
 
-def scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, query: str = "query_id", doc: str = "doc_id", terms: str = "terms", by: Sequence[str] = (), per: Sequence[str] = (), counted: bool = False) -> DataFrame:
+def scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, query: str = "query_id", doc: str = "doc_id", terms: str = "terms", by: Sequence[str] = (), per: Sequence[str] = (), counted: bool = False, asked_counted: bool = False) -> DataFrame:
     """(*by, *per, query, doc, score) for pairs with a common term. per: columns of queries alone, such as variants of a query that meet the same documents. idf = ln(1 + (N - df + 0.5) / (df + 0.5)) with N documents of the pool (`by`); a term that a
     query repeats counts as often; a document without terms counts in N and in the mean length. A query or document may be spread over several rows,
-    whose terms are its own. Only terms that a query asks for are counted in documents. counted: docs has term and tf instead of an array, as `count_terms` gives them."""
+    whose terms are its own. Only terms that a query asks for are counted in documents. counted: docs has term and tf instead of an array, as `count_terms` gives them; asked_counted:
+    queries has one row for each term, with qf."""
     by, per = list(by), list(per)
-    asked = postings(queries, terms, query, [*by, *per]).withColumnRenamed("tf", "qf")
+    if asked_counted:
+        asked = queries.filter("term IS NOT NULL").select(*by, *per, query, "term", "qf")
+    else:
+        asked = postings(queries, terms, query, [*by, *per]).withColumnRenamed("tf", "qf")
     small = asked.count() <= BROADCAST
     asked = F.broadcast(asked) if small else asked
     if counted:
