@@ -299,3 +299,12 @@ def test_slices_of_rows_that_repeat_or_have_no_date(spark):
     assert r.terms == whole
     (r,) = ceiling.proxy_terms(df, 7).collect()
     assert r.terms in [whole[k : k + 7] for k in range(3)]
+
+
+def test_counts_of_the_ceiling_are_never_broadcast(spark, monkeypatch):
+    """Windows with both halves come from an aggregate; no join has all counts on the side that is broadcast."""
+    plans, write = {}, ceiling.Scratch.write
+    monkeypatch.setattr(ceiling.Scratch, "write", lambda self, df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(self, df, name))
+    df = spark.createDataFrame([(b, f"i{b}{r}", 0, r, "crude barrels") for b in (1, 2) for r in ("generation", "holdout")], "boundary int, item_id string, published int, role string, text string")
+    assert ceiling.length_sweep(df, (None,)).count() == 2
+    assert "Join" not in plans["both"] and "SortMergeJoin" in plans["scores"]

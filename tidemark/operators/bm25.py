@@ -62,6 +62,9 @@ def scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75
         sizes = docs.groupBy(*by, doc).agg(F.sum(F.size(terms)).alias("dl"))
     pool = sizes.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     often = post.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    if asked_counted:
+        # Written counts are compressed, so that Spark takes them to be smaller than they are: they are never broadcast by its estimate.
+        post, often = post.hint("merge"), often if small else often.hint("merge")
     rows = post.join(asked.join(often, [*by, "term"]), [*by, "term"]).join(sizes, [*by, doc])
     rows = rows.join(pool, by) if by else rows.crossJoin(F.broadcast(pool))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

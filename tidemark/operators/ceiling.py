@@ -86,7 +86,7 @@ def ranks(windowed: DataFrame, arms: Column, lengths: Sequence[int | None] = LEN
         counts = scratch.write(counts, "counts").withColumn("arm", F.explode("_in"))
         counts = counts.groupBy("arm", by, "role", "term").agg(F.sum("tf").alias("tf"))
         halves = {role: counts.filter(F.col("role") == role).drop("role") for role in ("generation", "holdout")}
-        both = scratch.write(halves["generation"].select("arm", by).intersect(halves["holdout"].select("arm", by)), "both")
+        both = scratch.write(counts.groupBy("arm", by).agg(F.min("role").alias("_a"), F.max("role").alias("_z")).filter("_a <> _z").select("arm", by), "both")
         asked = [halves["generation"].withColumn("words", F.lit(0)).withColumnRenamed("tf", "qf")] if None in lengths else []  # 0: a key can't be null
         some = [n for n in lengths if n is not None]
         if some:
